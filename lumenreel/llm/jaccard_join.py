@@ -7,8 +7,8 @@ connected component of each document.  The join is exact:
 2. Each class keeps a *prefix*: its ``n - ceil(t*n) + 1`` first shingles in one global order.  Two sets that reach the
    threshold share a prefix shingle, whatever the order is; frequent shingles come last, so that prefixes are selective.
 3. Classes with identical prefix and size become one *group*; prefixes are joined group by group.
-4. Group pairs are filtered by size, by the position of the shared shingle, and by a 512-bit parity signature: the
-   bits in which two signatures differ are a lower bound of the sets' symmetric difference.
+4. Group pairs are filtered by size, by the position of the shared shingle, and by a parity signature of about one bit a
+   shingle: the bits in which two signatures differ are a lower bound of the sets' symmetric difference.
 5. Surviving groups are expanded to their members, which are verified on whole shingle sets.
 
 Links are needed only as far as they decide components.  A first round therefore verifies a star: each group against
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenreel.llm.common import cut
@@ -40,8 +41,10 @@ from lumenreel.llm.shingles import shingle_runs
 ORDER_SIZE = 65_536
 #: A shingle counts as frequent if so many rows of one Arrow batch have it.
 FREQUENT_IN_BATCH = 8
-_BITS, _LONGS = 512, 8
-_SIGS = [f"s{i}" for i in range(_LONGS)]
+#: Bits of the smallest signature; a larger set's has the next power of two from its size.
+LEAST_BITS = 512
+#: Largest prefilter (bits) for the documents to verify: 8 MB. Beyond it more documents pass, and the join drops them.
+FILTER_BITS = 1 << 26
 
 
 def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,36 +98,56 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                             x = u[np.lexsort((u, np.where(known, times[at], 0)))]
                     x = x[: n - -(-percent * n // 100) + 1] if n else x
                     size.append(n)
-                    prefixes.append(x)
+                    prefixes.append(x.view(np.int64))
                     keys.append(np.concatenate([digest(u, n), digest(x, n)]))
-                    bits.append(np.packbits(np.bincount((u & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1).view(np.int64))
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-                keys, bits = np.array(keys), np.array(bits)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(size)), pa.array(size, pa.int64()), *(pa.array(keys[:, c]) for c in range(4)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64))), *(pa.array(np.ascontiguousarray(bits[:, c])) for c in range(_LONGS))],
-                    ["doc_id", "n", "d1", "d2", "g1", "g2", "prefix", *_SIGS],
-                )
+                    wide = max(LEAST_BITS, 1 << (n - 1).bit_length()) if n else LEAST_BITS
+                    bits.append(np.packbits(np.bincount((u & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).view(np.int64))
+                keys = np.array(keys)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, len(size)), pa.array(size, pa.int64()), *(pa.array(keys[:, c]) for c in range(4)), _lists(prefixes), _lists(bits)], ["doc_id", "n", "d1", "d2", "g1", "g2", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, g1 long, g2 long, prefix array<long>, " + ", ".join(f"{s} long" for s in _SIGS))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, g1 long, g2 long, prefix array<long>, bits array<long>")
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+
+
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """A bit per hashed id, as a prefilter of bounded size."""
+    wide = min(FILTER_BITS, 1 << max(10, 4 + ids.count().bit_length()))
+    at = F.pmod(F.col("id"), F.lit(wide))
+    words = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {wide}) & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(wide // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, h): whole shingle sets of the documents in ``ids``."""
+    """(id, h): whole shingle sets of the documents in ``ids``. Texts are not shuffled, only the sets that are wanted."""
+    bits = docs.sparkSession.sparkContext.broadcast(_wanted(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = bits.value
         for b in batches:
+            at = np.asarray(b.column(0).fill_null(-1)) % (64 * len(wanted))
+            keep = (wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            b = b.filter(pa.array(keep))
             for i, h, to in shingle_runs(b.column(1), k):
                 u = [np.unique(h[to[d] : to[d + 1]]).view(np.int64) for d in range(len(to) - 1)]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in u])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(u)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(u)))], ["id", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(u)), _lists(u)], ["id", "h"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return text.mapInArrow(sets, "id long, h array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(sets, "id long, h array<long>").join(ids, "id", "left_semi")
 
 
 def _differ(x: str, y: str) -> Column:
-    """Bits in which two signatures differ."""
-    return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in _SIGS), F.lit(0))
+    """Bits in which two signatures differ; the wider one is folded, which keeps parities."""
+
+    def folded(a: str, b: str) -> Column:
+        half = F.greatest(F.size(b), F.lit(1))
+        return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(a))
+
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
 
 
 def _may(nx: Column, ny: Column, differ: Column, percent: int) -> Column:
@@ -136,10 +159,9 @@ def _sizes(nx: Column, ny: Column, percent: int) -> Column:
     return F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
 
 
-def _position(x: str, y: str, percent: int) -> Column:
+def _position(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
     """Shingles that can still be shared from this one on, against those needed; holds at a true pair's first shared one."""
-    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
-    return left * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
+    return F.least(nx - px, ny - py) * (100 + percent) >= (nx + ny) * percent
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -160,46 +182,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     sig = cut(_signatures(docs, k, percent))
     known = sig.filter("doc_id is not null and n > 0")
-    classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"))
-    members = cut(known.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).select("doc_id", "id"))
-    rep = known.join(classes.select(F.col("id").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"])
-    groups = rep.groupBy("n", "g1", "g2").agg(F.min("doc_id").alias("g"))
-    rep = cut(rep.join(groups, ["n", "g1", "g2"]).select(F.col("doc_id").alias("id"), "g", "n", "prefix", *_SIGS))
-
-    lead = rep.filter("id = g").dropDuplicates(["g", "n"])
-    posts = lead.select("g", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    lists = posts.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("pos", "g", "n")).alias("first")).filter("m > 1")
-    posts = cut(posts.join(lists.select("token", "first"), "token"))
+    classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("g1").alias("g1"), F.first("g2").alias("g2"))
+    classes = cut(classes)
+    members = known.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "id"), ["n", "d1", "d2"]).select("doc_id", "id")
+    groups = classes.groupBy("n", "g1", "g2").agg(F.min("id").alias("g"), F.count("*").alias("size"))
+    rep = cut(classes.join(groups, ["n", "g1", "g2"]).select("id", "g", "n", "size", "d1", "d2"))
+    bits = known.select(F.col("doc_id").alias("id"), "n", "d1", "d2", "bits").join(rep.select("id", "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "bits")
+
+    # Groups behind each prefix shingle that several have; the first of a list is the one where it comes earliest.
+    posts = known.select(F.col("doc_id").alias("g"), "n", "d1", "d2", "prefix").join(rep.filter("id = g").select("g", "n", "d1", "d2"), ["g", "n", "d1", "d2"])
+    here = W.partitionBy("token")
+    posts = posts.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    posts = posts.withColumns({"first": F.min(F.struct("pos", "g", "n")).over(here), "shared": F.min("g").over(here) < F.max("g").over(here)})
+    posts = cut(posts.filter("shared").select("token", "g", "n", "pos", "first"))
 
     # First round: a star in each group and around the first group of each list.
-    sigs = rep.select("id", "n", F.struct(*_SIGS).alias("s"))
-    inner = rep.filter("id <> g").select("id", F.col("g").alias("to"))
-    star = posts.alias("x").filter(F.col("x.g") != F.col("x.first.g")).filter(_sizes(F.col("x.n"), F.col("x.first.n"), percent) & _position("x", "x.first", percent)).select(F.col("x.g").alias("id"), F.col("x.first.g").alias("to")).union(inner).distinct()
-    star = star.join(sigs.select("id", F.col("n").alias("nx"), F.col("s").alias("x")), "id").join(sigs.select(F.col("id").alias("to"), F.col("n").alias("ny"), F.col("s").alias("y")), "to")
-    star = star.withColumn("differ", _differ("x", "y")).filter(_may(F.col("nx"), F.col("ny"), F.col("differ"), percent))
+    star = posts.filter(F.col("g") != F.col("first.g")).filter(_sizes(F.col("n"), F.col("first.n"), percent) & _position(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"), percent))
+    star = star.select(F.col("g").alias("id"), F.col("first.g").alias("to")).union(rep.filter("id <> g").select("id", F.col("g").alias("to"))).distinct()
+    star = star.join(bits.select("id", F.col("n").alias("nx"), F.col("bits").alias("x")), "id").join(bits.select(F.col("id").alias("to"), F.col("n").alias("ny"), F.col("bits").alias("y")), "to")
+    star = star.filter(_sizes(F.col("nx"), F.col("ny"), percent)).withColumn("differ", _differ("x", "y")).filter(_may(F.col("nx"), F.col("ny"), F.col("differ"), percent))
     star = star.groupBy("id").agg(F.min_by("to", F.struct(F.col("differ") / (F.col("nx") + F.col("ny")), F.col("to"))).alias("to"))
     links = _verified(star.select(F.col("id").alias("a"), F.col("to").alias("b")), docs, k, percent)
 
     # Second round: all pairs that pass the filters and may still join two components.
     label = components(links)
-    rep = cut(rep.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component", "prefix"))
-    first = rep.filter("id = g").dropDuplicates(["g", "n"]).select("g", "n", F.struct(*_SIGS).alias("s"))
-    spread = rep.alias("r").join(first.alias("f"), (F.col("r.g") == F.col("f.g")) & (F.col("r.n") == F.col("f.n")))
-    spread = spread.select("r.g", "r.n", "r.c", "f.s", F.struct(*(F.col(f"r.{x}") for x in _SIGS)).alias("own"))
-    spread = spread.groupBy("g", "n").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(_differ("s", "own")).alias("radius"), F.first("s").alias("s"))
-    here = posts.select("token", "g", "n", "pos").join(spread, ["g", "n"])
-    mixed = here.groupBy("token").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).filter("c0 <> c1").select("token")
-    here = cut(here.join(mixed, "token", "left_semi").select("token", "g", "n", "pos", "c0", "c1", "radius", "s.*"))
-    x, y = here.alias("x"), here.alias("y")
+    rep = cut(rep.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "g", "n", "size", F.coalesce("component", "id").alias("c")))
+    spread = rep.groupBy("g", "n").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+    one = rep.join(bits, ["id", "n"]).select("id", "g", "n", "c", "bits")
+    far = rep.filter("size > 1").select("id", "g", "n").join(bits, ["id", "n"]).join(bits.select(F.col("id").alias("g"), "n", F.col("bits").alias("of")), ["g", "n"])
+    far = far.groupBy("g", "n").agg(F.max(_differ("bits", "of")).alias("radius"))
+    lists = posts.select("token", "g", "n", "pos").join(spread, ["g", "n"])
+    mixed = lists.groupBy("token").agg(F.min("c0").alias("low"), F.max("c1").alias("high")).filter("low <> high").select("token")
+    lists = lists.join(mixed, "token", "left_semi").join(bits.withColumnRenamed("id", "g"), ["g", "n"]).join(far, ["g", "n"], "left")
+    lists = cut(lists.select("token", "g", "n", "pos", "c0", "c1", F.coalesce("radius", F.lit(0)).alias("radius"), "bits"))
+    x, y = lists.alias("x"), lists.alias("y")
     same = (F.col("x.c0") == F.col("x.c1")) & (F.col("y.c0") == F.col("y.c1")) & (F.col("x.c0") == F.col("y.c0"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.struct("x.g", "x.n") < F.struct("y.g", "y.n")) & ~same & _sizes(F.col("x.n"), F.col("y.n"), percent) & _position("x", "y", percent) & _may(F.col("x.n"), F.col("y.n"), _differ("x", "y") - F.col("x.radius") - F.col("y.radius"), percent))
+    cheap = (F.col("x.token") == F.col("y.token")) & (F.struct("x.g", "x.n") < F.struct("y.g", "y.n")) & ~same & _sizes(F.col("x.n"), F.col("y.n"), percent)
+    pairs = x.join(y, cheap & _position(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent) & _may(F.col("x.n"), F.col("y.n"), _differ("x.bits", "y.bits") - F.col("x.radius") - F.col("y.radius"), percent))
     pairs = pairs.select(F.col("x.g").alias("gx"), F.col("y.g").alias("gy"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))
     torn = spread.filter("c0 <> c1").select(F.col("g").alias("gx"), F.col("g").alias("gy"), F.col("n").alias("nx"), F.col("n").alias("ny"))
     pairs = cut(pairs.union(torn).distinct())
-    one = rep.select("id", "g", "n", "c", F.struct(*_SIGS).alias("s"))
-    both = pairs.join(one.select(F.col("id").alias("a"), F.col("g").alias("gx"), F.col("n").alias("nx"), F.col("c").alias("ca"), F.col("s").alias("x")), ["gx", "nx"])
-    y = one.select(F.col("id").alias("b"), F.col("g").alias("hy"), F.col("n").alias("hn"), F.col("c").alias("cb"), F.col("s").alias("y"))
-    both = both.join(y, (F.col("gy") == F.col("hy")) & (F.col("ny") == F.col("hn")) & (F.col("ca") != F.col("cb")) & _may(F.col("nx"), F.col("ny"), _differ("x", "y"), percent))
+    both = pairs.join(one.select(F.col("id").alias("a"), F.col("g").alias("gx"), F.col("n").alias("nx"), F.col("c").alias("ca"), F.col("bits").alias("x")), ["gx", "nx"])
+    y = one.select(F.col("id").alias("b"), F.col("g").alias("gy"), F.col("n").alias("ny"), F.col("c").alias("cb"), F.col("bits").alias("y"))
+    both = both.alias("p").join(y.alias("q"), (F.col("p.gy") == F.col("q.gy")) & (F.col("p.ny") == F.col("q.ny")) & (F.col("ca") != F.col("cb")) & _may(F.col("nx"), F.col("p.ny"), _differ("x", "y"), percent))
     more = _verified(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, k, percent)
 
     # Classes are named by their smallest document, so a component's smallest class is its smallest document.
