@@ -1,22 +1,130 @@
-"""The registered queries of the corpus operators, with production parameters over whole tables."""
+"""The registered queries of the corpus operators, with production parameters over whole tables.
+
+No query has a filter on ids, a prefix or a row cap.  ``oracle_sql`` has those whose result SQL can express.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenreel.llm.common import table
+from lumenreel.llm import merkle
+from lumenreel.llm.common import n_words, table
+from lumenreel.llm.exact_dedup import exact_duplicates
 from lumenreel.llm.jaccard_join import near_duplicates
+from lumenreel.llm.language_id import predict_language
+from lumenreel.llm.line_dedup import remove_boilerplate
+from lumenreel.llm.mixing import mix
+from lumenreel.llm.packing import WordEncoder, pack
+from lumenreel.llm.quality import judge
+from lumenreel.llm.toxicity import score_toxicity
+from lumenreel.llm.url_filter import judge_urls
+
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def word_tokenizer() -> WordEncoder:
+    import public_tokenizers
+
+    return WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records, and a second replica of them with rotten and lost records, which the audit has to locate.
+
+    The replica is derived by a rule that the oracle repeats: the last byte of some records is changed, others are gone.
+    """
+    a = merkle.warc_records(table(spark, sf_dir, "pages"))
+    rotten, lost = F.col("page_id") % 97 == 13, F.col("page_id") % 389 == 7
+    b = a.filter(~lost).withColumn("body", F.when(rotten, F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit("?"))).otherwise(F.col("body")))
+    return merkle.audit(a, b, span=1 << 16, fanout=8)
+
+
+OP2_SQL = """
+WITH r AS (
+  SELECT page_id, page_id // 500 AS file,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Length: '
+    || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS body
+  FROM pages),
+o AS (SELECT *, CAST(coalesce(sum(strlen(body)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r)
+SELECT file, "offset", CASE WHEN page_id % 389 = 7 THEN 'missing_in_b' ELSE 'differs' END AS status, sha256(body) AS hash_a,
+  CASE WHEN page_id % 389 = 7 THEN NULL ELSE sha256(left(body, length(body) - 1) || '?') END AS hash_b
+FROM o WHERE page_id % 97 = 13 OR page_id % 389 = 7
+"""
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), RULES)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), percent=150, max_epochs=2)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=8, min_words=3)
+    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), n_words(F.col("text")).alias("kept_words"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, coalesce('=' || source, '') AS site, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents),
+n AS (SELECT *, trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS norm FROM l),
+c AS (
+  SELECT norm, min({'d': doc_id, 'p': pos}) AS first FROM n WHERE norm <> '' AND length(norm) - length(replace(norm, ' ', '')) >= 2
+  GROUP BY norm HAVING count(DISTINCT site) >= 8),
+k AS (
+  SELECT n.doc_id, n.pos, n.line, c.norm IS NOT NULL AND {'d': n.doc_id, 'p': n.pos} > c.first AS gone
+  FROM n LEFT JOIN c ON n.norm = c.norm),
+d AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+  FROM k GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, CAST(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS kept_words, md5(text) AS text_md5 FROM d
+UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").drop("loss_tokens"), word_tokenizer, max_tokens=2048, max_segments=256, max_loss_tokens=2048, end=1)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g') AS norm FROM documents),
+w AS (SELECT doc_id, norm, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w
+"""
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+    all_ = (op1_language_id, op2_warc_merkle_audit, op3_ngram_jaccard_join, op4_url_filter, op5_mixing, op6_line_dedup, op7_packing, op8_quality_rules, op9_exact_dedup, op10_toxicity)
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_merkle_audit": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
