@@ -50,8 +50,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 3,
     """``docs`` with ``text`` free of boilerplate lines, and the columns ``_n_lines`` and ``_n_removed``."""
     common = boilerplate(docs, min_sites, min_words, lg_k)
     hits = _lines(docs, min_words).join(common, "h").filter(F.struct("doc_id", "pos") > F.col("first"))
-    gone = cut(hits.groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))).withColumnRenamed("doc_id", "_doc_id")  # at most a document's lines
-    all_ = docs.join(gone, docs["doc_id"].cast("long") == F.col("_doc_id"), "left")
-    left = F.transform(F.filter(_numbered(F.col("text")), lambda x: ~F.array_contains("_gone", x["pos"])), lambda x: x["line"])
-    all_ = all_.withColumn("_n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")).withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return all_.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*docs.columns, "_n_lines", "_n_removed")
+    gone = cut(hits.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")))  # at most a document's lines
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row")).join(gone, "doc_id", "left")
+    text = F.col("row.text")
+    left = F.transform(F.filter(_numbered(text), lambda x: ~F.array_contains("gone", x["pos"])), lambda x: x["line"])
+    text = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias("text")
+    return rows.select(*(text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns), F.coalesce(F.size(F.split("row.text", "\n")), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_removed"))

@@ -44,27 +44,27 @@ def source_targets(sources: DataFrame, weights: Sequence[float], percent: int, m
     return ranked.select("source", "source_size", (target if free else F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), percent: int = 150, max_epochs: float = 2, seed: int = 20, buckets: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), percent: int = 150, max_epochs: float = 2, seed: int = 20, buckets: int = 1024, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document of ``docs(doc_id, text, source)``: doc_id, size, source_size, target, taken (words).
 
-    ``percent``: size of the mix in hundredths of all words.
+    ``percent``: size of the mix in hundredths of all words.  ``carry``: more columns of ``docs`` to return.
     """
     u = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = cut(docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), u.alias("u")).withColumn("bucket", F.pmod("u", F.lit(buckets)).cast("int")))
-    parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
-    parts = cut(parts)
+    more = F.struct(*carry) if carry else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), u.alias("u"), more.alias("more")).withColumn("bucket", F.pmod("u", F.lit(buckets)).cast("int"))
+    parts = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("part")))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, percent, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
     targets = targets.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")))
 
     before = F.sum("part").over(W.partitionBy("source").orderBy("bucket")) - F.col("part")  # at most `buckets` rows a source
     parts = parts.withColumn("before", before).alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-    parts = parts.select("p.source", "p.bucket", "part", "source_size", "target", "whole", (F.col("rest") - F.col("before")).alias("left"))
+    parts = cut(parts.select("p.source", "p.bucket", "part", "source_size", "target", "whole", (F.col("rest") - F.col("before")).alias("left")))
     all_ = rows.alias("r").join(parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
-    all_ = all_.select("doc_id", "size", "source_size", "target", "whole", "r.source", "r.bucket", "u", "part", "left")
-    # Buckets wholly in or out need no order; a boundary bucket does.
-    plain = all_.filter("left <= 0 or left >= part").withColumn("some", F.when(F.col("left") > 0, F.col("size")).otherwise(F.lit(0).cast("long")))
-    order = W.partitionBy("source", "bucket").orderBy("u", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    edge = all_.filter("left > 0 and left < part").withColumn("some", F.col("left") - F.coalesce(F.sum("size").over(order), F.lit(0)))
-    edge = edge.withColumn("some", F.greatest(F.lit(0).cast("long"), F.least("some", "size")))
-    return plain.unionByName(edge).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("some")).cast("long").alias("taken"))
+    # Buckets wholly in or out need no order: only the boundary buckets' rows share a window, other rows get one each.
+    edge = (F.col("left") > 0) & (F.col("left") < F.col("part"))
+    order = W.partitionBy("r.source", "r.bucket", F.when(~edge, F.col("u"))).orderBy("u", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    some = F.col("left") - F.when(edge, F.coalesce(F.sum("size").over(order), F.lit(0))).otherwise(0)
+    some = F.greatest(F.lit(0).cast("long"), F.least(some, F.col("size")))
+    out = all_.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.when(edge, some).when(F.col("left") > 0, F.col("size")).otherwise(0)).cast("long").alias("taken"), "more")
+    return out.select("doc_id", "size", "source_size", "target", "taken", *(F.col("more")[c].alias(c) for c in carry))

@@ -61,16 +61,16 @@ def _repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of every document."""
+    """doc_id, text_hash, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of every document."""
     text = F.coalesce("text", F.lit(""))
     words = F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACES, "") != "")
     found = _let(words, lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
     of_lines = _let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
-    rows = docs.select(F.col("doc_id").cast("long"), "lang", "source", F.length(F.translate(text, _SPACES, "")).alias("word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"), found.alias("w"), of_lines.alias("l"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "lang", "source", F.length(F.translate(text, _SPACES, "")).alias("word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"), found.alias("w"), of_lines.alias("l"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
     at = {"n_words": "w.n_words", "n_repeat_words": "w.n_repeat_words", "n_lines": "l.n_lines", "n_dup_lines": "l.n_dup_lines"}
-    return rows.select("doc_id", "lang", "source", *(F.col(at.get(n, n)).cast("long").alias(n) for n in names))
+    return rows.select("doc_id", "text_hash", "lang", "source", *(F.col(at.get(n, n)).cast("long").alias(n) for n in names))
 
 
 def _vector() -> list[Column]:
@@ -103,10 +103,10 @@ def _mahalanobis() -> Column:
     return _let(inputs, solve)
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = 8.0, coverage: float = 0.75, steps: int = 3, min_rows: int = 200) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
+def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = 10.0, coverage: float = 0.75, steps: int = 3, min_rows: int = 200) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, text_hash.
 
-    ``distance`` is null for documents that fail the base rules.
+    ``distance`` is null for documents that fail the base rules.  ``cutoff`` is far out: in robust standard deviations.
     """
     rows = statistics(docs)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
@@ -133,5 +133,5 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cu
     scale = cut(near.groupBy("grp").agg((F.percentile_approx("d2", 0.5, 2000) / CHI2_MEDIAN).alias("scale")))
     far = near.join(scale, "grp").withColumn("distance", F.sqrt(F.col("d2") / F.greatest("scale", F.lit(1.0))))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    passed = far.select(*out, (F.col("distance") <= cutoff).alias("kept"), "distance")
-    return passed.unionByName(rows.filter("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
+    passed = far.select(*out, (F.col("distance") <= cutoff).alias("kept"), "distance", "text_hash")
+    return passed.unionByName(rows.filter("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), "text_hash"))
