@@ -38,9 +38,9 @@ from lumenreel.llm.shingles import shingle_runs
 
 #: The global order knows at most so many frequent shingles, so that it can be broadcast (16 bytes each). It decides
 #: which shingles come first in a prefix, never which pairs are found.
-ORDER_SIZE = 65_536
+ORDER_SIZE = 262_144
 #: A shingle counts as frequent if so many rows of one Arrow batch have it.
-FREQUENT_IN_BATCH = 8
+FREQUENT_IN_BATCH = 3
 #: Bits of the smallest signature; a larger set's has the next power of two from its size.
 LEAST_BITS = 512
 #: Largest prefilter (bits) for the documents to verify: 8 MB. Beyond it more documents pass, and the join drops them.
@@ -67,9 +67,8 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         often = n >= FREQUENT_IN_BATCH
         return pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
 
-    top = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDER_SIZE).collect()
-    h = np.array([r.h for r in top], np.int64).view(np.uint64)
-    n = np.array([r.n for r in top], np.int64)
+    top = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDER_SIZE).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     o = np.argsort(h)
     return h[o], n[o]
 

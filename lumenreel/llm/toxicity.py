@@ -98,13 +98,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options: float) -> Data
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **options))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = model.value or ({}, -1e9)
+        weights, bias = model.value or ({}, -np.inf)
         known = weights.keys()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 z = np.array([bias + sum(weights[w] for w in sorted(words_of(t) & known)) for t in part.column(2).to_pylist()])
-                s = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                s = 1 / (1 + np.exp(-np.maximum(z, -700))) * (bias > -np.inf)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
