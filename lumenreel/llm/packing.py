@@ -15,6 +15,7 @@ are packed with a null id.  An empty table gives no pieces.  Other columns are i
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,34 +25,94 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: White space that no token of the tokenizer spans; texts are split there so that equal words are encoded once.
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-#: Words whose ids a task remembers.
-CACHE = 200_000
+#: Parts of texts whose ids a Python worker remembers in each of two generations.
+CACHE = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+# The classes of the tokenizer's split pattern for characters up to U+00FF, in lower case.
+_LETTER, _NUMBER, _BLANK = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t\n\v\f\r \x85\xa0"
+#: No token spans ASCII white space.
+_SPACES = re.compile(r"[\x20\x09-\x0D]+")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
+
+
+class Memory:
+    """A dictionary of bounded size: when the younger generation is full, it replaces the older one."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of ``keys`` that are not known; afterwards all others are in the younger generation."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for k in keys.difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                out.append(k)
+        return out
+
 
 class WordEncoder:
-    """Ids of whole texts, by encoding each distinct word once; valid as the tokenizer drops white space."""
+    """Ids of whole texts by a tokenizer with word-end tokens that drops white space.
+
+    Texts of characters up to U+00FF are split here as the tokenizer's pattern does, and each distinct part is encoded
+    once; a part ends at its only token with the word-end suffix.  Of other texts, words beyond U+00FF and words with
+    special tokens are left to the tokenizer as they are.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, suffix: str = "</w>") -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Memory()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return "<|" not in text
+
+    def _split(self, text: str, odd: set[str]) -> list[str]:
+        if self._plain(text):
+            return _PARTS.findall(text.lower())
+        parts: list[str] = []
+        for w in _SPACES.split(text):
+            if self._plain(w):
+                parts += _PARTS.findall(w.lower())
+            else:
+                parts.append(w)
+                odd.add(w)
+        return parts
+
+    def _learn(self, parts: set[str], odd: set[str]) -> None:
+        new = self.known.missing(parts)
+        known = self.known.young
+        whole = [w for w in new if w in odd]
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, np.uint32).tobytes()
+        new = [w for w in new if w not in odd] if odd else new
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def __call__(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = text.translate(_SPACES).split(" ")
-            known = self.known
-            new = [w for w in set(words) if w not in known]
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 10_000):
-                part = new[i : i + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, np.uint32).tobytes()
-            yield np.frombuffer(b"".join([*map(known.__getitem__, words), end.to_bytes(4, "little")]), np.uint32)
+        odd: set[str] = set()
+        split = [self._split(t, odd) for t in texts]
+        self._learn(set().union(*split), odd)
+        known = self.known.young.__getitem__
+        close = end.to_bytes(4, "little")
+        for parts in split:
+            yield np.frombuffer(b"".join([*map(known, parts), close]), np.uint32)
 
 
 class Packer:

@@ -5,6 +5,7 @@ No query has a filter on ids, a prefix or a row cap.  ``oracle_sql`` has those w
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,9 @@ from lumenreel.llm.url_filter import judge_urls
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
+@functools.cache
 def word_tokenizer() -> WordEncoder:
+    """One per Python worker, whose later tasks find its words known."""
     import public_tokenizers
 
     return WordEncoder(public_tokenizers.path("word_bpe_49k.json"))

@@ -293,6 +293,9 @@ def test_pack(spark):
     texts = [*ODD, "<|endoftext|> a<|startoftext|>b", "Don't  DO\u3000that!\u00a0ﬁ Σας", *("\n".join(rng_text(r, r.choice([3, 60, 800, 4000])).split()) for _ in range(60)), *(rng_text(r, r.choice([3, 60, 800, 4000])) for _ in range(60))]
     whole = Tokenizer.from_file(path)
     ids = [np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], np.uint32) for t in texts]
+    plain = [chr(c) for c in range(1, 256)]
+    odd = [f"{a}{b}x{a}9{b}'s{a}'LL" for a in plain for b in ("", "Q", "'", "é")] + ["ǅ Σς'ΣT", "e\u0301a ﬀ", "\u1e9e\u0130x", "a\x85b\xa0c", "<|startoftext|>Q"]
+    assert [x.tolist() for x in WordEncoder(path)(odd, 1)] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in odd]
     for limits in ((2048, 256, 2048), (512, 3, 400)):
         got = pack(frame(spark, texts).repartition(3), lambda: WordEncoder(path), *limits).collect()
         pieces, seqs = collections.defaultdict(list), collections.defaultdict(list)
