@@ -1,0 +1 @@
+"""DataFrame operators: plain functions from DataFrames to DataFrames."""

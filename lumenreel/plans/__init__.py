@@ -26,3 +26,7 @@ def registry() -> dict:
 
 def oracles() -> dict[str, str]:
     return _ORACLES
+
+
+from lumenreel.plans import search  # noqa: E402,F401
+from lumenreel.plans import texts  # noqa: E402,F401

@@ -1,0 +1 @@
+"""Incremental runs as Structured Streaming jobs."""
