@@ -30,3 +30,4 @@ def oracles() -> dict[str, str]:
 
 from lumenreel.plans import search  # noqa: E402,F401
 from lumenreel.plans import texts  # noqa: E402,F401
+from lumenreel.plans import series, stores, tabular  # noqa: E402,F401
