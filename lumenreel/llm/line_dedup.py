@@ -32,7 +32,10 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 def boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 3, lg_k: int = 12) -> DataFrame:
     """(h, first): digests of lines that at least ``min_sites`` sites hold, and the first (doc_id, pos) of each."""
-    lines = _lines(docs, min_words)
+    return _common(cut(_lines(docs, min_words)), min_sites, lg_k)
+
+
+def _common(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
     spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("sites"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
     spread = spread.filter(F.col("n") >= min_sites).select("h", "first", F.hll_sketch_estimate("sites").alias("sites"))
     near = ceil(max(1.0, 4 * 1.04 / sqrt(2**lg_k) * min_sites))  # four standard errors of the estimate
@@ -48,8 +51,8 @@ def _numbered(text: Column) -> Column:
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 3, lg_k: int = 12) -> DataFrame:
     """``docs`` with ``text`` free of boilerplate lines, and the columns ``_n_lines`` and ``_n_removed``."""
-    common = boilerplate(docs, min_sites, min_words, lg_k)
-    hits = _lines(docs, min_words).join(common, "h").filter(F.struct("doc_id", "pos") > F.col("first"))
+    lines = cut(_lines(docs, min_words))  # digests and places only: a small part of the text, and used three times
+    hits = lines.join(_common(lines, min_sites, lg_k), "h").filter(F.struct("doc_id", "pos") > F.col("first"))
     gone = cut(hits.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")))  # at most a document's lines
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row")).join(gone, "doc_id", "left")
     text = F.col("row.text")
