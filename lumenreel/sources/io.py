@@ -24,6 +24,9 @@ def read_metadata(spark: SparkSession, path: str, schema: str = METADATA) -> Dat
 
     One array file is one task's work, as its elements have no line structure; corpora of many files spread over tasks.
     """
+    top = F.ltrim(F.regexp_replace("value", "^﻿", ""))
+    if not spark.read.option("wholetext", True).text(path).filter(~top.startswith("[")).isEmpty():
+        raise ValueError("the top level is not an array")
     rows = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     rows = rows.withColumn("item_idx", F.monotonically_increasing_id())
     bad = F.when(F.col("_corrupt").isNotNull(), F.raise_error(F.lit("the file is not an array of objects"))).otherwise(F.col("item_idx"))
