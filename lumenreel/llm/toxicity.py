@@ -33,7 +33,7 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def train(positive: list[list[int]], unlabelled: list[list[int]], size: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(positive: list[list[int]], unlabelled: list[list[int]], size: int, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic model; texts are lists of feature numbers below ``size``."""
 
     def matrix(rows: list[list[int]]) -> np.ndarray:
