@@ -50,21 +50,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), percent: int = 15
     ``percent``: size of the mix in hundredths of all words.  ``carry``: more columns of ``docs`` to return.
     """
     u = F.xxhash64(F.lit(seed), "doc_id", "text")
-    more = F.struct(*carry) if carry else F.lit(None)
-    rows = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), u.alias("u"), more.alias("more")).withColumn("bucket", F.pmod("u", F.lit(buckets)).cast("int"))
-    parts = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("part")))
+    rows = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), u.alias("u"), *([F.struct(*carry).alias("more")] if carry else [])).withColumn("bucket", F.pmod("u", F.lit(buckets)).cast("int"))
+    light = cut(rows.drop("more"))
+    parts = cut(light.groupBy("source", "bucket").agg(F.sum("size").alias("part")))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, percent, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
     targets = targets.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")))
 
+    same = lambda x, y: F.col(f"{x}.source").eqNullSafe(F.col(f"{y}.source"))
     before = F.sum("part").over(W.partitionBy("source").orderBy("bucket")) - F.col("part")  # at most `buckets` rows a source
-    parts = parts.withColumn("before", before).alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
+    parts = parts.withColumn("before", before).alias("p").join(targets.alias("t"), same("p", "t"))
     parts = cut(parts.select("p.source", "p.bucket", "part", "source_size", "target", "whole", (F.col("rest") - F.col("before")).alias("left")))
-    all_ = rows.alias("r").join(parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
-    # Buckets wholly in or out need no order: only the boundary buckets' rows share a window, other rows get one each.
-    edge = (F.col("left") > 0) & (F.col("left") < F.col("part"))
-    order = W.partitionBy("r.source", "r.bucket", F.when(~edge, F.col("u"))).orderBy("u", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    some = F.col("left") - F.when(edge, F.coalesce(F.sum("size").over(order), F.lit(0))).otherwise(0)
-    some = F.greatest(F.lit(0).cast("long"), F.least(some, F.col("size")))
-    out = all_.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.when(edge, some).when(F.col("left") > 0, F.col("size")).otherwise(0)).cast("long").alias("taken"), "more")
+
+    # In a boundary bucket, and only there, rows are put in order: up to which hash they are taken, and what the last gives.
+    edge = parts.filter("left > 0 and left < part").alias("e")
+    close = light.alias("r").join(edge, same("r", "e") & (F.col("r.bucket") == F.col("e.bucket"))).groupBy("r.source", "r.bucket", "u").agg(F.sum("size").alias("size"), F.count("*").alias("m"), F.first("left").alias("left"))
+    close = close.withColumn("before", F.sum("size").over(W.partitionBy("source", "bucket").orderBy("u")) - F.col("size")).filter("before < left and left <= before + size")
+    close = close.select("source", "bucket", F.col("u").alias("last"), F.floor((F.col("left") - F.col("before")) / F.col("m")).alias("some"))  # repeated rows share
+    parts = cut(parts.alias("p").join(close.alias("c"), same("p", "c") & (F.col("p.bucket") == F.col("c.bucket")), "left").select("p.*", "last", "some"))
+
+    all_ = (rows if carry else light).alias("r").join(parts.alias("p"), same("r", "p") & (F.col("r.bucket") == F.col("p.bucket")))
+    part = F.when(F.col("left") >= F.col("part"), F.col("size")).when((F.col("left") <= 0) | (F.col("u") > F.col("last")), 0).when(F.col("u") < F.col("last"), F.col("size")).otherwise(F.col("some"))
+    out = all_.withColumn("taken", (F.col("whole") * F.col("size") + part).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "taken", *(F.col("more")[c].alias(c) for c in carry))
