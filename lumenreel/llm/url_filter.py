@@ -51,7 +51,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 def word_costs(docs: DataFrame, words: int = 50_000) -> dict[str, float]:
     """Costs (negative log probabilities) of the most frequent lower-case ASCII words of all documents."""
-    runs = F.explode(F.split(F.translate(F.col("text"), UPPER, LOWER), r"[^a-z]+"))
+    runs = F.explode(F.split(F.lower("text"), r"[^a-z]+"))
     counts = docs.select(runs.alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter((F.length("word") <= LONGEST) & (F.col("word") != ""))
     top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
     total = sum(r.n for r in top)
