@@ -28,6 +28,8 @@ from lumenreel.llm.common import cut, held_out
 
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
+#: Sampled keys (of about 50 bytes) that may be broadcast; with more, texts are shuffled instead.
+BROADCAST_ROWS = 100_000
 #: Bytes of one text that are turned into n-gram codes at once.
 CHUNK = 1_000_000
 
@@ -86,7 +88,9 @@ def _sample(docs: DataFrame, rows: int) -> DataFrame:
     h = F.xxhash64("text", "lang")
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", h.alias("h"))
     keys = known.select("lang", "h").distinct().withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= rows)
-    return known.join(cut(keys), ["lang", "h"]).dropDuplicates(["lang", "h"]).filter(F.col("text").rlike(r"\p{L}"))
+    keys = cut(keys)
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys  # `rows` for each language that there is
+    return known.join(keys, ["lang", "h"]).dropDuplicates(["lang", "h"]).filter(F.col("text").rlike(r"\p{L}"))
 
 
 def learn(docs: DataFrame, landmarks: int = 64, rows: int = 512, ridge: float = 1e-3) -> tuple[Landmarks, np.ndarray, list[str]] | None:

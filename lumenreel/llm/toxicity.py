@@ -69,7 +69,8 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     texts = docs.filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     keys = cut(texts.select("doc_id", "h").join(toxic, "doc_id", "left").groupBy("h").agg(F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("pos")))
     some = cut(keys.filter("pos").orderBy("h").limit(positives).withColumn("unl", F.lit(False)).union(keys.orderBy("h").limit(unlabelled).select("h", F.lit(False).alias("pos"), F.lit(True).alias("unl"))).groupBy("h").agg(F.max("pos").alias("pos"), F.max("unl").alias("unl")))
-    sample = texts.join(some, "h").dropDuplicates(["h"]).select("pos", "unl", "text")
+    # At most `positives + unlabelled` hashes: texts stay where they are.
+    sample = texts.join(F.broadcast(some), "h").dropDuplicates(["h"]).select("pos", "unl", "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
