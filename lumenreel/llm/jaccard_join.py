@@ -7,8 +7,8 @@ connected component of each document.  The join is exact:
 2. Each class keeps a *prefix*: its ``n - ceil(t*n) + 1`` first shingles in one global order.  Two sets that reach the
    threshold share a prefix shingle, whatever the order is; frequent shingles come last, so that prefixes are selective.
 3. Classes with identical prefix and size become one *group*; prefixes are joined group by group.
-4. Group pairs are filtered by size, by the position of the shared shingle, and by a parity signature of about one bit a
-   shingle: the bits in which two signatures differ are a lower bound of the sets' symmetric difference.
+4. Group pairs are filtered by size, by the position of the shared shingle, and by a parity signature with at least four
+   bits for each shingle in which a pair may differ: the bits in which two signatures differ are a lower bound of that.
 5. Surviving groups are expanded to their members, which are verified on whole shingle sets.
 
 Links are needed only as far as they decide components.  A first round therefore verifies a star: each group against
@@ -41,8 +41,8 @@ from lumenreel.llm.shingles import shingle_runs
 ORDER_SIZE = 262_144
 #: A shingle counts as frequent if so many rows of one Arrow batch have it.
 FREQUENT_IN_BATCH = 3
-#: Bits of the smallest signature; a larger set's has the next power of two from its size.
-LEAST_BITS = 512
+#: Bits of the smallest signature.
+LEAST_BITS = 128
 #: Largest prefilter (bits) for the documents to verify: 8 MB. Beyond it more documents pass, and the join drops them.
 FILTER_BITS = 1 << 26
 
@@ -99,7 +99,7 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     size.append(n)
                     prefixes.append(x.view(np.int64))
                     keys.append(np.concatenate([digest(u, n), digest(x, n)]))
-                    wide = max(LEAST_BITS, 1 << (n - 1).bit_length()) if n else LEAST_BITS
+                    wide = max(LEAST_BITS, 1 << (8 * n * (100 - percent) // (100 + percent)).bit_length())
                     bits.append(np.packbits(np.bincount((u & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).view(np.int64))
                 keys = np.array(keys)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(size)), pa.array(size, pa.int64()), *(pa.array(keys[:, c]) for c in range(4)), _lists(prefixes), _lists(bits)], ["doc_id", "n", "d1", "d2", "g1", "g2", "prefix", "bits"])
@@ -188,11 +188,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rep = cut(classes.join(groups, ["n", "g1", "g2"]).select("id", "g", "n", "size", "d1", "d2"))
     bits = known.select(F.col("doc_id").alias("id"), "n", "d1", "d2", "bits").join(rep.select("id", "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "bits")
 
-    # Groups behind each prefix shingle that several have; the first of a list is the one where it comes earliest.
+    # Groups behind each prefix shingle that have a partner of fitting size there: in order of size, it is a neighbour.
+    # The first of a list is the group where the shingle comes earliest.
     posts = known.select(F.col("doc_id").alias("g"), "n", "d1", "d2", "prefix").join(rep.filter("id = g").select("g", "n", "d1", "d2"), ["g", "n", "d1", "d2"])
     here = W.partitionBy("token")
     posts = posts.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    posts = posts.withColumns({"first": F.min(F.struct("pos", "g", "n")).over(here), "shared": F.min("g").over(here) < F.max("g").over(here)})
+    near = F.coalesce(_sizes(F.lag("n").over(here.orderBy("n", "g")), F.col("n"), percent), F.lit(False)) | F.coalesce(_sizes(F.lead("n").over(here.orderBy("n", "g")), F.col("n"), percent), F.lit(False))
+    posts = posts.withColumns({"first": F.min(F.struct("pos", "g", "n")).over(here), "shared": near})
     posts = cut(posts.filter("shared").select("token", "g", "n", "pos", "first"))
 
     # First round: a star in each group and around the first group of each list.
