@@ -193,8 +193,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     posts = known.select(F.col("doc_id").alias("g"), "n", "d1", "d2", "prefix").join(rep.filter("id = g").select("g", "n", "d1", "d2"), ["g", "n", "d1", "d2"])
     here = W.partitionBy("token")
     posts = posts.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    near = F.coalesce(_sizes(F.lag("n").over(here.orderBy("n", "g")), F.col("n"), percent), F.lit(False)) | F.coalesce(_sizes(F.lead("n").over(here.orderBy("n", "g")), F.col("n"), percent), F.lit(False))
-    posts = posts.withColumns({"first": F.min(F.struct("pos", "g", "n")).over(here), "shared": near})
+    order = here.orderBy("n", "g")
+    near = [x.isNotNull() & _sizes(x, F.col("n"), percent) for x in (F.lag("n").over(order), F.lead("n").over(order))]
+    posts = posts.withColumns({"first": F.min(F.struct("pos", "g", "n")).over(here), "shared": near[0] | near[1]})
     posts = cut(posts.filter("shared").select("token", "g", "n", "pos", "first"))
 
     # First round: a star in each group and around the first group of each list.
