@@ -30,6 +30,8 @@ FEATURES = ["x0", "x1", "x2", "x3"]
 RIDGE = [0.05, 0.05, 0.10, 0.10]
 #: Median of the chi-square distribution with as many degrees of freedom as features.
 CHI2_MEDIAN = 3.3567
+#: Root of the same distribution's quantile at 1 - 1e-5.  Each feature alone can exceed it, given the ridge and base rules.
+CUTOFF = 5.336
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -103,10 +105,10 @@ def _mahalanobis() -> Column:
     return _let(inputs, solve)
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = 10.0, coverage: float = 0.75, steps: int = 3, min_rows: int = 200) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = CUTOFF, coverage: float = 0.75, steps: int = 3, min_rows: int = 200) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, text_hash.
 
-    ``distance`` is null for documents that fail the base rules.  ``cutoff`` is far out: in robust standard deviations.
+    ``distance`` is null for documents that fail the base rules.  ``cutoff`` is in robust standard deviations.
     """
     rows = statistics(docs)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)

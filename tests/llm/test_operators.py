@@ -281,6 +281,26 @@ def test_judge(spark):
     assert judge(frame(spark, [])).count() == 0
 
 
+def test_judge_rejects_each_feature_alone(spark):
+    """Piped fragments, 40% repeated lines and 45% repeated windows are outliers on their own; clean documents stay."""
+    r = random.Random(8)
+    clean = ["\n".join(" ".join(f"w{r.randrange(100, 1000)}" for _ in range(20)) for _ in range(10)) for _ in range(260)]
+    word = lambda: f"w{r.randrange(100, 1000)}"
+    piped = [" ".join(f"{word()} {word()} |" for _ in range(60)) for _ in range(3)]
+    lines = []
+    for _ in range(3):
+        own = [f"{word()} {word()}" for _ in range(60)]
+        lines.append("\n".join(x for i in range(0, 60, 3) for x in (own[i], own[i], own[i + 1], own[i + 1], own[i + 2])))  # 40 of 100
+    windows = []
+    for _ in range(3):
+        again = " ".join(word() for _ in range(45))
+        windows.append(f"{again}\n" + " ".join(word() for _ in range(110)) + f" {again}")
+    texts = clean + piped + lines + windows
+    got = {x.doc_id: x for x in judge(frame(spark, texts, source=["s"] * len(texts))).collect()}
+    assert not any(x.base_failed for x in got.values()) and all(x.n_dup_lines == 40 for x in map(got.get, range(263, 266)))
+    assert [i for i in sorted(got) if not got[i].kept] == list(range(260, 269))
+
+
 # ---- packing
 
 
