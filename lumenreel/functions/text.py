@@ -31,8 +31,10 @@ def text_or_empty(c: Column) -> Column:
 def unique_strings(a: Column) -> Column:
     """Distinct usable strings of a list, compared without case; first spelling and order are kept; null gives ``[]``."""
     usable = F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), text_or_null), lambda x: x.isNotNull())
-    new = lambda seen, x: F.when(F.exists(seen, lambda y: F.lower(y) == F.lower(x)), seen).otherwise(F.concat(seen, F.array(x)))
-    return F.aggregate(usable, F.array().cast("array<string>"), new)
+    marked = F.array_sort(F.transform(usable, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("i"), x.alias("x"))))
+    # Bound once by a one-element array, as the filter looks at neighbours: a sort, where a fold would be quadratic.
+    first = F.transform(F.array(marked), lambda m: F.filter(m, lambda v, k: (k == 0) | (F.get(m, k - 1)["key"] != v["key"])))[0]
+    return F.transform(F.array_sort(F.transform(first, lambda v: F.struct(v["i"], v["x"]))), lambda v: v["x"])
 
 
 def unique_exact(a: Column) -> Column:

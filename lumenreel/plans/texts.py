@@ -21,7 +21,7 @@ def null_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unique_strings", "WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '' AND lower(x) <> 'unknown')[1:40] AS a FROM conversations) SELECT conv_id, turn, array_to_string(list_reduce(list_transform(a, lambda x: [x]), lambda acc, x: CASE WHEN list_contains(list_transform(acc, lambda y: lower(y)), lower(x[1])) THEN acc ELSE list_concat(acc, x) END, []::VARCHAR[]), '|') AS folded, len(list_distinct(a)) AS exact FROM w")
 def unique_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.slice(F.filter(F.split("text", r"\s+"), lambda x: (x != "") & (F.lower(x) != "unknown")), 1, 40)
+    w = F.filter(F.split("text", r"\s+"), lambda x: (x != "") & (F.lower(x) != "unknown"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", w.alias("a"))
     return rows.select("conv_id", "turn", F.array_join(T.unique_strings(F.col("a")), "|").alias("folded"), F.size(T.unique_exact(F.col("a"))).cast("long").alias("exact"))
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenreel import plans
 from lumenreel.functions import text as T
 from lumenreel.functions import vectors as V
 from lumenreel.operators import scenes as C
@@ -50,6 +51,19 @@ def test_cleaning(spark):
     assert one(spark, T.unique_strings(F.lit(None).cast("array<string>"))) == []
 
 
+def test_unique_strings_whole_texts(spark, tmp_path):
+    """The query looks at every word, not only the first ones."""
+    r = random.Random(3)
+    texts = [None, "", "b A a unknown B", *(" ".join(r.choice([f"w{k}", f"W{k}", "UnKnown"]) for k in (r.randrange(400) for _ in range(n))) for n in (39, 40, 41, 300, 900))]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x.turn: (x.folded, x.exact) for x in plans.registry()["unique_strings"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts[1:], 1):
+        words, seen = [w for w in t.split() if w.lower() != "unknown"], {}
+        for w in words:
+            seen.setdefault(w.lower(), w)
+        assert got[i] == ("|".join(seen.values()), len(set(words)))
+
+
 # ---- vectors and search
 
 
