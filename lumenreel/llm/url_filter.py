@@ -3,9 +3,11 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains, and the longest fitting rule decides.
 Other URLs are judged by their words: runs of letters of host and path are split into words by a unigram Viterbi search
 (the split with the largest product of word probabilities), whose probabilities are counted over the documents'
-words.  A multinomial naive Bayes model scores the tokens.  It learns from the URLs themselves: rule verdicts are its
-labels, and a URL without a fitting rule is a blocked example if one of its words is in ``seeds``, words that name
-unwanted sites.  Tokens of host and path are told apart; tokens that rules look at literally (suffix labels) are not used.
+words.  A multinomial naive Bayes model scores the tokens.  It learns from the URLs themselves: a URL without a fitting
+rule is a blocked example if one of its words is in ``seeds``, words that name unwanted sites, else an allowed one.  The
+verdict of a rule whose host has a word is a label too.  A rule of suffix labels alone fits hosts of any words, so its
+verdict says nothing of theirs: its URLs are examples only where it blocks a seed word.  Tokens of host and path are told
+apart; what rules look at literally (suffix labels, and runs of letters of their paths but seeds) is not used.
 
 Null URLs and URLs without ``://`` have empty host and path and no tokens; naive Bayes then answers by its prior.
 Repeated URLs are judged alike.  Rows without ``page_id`` are judged too.  Without any labelled URL all are allowed.
@@ -80,11 +82,13 @@ def segment(run: str, costs: dict[str, float], unknown: float) -> list[str]:
     return out[::-1]
 
 
-def tokens(host: str, path: str, costs: dict[str, float], unknown: float, stop: frozenset[str]) -> list[str]:
-    """Tokens ``h:word`` and ``p:word``; numbers are ``#``."""
+def tokens(host: str, path: str, costs: dict[str, float], unknown: float, stop: frozenset[str], own: frozenset[str] = frozenset()) -> list[str]:
+    """Tokens ``h:word`` and ``p:word``; numbers are ``#``.  Runs of the path in ``own`` give none."""
     out = []
     for kind, text in (("h", ".".join(x for x in host.split(".") if x not in stop)), ("p", path.lower())):
         for run in RUN.findall(text):
+            if kind == "p" and run in own:
+                continue
             out += [f"{kind}:#"] if run[0].isdigit() else [f"{kind}:{w}" for w in segment(run, costs, unknown)]
     return out
 
@@ -94,10 +98,11 @@ def judge_urls(pages: DataFrame, docs: DataFrame, rules: Sequence[tuple[str, str
     sc = pages.sparkSession.sparkContext
     costs = {w: c for w, c in word_costs(docs, words).items()}
     top = max(costs.values(), default=1.0)
-    known = sc.broadcast((costs | {s: top for s in seeds if s not in costs}, top + 3.0, frozenset(stop_labels)))
+    own = frozenset(run for text, _ in rules for run in RUN.findall(text.partition("/")[2].lower())) - frozenset(seeds)
+    known = sc.broadcast((costs | {s: top for s in seeds if s not in costs}, top + 3.0, frozenset(stop_labels), own))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, unknown, stop = known.value
+        cost, unknown, stop, own = known.value
         seen: dict[tuple[str, str], list[str]] = {}
         for b in batches:
             out = []
@@ -105,7 +110,7 @@ def judge_urls(pages: DataFrame, docs: DataFrame, rules: Sequence[tuple[str, str
                 if len(seen) > 50_000:
                     seen.clear()
                 if pair not in seen:
-                    seen[pair] = tokens(*pair, cost, unknown, stop)
+                    seen[pair] = tokens(*pair, cost, unknown, stop, own)
                 out.append(seen[pair])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.string()))], ["page_id", "host", "path", "rule", "verdict", "tokens"])
 
@@ -116,7 +121,8 @@ def judge_urls(pages: DataFrame, docs: DataFrame, rules: Sequence[tuple[str, str
     rows = cut(rows.mapInArrow(split, "page_id long, host string, path string, rule string, verdict string, tokens array<string>"))
 
     seeded = F.arrays_overlap("tokens", F.lit([f"{k}:{s}" for s in seeds for k in "hp"]))
-    label = F.coalesce(F.col("verdict"), F.when(seeded, "block"))
+    worded = F.col("rule").isin([text for text, _ in rules if set(text.partition("/")[0].split(".")) - set(stop_labels)])
+    label = F.when(F.col("rule").isNull(), F.when(seeded, "block").otherwise("allow")).when(worded, F.col("verdict")).when(seeded & (F.col("verdict") == "block"), "block")
     learn = rows.withColumn("label", label).filter("label is not null")
     n = {r.label: r["n"] for r in learn.groupBy("label").agg(F.count("*").alias("n")).collect()}
     counts = learn.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if(F.col("label") == "block").alias("b"), F.count_if(F.col("label") == "allow").alias("a"))

@@ -454,6 +454,19 @@ def test_judge_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), docs.limit(0), RULES).count() == 0
 
 
+def test_judge_urls_path_language(spark):
+    """Clean hosts without a rule are allowed in every path language, unwanted ones blocked; suffix rules teach no words."""
+    docs = frame(spark, ["thing that there casino win free bets other good news daily " * 30])
+    clean = ["thethat.example.com", "blog.goodnews.example.com", "otherthing.example.org", "m.thatthing.example.org"]
+    hosts = [*clean, "m.casino-win.example.com", "free-bets.example.com", "thatother.example.net", "goodthing.example.net"]
+    urls = [f"https://{h}/{lang}/{i}" for h in hosts for lang, n in (("de", 12), ("en", 40), ("es", 6), ("fr", 12)) for i in range(n)]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), docs, RULES).filter("rule is null").collect()
+    assert {(x.host, x.path.split("/")[1]) for x in got if x.host in clean} == {(h, p) for h in clean for p in ("de", "en", "es", "fr") if not (h.endswith("com") and p == "de" or h.endswith("org") and p == "fr")}
+    assert all(x.verdict == ("allow" if x.host in clean else "block") for x in got)
+    named = url_filter.judge_urls(spark.createDataFrame(list(enumerate([*urls, "https://other.example.com/en/1"])), "page_id long, url string"), docs, [*RULES, ("otherthing.example.org/", "block")])
+    assert {x.verdict for x in named.filter("host = 'otherthing.example.org' and path not like '/fr/%'").collect()} == {"block"}
+
+
 # ---- Merkle audit
 
 
