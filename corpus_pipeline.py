@@ -31,20 +31,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(bad, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_anti").select("row.*")
 
 
-#: Documents of which line dedup leaves less than this percentage of characters are copies of what stays elsewhere.
-LEAST_LEFT = 20
-
-
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without boilerplate lines, but for their first place; a document that has lost nearly all its text goes.
+    """Without boilerplate lines, but for their first place; a document that has lost all its words goes.
 
-    Such documents are copies spread over many sites: what is left of them are fragments between repeated lines.
+    Any text that is left stays, as it may be the only copy of a body below a long template.
     """
-    solid = lambda c: F.length(F.translate(c, _SPACES, ""))
-    rows = remove_boilerplate(docs.withColumn("_was", solid(F.col("text"))))
-    copy = (F.col("_n_removed") > 0) & (solid(F.col("text")) * 100 < F.col("_was") * LEAST_LEFT)
+    rows = remove_boilerplate(docs)
+    empty = (F.col("_n_removed") > 0) & (F.translate("text", _SPACES, "") == "")
     chars = F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.filter(~F.coalesce(copy, F.lit(False))).select(*(chars.alias(c) if c == "n_chars" else c for c in docs.columns))
+    return rows.filter(~F.coalesce(empty, F.lit(False))).select(*(chars.alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,15 @@ def test_stages(spark, tmp_path):
             assert got == ids
 
 
+def test_line_dedup_keeps_short_bodies(spark):
+    """A body of its own below a long shared template stays, however small its share; documents without any go."""
+    template = "\n".join(f"line {i} of a long template that every site has" for i in range(40))
+    rows = [(i, template + (f"\nown body {i} stands nowhere else" if i < 6 else " \n"), "en", f"s{i}", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in P.line_dedup(spark, docs, "").collect()}
+    assert got == {0: rows[0][1]} | {i: f"own body {i} stands nowhere else" for i in range(1, 6)}
+
+
 def test_run_equals_stages(spark, tmp_path):
     corpus(spark).write.parquet(f"{tmp_path}/documents.parquet")
     pieces = P.run(spark, str(tmp_path)).agg(F.sum("length"), F.count("*")).first()
