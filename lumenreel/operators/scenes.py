@@ -265,6 +265,21 @@ def scene_candidates(diffs: DataFrame, frames: DataFrame, ranges: DataFrame, key
     return evaluated(rows, rules)
 
 
+def processed_videos(diffs: DataFrame, frames: DataFrame, ranges: DataFrame, keys: Sequence[str], t: str, rules: Mapping[str, float], metrics: Sequence[str], expected: DataFrame, most: Column, histogram: Column, limit: float) -> DataFrame:
+    """All scenes of all videos, from difference series to numbered results; ``chosen`` ones are a video's selection.
+
+    Candidates that pass evaluation compete for a video's ``most`` places, none too similar to a better one; those that
+    fail it, or lose, are numbered as rejected, with the selection's ``reason`` behind their own.  quality_report,
+    video_summary and rejected_scenes take the result.
+    """
+    video = keys[0]
+    rows = scene_candidates(diffs, frames, ranges, keys, t, rules, metrics, expected).withColumns({"most": most, "histogram": histogram})
+    top = diverse_top(rows.filter("accepted"), video, "scene_idx", "total_score", "histogram", "most", limit)
+    rows = rows.join(top, [video, "scene_idx"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    rows = rows.withColumn("rejection_reasons", F.array_compact(F.concat("rejection_reasons", F.array("reason"))))
+    return numbered(rows.drop("most", "histogram"), video)
+
+
 def overlapping_frames(scenes: DataFrame, frames: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
     """Frames with the scene that holds them, by an as-of join on the scenes' starts."""
     starts = scenes.select(*keys, F.col("start").alias(t), "scene_idx", F.col("end").alias("_end"))

@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenreel.functions.text import unique_strings
-from lumenreel.functions.vectors import cosine_distance, is_vector, similarity
+from lumenreel.functions.vectors import cosine_distance, is_vector, normalised, similarity
+from lumenreel.sources.io import scratch
 
 MODES = ("text", "image")
 #: Query vectors that one pass over the corpus answers; a block is what a task holds besides its rows.
@@ -104,57 +105,120 @@ def nearest(rows: DataFrame, vector: str, key: str, query: Sequence[float], k: i
     return with_distance(rows.select(key, vector), vector, query, "distance").orderBy("distance", key).limit(k).withColumn("similarity", similarity(F.col("distance")))
 
 
-def nearest_of_many(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int) -> DataFrame:
-    """Top-k rows for each row of ``queries``: (query_id, key, distance, rank).
-
-    Queries are taken in blocks of bounded size; each block is one pass of matrix products over the corpus, in which
-    every task keeps k rows a query, and a window over these partial winners.
-    """
-    spark, out = rows.sparkSession, None
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    queries = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+class Winners:
+    """The k nearest rows of each query vector that a task has met so far; equal distances are ordered by key."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.worst = k, np.full(n, np.inf)
+        self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
+
+    def add(self, at: np.ndarray, d: np.ndarray, keys: np.ndarray) -> None:
+        """Rows with ``keys`` and their distances ``d`` to the queries with numbers ``at``."""
+        for i in np.flatnonzero((d <= self.worst[at, None]).any(axis=1)):
+            q, row = at[i], d[i]
+            limit = min(self.worst[q], np.partition(row, self.k - 1)[self.k - 1]) if len(row) > self.k else self.worst[q]
+            some = np.flatnonzero(row <= limit)
+            x, y = row[some], keys[some]
+            if self.best[q] is not None:
+                x, y = np.concatenate([self.best[q][0], x]), np.concatenate([self.best[q][1], y])
+            top = np.lexsort((y, x))[: self.k]
+            self.best[q] = x[top], y[top]
+            if len(top) == self.k:
+                self.worst[q] = x[top[-1]]
+
+    def frame(self, ids: np.ndarray, key: str) -> pd.DataFrame:
+        full = [(i, *b) for i, b in zip(ids, self.best, strict=True) if b is not None]
+        if not full:
+            return pd.DataFrame({"query_id": [], key: [], "distance": []})
+        return pd.DataFrame({"query_id": np.repeat([i for i, _, _ in full], [len(x) for _, x, _ in full]), key: np.concatenate([y for _, _, y in full]), "distance": np.concatenate([x for _, x, _ in full])})
+
+
+def _scan_blocks(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int, centroids: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    schema = f"query_id {kind}, {key} {kind}, distance double"
+    first = queries.filter(F.size(vector) > 0).select(F.size(vector)).first()
+    dimension = first[0] if first else 0
+    usable = lambda df: df.filter(F.col(key).isNotNull() & is_vector(F.col(vector), dimension) & F.exists(vector, lambda x: x != 0))
+    queries = usable(queries).select(key, vector)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    columns = [key, vector] if centroids is None else [key, vector, "list"]
+    rows, parts, folder = usable(rows).select(*columns), None, scratch(spark) if blocks > 1 else ""
     for b in range(blocks):
-        block = queries.filter(F.col("_block") == b).select(key, vector).orderBy(key).toPandas()
-        if block.empty:
-            continue
-        m = np.stack(block[vector].map(lambda v: np.asarray(v, np.float64)).to_list())
-        sent = spark.sparkContext.broadcast((block[key].to_numpy(), m / np.linalg.norm(m, axis=1, keepdims=True)))
+        block = queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).orderBy(key).toPandas()
+        q = _unit(block[vector])
+        near = None if centroids is None else np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes]
+        sent = spark.sparkContext.broadcast((block[key].to_numpy(), q, near))
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
+            ids, q, near = sent.value
+            won = Winners(len(ids), k)
             for pdf in batches:
-                for i in range(0, len(pdf), 4096):
+                for i in range(0, len(pdf) if len(ids) else 0, 4096):
                     part = pdf.iloc[i : i + 4096]
-                    x = np.stack(part[vector].map(lambda v: np.asarray(v, np.float64)).to_list())
-                    length = np.linalg.norm(x, axis=1)
-                    part, x = part[length > 0], x[length > 0] / length[length > 0, None]
-                    d, keys = 1 - q @ x.T, part[key].to_numpy()
-                    top = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k] if (np.diff(keys) > 0).all() else np.lexsort((np.broadcast_to(keys, d.shape), np.round(d, 12)), axis=1)[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), key: keys[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()})
-
-        usable = rows.filter(F.col(vector).isNotNull()).select(key, vector)
-        found = usable.mapInPandas(scan, f"query_id long, {key} long, distance double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], f"query_id long, {key} long, distance double, rank int")
+                    x, keys = _unit(part[vector]), part[key].to_numpy()
+                    if near is None:
+                        won.add(np.arange(len(ids)), np.round(1 - q @ x.T, 12), keys)
+                        continue
+                    lists = part["list"].to_numpy()
+                    for c in np.unique(lists):
+                        at = np.flatnonzero((near == c).any(axis=1))
+                        if len(at):
+                            won.add(at, np.round(1 - q[at] @ x[lists == c].T, 12), keys[lists == c])
+            yield won.frame(ids, key)
+
+        found = rows.mapInPandas(scan, schema)
+        if blocks > 1:  # one block after the other: the driver holds one, and the plan does not grow
+            found.write.mode("append").parquet(folder)
+        else:
+            parts = found
+    parts = parts if parts is not None else spark.read.schema(schema).parquet(folder)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", key))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return parts.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    if not len(vectors):
+        return np.zeros((0, 1))
+    m = np.stack(vectors.map(lambda v: np.asarray(v, np.float64)).to_list())
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def nearest_of_many(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int) -> DataFrame:
+    """Top-k rows for each row of ``queries``: (query_id, key, distance, rank).
+
+    Queries are taken in blocks of bounded size; each block is one pass of matrix products over the corpus, in which
+    every task keeps k rows a query, and a window ranks these partial winners.  Null, zero and not finite vectors, and
+    those of another dimension than the first query's, neither ask nor answer.  Distances are rounded to 12 digits.
+    """
+    return _scan_blocks(rows, queries, vector, key, k)
+
 
+def cluster_index(rows: DataFrame, vector: str, key: str, dimension: int, lists: int = 64, sample: int = 100_000, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+    """An index of all usable vectors, (key, vector, list), and the unit centroids of its lists.
 
-def nearest_approximate(rows: DataFrame, vector: str, key: str, query: Sequence[float], k: int, bucket: float = 2.0, tables: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate top-k: random-projection hashing on unit vectors, then exact distances of the candidates."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    Centroids are fitted by k-means on a hash sample of about ``sample`` rows; every row is in the list of its nearest one.
+    """
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
 
-    from lumenreel.functions.vectors import normalised
+    usable = rows.filter(F.col(key).isNotNull() & is_vector(F.col(vector), dimension) & F.exists(vector, lambda x: x != 0))
+    unit = usable.select(key, vector, array_to_vector(normalised(F.col(vector))).alias("unit"))
+    share = min(1.0, sample / max(1, unit.count()))
+    some = unit.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select("unit")
+    if some.isEmpty():
+        return usable.select(key, vector, F.lit(0).alias("list")), np.ones((1, dimension))
+    model = KMeans(featuresCol="unit", predictionCol="list", k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(some)
+    centres = np.stack(model.clusterCenters())
+    return model.transform(unit).select(key, vector, "list"), centres / np.maximum(1e-12, np.linalg.norm(centres, axis=1, keepdims=True))
 
-    query = check_arguments(query, "image", k)
-    unit = rows.filter(is_vector(F.col(vector), len(query))).select(key, vector, array_to_vector(normalised(F.col(vector))).alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
-    near = model.approxNearestNeighbors(unit, Vectors.dense(query), 4 * k).select(key, vector)
-    return nearest(near, vector, key, query, k)
+
+def nearest_approximate(index: DataFrame, centroids: np.ndarray, queries: DataFrame, vector: str, key: str, k: int, probes: int = 32) -> DataFrame:
+    """Top-k rows for each query among the rows of its ``probes`` nearest lists, by exact distances: as nearest_of_many.
+
+    Clustered vectors need few probes.  Independent ones have near neighbours in all directions: for a recall of 0.9 in 64
+    dimensions half of the lists have to be looked at, hence the default.
+    """
+    return _scan_blocks(index, queries, vector, key, k, centroids, probes)
 
 
 def tags_of(scene: Column, activity: Column) -> Column:

@@ -14,34 +14,40 @@ from lumenreel.functions import text as T
 from lumenreel.functions.vectors import is_vector
 from lumenreel.operators import tables
 
-REQUIRED = ("segment_id", "video_id", "keyframe_path", "start_time", "end_time", "description")
+REQUIRED = ("segment_id", "video_id", "spot_name", "keyframe_path", "start_time", "end_time", "description")
 LISTS = ("mood", "scene_elements", "activity")
+# What follows a video's id in its title and description.
+VIDEO_TITLE = " 관광 영상"
+VIDEO_DESCRIPTION = "의 VLM 기반 관광 영상"
 
 
 def validated_metadata(raw: DataFrame) -> DataFrame:
     """``raw(item_idx, item variant)`` with ``segment_id``, ``errors`` and ``warnings``.
 
-    Items are variants, so that a wrongly typed value is reported and not nulled.  An item that is not an object is an
-    error of its own; booleans are not numbers.
+    Items are variants, so that a wrongly typed value is reported and not nulled.  Only fields of the top level count.
+    An item that is not an object is an error of its own; booleans are not numbers.  Each field is read once, in a
+    projection below the tests.
     """
-    item = F.col("item")
-    kind = lambda name: F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
-    text = lambda name: F.try_variant_get(item, f"$.{name}", "string")
-    number = lambda name: F.when(kind(name).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(item, f"$.{name}", "double"))
-    whole = F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
-    start, end = number("start_time"), number("end_time")
-    has = lambda name: F.coalesce(F.schema_of_variant(item).rlike(rf"[<, ]{name}:"), F.lit(False))
-    blank = lambda name: F.coalesce(T.strip(text(name)) == "", F.lit(False)) & (kind(name) == "STRING")
-    is_list = lambda name: F.coalesce(kind(name).startswith("ARRAY") | (kind(name) == "VOID"), ~has(name))
+    texts, numbers = ("segment_id", "description"), ("start_time", "end_time")
+    rows = raw.select("item_idx", "item", F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False)).alias("whole"))
+    rows = rows.select("item_idx", "whole", F.when(F.col("whole"), F.try_variant_get("item", "$", "map<string,variant>")).alias("m"))
+    rows = rows.select("item_idx", "whole", F.map_keys("m").alias("names"), *(F.try_element_at("m", F.lit(n)).alias(n) for n in (*texts, *numbers, *LISTS)))
+    rows = rows.select("*", *(F.schema_of_variant(n).alias(f"{n}_kind") for n in (*texts, *numbers, *LISTS)))
+    number = lambda n: F.when(F.col(f"{n}_kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(n, "$", "double"))
+    values = lambda n: F.when(F.col(f"{n}_kind").startswith("ARRAY"), F.try_variant_get(n, "$", "array<string>"))
+    said = lambda n: F.try_variant_get(n, "$", "string")
+    full = lambda n: (F.col(f"{n}_kind") == "STRING") & (T.strip(said(n)) != "")
+    rows = rows.select("item_idx", "whole", "names", said("segment_id").alias("segment_id"), *(F.coalesce(full(n), F.lit(False)).alias(f"{n}_full") for n in texts), *(number(n).alias(n) for n in numbers), *(values(n).alias(n) for n in LISTS))
+    has = lambda n: F.array_contains("names", n)
+    start, end = F.col("start_time"), F.col("end_time")
     tests = [(has(n), f"missing {n}") for n in REQUIRED]
-    tests += [(~has("segment_id") | ~blank("segment_id"), "blank segment_id"), (~has("description") | ~blank("description"), "blank description")]
-    tests += [(~has(n) | number(n).isNotNull(), f"{n} is not a number") for n in ("start_time", "end_time")]
+    tests += [(~has(n) | F.col(f"{n}_full"), f"blank {n}") for n in texts]
+    tests += [(~has(n) | F.col(n).isNotNull(), f"{n} is not a number") for n in numbers]
     tests += [(start.isNull() | (start >= 0), "negative start_time"), (start.isNull() | end.isNull() | (start < end), "start_time is not before end_time")]
-    tests += [(is_list(n), f"{n} is not a list") for n in LISTS]
-    errors = F.when(whole, tables.errors_of(tests)).otherwise(F.array(F.lit("not an object")))
-    values = lambda n: F.transform(F.try_variant_get(item, f"$.{n}", "array<string>"), lambda x: F.lower(T.strip(x)))
-    warnings = F.array_compact(F.array(*(F.when(F.size(F.array_distinct(values(n))) < F.size(values(n)), F.lit(f"repeated values in {n}")) for n in LISTS)))
-    return raw.select("item_idx", F.when(whole, text("segment_id")).alias("segment_id"), errors.alias("errors"), F.when(whole, warnings).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    tests += [(~has(n) | F.col(n).isNotNull(), f"{n} is not a list") for n in LISTS]
+    repeated = [F.when(F.size(F.array_distinct(n)) < F.size(n), F.lit(f"repeated values in {n}")) for n in LISTS]
+    errors = F.when(F.col("whole"), tables.errors_of(tests)).otherwise(F.array(F.lit("not an object")))
+    return rows.select("item_idx", "segment_id", errors.alias("errors"), F.array_compact(F.array(*repeated)).alias("warnings"))
 
 
 def manual_errors(duration: Column, slack: float = 0.1) -> Column:
@@ -137,10 +143,10 @@ def prepared_records(items: DataFrame, segment_vectors: DataFrame, keyframe_vect
 
 
 def video_rows(items: DataFrame) -> DataFrame:
-    """One row per video: templated title and description, language."""
-    first = tables.first_of(items.select("video_id", "item_idx", "drama_title"), "video_id", "item_idx")
-    title = F.concat_ws(" ", "drama_title", "video_id")
-    return first.select("video_id", title.alias("title"), F.concat(title, F.lit(" scenes")).alias("description"), F.lit("ko").alias("language"))
+    """One row per video: title and description from its id, no file yet, language."""
+    first = items.select("video_id").distinct()
+    say = lambda words: F.concat("video_id", F.lit(words))
+    return first.select("video_id", say(VIDEO_TITLE).alias("title"), say(VIDEO_DESCRIPTION).alias("description"), F.lit(None).cast("string").alias("video_path"), F.lit("ko").alias("language"))
 
 
 def with_places(segments: DataFrame, spots: DataFrame) -> DataFrame:

@@ -49,11 +49,11 @@ def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def without(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    return rows.join(other.select(key), key, "left_anti")
+    return rows.join(other.select(key), key, "left_anti").select(*rows.columns)
 
 
 def only(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    return rows.join(other.select(key), key, "left_semi")
+    return rows.join(other.select(key), key, "left_semi").select(*rows.columns)
 
 
 def cascade(tables: Mapping[str, DataFrame], links: Sequence[tuple[str, str, str]]) -> dict[str, DataFrame]:
@@ -70,15 +70,26 @@ def null_lost(rows: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return rows.join(there, F.col(key) == F.col("_key"), "left").withColumn(key, F.col("_key")).select(*rows.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, update: Sequence[str], stamp: str | None = None) -> DataFrame:
+def unique_rows(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """(_k, _n): one row a key as a struct; the last by ``order``, or an error where a key is repeated or null."""
+    row = F.struct(*rows.columns)
+    one = rows.groupBy(F.col(key).alias("_k")).agg((F.first(row) if order is None else F.max_by(row, order)).alias("_n"), F.count("*").alias("_m"))
+    bad = F.when(F.col("_k").isNull(), F.raise_error(F.lit(f"a row without {key}")))
+    if order is None:
+        bad = bad.when(F.col("_m") > 1, F.raise_error(F.concat(F.lit(f"{key} is repeated: "), F.col("_k").cast("string"))))
+    return one.select("_k", bad.otherwise(F.col("_n")).alias("_n"))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, update: Sequence[str], order: str | None = None) -> DataFrame:
     """Snapshot after an upsert: new keys are added, known ones take the ``update`` columns, all other columns stay.
 
-    ``stamp``: a column that is set when a row is made, and refreshed only if it is among ``update``.  Columns that only
-    one side has are filled with null on the other.
+    Of new rows under one key the last by ``order`` counts; without an order such rows fail the upsert, as do new rows
+    without a key.  A column that only one side has is null in the other's rows; one that is new to the table is filled
+    for known rows as well.
     """
     columns = [*old.columns, *(c for c in new.columns if c not in old.columns)]
     o = old.select(F.col(key).alias("_k"), F.struct(*old.columns).alias("_o"))
-    n = new.select(F.col(key).alias("_k"), F.struct(*new.columns).alias("_n"))
+    n = unique_rows(new, key, order)
     both = o.join(n, "_k", "full_outer")
 
     def value(c: str) -> Column:
@@ -86,7 +97,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, update: Sequence[str], stam
         now = F.col("_n")[c] if c in new.columns else F.lit(None)
         if c == key:
             return F.col("_k").alias(c)
-        if c in update:
+        if c in update or c not in old.columns:
             return F.when(F.col("_n").isNotNull(), now).otherwise(was).alias(c)
         return F.when(F.col("_o").isNotNull(), was).otherwise(now).alias(c)
 

@@ -12,6 +12,9 @@ from lumenreel.functions import text as T
 from lumenreel.operators.scenes import overlapping
 
 NO_SCRIPT = "no captions"
+# Scene elements where a segment has no place after a failed reply, and where no entry is left.
+FAILED_SCENE = "촬영지"
+EMPTY_SCENE = "풍경"
 ATTEMPTS = 3
 
 
@@ -68,9 +71,12 @@ def parsed_tags(reply: Column, fields: Sequence[str]) -> dict[str, Column]:
     return {f: F.try_variant_get(v, f"$.{f}", "array<string>") for f in fields}
 
 
-def tag_record(tags: Mapping[str, Column], vocabularies: Mapping[str, Sequence[str]], defaults: Mapping[str, Sequence[str]]) -> dict[str, Column]:
-    """Tags with defaults: all of them if any field is missing or out of its vocabulary, else those of empty lists."""
-    ok = F.lit(True)
+def tag_record(tags: Mapping[str, Column], vocabularies: Mapping[str, Sequence[str]], defaults: Mapping[str, Sequence[str]], complete: Column | None = None) -> dict[str, Column]:
+    """Tags with defaults: all of them if any field is missing or out of its vocabulary, else those of empty lists.
+
+    ``complete``: whether a reply has its other fields.
+    """
+    ok = F.lit(True) if complete is None else F.coalesce(complete, F.lit(False))
     for f, c in tags.items():
         ok = ok & F.coalesce(c.isNotNull() & (in_vocabulary(c, vocabularies[f]) if f in vocabularies else F.lit(True)), F.lit(False))
     out = {"tags_ok": ok}
@@ -81,10 +87,18 @@ def tag_record(tags: Mapping[str, Column], vocabularies: Mapping[str, Sequence[s
 
 
 def tagged_catalog(segments: DataFrame, captions: DataFrame, annotate: Callable[..., str], vocabularies: Mapping[str, Sequence[str]], defaults: Mapping[str, Sequence[str]], banned_words: Sequence[str] = (), banned_phrases: Sequence[str] = ()) -> DataFrame:
-    """Segments with scripts, an annotator's tags (checked, with defaults), a free tag list and a clean description."""
+    """Segments with scripts, an annotator's tags (checked, with defaults), a free tag list and a clean description.
+
+    A reply counts as a whole: if a field is missing or out of its vocabulary, nothing of it is used, and ``tags_ok`` is
+    false.  The free list then holds the cleaned place, as it does where no entry is left.
+    """
     rows = annotated(scripts(segments, captions), ["drama_title", "place_name", "region", "script"], annotate)
     free = F.try_variant_get(T.rescued_json(F.col("reply")), "$.scene_elements", "array<string>")
     text = F.try_variant_get(T.rescued_json(F.col("reply")), "$.description", "string")
-    rows = rows.withColumns(tag_record(parsed_tags(F.col("reply"), list(vocabularies)), vocabularies, defaults))
-    rows = rows.withColumn("scene_elements", T.without_words(F.coalesce(free, F.array().cast("array<string>")), banned_words))
-    return rows.withColumn("description", T.without_phrases(F.coalesce(text, F.lit("")), banned_phrases, F.col("place_name"))).drop("reply")
+    rows = rows.withColumns({"_free": free, "_text": text})
+    rows = rows.withColumns(tag_record(parsed_tags(F.col("reply"), list(vocabularies)), vocabularies, defaults, F.col("_free").isNotNull() & F.col("_text").isNotNull()))
+    place, ok = T.hangul_only(F.col("place_name")), F.col("tags_ok")
+    some = T.without_words(F.col("_free"), banned_words)
+    instead = F.when(~ok, F.when(T.text_not_empty(F.col("place_name")).isNull(), FAILED_SCENE).otherwise(place)).otherwise(F.coalesce(T.text_not_empty(place), F.lit(EMPTY_SCENE)))
+    rows = rows.withColumn("scene_elements", F.when(ok & (F.size(some) > 0), some).otherwise(F.array(instead)))
+    return rows.withColumn("description", T.without_phrases(F.when(ok, F.col("_text")).otherwise(""), banned_phrases, F.col("place_name"))).drop("reply", "_free", "_text")

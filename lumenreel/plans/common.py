@@ -1,10 +1,7 @@
-"""Shared by the registered queries: tables, series derived from them, and a scratch folder."""
+"""Shared by the registered queries: tables, and series derived from them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +18,3 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in DuckDB.
 SERIES = "s AS (SELECT user_id AS video_id, event_id, (epoch_us(ts) - 1704067200000000) / 1e6 AS t, value, event_type, props FROM events)"
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir`` where that is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    return f"{root}/scratch-{uuid.uuid4().hex}"

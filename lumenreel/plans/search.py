@@ -12,7 +12,7 @@ from lumenreel.operators import search as S
 from lumenreel.operators import segments as G
 from lumenreel.operators import tables as T
 from lumenreel.plans import query
-from lumenreel.plans.common import table
+from lumenreel.plans.common import SERIES, series, table
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[float]]:
@@ -72,7 +72,9 @@ def nearest_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nearest_approximate")
 def nearest_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return S.nearest_approximate(e, "embedding", "vec_id", e.filter("vec_id = 0").first()["embedding"], 10)
+    index, centroids = S.cluster_index(e, "embedding", "vec_id", 64)
+    rows = S.nearest_approximate(index, centroids, e.filter("vec_id % 50 = 0"), "embedding", "vec_id", 10)
+    return rows.select("query_id", "vec_id", F.abs(F.round("distance", 6)).alias("distance"), "rank")
 
 
 @query("vector_validation", "SELECT label, count(*) AS n, count(*) FILTER (len(embedding) = 64) AS valid, count(*) FILTER (len(list_transform(embedding, lambda x: x)) <> 64 OR vec_id % 10 = 3) AS broken FROM embeddings GROUP BY label")
@@ -83,22 +85,22 @@ def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("label").agg(F.count("*").alias("n"), F.count_if(V.is_vector(F.col("embedding"), 64)).alias("valid"), F.count_if(~V.is_vector(bad, 64)).alias("broken"))
 
 
-@query("vector_normalised", "SELECT vec_id, round(3 * embedding[1] / greatest(1e-12, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: 9 * x * x)))), 6) AS first, 1.0 AS length FROM embeddings")
+@query("vector_normalised", "SELECT vec_id, 3 * embedding[1]::DOUBLE / greatest(1e-12, sqrt(list_reduce(list_transform(embedding::DOUBLE[], lambda x: (3 * x) * (3 * x)), lambda s, x: s + x))) AS first, 1.0 AS length FROM embeddings")
 def vector_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", V.normalised(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("u"))
-    return e.select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(V.norm(F.col("u")), 6).alias("length"))
-
-
+    return e.select("vec_id", F.get("u", F.lit(0)).alias("first"), F.round(V.norm(F.col("u")), 6).alias("length"))
 
 
-def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video_id, histogram): counts of a user's values in 24 bins."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), F.least(F.floor(F.col("value") / 20.5), F.lit(23)).cast("int").alias("bin"))
-    bins = e.groupBy("video_id", "bin").agg(F.count("*").cast("double").alias("n")).groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
-    return bins.select("video_id", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("histogram"))
+def histograms(spark: SparkSession, sf_dir: str, by_day: bool = False) -> DataFrame:
+    """(video_id[, day], histogram): counts of a user's values in 24 bins."""
+    keys = ["video_id", "day"] if by_day else ["video_id"]
+    e = series(spark, sf_dir).select("video_id", F.floor(F.col("t") / 86_400).cast("int").alias("day"), F.least(F.floor(F.col("value") / 20.5), F.lit(23)).cast("int").alias("bin"))
+    bins = e.groupBy(*keys, "bin").agg(F.count("*").cast("double").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    return bins.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("histogram"))
 
 
 HISTOGRAMS = "b AS (SELECT user_id AS video_id, least(floor(value / 20.5), 23)::INT AS bin, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), g AS (SELECT DISTINCT video_id, unnest(range(24)) AS bin FROM b), hist AS (SELECT video_id, list(coalesce(n, 0.0) ORDER BY bin) AS histogram FROM g LEFT JOIN b USING (video_id, bin) GROUP BY 1)"
+DAY_HISTOGRAMS = f"{SERIES}, db AS (SELECT video_id, floor(t / 86400)::INT AS day, least(floor(value / 20.5), 23)::INT AS bin, count(*)::DOUBLE AS n FROM s GROUP BY ALL), dg AS (SELECT DISTINCT video_id, day, unnest(range(24)) AS bin FROM db), dh AS (SELECT video_id, day, list(coalesce(n, 0.0) ORDER BY bin) AS histogram FROM dg LEFT JOIN db USING (video_id, day, bin) GROUP BY ALL)"
 
 
 @query("histogram_correlation", f"WITH {HISTOGRAMS}, p AS (SELECT a.video_id, unnest(a.histogram) AS x, unnest(b.histogram) AS y FROM hist a JOIN hist b ON b.video_id = a.video_id + 1) SELECT video_id, round(coalesce(corr(x, y), 0), 6) AS correlation, round(sqrt(greatest(0, 1 - sum(sqrt(x * y)) / sqrt(sum(x) * sum(y)))), 6) AS distance FROM p GROUP BY video_id")
@@ -128,11 +130,12 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(seg.alias("segment_id"), seg.alias("video_id"), "role", "text", F.col("turn").alias("item_idx"), F.concat(F.lit("keyframes/"), "conv_id", F.lit("/"), "turn", F.lit(".jpg")).alias("keyframe_path"), F.lit("drama").alias("drama_title"))
 
 
-@query("embedding_records")
+@query("embedding_records", "SELECT 'C' || conv_id AS segment_id, count(DISTINCT turn) AS keyframes, 16 AS dimension, true AS unit FROM conversations GROUP BY conv_id")
 def embedding_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, frames = G.embedding_records(_items(spark, sf_dir), {"spot_name": "role", "description": "text"}, hashing_encoder, hashing_encoder, 16)
     frames = frames.groupBy("segment_id").agg(F.count("*").alias("keyframes"))
-    return segments.join(frames, "segment_id").select("segment_id", "keyframes", F.size("text_embedding").alias("dimension"))
+    length = F.round(V.norm(F.col("text_embedding")), 5)
+    return segments.join(frames, "segment_id").select("segment_id", "keyframes", F.size("text_embedding").alias("dimension"), (length == 1).alias("unit"))
 
 
 @query("prepared_records", "SELECT 'C' || conv_id AS segment_id, count(*) AS keyframes, arg_min(role, turn) AS role, 'C' || conv_id || '__' || min(turn) AS first_keyframe FROM conversations GROUP BY conv_id")
@@ -152,7 +155,7 @@ def segment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.segment_texts(items, {"spot_name": "role", "description": "text", "mood": "mood"}).select("segment_id", "search_text", F.col("n_items").cast("long").alias("n_items"))
 
 
-@query("video_rows", "SELECT 'C' || conv_id AS video_id, 'drama C' || conv_id AS title, 'drama C' || conv_id || ' scenes' AS description, 'ko' AS language FROM conversations GROUP BY conv_id")
+@query("video_rows", "SELECT 'C' || conv_id AS video_id, 'C' || conv_id || ' 관광 영상' AS title, 'C' || conv_id || '의 VLM 기반 관광 영상' AS description, NULL::VARCHAR AS video_path, 'ko' AS language FROM conversations GROUP BY conv_id")
 def video_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.video_rows(_items(spark, sf_dir))
 

@@ -14,7 +14,7 @@ from lumenreel.operators import tables as T
 from lumenreel.operators import tagging
 from lumenreel.plans import query
 from lumenreel.plans.common import SERIES, series, table
-from lumenreel.plans.search import HISTOGRAMS, histograms
+from lumenreel.plans.search import DAY_HISTOGRAMS, histograms
 
 DAY, END = 86_400.0, 30 * 86_400.0
 RULES = {
@@ -73,10 +73,11 @@ def padded_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.padded(rows, 600.0, 7200.0).select("video_id", F.col("scene_idx").cast("long").alias("scene_idx"), "start", "end")
 
 
-@query("frame_differences", f"WITH {HISTOGRAMS}, g2 AS (SELECT a.video_id AS t, unnest(a.histogram) AS x, unnest(b.histogram) AS y FROM hist a JOIN hist b ON b.video_id = (SELECT max(video_id) FROM hist h WHERE h.video_id < a.video_id)) SELECT t, round(0.58 * sqrt(greatest(0, 1 - sum(sqrt(x * y)) / sqrt(sum(x) * sum(y)))) + 0.24 * avg(abs(x - y)) / 255, 6) AS diff FROM g2 GROUP BY t")
+@query("frame_differences", f"WITH {DAY_HISTOGRAMS}, g2 AS (SELECT video_id, day, unnest(histogram) AS x, unnest(before) AS y FROM (SELECT *, lag(histogram) OVER (PARTITION BY video_id ORDER BY day) AS before FROM dh) WHERE before IS NOT NULL) SELECT video_id, day, round(0.58 * sqrt(greatest(0, 1 - sum(sqrt(x * y)) / sqrt(sum(x) * sum(y)))) + 0.24 * avg(abs(x - y)) / 255, 6) AS diff FROM g2 GROUP BY ALL")
 def frame_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = histograms(spark, sf_dir).select(F.floor(F.col("video_id") / 1_000_000_000).alias("range_id"), F.col("video_id").alias("t"), "histogram")
-    return C.frame_differences(h, ["range_id"], "t", "histogram", gray="histogram").select("t", F.round("diff", 6).alias("diff"))
+    """Histograms of a user's days, each against the user's day before."""
+    h = histograms(spark, sf_dir, by_day=True)
+    return C.frame_differences(h, ["video_id"], "day", "histogram", gray="histogram").select("video_id", "day", F.round("diff", 6).alias("diff"))
 
 
 @query("sample_times", "SELECT event_id, k::INT AS k, round(50 + (value - 50) * (0.08 + 0.84 * k / 4), 6) AS t FROM events, unnest(range(5)) AS r(k) WHERE value > 50 UNION ALL SELECT event_id, -1, round((50 + value) / 2, 6) FROM events WHERE value > 50")
@@ -95,11 +96,11 @@ def as_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.as_of(wanted, frames, ["video_id"], "t", ["event_id", "value"])
 
 
-@query("caption_overlap", f"WITH {SERIES}, seg AS (SELECT video_id, video_id * 100 + k AS segment_id, k * 21600.0 AS a, k * 21600.0 + 7200 AS z FROM (SELECT DISTINCT video_id FROM s), unnest(range(20)) AS r(k)), j AS (SELECT segment_id, string_agg(event_type, ' ' ORDER BY t, event_type) AS x FROM seg JOIN s ON s.video_id = seg.video_id AND t + value * 10 >= a AND t <= z GROUP BY 1) SELECT segment_id, coalesce(x, 'no captions') AS script FROM seg LEFT JOIN j USING (segment_id)")
+@query("caption_overlap", f"WITH {SERIES}, seg AS (SELECT video_id, video_id * 1000 + k AS segment_id, k * 21600.0 AS a, k * 21600.0 + 21600 AS z FROM (SELECT DISTINCT video_id FROM s), unnest(range(120)) AS r(k)), j AS (SELECT segment_id, string_agg(event_type, ' ' ORDER BY t, event_type) AS x FROM seg JOIN s ON s.video_id = seg.video_id AND t + value * 10 >= a AND t <= z GROUP BY 1) SELECT segment_id, coalesce(x, 'no captions') AS script FROM seg LEFT JOIN j USING (segment_id)")
 def caption_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = series(spark, sf_dir)
-    seg = e.select("video_id").distinct().select(F.col("video_id").alias("youtube_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
-    seg = seg.select("youtube_id", (F.col("youtube_id") * 100 + F.col("k")).alias("segment_id"), (F.col("k") * 21600.0).alias("start"), (F.col("k") * 21600.0 + 7200).alias("end"))
+    seg = e.select("video_id").distinct().select(F.col("video_id").alias("youtube_id"), F.explode(F.sequence(F.lit(0), F.lit(119))).alias("k"))
+    seg = seg.select("youtube_id", (F.col("youtube_id") * 1000 + F.col("k")).alias("segment_id"), (F.col("k") * 21600.0).alias("start"), (F.col("k") * 21600.0 + 21600).alias("end"))
     captions = e.select(F.col("video_id").alias("youtube_id"), F.col("t").alias("start"), (F.col("value") * 10).alias("duration"), F.col("event_type").alias("text"))
     return tagging.scripts(seg, captions, width=7200.0).select("segment_id", "script")
 
@@ -232,10 +233,9 @@ def scene_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline of a video: cuts, padding, windows, sampled frames, scores, quota, diverse choice and numbers."""
     frames = _frames(spark, sf_dir).drop("scene_idx")
     expected = frames.select("video_id").distinct().withColumn("expected", F.array(F.lit("가을")))
-    rows = C.scene_candidates(_diffs(spark, sf_dir), frames, _ranges(spark, sf_dir), ["video_id"], "t", RULES, list(METRICS), expected)
-    rows = rows.withColumn("most", C.quota(F.lit("youtube"), 2, 3)).withColumn("h", F.array("sharpness", "best_frame.sharpness", "start", "end"))
-    top = C.diverse_top(rows.filter("accepted"), "video_id", "scene_idx", "total_score", "h", "most", 0.99999)
-    return C.numbered(rows.join(top, ["video_id", "scene_idx"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))).select("video_id", "scene_idx", "scene_id", "start", "end", "total_score", "chosen", "reason")
+    histogram = F.array("sharpness", "best_frame.sharpness", "start", "end")
+    rows = C.processed_videos(_diffs(spark, sf_dir), frames, _ranges(spark, sf_dir), ["video_id"], "t", RULES, list(METRICS), expected, C.quota(F.lit("youtube"), 2, 3), histogram, 0.99999)
+    return rows.select("video_id", "scene_idx", "scene_id", "start", "end", "total_score", "chosen", F.array_join("rejection_reasons", " / ").alias("reason"))
 
 
 # ---- manual segments and ranges

@@ -19,7 +19,7 @@ def null_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(_MARK).alias("x")).select("doc_id", T.text_or_null(F.col("x")).alias("tidy"), T.text_or_empty(F.col("x")).alias("filled"))
 
 
-@query("unique_strings", "WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '' AND lower(x) <> 'unknown')[1:40] AS a FROM conversations) SELECT conv_id, turn, array_to_string(list_reduce(list_transform(a, lambda x: [x]), lambda acc, x: CASE WHEN list_contains(list_transform(acc, lambda y: lower(y)), lower(x[1])) THEN acc ELSE list_concat(acc, x) END, []::VARCHAR[]), '|') AS folded, len(list_distinct(a)) AS exact FROM w")
+@query("unique_strings", "WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '' AND lower(x) <> 'unknown') AS a FROM conversations) SELECT conv_id, turn, array_to_string(list_reduce(list_transform(a, lambda x: [x]), lambda acc, x: CASE WHEN list_contains(list_transform(acc, lambda y: lower(y)), lower(x[1])) THEN acc ELSE list_concat(acc, x) END, []::VARCHAR[]), '|') AS folded, len(list_distinct(a)) AS exact FROM w")
 def unique_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.filter(F.split("text", r"\s+"), lambda x: (x != "") & (F.lower(x) != "unknown"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", w.alias("a"))
@@ -97,13 +97,32 @@ def tag_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "tags_ok", F.array_join("mood", "|").alias("mood"), F.array_join("activity", "|").alias("activity"))
 
 
-@query("metadata_validation", """SELECT event_id AS item_idx, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'not an object' WHEN 2 THEN 'missing keyframe_path|blank description|start_time is not a number' WHEN 3 THEN 'negative start_time|start_time is not before end_time' WHEN 4 THEN 'blank segment_id|mood is not a list' ELSE 'missing segment_id|missing video_id|missing keyframe_path|missing start_time|missing end_time|missing description' END AS errors, CASE event_id % 6 WHEN 0 THEN 'repeated values in mood' ELSE '' END AS warnings FROM events""")
+_MISSING = "|".join(f"missing {n}" for n in G.REQUIRED)
+
+
+@query("metadata_validation", f"""WITH e AS (SELECT event_id, value - 100 AS a, event_id % 3 - 1 AS c, event_id % 7 AS k FROM events)
+SELECT event_id AS item_idx, CASE k WHEN 1 THEN 'not an object' WHEN 5 THEN '{_MISSING}' ELSE concat_ws('|', CASE WHEN k = 2 THEN 'missing keyframe_path' END, CASE WHEN k IN (4, 6) THEN 'blank segment_id' END,
+CASE WHEN k IN (2, 6) THEN 'blank description' END, CASE WHEN k = 2 THEN 'start_time is not a number' END, CASE WHEN k <> 2 AND a < 0 THEN 'negative start_time' END, CASE WHEN k <> 2 AND c <= 0 THEN 'start_time is not before end_time' END, CASE WHEN k = 4 THEN 'mood is not a list' END) END AS errors,
+CASE WHEN k NOT IN (1, 4, 5) AND event_id % 2 = 0 THEN 'repeated values in mood' ELSE '' END AS warnings FROM e""")
 def metadata_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = '{"segment_id": "s", "video_id": "v", "keyframe_path": "k", "start_time": 1, "end_time": 2.5, "description": "d", "mood": ["a", " A"]}'
-    typed = '{"segment_id": "s", "video_id": "v", "start_time": true, "end_time": 2, "description": "  "}'
-    late = '{"segment_id": "s", "video_id": "v", "keyframe_path": "k", "start_time": -1, "end_time": -2, "description": "d", "mood": ["a", "b"]}'
-    blank = '{"segment_id": " ", "video_id": "v", "keyframe_path": "k", "start_time": 1, "end_time": 2, "description": "d", "mood": "a"}'
-    case = F.col("event_id") % 6
-    text = F.when(case == 0, good).when(case == 1, "[1]").when(case == 2, typed).when(case == 3, late).when(case == 4, blank).otherwise("{}")
+    """Items made of the events' values; a nested object has the names of required fields, which do not count."""
+    k = F.col("event_id") % 7
+    start = F.col("value") - 100
+    pair = lambda name, value: F.concat(F.lit(f', "{name}": '), value)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    mood = F.concat(F.lit("["), quoted(F.col("event_type")), F.lit(", "), quoted(F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("other")), F.lit("]"))
+    item = F.concat(
+        F.lit('{"extra": {"segment_id": "in", "description": "in", "start_time": 1}'),
+        pair("segment_id", F.when(k == 4, quoted(F.lit(" "))).when(k == 6, F.lit("7")).otherwise(quoted(F.col("event_id").cast("string")))),
+        pair("video_id", quoted(F.col("user_id").cast("string"))),
+        pair("spot_name", F.lit("null")),
+        F.when(k == 2, F.lit("")).otherwise(pair("keyframe_path", quoted(F.concat(F.lit("k/"), "event_id")))),
+        pair("start_time", F.when(k == 2, F.lit("true")).otherwise(start.cast("string"))),
+        pair("end_time", (start + (F.col("event_id") % 3 - 1) * 5).cast("string")),
+        pair("description", F.when(k == 2, quoted(F.lit("  "))).when(k == 6, F.lit("null")).otherwise(quoted(F.col("event_type")))),
+        pair("mood", F.when(k == 4, quoted(F.col("event_type"))).otherwise(mood)),
+        F.lit("}"),
+    )
+    text = F.when(k == 1, F.concat(F.lit("["), F.col("value").cast("string"), F.lit("]"))).when(k == 5, F.lit('{"extra": {"segment_id": "in", "description": "in"}}')).otherwise(item)
     raw = table(spark, sf_dir, "events").select(F.col("event_id").alias("item_idx"), F.parse_json(text).alias("item"))
     return G.validated_metadata(raw).select("item_idx", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"))

@@ -12,17 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.operators import tables as T
+from lumenreel.operators.segments import with_places
 from lumenreel.sources.io import exists
 
-#: Columns that an upsert refreshes, by table; all others keep their first value.
+#: Columns that an upsert refreshes, by table; all others (creation stamps, a spot's id) keep their first value.
 UPDATES: dict[str, tuple[str, ...]] = {
-    "videos": ("title", "description", "language"),
-    "video_segments": ("video_id", "start_time", "end_time", "description", "tags", "mood_tags", "season_tags", "metadata", "region", "spot_name", "place_name", "drama_title"),
+    "spots": ("spot_name", "region", "address", "latitude", "longitude", "description", "source_url"),
+    "videos": ("title", "description", "video_path", "language"),
+    "video_segments": ("video_id", "spot_id", "place_id", "start_time", "end_time", "caption", "summary", "tags", "mood_tags", "season_tags", "region", "drama_title", "spot_name", "place_name", "keyframe_path", "description", "metadata"),
     "segment_embeddings": ("text_embedding", "created_at"),
-    "segment_keyframes": ("segment_id", "keyframe_path", "description", "metadata"),
+    "segment_keyframes": ("segment_id", "keyframe_path", "description", "time_of_day", "mood", "activity", "scene_elements", "metadata"),
     "keyframe_embeddings": ("image_embedding", "created_at"),
 }
-KEYS = {"videos": "video_id", "video_segments": "segment_id", "segment_embeddings": "segment_id", "segment_keyframes": "keyframe_id", "keyframe_embeddings": "keyframe_id"}
+KEYS = {"spots": "place_id", "videos": "video_id", "video_segments": "segment_id", "segment_embeddings": "segment_id", "segment_keyframes": "keyframe_id", "keyframe_embeddings": "keyframe_id"}
+#: Tables whose rows a load replaces as a whole, so that it must bring them.
+REQUIRED = ("video_segments", "segment_keyframes")
+#: (child, parent, key): children go with their parents.
+CASCADES: Sequence[tuple[str, str, str]] = (("video_segments", "videos", "video_id"), ("segment_embeddings", "video_segments", "segment_id"), ("segment_keyframes", "video_segments", "segment_id"), ("keyframe_embeddings", "segment_keyframes", "keyframe_id"))
 
 
 def version(spark: SparkSession, root: str) -> int:
@@ -53,15 +59,40 @@ def stale_deleted(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) ->
         out["segment_keyframes"] = T.only(out["segment_keyframes"], new["segment_keyframes"], "keyframe_id")
     if "video_segments" in out:
         out["video_segments"] = T.only(out["video_segments"], new["video_segments"], "segment_id")
-    links: Sequence[tuple[str, str, str]] = (("segment_embeddings", "video_segments", "segment_id"), ("segment_keyframes", "video_segments", "segment_id"), ("keyframe_embeddings", "segment_keyframes", "keyframe_id"))
-    return T.cascade(out, [x for x in links if x[0] in out])
+    return T.cascade(out, _links(out, CASCADES[1:]))
+
+
+def _links(tables: Mapping[str, DataFrame], links: Sequence[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    return [x for x in links if x[0] in tables and x[1] in tables]
+
+
+def deleted(tables: Mapping[str, DataFrame], table: str, gone: DataFrame) -> dict[str, DataFrame]:
+    """Tables without the rows of ``table`` whose keys are in ``gone``: what hangs on them goes, a lost spot becomes null."""
+    out = dict(tables) | {table: T.without(tables[table], gone.select(KEYS[table]), KEYS[table])}
+    if table == "spots" and "video_segments" in out:
+        out["video_segments"] = T.null_lost(out["video_segments"], out["spots"], "spot_id")
+    return T.cascade(out, _links(out, CASCADES))
+
+
+def delete(spark: SparkSession, root: str, table: str, gone: DataFrame) -> int:
+    """Publish the store without some rows of one table, with the effects on the others."""
+    return publish(spark, root, deleted(read(spark, root), table, gone))
 
 
 def load(spark: SparkSession, root: str, new: Mapping[str, DataFrame]) -> int:
-    """Stale delete, then upsert, then one publication. A keyframe path under two ids fails the load."""
+    """Stale delete, then upsert, then one publication.
+
+    ``new`` needs the tables in REQUIRED.  Where there are spots, segments take the ``spot_id`` of their place.  A key
+    that a table brings twice, or a keyframe path under two ids, fails the load.
+    """
+    lacking = [t for t in REQUIRED if t not in new]
+    if lacking:
+        raise ValueError(f"a load needs the tables {', '.join(lacking)}")
     old = stale_deleted(read(spark, root), new)
-    out = {t: T.upsert(old[t], rows, KEYS[t], UPDATES[t]) if t in old else rows for t, rows in new.items()}
+    out = {t: T.upsert(old[t], rows, KEYS[t], UPDATES[t]) if t in old else T.unique_rows(rows, KEYS[t]).select("_n.*") for t, rows in new.items()}
     out |= {t: rows for t, rows in old.items() if t not in out}
+    if "spots" in out and "place_id" in out["video_segments"].columns:
+        out["video_segments"] = with_places(out["video_segments"].drop("spot_id"), out["spots"])
     if not T.duplicate_keys(out["segment_keyframes"], "keyframe_path").isEmpty():
         raise ValueError("a keyframe path has two ids")
     return publish(spark, root, out)

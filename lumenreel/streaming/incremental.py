@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.operators import tables as T
+from lumenreel.sources.io import exists, list_assets
 
 
 def pending(records: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -24,25 +25,44 @@ def run_batch(records: DataFrame, results: DataFrame, key: str, process: Callabl
     return T.replace_keys(results, process(todo), key)
 
 
-def run_stream(spark: SparkSession, source: str, schema: str, key: str, order: str, update: list[str], store: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
-    """Upsert all files that have arrived in ``source`` into the keyed table under ``store``, one snapshot a micro-batch.
+def run_stream(spark: SparkSession, source: str, schema: str, key: str, order: str, update: list[str], store: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] = lambda x: x, files: int = 100, buckets: int = 16) -> None:
+    """Upsert all files that have arrived in ``source`` into the keyed table under ``store``, ``files`` a micro-batch.
 
-    The stream's checkpoint remembers which files are done.  A snapshot is named by its batch, so a batch that is run
-    again after a failure writes the same snapshot again.
+    Keys are hashed into ``buckets``; a batch writes the buckets that it touches anew and leaves the others where they
+    are.  The stream's checkpoint remembers which files are done.  A bucket's version is named by its batch and made from
+    older ones, so a batch that is run again after a failure writes the same files again.  Rows without a key are left
+    out, and a row whose ``order`` is not above what its key has changes nothing.
     """
 
     def merge(rows: DataFrame, batch: int) -> None:
-        rows = T.last_of(process(rows), key, order)
-        if batch > 0:
-            old = spark.read.parquet(f"{store}/batch={batch - 1}")
-            rows = T.upsert(old, rows.select(*old.columns), key, update)
-        rows.write.mode("overwrite").parquet(f"{store}/batch={batch}")
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        rows = T.last_of(process(rows).filter(F.col(key).isNotNull()), key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = {r.bucket for r in rows.select("bucket").distinct().collect()}  # at most `buckets`
+        old = _newest(spark, store, batch, touched)
+        if old is not None:
+            was = old.select(key, F.col(order).alias("_was"))
+            rows = rows.join(was, key, "left").filter(F.col("_was").isNull() | (F.col(order) > F.col("_was"))).select(*old.columns)
+            rows = T.upsert(old, rows, key, update)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _newest(spark: SparkSession, store: str, before: int | None = None, only: set[int] | None = None) -> DataFrame | None:
+    """The newest version of each bucket, by the names of the store's folders; None if there is nothing."""
+    if not exists(spark, store):
+        return None
+    part = lambda name: F.regexp_extract("path", rf"{name}=(\d+)", 1).cast("int").alias(name)
+    found = list_assets(spark, store, "*.parquet").select(part("batch"), part("bucket"))
+    found = found.filter(F.col("batch") < before) if before is not None else found
+    newest = found.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()  # one row a bucket
+    paths = [f"{store}/batch={r.batch}/bucket={r.bucket}" for r in newest if only is None or r.bucket in only]
+    return spark.read.option("basePath", store).parquet(*paths).drop("batch") if paths else None
+
+
 def latest(spark: SparkSession, store: str) -> DataFrame:
-    """The newest snapshot that a stream has written."""
-    n = spark.read.parquet(store).agg(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{store}/batch={n}")
+    """The table that a stream has written so far."""
+    rows = _newest(spark, store)
+    if rows is None:
+        raise ValueError(f"{store} has no table yet")
+    return rows.drop("bucket")

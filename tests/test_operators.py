@@ -105,20 +105,50 @@ def test_search_brute_force(spark):
         assert all(x.keyframe_id == best[x.segment_id][1] and x.description == "d" + x.keyframe_id[1:] and abs(x.similarity - score(x.segment_id)) < 1e-9 for x in rows)
 
 
-def test_nearest_of_many_and_approximate(spark):
+def test_nearest_of_many_without_queries(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    rows = e.collect()
-    m = np.array([x.embedding for x in rows], np.float64)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    hits = total = 0
-    for i in range(0, 100, 20):
-        want = {rows[j].vec_id for j in np.argsort(-(m @ m[i]), kind="stable")[:10]}
-        hits += len(want & {x.vec_id for x in S.nearest_approximate(e, "embedding", "vec_id", rows[i].embedding, 10).collect()})
-        total += 10
-    assert hits / total >= 0.9
     assert S.nearest_of_many(e, e.limit(0), "embedding", "vec_id", 3).count() == 0
 
 
+def _recall_and_share(e, probes):
+    """Every row is indexed; queries are all rows whose id is a multiple of 50, against all rows."""
+    index, centroids = S.cluster_index(e, "embedding", "vec_id", 64)
+    index = index.cache()
+    assert index.count() == e.count()
+    queries = e.filter("vec_id % 50 = 0")
+    pairs = lambda rows: {(x.query_id, x.vec_id) for x in rows.collect()}
+    exact, found = pairs(S.nearest_of_many(e, queries, "embedding", "vec_id", 10)), pairs(S.nearest_approximate(index, centroids, queries, "embedding", "vec_id", 10, probes))
+    size = {x.list: x["count"] for x in index.groupBy("list").count().collect()}
+    q = np.array([x.embedding for x in queries.collect()], np.float64)
+    looked = [sum(size.get(c, 0) for c in row) for row in np.argsort(-(q @ centroids.T), axis=1)[:, :probes]]
+    return len(exact & found) / len(exact), np.mean(looked) / e.count()
+
+
+def test_approximate_search_prunes_and_recalls(spark):
+    recall, share = _recall_and_share(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 32)
+    assert recall >= 0.9 and share < 0.6  # independent directions: half of all rows are compared
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(80, 64))
+    clustered = [(i, (centres[i % 80] + 0.3 * r.normal(size=64)).tolist()) for i in range(2000)]
+    recall, share = _recall_and_share(spark.createDataFrame(clustered, "vec_id long, embedding array<double>"), 3)
+    assert recall >= 0.95 and share < 0.15
+
+
+def test_nearest_of_many_blocks_and_odd_vectors(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(f"v{i:03}", r.normal(size=4).round(1).tolist()) for i in range(200)] + [("z", [0.0] * 4), ("n", None), ("x", [float("nan"), 1.0, 1.0, 1.0]), ("s", [1.0]), (None, [1.0] * 4)]
+    rows += [(f"w{i:03}", rows[i][1]) for i in range(30)]
+    df = spark.createDataFrame(rows, "name string, v array<double>")
+    good = [(k, np.array(v)) for k, v in rows if k is not None and v is not None and len(v) == 4 and any(v) and not np.isnan(v).any()]
+    for block in (2048, 40):
+        monkeypatch.setattr(S, "QUERY_BLOCK", block)
+        got = {(x.query_id, x["rank"]): x.name for x in S.nearest_of_many(df, df.orderBy("name"), "v", "name", 3).collect()}
+        assert len(got) == 3 * len(good)
+        for k, q in good:
+            d = sorted((round(1 - float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 11), n) for n, v in good)
+            assert [got[k, i] for i in (1, 2, 3)] == [n for _, n in d[:3]]
+
+
 # ---- scenes
 
 
@@ -208,6 +238,49 @@ def test_upsert_is_idempotent(spark):
     assert sorted(map(tuple, K.upsert(once, new, "k", ["v"]).collect())) == sorted(map(tuple, once.collect()))
 
 
+def test_upsert_keys_and_columns(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "c", 1, "n"), (2, "d", 2, "m")], "k int, v string, at int, more string")
+    assert sorted(map(tuple, K.upsert(old, new, "k", ["v"], "at").collect())) == [(1, "a", None, None), (2, "d", 2, "m")]
+    with pytest.raises(Exception, match="repeated"):
+        K.upsert(old, new, "k", ["v"]).collect()
+    with pytest.raises(Exception, match="without k"):
+        K.upsert(old, spark.createDataFrame([(None, "c")], "k int, v string"), "k", ["v"]).collect()
+    with pytest.raises(ValueError, match="video_segments"):
+        store.load(spark, "/nowhere", {})
+
+
+def test_deleting_a_video_cascades(spark):
+    t = {
+        "videos": spark.createDataFrame([("v",), ("w",)], "video_id string"),
+        "video_segments": spark.createDataFrame([("s", "v"), ("t", "w")], "segment_id string, video_id string"),
+        "segment_keyframes": spark.createDataFrame([("k", "s"), ("l", "t")], "keyframe_id string, segment_id string"),
+        "keyframe_embeddings": spark.createDataFrame([("k",), ("l",)], "keyframe_id string"),
+    }
+    out = store.deleted(t, "videos", spark.createDataFrame([("v",)], "video_id string"))
+    assert {n: [x[0] for x in rows.collect()] for n, rows in out.items()} == {"videos": ["w"], "video_segments": ["t"], "segment_keyframes": ["l"], "keyframe_embeddings": ["l"]}
+
+
+def test_validation_looks_at_the_top_level(spark):
+    items = ['{"extra": {"segment_id": "a", "description": "b"}, "video_id": "v", "spot_name": "p", "keyframe_path": "k", "start_time": 1, "end_time": 2.5}', '"text"', "null", '{"segment_id": 5, "video_id": null, "spot_name": null, "keyframe_path": "k", "start_time": "1", "end_time": 1, "description": " ", "mood": null, "activity": ["a", "a"]}']
+    raw = spark.createDataFrame(list(enumerate(items)), "item_idx int, t string").select("item_idx", F.parse_json("t").alias("item"))
+    got = {x.item_idx: (x.errors, x.warnings) for x in G.validated_metadata(raw).collect()}
+    assert got[0] == (["missing segment_id", "missing description"], []) and got[1] == got[2] == (["not an object"], [])
+    assert got[3] == (["blank segment_id", "blank description", "start_time is not a number", "mood is not a list"], ["repeated values in activity"])
+
+
+def test_tags_fall_back_as_a_whole(spark):
+    seg = spark.createDataFrame([(str(i), "y", 0.0, 1.0, "t", p, "r") for i, p in enumerate(["남산 tower", "남산", "", "tower", "강"])], "segment_id string, youtube_id string, start double, end double, drama_title string, place_name string, region string")
+    captions = spark.createDataFrame([], "youtube_id string, start double, duration double, text string")
+
+    def annotate(title, place, region, script):
+        return {"남산 tower": '{"mood": ["odd"], "scene_elements": ["바다"], "description": "d"}', "남산": '{"mood": [], "scene_elements": ["자막"], "description": " x "}', "": "none", "tower": '{"mood": ["calm"], "scene_elements": [], "description": "d"}', "강": '{"mood": ["calm"], "description": "d"}'}[place]
+
+    out = tagging.tagged_catalog(seg, captions, annotate, {"mood": ["calm"]}, {"mood": ["plain"]}, ["자막"])
+    got = [(x.tags_ok, x.mood, x.scene_elements, x.description) for x in out.orderBy("segment_id").collect()]
+    assert got == [(False, ["plain"], ["남산"], "남산 tower" + T.FALLBACK_DESCRIPTION), (True, ["plain"], ["남산"], "x"), (False, ["plain"], ["촬영지"], T.FALLBACK_DESCRIPTION), (True, ["calm"], ["풍경"], "d"), (False, ["plain"], ["강"], "강" + T.FALLBACK_DESCRIPTION)]
+
+
 def test_store_refuses_a_path_under_two_ids(spark, tmp_path):
     def tables(key):
         frame = spark.createDataFrame([(key, "s", "p/1")], "keyframe_id string, segment_id string, keyframe_path string")
