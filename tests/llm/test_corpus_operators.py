@@ -11,14 +11,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenreel.llm import common, graph, merkle, shingles, toxicity, url_filter
+from lumenreel.llm import common, graph, merkle, quality, shingles, toxicity, url_filter
 from lumenreel.llm.exact_dedup import exact_duplicates
 from lumenreel.llm.jaccard_join import near_duplicates
 from lumenreel.llm.language_id import predict_language
 from lumenreel.llm.line_dedup import boilerplate, remove_boilerplate
 from lumenreel.llm.mixing import mix
 from lumenreel.llm.packing import WordEncoder, pack
-from lumenreel.llm.quality import RIDGE, judge, statistics
+from lumenreel.llm.quality import judge, statistics
 from lumenreel.llm.queries import RULES
 from lumenreel.llm.toxicity import score_toxicity
 
@@ -250,35 +250,80 @@ def test_statistics(spark):
     assert got == {i: brute_stats(t) for i, t in enumerate(texts)}
 
 
-def brute_mcd(x, ridge, steps=3, coverage=0.75):
-    """Concentration steps with exact quantiles (nearest rank, as Spark's sketch has them on small groups)."""
+def brute_mcd(x):
+    """Minimum covariance determinant of one group with exact quantiles (nearest rank): location and covariance."""
+    p, floor = x.shape[1], np.diag(np.array(quality.FLOOR) ** 2)
+    chi2 = lambda v, k: 1 - math.exp(-v / 2) * sum((v / 2) ** i / math.factorial(i) for i in range(k // 2))
     pick = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
-    m = np.array([pick(c, 0.5) for c in x.T])
-    cov = np.diag([(1.4826 * pick(abs(c - a), 0.5)) ** 2 for c, a in zip(x.T, m, strict=True)]) + ridge
-    dist = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-    for _ in range(steps):
-        d = dist()
-        near = x[d <= pick(d, coverage)]
-        m, cov = near.mean(0), np.cov(near.T, bias=True) + ridge
-    d = dist()
-    return np.sqrt(d / max(1.0, pick(d, 0.5) / 3.3567))
-
-
-def test_judge(spark):
+
+    def quantile(share):
+        low, high = 0.0, 1000.0
+        while high - low > 1e-12:
+            low, high = ((low + high) / 2, high) if chi2((low + high) / 2, p) < share else (low, (low + high) / 2)
+        return low
+
+    factor = lambda share: share / chi2(quantile(share), p + 2)
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    moments = lambda near, share: (near.mean(0), np.cov(near.T, bias=True) * factor(share) + floor)
+    step = lambda m, c: moments(x[(d := distance(m, c)) <= pick(d, 0.75)], 0.75)
+    med = np.array([pick(v, 0.5) for v in x.T])
+    s = np.sqrt(np.array([1.4826 * pick(abs(v - m), 0.5) for v, m in zip(x.T, med, strict=True)]) ** 2 + np.diag(floor))
+    z = (x - med) / s
+    k = z / np.maximum(np.sqrt((z**2).sum(1)), 1e-9)[:, None]
+    best = []
+    for r in (np.eye(p), np.tanh(z).T @ np.tanh(z) / len(x), p * k.T @ k / len(x)):
+        m = med, r * np.outer(s, s) + floor
+        for _ in range(2):
+            m = step(*m)
+        best.append((round(np.linalg.slogdet(m[1])[1], 9), len(best), m))
+    m = step(*min(best, key=lambda v: v[:2])[2])
+    return moments(x[distance(*m) <= quantile(0.975)], 0.975)
+
+
+def brute_distances(x, groups, shrink=50):
+    """``groups``: (lang, source) of each row."""
+    own, lang, every = ({g: (len(at), brute_mcd(x[at])) for g in set(keys) for at in [[i for i, k in enumerate(keys) if k == g]]} for keys in (groups, [g[0] for g in groups], [0] * len(groups)))
+
+    def blend(one, other):
+        w, (m, c), (n, d) = one[0] / (one[0] + shrink), one[1], other
+        return w * m + (1 - w) * n, w * c + (1 - w) * d + w * (1 - w) * np.outer(m - n, m - n)
+
+    out = []
+    for row, g in zip(x, groups, strict=True):
+        m, c = blend(own[g], blend(lang[g[0]], every[0][1]))
+        out.append(math.sqrt((row - m) @ np.linalg.inv(c) @ (row - m)))
+    return out
+
+
+@pytest.mark.parametrize("most", [quality.BROADCAST_GROUPS, 0])
+def test_judge(spark, monkeypatch, most):
+    """Several languages and sources, null ones too, small groups and one large one; groups broadcast or salted."""
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", most)
     r = random.Random(7)
-    texts = ["\n".join(rng_text(r, r.randrange(20, 60)) for _ in range(4)) for _ in range(260)]
-    texts += [" ".join(f"w{r.randrange(300)}###&&&%%%***" for _ in range(80)) for _ in range(4)]
-    texts += [*ODD, "same line of words\n" * 40]
-    got = {x.doc_id: x for x in judge(frame(spark, texts, source=["s"] * len(texts))).collect()}
-    stats = [brute_stats(t) for t in texts]
+    rows = []
+    for lang, source, n, size in (("en", "a", 120, 2), ("en", "b", 30, 2), ("de", "a", 40, 5), (None, "a", 9, 3), ("en", None, 3, 2), ("fr", "c", 1, 4)):
+        for _ in range(n):
+            word = lambda: f"{'x' * r.randrange(size)}{r.randrange(3000)}"  # noqa: B023, E731
+            lines = [" ".join(word() for _ in range(r.randrange(5, 30))) for _ in range(6)]
+            if r.random() < 0.3:
+                lines += r.choices(lines, k=r.randrange(1, 3))
+            rows.append(("\n".join(lines) + (" #" * r.randrange(4)), lang, source))
+    rows += [(" ".join(f"w{r.randrange(300)}###&&&%%%***" for _ in range(80)), "en", "a") for _ in range(4)]
+    rows += [(t, "en", "a") for t in (*ODD, "same line of words\n" * 40)]
+    df = spark.createDataFrame([(i, *x, 0, 7, "x") for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, grp int, salt string")
+    got = {x.doc_id: x for x in judge(df).collect()}
+    stats = [brute_stats(t) for t, *_ in rows]
     good = [i for i, s in enumerate(stats) if not (s[0] < 50 or 100 * s[4] > 50 * s[0])]
-    assert sorted(i for i in got if not got[i].base_failed) == good
-    lines = [sum(bool(WORD.search(x)) for x in (t or "").split("\n")) for t in texts]
-    x = np.array([[math.log(s[1] / s[0]), math.sqrt(s[2] / s[1]), math.sqrt(s[3] / lines[i]), math.sqrt(s[4] / s[0])] for i, s in enumerate(stats) if i in good])
-    want = brute_mcd(x, np.diag(np.array(RIDGE) ** 2))
-    assert np.allclose([got[i].distance for i in good], want, rtol=1e-6)
-    assert [i for i in good if not got[i].kept] == [260, 261, 262, 263]
-    assert judge(frame(spark, [])).count() == 0
+    assert sorted(got) == list(range(len(rows))) and sorted(i for i in got if not got[i].base_failed) == good
+    lines = [sum(bool(WORD.search(x)) for x in (t or "").split("\n")) for t, *_ in rows]
+    chars, ln, words = quality.PRIOR
+    x = np.array([[math.log(s[1] / s[0]), math.sqrt(s[2] / (s[1] + chars)), math.sqrt(s[3] / (lines[i] + ln)), math.sqrt(s[4] / (s[0] + words))] for i, s in enumerate(stats) if i in good])
+    want = brute_distances(x, [(str(rows[i][1]), str(rows[i][2])) for i in good])
+    assert np.allclose([got[i].distance for i in good], want, rtol=1e-5)
+    assert all(got[i].kept == (d <= quality.CUTOFF) for i, d in zip(good, want, strict=True))
+    bad = [i for i, (t, *_) in enumerate(rows) if "###" in (t or "")]
+    assert not any(got[i].kept for i in bad) and sum(not got[i].kept for i in good) < len(bad) + 5
+    assert judge(df.limit(0)).count() == 0
 
 
 def test_judge_rejects_each_feature_alone(spark):
