@@ -2,16 +2,23 @@
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains, and the longest fitting rule decides.
 Other URLs are judged by their words: runs of letters of host and path are split into words by a unigram Viterbi search
-(the split with the largest product of word probabilities), whose probabilities are counted over the documents'
-words.  A multinomial naive Bayes model scores the tokens.  It learns from the URLs themselves: a URL without a fitting
-rule is a blocked example if one of its words is in ``seeds``, words that name unwanted sites, else an allowed one.  The
-verdict of a rule whose host has a word is a label too.  A rule of suffix labels alone fits hosts of any words, so its
-verdict says nothing of theirs: its URLs are examples only where it blocks a seed word.  Tokens of host and path are told
-apart; what rules look at literally (suffix labels, and runs of letters of their paths but seeds) is not used.
+(the split with the largest product of word probabilities), whose probabilities are counted over all words of all
+documents.  A multinomial naive Bayes model scores the tokens.
+
+Its labels: ``labelled(url, label)``, where a user has such URLs.  Without it the pages label themselves: a URL without a
+fitting rule is a blocked example if one of its words is in ``seeds``, a few words that name unwanted sites, else an
+allowed one, and the model decides all URLs by all of their words.  The verdict of a rule whose host has a word is a label
+too.  A rule of suffix labels alone fits hosts of any words, so its verdict says nothing of theirs: its URLs are examples
+only where it blocks a seed word.  Tokens of host and path are told apart; what rules look at literally (suffix labels,
+and runs of letters of their paths but seeds) is not used.
+
+No vocabulary is capped, and nothing but counts reaches the driver: distinct runs are joined with the counts of the words
+that occur in them, and each distinct run is split once.  Joins of URLs with their runs' words and with the words' weights
+are salted, as one host may have a third of all URLs.
 
 Null URLs and URLs without ``://`` have empty host and path and no tokens; naive Bayes then answers by its prior.
-Repeated URLs are judged alike.  Rows without ``page_id`` are judged too.  Without any labelled URL all are allowed.
-Vocabularies are bounded by parameters and counted over all rows.  Other columns are ignored.
+Repeated URLs are judged alike.  Rows without ``page_id`` are judged too.  Without any blocked example all are allowed.
+Words of more than LONGEST letters are split.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ SEEDS = ("adult", "bet", "bets", "casino", "cheap", "farm", "pills", "porn", "sp
 STOP_LABELS = ("com", "example", "net", "org", "www")
 #: Longest word that a split considers.
 LONGEST = 24
+#: Shares of a key in joins.
+SALTS = 16
 RUN = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -43,21 +52,18 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest fitting rule, else nulls.  ``rules``: (``host/path``, verdict)."""
-    rule = verdict = None
+    rule, verdict = None, None
     for text, says in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         name, _, rest = text.partition("/")
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(f"/{rest}")
         rule, verdict = (F.when(fits, text), F.when(fits, says)) if rule is None else (rule.when(fits, text), verdict.when(fits, says))
-    return rule, verdict
+    return (F.lit(None), F.lit(None)) if rule is None else (rule, verdict)
 
 
-def word_costs(docs: DataFrame, words: int = 50_000) -> dict[str, float]:
-    """Costs (negative log probabilities) of the most frequent lower-case ASCII words of all documents."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): lower-case ASCII words of all documents."""
     runs = F.explode(F.split(F.lower("text"), r"[^a-z]+"))
-    counts = docs.select(runs.alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter((F.length("word") <= LONGEST) & (F.col("word") != ""))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
-    total = sum(r.n for r in top)
-    return {r.word: math.log(total / r.n) for r in top}
+    return docs.select(runs.alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def segment(run: str, costs: dict[str, float], unknown: float) -> list[str]:
@@ -82,61 +88,83 @@ def segment(run: str, costs: dict[str, float], unknown: float) -> list[str]:
     return out[::-1]
 
 
-def tokens(host: str, path: str, costs: dict[str, float], unknown: float, stop: frozenset[str], own: frozenset[str] = frozenset()) -> list[str]:
-    """Tokens ``h:word`` and ``p:word``; numbers are ``#``.  Runs of the path in ``own`` give none."""
-    out = []
-    for kind, text in (("h", ".".join(x for x in host.split(".") if x not in stop)), ("p", path.lower())):
-        for run in RUN.findall(text):
-            if kind == "p" and run in own:
-                continue
-            out += [f"{kind}:#"] if run[0].isdigit() else [f"{kind}:{w}" for w in segment(run, costs, unknown)]
-    return out
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"([a-z]+|[0-9]+)"), F.lit(1))
+
 
+def _salted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with a ``salt``) joined with one row a key of ``table``, each key in SALTS shares."""
+    return rows.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"], "left").drop("salt")
 
-def judge_urls(pages: DataFrame, docs: DataFrame, rules: Sequence[tuple[str, str]], seeds: Sequence[str] = SEEDS, words: int = 50_000, features: int = 50_000, stop_labels: Sequence[str] = STOP_LABELS, smoothing: float = 1.0) -> DataFrame:
-    """One row per page of ``pages(page_id, url)``: page_id, host, path, rule, verdict, score (log odds of ``block``)."""
-    sc = pages.sparkSession.sparkContext
-    costs = {w: c for w, c in word_costs(docs, words).items()}
-    top = max(costs.values(), default=1.0)
-    own = frozenset(run for text, _ in rules for run in RUN.findall(text.partition("/")[2].lower())) - frozenset(seeds)
-    known = sc.broadcast((costs | {s: top for s in seeds if s not in costs}, top + 3.0, frozenset(stop_labels), own))
+
+def segmented(runs: DataFrame, docs: DataFrame, seeds: Sequence[str]) -> DataFrame:
+    """(run, words) of distinct ``runs(run)`` of letters, by the counts of the documents' words; seeds count at least once."""
+    counts = cut(word_counts(docs))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    top = max(1.0, math.log(total))  # the cost of a word that occurs once
+    at = F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i")
+    parts = runs.select("run", at).select("run", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - F.col("i") + 1))).alias("k"))
+    parts = parts.select("run", "i", "k", F.substring("run", F.col("i"), F.col("k")).alias("word"))
+    known = counts.select("word", (math.log(total) - F.log("n")).alias("cost"))
+    extra = runs.sparkSession.createDataFrame([(x, top) for x in seeds], "word string, cost double")
+    known = known.union(extra).groupBy("word").agg(F.min("cost").alias("cost"))
+    spans = parts.join(known, "word").groupBy("run").agg(F.collect_list(F.struct("i", "k", "cost")).alias("spans"))  # at most LONGEST times a run's letters
+    rows = runs.join(spans, "run", "left").select("run", F.coalesce("spans", F.array().cast("array<struct<i:int,k:int,cost:double>>")).alias("spans"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, unknown, stop, own = known.value
-        seen: dict[tuple[str, str], list[str]] = {}
         for b in batches:
-            out = []
-            for pair in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if len(seen) > 50_000:
-                    seen.clear()
-                if pair not in seen:
-                    seen[pair] = tokens(*pair, cost, unknown, stop, own)
-                out.append(seen[pair])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.string()))], ["page_id", "host", "path", "rule", "verdict", "tokens"])
+            words = [segment(run, {run[x["i"] - 1 : x["i"] - 1 + x["k"]]: x["cost"] for x in spans}, top + 3.0) for run, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["run", "words"])
+
+    return rows.mapInArrow(split, "run string, words array<string>")
+
 
+def tokens(urls: DataFrame, docs: DataFrame, rules: Sequence[tuple[str, str]], seeds: Sequence[str], stop_labels: Sequence[str]) -> DataFrame:
+    """(id, token, salt) of ``urls(id, host, path)``: ``h:word`` and ``p:word``; numbers are ``#``.  Runs of rules' paths give none."""
+    own = sorted({run for text, _ in rules for run in RUN.findall(text.partition("/")[2].lower())} - set(seeds))
+    labels = F.filter(F.split("host", r"\."), lambda x: ~x.isin(list(stop_labels)))
+    host = F.transform(_runs(F.array_join(labels, ".")), lambda x: F.struct(F.lit("h").alias("kind"), x.alias("run")))
+    path = F.transform(F.filter(_runs(F.lower("path")), lambda x: ~x.isin(own)), lambda x: F.struct(F.lit("p").alias("kind"), x.alias("run")))
+    runs = urls.select("id", F.posexplode(F.concat(host, path)).alias("pos", "x")).select("id", "x.*", F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int").alias("salt"))
+    runs = cut(runs)
+    letters = segmented(runs.filter(F.col("run").rlike("^[a-z]")).select("run").distinct(), docs, seeds)
+    rows = _salted(runs, letters, "run")
+    words = F.coalesce("words", F.array(F.lit("#")))
+    return rows.select("id", F.posexplode(words).alias("pos", "word"), "kind").select("id", F.concat("kind", F.lit(":"), "word").alias("token"), F.pmod(F.xxhash64("id", "pos", "word"), F.lit(SALTS)).cast("int").alias("salt"))
+
+
+def judge_urls(pages: DataFrame, docs: DataFrame, rules: Sequence[tuple[str, str]], seeds: Sequence[str] = SEEDS, labelled: DataFrame | None = None, stop_labels: Sequence[str] = STOP_LABELS, smoothing: float = 1.0) -> DataFrame:
+    """One row per page of ``pages(page_id, url)``: page_id, host, path, rule, verdict, score (log odds of ``block``).
+
+    ``labelled(url, label)``: examples to learn from, ``block`` or ``allow``, in place of the pages' own.
+    """
     host, path = host_path(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("given"))
+    if labelled is not None:
+        rows = rows.unionByName(labelled.select(F.lit(None).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.col("label").alias("given")).filter("given is not null"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.cast("string").alias("rule"), verdict.cast("string").alias("verdict"))
-    rows = cut(rows.mapInArrow(split, "page_id long, host string, path string, rule string, verdict string, tokens array<string>"))
-
-    seeded = F.arrays_overlap("tokens", F.lit([f"{k}:{s}" for s in seeds for k in "hp"]))
-    worded = F.col("rule").isin([text for text, _ in rules if set(text.partition("/")[0].split(".")) - set(stop_labels)])
-    label = F.when(F.col("rule").isNull(), F.when(seeded, "block").otherwise("allow")).when(worded, F.col("verdict")).when(seeded & (F.col("verdict") == "block"), "block")
-    learn = rows.withColumn("label", label).filter("label is not null")
+    rows = cut(rows.select("*", rule.cast("string").alias("rule"), verdict.cast("string").alias("verdict"), F.monotonically_increasing_id().alias("id")))
+    of = cut(tokens(rows, docs, rules, seeds, stop_labels))
+
+    label = F.col("given")
+    if labelled is None:
+        seeded = of.filter(F.col("token").isin([f"{k}:{s}" for s in seeds for k in "hp"])).select("id").distinct().withColumn("seeded", F.lit(True))
+        rows = cut(rows.join(seeded, "id", "left"))
+        worded = F.col("rule").isin([text for text, _ in rules if set(text.partition("/")[0].split(".")) - set(stop_labels)])
+        label = F.when(F.col("rule").isNull(), F.when(F.col("seeded"), "block").otherwise("allow")).when(worded, F.col("verdict")).when(F.col("seeded") & (F.col("verdict") == "block"), "block")
+    learn = rows.select("id", label.alias("label")).filter("label is not null")
     n = {r.label: r["n"] for r in learn.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    counts = learn.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if(F.col("label") == "block").alias("b"), F.count_if(F.col("label") == "allow").alias("a"))
-    vocabulary = counts.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(features).collect()
-    total_b, total_a = sum(r.b for r in vocabulary) + smoothing * len(vocabulary), sum(r.a for r in vocabulary) + smoothing * len(vocabulary)
-    prior = math.log((n.get("block", 0) + smoothing) / (n.get("allow", 0) + smoothing)) if n.get("block") else -1.0
-    odds = sc.broadcast({r.token: math.log((r.b + smoothing) / total_b) - math.log((r.a + smoothing) / total_a) for r in vocabulary} if n.get("block") else {})
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = odds.value
-        for b in batches:
-            s = [prior + sum(weight.get(t, 0.0) for t in ts) for ts in b.column(5).to_pylist()]
-            given = b.column(4).to_pylist()
-            says = [v or ("block" if x > 0 else "allow") for v, x in zip(given, s, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(says, pa.string()), pa.array(s, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
-
-    return rows.mapInArrow(score, "page_id long, host string, path string, rule string, verdict string, score double")
+    counts = cut(of.join(learn, "id").groupBy("token").agg(F.count_if(F.col("label") == "block").alias("b"), F.count_if(F.col("label") == "allow").alias("a")))
+    size, b, a = counts.agg(F.count("*"), F.sum("b"), F.sum("a")).first()
+    if not n.get("block"):
+        score = F.lit(-1.0)
+        rows = rows.withColumn("sum", F.lit(0.0))
+    else:
+        prior = math.log((n["block"] + smoothing) / (n.get("allow", 0) + smoothing))
+        logs = [F.log((F.col(c) + smoothing) / (total + smoothing * size)) for c, total in (("b", b or 0), ("a", a or 0))]
+        sums = _salted(of, counts.select("token", (logs[0] - logs[1]).alias("odds")), "token").groupBy("id").agg(F.sum("odds").alias("sum"))
+        rows = rows.join(sums, "id", "left")
+        score = prior + F.coalesce("sum", F.lit(0.0))
+    rows = rows.filter("given is null").select("page_id", "host", "path", "rule", "verdict", score.alias("score"))
+    says = F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return rows.select("page_id", "host", "path", "rule", says.alias("verdict"), "score")

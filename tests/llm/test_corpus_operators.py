@@ -480,23 +480,69 @@ def test_segment():
     assert url_filter.segment("", costs, 20.0) == []
 
 
-def test_judge_urls(spark):
+def brute_urls(urls, texts, rules, labelled=None):
+    """(host, path, rule, verdict, score) of each URL: rules, splits and naive Bayes in plain Python."""
+    words = collections.Counter(w for t in texts for w in re.findall("[a-z]+", (t or "").lower()))
+    total = sum(words.values())
+    cost = {s: math.log(total) for s in url_filter.SEEDS} | {w: math.log(total / n) for w, n in words.items()}
+
+    def best(run):
+        found = {0: (0.0, [])}
+        for j in range(1, len(run) + 1):
+            found[j] = min((found[i][0] + cost[run[i:j]], found[i][1] + [run[i:j]]) for i in range(max(0, j - 24), j) if run[i:j] in cost)
+        return found[len(run)][1]
+
+    def look(u):
+        host, path = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u).groups() if u and "://" in u else ("", "")
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(p, v) for p, v in rules if (host == p.split("/")[0] or host.endswith("." + p.split("/")[0])) and path.startswith("/" + p.split("/", 1)[1])]
+        toks = []
+        for kind, text in (("h", ".".join(x for x in host.split(".") if x not in url_filter.STOP_LABELS)), ("p", path.lower())):
+            for run in re.findall("[a-z]+|[0-9]+", text):
+                if kind == "h" or run not in ("en", "de", "fr", "news"):  # what the rules' paths say
+                    toks += [f"{kind}:{w}" for w in (["#"] if run.isdigit() else best(run))]
+        return host, path, *max(fits, key=lambda x: len(x[0]), default=(None, None)), toks
+
+    rows = [look(u) for u in urls]
+    if labelled is None:
+        examples = []
+        for _, _, rule, verdict, toks in rows:
+            seeded = any(x[2:] in url_filter.SEEDS for x in toks)
+            label = ("block" if seeded else "allow") if rule is None else verdict if set(rule.split("/")[0].split(".")) - set(url_filter.STOP_LABELS) else "block" if seeded and verdict == "block" else None
+            examples.append((toks, label))
+    else:
+        examples = [(look(u)[4], v) for u, v in labelled]
+    n = collections.Counter(v for _, v in examples)
+    seen = {v: collections.Counter(x for toks, w in examples if w == v for x in toks) for v in ("block", "allow")}
+    size = len(set(seen["block"]) | set(seen["allow"]))
+    weight = lambda x: math.log((seen["block"][x] + 1) / (seen["block"].total() + size)) - math.log((seen["allow"][x] + 1) / (seen["allow"].total() + size)) if x in seen["block"] or x in seen["allow"] else 0.0
+    out = []
+    for host, path, rule, verdict, toks in rows:
+        score = math.log((n["block"] + 1) / (n["allow"] + 1)) + sum(map(weight, toks)) if n["block"] else -1.0
+        out.append((host, path, rule, verdict or ("block" if score > 0 else "allow"), score))
+    return out
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_judge_urls(spark, given):
     r = random.Random(11)
-    docs = frame(spark, ["cheap pills good news daily " * 30, None, ""])
-    hosts = ["cheappills.example.com", "goodnews.example.com", "dailynews.example.org", "cheap-pills.example.org"]
-    urls = [f"https://{r.choice(['', 'www.', 'm.'])}{r.choice(hosts)}/en/{i}" for i in range(80)]
-    urls += [f"http://goodnews.example.net/{r.choice(['en', 'fr'])}/{i}" for i in range(40)] + ["http://x.example.org/fr/1", "http://x.example.com/de/1", "http://net/", "http://net", "http://xnet/", None, "", "nothing"]
-    pages = spark.createDataFrame([(i, u, "t") for i, u in enumerate(urls)], "page_id long, url string, tokens string")
-    got = {x.page_id: x for x in url_filter.judge_urls(pages, docs, RULES).collect()}
+    letters = " ".join("abcdefghijklmnopqrstuvwxyz")
+    texts = ["cheap pills good news daily www index " * 30 + letters, None, "", "goodnews " * 3]
+    hosts = ["cheappills.example.com", "goodnews.example.com", "dailynews.example.org", "cheap-pills.example.org", "GOODdaily.example.com"]
+    urls = [f"https://{r.choice(['', 'www.', 'm.'])}{r.choice(hosts)}/{r.choice(['en', 'es', 'news'])}/{i}" for i in range(80)]
+    urls += [f"http://goodnews.example.net/{r.choice(['en', 'fr'])}/{i}" for i in range(40)] + ["http://x.example.org/fr/1", "http://x.example.com/de/1", "http://net/", "http://net", "http://xnet/", None, "", "nothing", "http://pillsdaily.example.com/INDEX.html?x=y#z"]
+    pages = spark.createDataFrame([(i, u, "t", 1) for i, u in enumerate(urls)], "page_id long, url string, tokens string, id int")
+    known = [("http://badnews.com/en", "block"), ("http://dailypills.com/x", "allow"), ("http://bad.com", "block")] if given else None
+    labelled = spark.createDataFrame(known, "url string, label string") if given else None
+    rules = [*RULES, ("goodnews.example.com/news/", "block")]
+    got = {x.page_id: tuple(x)[1:] for x in url_filter.judge_urls(pages, frame(spark, texts), rules, labelled=labelled).collect()}
+    want = brute_urls(urls, texts, rules, known)
     assert len(got) == len(urls)
-    for i, u in enumerate(urls):
-        host = u.split("://", 1)[1].split("/")[0] if u and "://" in u else ""
-        path = u.split("://", 1)[1][len(host) :] if host else ""
-        fits = [(p, v) for p, v in RULES if (host == p.split("/")[0] or host.endswith("." + p.split("/")[0])) and path.startswith("/" + p.split("/", 1)[1])]
-        best = max(fits, key=lambda x: len(x[0]), default=(None, None))
-        assert (got[i].host, got[i].path, got[i].rule) == (host, path, best[0])
-        assert got[i].verdict == (best[1] or ("block" if "pills" in (u or "") else got[i].verdict)) and got[i].verdict in ("allow", "block")
-    assert url_filter.judge_urls(pages.limit(0), docs.limit(0), RULES).count() == 0
+    for i, w in enumerate(want):
+        assert got[i][:4] == w[:4] and abs(got[i][4] - w[4]) < 1e-9
+    assert {v for *_, v, _ in want} == {"allow", "block"}
+    assert url_filter.judge_urls(pages.limit(0), frame(spark, texts).limit(0), RULES).count() == 0
+    assert {x.verdict for x in url_filter.judge_urls(pages.filter("page_id in (116, 117)"), frame(spark, []), ()).collect()} == {"allow"}
 
 
 def test_judge_urls_path_language(spark):
