@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenreel.llm import common, graph, merkle, quality, shingles, toxicity, url_filter
+from lumenreel.llm import common, graph, language_id, merkle, quality, shingles, toxicity, url_filter
 from lumenreel.llm.exact_dedup import exact_duplicates
 from lumenreel.llm.jaccard_join import near_duplicates
 from lumenreel.llm.language_id import predict_language
@@ -415,6 +415,46 @@ def test_language_id(spark):
     assert {x.lang_pred for x in predict_language(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_letters(spark):
+    """Numerals and marks that are no letters give `und`."""
+    texts = ["½ ² ⅓", "Ⅷ ①", "\u0301 _ 5", "ª", "字", "abc", "٣٤", " ", None]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, *["some words here"] * 5])], "doc_id long, text string, lang string")
+    assert [x.lang_pred for x in sorted(predict_language(df).collect()[: len(texts)])] == ["und"] * 3 + ["en"] * 3 + ["und"] * 3
+
+
+def test_language_id_brute_force(spark):
+    """Kernel values, ridge weights and scores against plain sets and one dense regression."""
+    r = random.Random(21)
+    rows = [(i, "".join(r.choice(a) for _ in range(r.randrange(3, 90))), lang) for i, (lang, a) in enumerate([("x", "abcde "), ("y", "defgh "), ("z", "aghéß ")] * 30)]
+    rows.append((900, None, "x"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = sorted((x.lang, x["rank"], x.text) for x in language_id._sample(df, 12).collect())
+    grams = lambda t: {b[i : i + n] for b in [t.lower().encode()] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+    k = lambda x, y: len(grams(x) & grams(y)) / math.sqrt(len(grams(x)) * len(grams(y)))
+    marks = [t for _, rank, t in sample if rank <= 4]
+    value, vector = np.linalg.eigh(np.array([[k(x, y) for y in marks] for x in marks]))
+    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
+    phi = np.array([[k(x, m) for m in marks] for *_, x in sample]) @ root
+    y = np.array([[1.0 if lang == x else -1.0 for x in "xyz"] for lang, *_ in sample])
+    beta = root @ np.linalg.solve(phi.T @ phi + 1e-2 * len(phi) * np.eye(len(marks)), phi.T @ y)
+    got = {x.doc_id: x for x in predict_language(df.repartition(3), 4, 12, 1e-2).collect()}
+    for i, t, _ in rows[:-1]:
+        s = np.array([k(t, m) for m in marks]) @ beta if t.strip() else None
+        assert got[i].lang_pred == "xyz"[s.argmax()] and abs(got[i].score - min(1, max(0, (s.max() + 1) / 2))) < 1e-4
+
+
+def test_language_id_many_languages(spark):
+    r = random.Random(22)
+    rows = []
+    for lang in range(100):
+        letters = [chr(0x4E00 + 40 * lang + i) for i in range(12)]
+        rows += [(len(rows) + i, "".join(r.choice(letters) for _ in range(60)), f"l{lang:03}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, weights, langs = language_id.learn(df, most=200)
+    assert len(langs) == 100 and len(model.root) == 200 and weights.shape == (len(model.codes), 100)
+    assert np.mean([x.lang_pred == rows[x.doc_id][2] for x in predict_language(df, most=200).collect()]) > 0.95
+
+
 def test_language_id_on_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     both = predict_language(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
