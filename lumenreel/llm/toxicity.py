@@ -6,8 +6,9 @@ unlabelled texts' negative risk is corrected by the positives', and kept from go
 estimators overfit.  The classifier is a numpy logistic model on the presence of lower-cased letter runs, trained by
 Adam; presence makes scores independent of a text's length.
 
-Training texts are bounded samples of distinct texts (smallest hash first); the vocabulary is chosen by Spark from their
-document frequencies.  Scores are of whole texts; null and empty texts have the score of a text without known words.
+Training texts are bounded samples of distinct texts (smallest hash first).  Features are all of their words whose share
+of the positive texts differs from that of the unlabelled ones by ``least_z`` standard errors, counted by Spark; there is
+no cap on them, and the rows are sparse.  Scores are of whole texts; null and empty texts have the score of a text without known words.
 
 A document with several labels is toxic if any says so.  Labels without a document, null labels and held-out rows are
 not learned from.  Without any positive row all scores are 0.  Repeated rows get equal scores.  Rows without ``doc_id``
@@ -36,32 +37,40 @@ def words_of(text: str | None) -> set[str]:
 def train(positive: list[list[int]], unlabelled: list[list[int]], size: int, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic model; texts are lists of feature numbers below ``size``."""
 
-    def matrix(rows: list[list[int]]) -> np.ndarray:
-        m = np.zeros((len(rows), size + 1), np.float32)
-        for i, r in enumerate(rows):
-            m[i, r] = 1
-        m[:, size] = 1
-        return m
+    class Rows:
+        """A sparse 0/1 matrix; every row has the bias, feature ``size``."""
 
-    pos, unl = matrix(positive), matrix(unlabelled)
-    w = np.zeros(size + 1, np.float32)
+        def __init__(self, rows: list[list[int]]) -> None:
+            self.n = np.array([len(r) + 1 for r in rows])
+            self.at = np.fromiter((x for r in rows for x in (*r, size)), np.int64, self.n.sum())
+            self.start = np.concatenate([[0], np.cumsum(self.n)[:-1]])
+
+        def __matmul__(self, w: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(w[self.at], self.start)
+
+        def weighted(self, c: np.ndarray) -> np.ndarray:
+            """Sum of the rows, each times its coefficient."""
+            return np.bincount(self.at, weights=np.repeat(c, self.n), minlength=size + 1)
+
+    pos, unl = Rows(positive), Rows(unlabelled)
+    w = np.zeros(size + 1)
     w[size] = np.log(prior / (1 - prior))
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         zp, zu = pos @ w, unl @ w
-        as_pos = -prior * (sig(-zp) @ pos) / len(pos)  # gradient of p * E_pos[l(g)]
-        as_neg = (sig(zu) @ unl) / len(unl) - prior * (sig(zp) @ pos) / len(pos)
+        as_pos = -prior * pos.weighted(sig(-zp)) / len(zp)  # gradient of p * E_pos[l(g)]
+        as_neg = unl.weighted(sig(zu)) / len(zu) - prior * pos.weighted(sig(zp)) / len(zp)
         risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         grad = as_pos + as_neg if risk >= 0 else -as_neg  # below zero: step back out
-        grad = grad + decay * np.append(w[:-1], np.float32(0))
+        grad = grad + decay * np.append(w[:-1], 0.0)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         w = w - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 8000, words: int = 1024, least_z: float = 4.0) -> tuple[dict[str, float], float] | None:
-    """Word weights and bias.  ``positives``, ``unlabelled`` and ``words`` bound the samples and the vocabulary."""
+def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 8000, least_z: float = 4.0) -> tuple[dict[str, float], float] | None:
+    """Word weights and bias.  ``positives`` and ``unlabelled`` bound the samples; ``least_z`` is a word's significance."""
     toxic = labels.filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter("doc_id is not null and toxic is not null")
     n, share = toxic.agg(F.count("*"), F.avg((F.col("toxic") == 1).cast("int"))).first()
     if not n or not share:
@@ -86,9 +95,16 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     both = (F.col("p") + F.col("u") + 1) / (np_ + nu)
     counts = sample.select("pos", "unl", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("pos").alias("p"), F.count_if("unl").alias("u"))
     z = F.abs(p - u) / F.sqrt(both * F.greatest(1 - both, F.lit(1e-9)) * (1 / np_ + 1 / nu))
-    vocabulary = [r.word for r in counts.withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(words).collect()]
-    at = F.transform(F.array_intersect("words", F.lit(vocabulary).cast("array<string>")), lambda w: F.array_position(F.lit(vocabulary).cast("array<string>"), w) - 1)
-    rows = sample.select("pos", "unl", at.alias("at")).collect()  # bounded by the sample and the vocabulary
+    vocabulary = sorted(r.word for r in counts.filter(z >= least_z).select("word").collect())  # words of the bounded sample
+    place = sample.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = place.value
+        for b in batches:
+            at = [sorted(known[w] for w in words if w in known) for words in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32()))], ["pos", "unl", "at"])
+
+    rows = sample.mapInArrow(numbered, "pos boolean, unl boolean, at array<int>").collect()
     rows.sort(key=lambda r: (r.pos, r.unl, r.at))
     weights, bias = train([r.at for r in rows if r.pos], [r.at for r in rows if r.unl], len(vocabulary), min(0.5, max(0.01, float(share))))
     return dict(zip(vocabulary, weights.tolist(), strict=True)), bias

@@ -484,6 +484,29 @@ def test_toxicity(spark):
     assert score_toxicity(docs.limit(0), marks).count() == 0
 
 
+def test_training_brute_force():
+    """The sparse steps against dense ones of the risk's numerical gradient."""
+    r = np.random.default_rng(3)
+    pos, unl, p = r.random((30, 6)) < 0.5, r.random((80, 6)) < 0.3, 0.2
+    pos[:, 0] |= r.random(30) < 0.6
+    add = lambda m: np.c_[m, np.ones(len(m))].astype(float)
+    a, b = add(pos), add(unl)
+    loss = lambda z: np.logaddexp(0, -z)
+    parts = lambda w: (p * loss(a @ w).mean(), loss(-b @ w).mean() - p * loss(-a @ w).mean())
+    num = lambda f, w: np.array([(f(w + e) - f(w - e)) / 2e-6 for e in np.eye(7) * 1e-6])
+    w, m, v, below = np.zeros(7), np.zeros(7), np.zeros(7), 0
+    w[6] = np.log(p / (1 - p))
+    for t in range(1, 61):
+        below += parts(w)[1] < 0
+        g = num(lambda w: sum(parts(w)), w) if parts(w)[1] >= 0 else -num(lambda w: parts(w)[1], w)
+        g = g + 1e-4 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    lists = lambda x: [np.flatnonzero(y).tolist() for y in x]
+    got, bias = toxicity.train(lists(pos), lists(unl), 6, p, steps=60)
+    assert np.allclose([*got, bias], w, atol=1e-3)
+
+
 def test_nonnegative_risk():
     """Positives are a part of what the unlabelled rows hold: the learned boundary is the true one."""
     r = np.random.default_rng(0)
