@@ -17,15 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; a local session may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root
 
-    ``spark.checkpoint.dir`` names that folder on a cluster; only where it is unset, as in tests, a temporary
-    folder takes its place.  A lost executor then costs a reread, not a recomputation.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder: a lost executor costs a reread, not a recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

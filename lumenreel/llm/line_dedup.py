@@ -6,56 +6,75 @@ sketch a task.  Lines whose estimate lies near the threshold get an exact distin
 that reach the threshold are boilerplate: each stays at its first place (smallest doc_id, then position) and goes from
 all others, so that no content is lost.
 
-Lines are split at ``\\n`` and compared after runs of ASCII white space have become one space and outer spaces are gone.
-Lines of fewer than ``min_words`` words are never boilerplate.  A null source is a site of its own.  Null texts stay null,
-texts without lines to remove are returned as they are.  Repeated rows hold their lines at the same place, and so keep
-or lose them together.  Rows without ``doc_id`` are returned unchanged.  Other columns are ignored.
+Lines are split at ``\n`` and compared after runs of ASCII white space have become one space and outer spaces are gone;
+empty ones do not count.  A short line (fewer than ``min_words`` words, like a menu entry or a one-word sentence) says
+little by itself, so its spread is that of the *pair* with the line before or behind it: short lines go where a pair of
+at least ``min_words`` words reaches the threshold, long ones by their own spread only.
+
+A null source is a site of its own.  Null texts stay null, texts without lines to remove are returned as they are.
+Repeated rows hold their lines at the same place, and so keep or lose them together.  Rows without ``doc_id`` are
+returned unchanged.  Other columns are carried in ``row``, where no name can clash.  Boilerplate is looked up in a
+broadcast table of at most BROADCAST_LINES rows; beyond that, in SALTS shares of each line.
 """
 
 from __future__ import annotations
 
 from math import ceil, sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import SPACE, cut
+from lumenreel.llm.common import cut
 
+#: Boilerplate lines (about 100 bytes each) that may be broadcast.
+BROADCAST_LINES = 100_000
+SALTS = 16
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, site, pos, h): the lines long enough to count, by the digest of what is compared."""
-    line = F.trim(F.regexp_replace("line", SPACE, " "))
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", line).filter((F.col("line") != "") & (F.length("line") - F.length(F.translate("line", " ", "")) >= min_words - 1))
-    return rows.select("doc_id", "site", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("h"))
+
+def _units(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, site, pos, gone, h, salt): long lines, and pairs with a short one; ``gone``: the places that may go."""
+    spaced = F.trim(F.regexp_replace(F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]+", " "), " ?\n ?", "\n"))
+    words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
+    lines = F.filter(F.transform(F.split(spaced, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"] != "")
+    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("site"), lines.alias("lines"))
+    rows = rows.select("doc_id", "site", F.explode(F.transform("lines", lambda x, k: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.get("lines", k + 1).alias("next")))).alias("x"))
+    rows = rows.select("doc_id", "site", "x.*").select("*", words.alias("n"), (F.length("next.line") - F.length(F.translate("next.line", " ", "")) + 1).alias("m"))
+    short, after = F.col("n") < min_words, F.col("m") < min_words
+    own = F.when(~short, F.struct(F.array("pos").alias("gone"), F.col("line").alias("unit")))
+    places = F.array_compact(F.array(F.when(short, F.col("pos")), F.when(after, F.col("next.pos"))))
+    pair = F.when((short | after) & (F.col("n") + F.col("m") >= min_words), F.struct(places.alias("gone"), F.concat("line", F.lit("\n"), "next.line").alias("unit")))
+    rows = rows.select("doc_id", "site", "pos", F.explode(F.array_compact(F.array(own, pair))).alias("u"))
+    return rows.select("doc_id", "site", "pos", "u.gone", F.unhex(F.md5(F.col("u.unit").cast("binary"))).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 3, lg_k: int = 12) -> DataFrame:
-    """(h, first): digests of lines that at least ``min_sites`` sites hold, and the first (doc_id, pos) of each."""
-    return _common(cut(_lines(docs, min_words)), min_sites, lg_k)
+    """(h, first): digests of lines and pairs that at least ``min_sites`` sites hold, and the first (doc_id, pos) of each."""
+    return _common(cut(_units(docs, min_words)), min_sites, lg_k)
+
+
+def _looked_up(units: DataFrame, table: DataFrame) -> DataFrame:
+    """``units`` that are in ``table``, one row a digest, with its columns."""
+    if table.count() <= BROADCAST_LINES:
+        return units.join(F.broadcast(table), "h")
+    return units.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"])
 
 
-def _common(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
-    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("sites"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
+def _common(units: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
+    spread = units.groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("sites"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
     spread = spread.filter(F.col("n") >= min_sites).select("h", "first", F.hll_sketch_estimate("sites").alias("sites"))
     near = ceil(max(1.0, 4 * 1.04 / sqrt(2**lg_k) * min_sites))  # four standard errors of the estimate
     spread = cut(spread.filter(F.col("sites") >= min_sites - near))
-    close = spread.filter(F.col("sites") <= min_sites + near)
-    exact = lines.select("h", "site").join(close.select("h"), "h", "left_semi").distinct().groupBy("h").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
-    return cut(spread.filter(F.col("sites") > min_sites + near).select("h", "first").union(close.join(exact.select("h"), "h").select("h", "first")))
-
-
-def _numbered(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("pos")))
+    close = spread.filter(F.col("sites") <= min_sites + near).select("h", "first")
+    exact = _looked_up(units, close).select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
+    return cut(spread.filter(F.col("sites") > min_sites + near).select("h", "first").union(close.join(exact.select("h"), "h")))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 3, lg_k: int = 12) -> DataFrame:
-    """``docs`` with ``text`` free of boilerplate lines, and the columns ``_n_lines`` and ``_n_removed``."""
-    lines = cut(_lines(docs, min_words))  # digests and places only: a small part of the text, and used three times
-    hits = lines.join(_common(lines, min_sites, lg_k), "h").filter(F.struct("doc_id", "pos") > F.col("first"))
-    gone = cut(hits.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")))  # at most a document's lines
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row")).join(gone, "doc_id", "left")
-    text = F.col("row.text")
-    left = F.transform(F.filter(_numbered(text), lambda x: ~F.array_contains("gone", x["pos"])), lambda x: x["line"])
-    text = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias("text")
-    return rows.select(*(text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns), F.coalesce(F.size(F.split("row.text", "\n")), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_removed"))
+    """(row, text, n_lines, n_removed): the rows of ``docs(doc_id, text, source, ...)``, and their texts without boilerplate."""
+    units = cut(_units(docs, min_words))  # digests and places only: a small part of the text, and used three times
+    hits = _looked_up(units, _common(units, min_sites, lg_k)).filter(F.struct("doc_id", "pos") > F.col("first"))
+    gone = cut(hits.select("doc_id", F.explode("gone").alias("pos")).groupBy("doc_id").agg(F.collect_set("pos").alias("gone")))  # at most a document's lines
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"), F.split("text", "\n").alias("lines")).join(gone, "doc_id", "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda p: F.get("lines", p)), "\n"))
+    return rows.select("row", text.alias("text"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

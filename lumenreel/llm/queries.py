@@ -77,7 +77,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=8, min_words=3)
-    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), n_words(F.col("text")).alias("kept_words"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return rows.select("row.doc_id", "n_lines", "n_removed", n_words(F.col("text")).alias("kept_words"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 OP6_SQL = r"""
@@ -86,12 +86,15 @@ WITH l AS (
     generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents),
 n AS (SELECT *, trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS norm FROM l),
-c AS (
-  SELECT norm, min({'d': doc_id, 'p': pos}) AS first FROM n WHERE norm <> '' AND length(norm) - length(replace(norm, ' ', '')) >= 2
-  GROUP BY norm HAVING count(DISTINCT site) >= 8),
-k AS (
-  SELECT n.doc_id, n.pos, n.line, c.norm IS NOT NULL AND {'d': n.doc_id, 'p': n.pos} > c.first AS gone
-  FROM n LEFT JOIN c ON n.norm = c.norm),
+f AS (SELECT doc_id, site, pos, norm, length(norm) - length(replace(norm, ' ', '')) + 1 AS words FROM n WHERE norm <> ''),
+p AS (SELECT *, lead(norm) OVER w AS norm2, lead(pos) OVER w AS pos2, lead(words) OVER w AS words2 FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+u AS (
+  SELECT doc_id, site, pos, [pos] AS places, norm AS unit FROM p WHERE words >= 3
+  UNION ALL SELECT doc_id, site, pos, list_filter([CASE WHEN words < 3 THEN pos END, CASE WHEN words2 < 3 THEN pos2 END], lambda x: x IS NOT NULL), norm || chr(10) || norm2
+  FROM p WHERE (words < 3 OR words2 < 3) AND words + words2 >= 3),
+c AS (SELECT unit, min({'d': doc_id, 'p': pos}) AS first FROM u GROUP BY unit HAVING count(DISTINCT site) >= 8),
+g AS (SELECT DISTINCT u.doc_id, unnest(places) AS pos FROM u JOIN c USING (unit) WHERE {'d': u.doc_id, 'p': u.pos} > c.first),
+k AS (SELECT l.doc_id, l.pos, line, g.pos IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos),
 d AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text

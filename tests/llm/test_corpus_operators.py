@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenreel.llm import common, graph, language_id, merkle, quality, shingles, toxicity, url_filter
+from lumenreel.llm import common, graph, language_id, line_dedup, merkle, quality, shingles, toxicity, url_filter
 from lumenreel.llm.exact_dedup import exact_duplicates
 from lumenreel.llm.jaccard_join import near_duplicates
 from lumenreel.llm.language_id import predict_language
@@ -199,31 +199,55 @@ def test_mix_edges(spark):
 # ---- line dedup
 
 
-def test_line_dedup(spark):
+def brute_lines(texts, source, min_sites, min_words=3):
+    norm = lambda x: re.sub(r"[ \t\n\x0b\x0c\r]+", " ", x).strip(" ")
+    spread, first, units = collections.defaultdict(set), {}, []
+    for d, t in enumerate(texts):
+        lines = [(p, norm(x)) for p, x in enumerate(t.split("\n") if t is not None else []) if norm(x)]
+        found = [((x,), p, [p]) for p, x in lines if len(x.split()) >= min_words]
+        for (p, x), (q, y) in zip(lines, lines[1:]):
+            some = [i for i, z in ((p, x), (q, y)) if len(z.split()) < min_words]
+            if some and len(f"{x} {y}".split()) >= min_words:
+                found.append(((x, y), p, some))
+        for unit, p, _ in found:
+            spread[unit].add(source[d])
+            first.setdefault(unit, (d, p))
+        units.append(found)
+    out = []
+    for d, t in enumerate(texts):
+        lines = t.split("\n") if t is not None else []
+        gone = {i for unit, p, places in units[d] if len(spread[unit]) >= min_sites and first[unit] < (d, p) for i in places}
+        out.append((None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_line_dedup(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
     r = random.Random(5)
     common_lines, sites = [f"shared line number {i} here" for i in range(6)], [f"s{i}" for i in range(9)]
-    texts, source = [None, "", "\n\n", "ab cd"], ["s0"] * 4
+    texts, source = [None, "", "\n\n", "ab cd", "shared line number 0 here\n" * 5], ["s0"] * 5
     for _ in range(120):
-        lines = [rng_text(r, r.randrange(1, 9)) for _ in range(3)] + [r.choice(common_lines).replace(" ", r.choice([" ", "  ", "\t"])) for _ in range(2)] + ["ab cd"]
+        lines = [rng_text(r, r.randrange(1, 9)) for _ in range(3)] + [r.choice(common_lines).replace(" ", r.choice([" ", "  ", "\t"])) for _ in range(2)] + ["ab cd"] * r.randrange(3) + [" \t"]
         r.shuffle(lines)
-        texts.append("\n".join(lines))
+        texts.append("\n".join(lines + (["Log in", "", "Read  more", "Home"] if r.random() < 0.4 else [])))
         source.append(r.choice([*sites[: r.choice([2, 9])], None]))
-    df = frame(spark, texts, source=source)
-    got = {x.doc_id: (x.text, x._n_lines, x._n_removed) for x in remove_boilerplate(df, min_sites=4).collect()}
-    norm = lambda x: re.sub(r"[ \t\n\x0b\x0c\r]+", " ", x).strip(" ")
-    spread, first = collections.defaultdict(set), {}
-    for d, t in enumerate(texts):
-        for p, line in enumerate(t.split("\n") if t is not None else []):
-            spread[norm(line)].add(source[d])
-            first.setdefault(norm(line), (d, p))
-    for d, t in enumerate(texts):
-        lines = t.split("\n") if t is not None else []
-        left = [x for p, x in enumerate(lines) if not (len(norm(x).split()) >= 3 and len(spread[norm(x)]) >= 4 and first[norm(x)] < (d, p))]
-        assert got[d] == (None if t is None else "\n".join(left), len(lines), len(lines) - len(left))
-    assert sum(x[2] for x in got.values()) > 50
+    df = spark.createDataFrame([(i, t, s, i, "x", "y", "z") for i, (t, s) in enumerate(zip(texts, source, strict=True))], "doc_id long, text string, source string, _n_lines int, gone string, row string, lines string")
+    got = {x.row.doc_id: x for x in remove_boilerplate(df, min_sites=4).collect()}
+    want = brute_lines(texts, source, 4)
+    for i, w in enumerate(want):
+        assert (got[i].text, got[i].n_lines, got[i].n_removed) == w and tuple(got[i].row)[3:] == (i, "x", "y", "z")
+    assert sum(x[2] for x in want) > 50 and sum("Read  more" in (x[0] or "") for x in want) == 1
     assert boilerplate(frame(spark, [])).count() == 0 and remove_boilerplate(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_long_text(spark):
+    """One text of 200,000 lines, half of them boilerplate."""
+    rows = [(0, "some shared line", "s0"), *((i, "some shared line", f"s{i}") for i in range(2, 12)), (12, "\n".join(f"own line {i}\nsome shared line" for i in range(100_000)), "s1")]
+    got = {x.row.doc_id: x.n_removed for x in remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {0: 0, 12: 100_000} | {i: 1 for i in range(2, 12)}
+
+
 def test_line_dedup_coarse_sketch(spark):
     """A sketch with a large error: the exact count of near-threshold lines decides."""
     rows = [(i, f"line with many words {i % 3}", f"s{i}") for i in range(90)] + [(900 + i, "line with few words", f"t{i}") for i in range(29)]

@@ -41,9 +41,8 @@ def test_stages(spark, tmp_path):
             kept = {x.doc_id for x in judge(before).collect() if x.kept}
             assert {x.doc_id for x in now} == kept and kept >= set(range(43)) and not kept & {44, 45, 46, 47}
         elif name == "line_dedup":
-            text = {x.doc_id: x.text for x in remove_boilerplate(before).collect()}
-            size = lambda t: len("".join(WORD.findall(t)))
-            assert {x.doc_id: x.text for x in now} == {i: t for i, t in text.items() if 100 * size(t) >= 20 * size({x.doc_id: x.text for x in was}[i])}
+            text = {x.row.doc_id: x.text for x in remove_boilerplate(before).collect()}
+            assert {x.doc_id: x.text for x in now} == {i: t for i, t in text.items() if WORD.search(t)}
             assert sum("boilerplate" in x.text for x in now) == 1 and all(x.n_chars == len(x.text) for x in now)
         elif name == "ngram_jaccard_join":
             comp = {x.doc_id: x.component_id for x in near_duplicates(before, 5, 80).collect()}
@@ -76,18 +75,27 @@ def test_line_dedup_keeps_short_bodies(spark):
     assert got == {0: rows[0][1]} | {i: f"own body {i} stands nowhere else" for i in range(1, 6)}
 
 
-def test_run_equals_stages(spark, tmp_path):
+def test_near_duplicates_of_repeated_ids(spark):
+    """Different texts under one id all stay; equal ones under one id, and near copies of others, go."""
+    r = random.Random(4)
+    a, b, c = (" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, a + " more", "x"), (3, c, "x"), (None, c, "x"), (None, "short", "x"), (None, None, "x")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((x.doc_id, x.text) for x in P.ngram_jaccard_join(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (3, c), (None, "short"), (None, None)], key=str)
+
+
+def test_run(spark, tmp_path):
     corpus(spark).write.parquet(f"{tmp_path}/documents.parquet")
     pieces = P.run(spark, str(tmp_path)).agg(F.sum("length"), F.count("*")).first()
-    again = P.run(spark, str(tmp_path)).agg(F.sum("length"), F.count("*")).first()
-    assert pieces == again and pieces[0] > 0
+    assert pieces[0] > 0 and pieces[1] > 0
 
 
 def test_odd_tables(spark, tmp_path):
     """Nulls in every column, repeated rows, extra columns with clashing names, and an empty table go through all stages."""
     text = " ".join(f"v{i}" for i in range(80))
     rows = [(None, None, None, None, None, 1, "g"), (None, text, None, None, None, 1, "g"), (1, text, "en", "s", 5, 2, "h"), (1, text, "en", "s", 5, 2, "h"), (2, "x " * 100_000, "en", "s", 5, 3, "i")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id int, gone string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _n_lines int, row string"
     for n, data in enumerate((rows, [])):
         docs = spark.createDataFrame(data, schema)
         for name, stage in P.STAGES:
