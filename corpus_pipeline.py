@@ -1,19 +1,19 @@
 """A training corpus from raw documents: quality rules, line dedup, near duplicates, source mix, packed sequences.
 
 Each stage takes the documents that its predecessor kept and returns the columns of ``documents``, except the last, which
-returns packed pieces.  ``run`` writes each result as Parquet to the folder that the executors share
+returns packed pieces.  Stages take nulls in any column, repeated ids and rows, empty tables, and further columns of any
+name, which they return as they are.  ``run`` writes each result as Parquet to the folder that the executors share
 (``spark.checkpoint.dir``) and reads it again, so that a lost executor costs a reread.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenreel.llm.common import global_rank, shared_folder
 from lumenreel.llm.jaccard_join import near_duplicates
 from lumenreel.llm.line_dedup import remove_boilerplate
 from lumenreel.llm.mixing import mix
@@ -37,18 +37,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Any text that is left stays, as it may be the only copy of a body below a long template.
     """
     rows = remove_boilerplate(docs)
-    empty = (F.col("_n_removed") > 0) & (F.translate("text", _SPACES, "") == "")
-    chars = F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.filter(~F.coalesce(empty, F.lit(False))).select(*(chars.alias(c) if c == "n_chars" else c for c in docs.columns))
+    empty = (F.col("n_removed") > 0) & (F.translate("text", _SPACES, "") == "")
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return rows.filter(~F.coalesce(empty, F.lit(False))).select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the smallest doc_id."""
-    keep = near_duplicates(docs, k=5, percent=80).filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    nth = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("row.text")))
-    first = rows.join(keep, "id", "left_semi").withColumn("nth", nth).filter("nth = 1")
-    return first.select("row.*").union(rows.filter("id is null").select("row.*"))
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the smallest doc_id.
+
+    Where ids are null or repeated, documents are numbered by id and text instead: texts that differ are documents of
+    their own, equal texts under one id are one.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    odd = not rows.groupBy("id").count().filter("id is null or count > 1").isEmpty()
+    if odd:
+        keys = global_rank(rows.select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct(), F.asc_nulls_last("_id"), F.col("_hash"))
+        rows = rows.join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("row", F.col("rank").alias("id"))
+    found = near_duplicates(rows.select(F.col("id").alias("doc_id"), "row.text"), k=5, percent=80)
+    kept = rows.join(found.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    if odd:
+        kept = kept.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +84,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-checkpoint-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
