@@ -15,17 +15,25 @@ that one replica lacks is reported as missing.  Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenreel.llm.common import cut
 
 
+def digest(body: Column) -> Column:
+    return F.sha2(F.coalesce(body.cast("binary"), F.lit("").cast("binary")), 256)
+
+
+def hashed(records: DataFrame) -> DataFrame:
+    """(file, offset, hash) of ``records(file, offset, body)``, or of records that have their ``hash`` already."""
+    return records.select("file", F.col("offset").cast("long"), F.col("hash") if "hash" in records.columns else digest(F.col("body")).alias("hash"))
+
+
 def leaves(records: DataFrame) -> DataFrame:
-    """(file, offset, hash) of ``records(file, offset, body)``."""
-    body = F.coalesce(F.col("body").cast("binary"), F.lit("").cast("binary"))
-    return records.filter("file is not null and offset is not null").select("file", F.col("offset").cast("long"), F.sha2(body, 256).alias("hash"))
+    """(file, offset, hash) of the records that have a place."""
+    return hashed(records).filter("file is not null and offset is not null")
 
 
 def tree(leaf: DataFrame, span: int = 1 << 20, fanout: int = 16, height: int | None = None) -> list[DataFrame]:
@@ -49,6 +57,7 @@ def audit(a: DataFrame, b: DataFrame, span: int = 1 << 20, fanout: int = 16) ->
 
     ``status``: ``differs``, ``missing_in_a``, ``missing_in_b``, or ``unplaced`` (no file or offset).
     """
+    a, b = cut(hashed(a)), cut(hashed(b))
     la, lb = leaves(a), leaves(b)
     ta, tb = tree(la, span, fanout), tree(lb, span, fanout)
     height = max(len(ta), len(tb))
@@ -61,14 +70,24 @@ def audit(a: DataFrame, b: DataFrame, span: int = 1 << 20, fanout: int = 16) ->
     both = here(la).alias("a").join(here(lb).alias("b"), ["file", "offset", "nth"], "full_outer").filter(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
     status = F.when(F.col("a.hash").isNull(), "missing_in_a").when(F.col("b.hash").isNull(), "missing_in_b").otherwise("differs")
     found = both.select("file", "offset", status.alias("status"), F.col("a.hash").alias("hash_a"), F.col("b.hash").alias("hash_b"))
-    lost = [x.filter("file is null or offset is null").select("file", F.col("offset").cast("long"), F.lit("unplaced").alias("status"), (F.sha2(F.coalesce(F.col("body").cast("binary"), F.lit("").cast("binary")), 256) if k == 0 else F.lit(None).cast("string")).alias("hash_a"), (F.sha2(F.coalesce(F.col("body").cast("binary"), F.lit("").cast("binary")), 256) if k else F.lit(None).cast("string")).alias("hash_b")) for k, x in enumerate((a, b))]
+    none = F.lit(None).cast("string")
+    lost = [x.filter("file is null or offset is null").select("file", "offset", F.lit("unplaced").alias("status"), (none if k else F.col("hash")).alias("hash_a"), (F.col("hash") if k else none).alias("hash_b")) for k, x in enumerate((a, b))]
     return found.unionByName(lost[0]).unionByName(lost[1])
 
 
-def warc_records(pages: DataFrame, per_file: int = 500) -> DataFrame:
-    """(file, offset, page_id, body): each page as a WARC response record, ``per_file`` consecutive ids in a file."""
+def with_offsets(rows: DataFrame, order: str) -> DataFrame:
+    """``rows(file, length, ...)`` with their ``offset`` in the file, in ``order``.  Lengths suffice: bodies need not be moved."""
+    before = W.partitionBy("file").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+
+
+def warc_bodies(pages: DataFrame, per_file: int = 500) -> DataFrame:
+    """(page_id, body, file): each page as a WARC response record, ``per_file`` consecutive ids in a file."""
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    rows = pages.filter("page_id is not null").select(F.col("page_id").cast("long"), F.concat(head, html, F.lit("\r\n\r\n")).alias("body")).withColumn("file", F.floor(F.col("page_id") / per_file))
-    before = W.partitionBy("file").orderBy("page_id").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("body")).over(before), F.lit(0)).cast("long"))
+    return pages.filter("page_id is not null").select(F.col("page_id").cast("long"), F.concat(head, html, F.lit("\r\n\r\n")).alias("body")).withColumn("file", F.floor(F.col("page_id") / per_file))
+
+
+def warc_records(pages: DataFrame, per_file: int = 500) -> DataFrame:
+    """(page_id, body, file, length, offset): the records with their places."""
+    return with_offsets(warc_bodies(pages, per_file).withColumn("length", F.octet_length("body")), "page_id")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.llm import merkle
-from lumenreel.llm.common import n_words, table
+from lumenreel.llm.common import cut, n_words, table
 from lumenreel.llm.exact_dedup import exact_duplicates
 from lumenreel.llm.jaccard_join import near_duplicates
 from lumenreel.llm.language_id import predict_language
@@ -43,9 +43,12 @@ def op2_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The replica is derived by a rule that the oracle repeats: the last byte of some records is changed, others are gone.
     """
-    a = merkle.warc_records(table(spark, sf_dir, "pages"))
     rotten, lost = F.col("page_id") % 97 == 13, F.col("page_id") % 389 == 7
-    b = a.filter(~lost).withColumn("body", F.when(rotten, F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit("?"))).otherwise(F.col("body")))
+    other = F.when(rotten, F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit("?"))).otherwise(F.col("body"))
+    rows = merkle.warc_bodies(table(spark, sf_dir, "pages"))
+    rows = rows.select("page_id", "file", F.octet_length("body").alias("length"), merkle.digest(F.col("body")).alias("a"), merkle.digest(other).alias("b"), lost.alias("lost"))
+    rows = cut(merkle.with_offsets(rows, "page_id"))
+    a, b = rows.select("file", "offset", F.col("a").alias("hash")), rows.filter("not lost").select("file", "offset", F.col("b").alias("hash"))
     return merkle.audit(a, b, span=1 << 16, fanout=8)
 
 
