@@ -134,8 +134,8 @@ class Packer:
                 self.fill(self.window)
             take = min(len(ids), int(self.limits[0]))
             bears = min(take, max(0, loss - (len(ids) - take)))
-            if bears > self.limits[2]:
-                take = bears = int(self.limits[2])
+            if bears > self.limits[2]:  # the quiet ids before them, and as many that bear loss as there may be
+                take, bears = take - bears + int(self.limits[2]), int(self.limits[2])
             self.items[self.n], self.need[self.n] = (doc, start, ids[:take]), (take, 1, bears)
             self.n += 1
             start, ids, loss = start + take, ids[take:], loss - bears

@@ -414,6 +414,15 @@ def test_pack_loss_tokens(spark):
         quiet = 9 - (9 if bears is None else min(9, max(0, bears)))
         loss[x.sequence_id] += max(0, x.start + x.length - max(x.start, quiet))
     assert max(loss.values()) <= 12 and sum(x.length for x in got) == 30 * 9
+    # Long examples, of which the last part bears loss, above the limit of a sequence.
+    rows = [(i, " ".join("x" * 2047), n) for i, n in enumerate([1500, 0, 2048, 900, 1001] * 3)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, loss_tokens int").coalesce(1), encode, max_tokens=2048, max_segments=4, max_loss_tokens=1000).collect()
+    loss, used = collections.Counter(), collections.Counter()
+    for x in got:
+        loss[x.sequence_id] += max(0, x.start + x.length - max(x.start, 2048 - rows[x.doc_id][2]))
+        used[x.sequence_id] += 1
+    assert max(loss.values()) <= 1000 and max(used.values()) <= 4 and sum(x.length for x in got) == 15 * 2048
+    assert sum(loss.values()) == sum(n for *_, n in rows)
     assert pack(frame(spark, []), encode).count() == 0
 
 
