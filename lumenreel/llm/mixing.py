@@ -44,14 +44,18 @@ def source_targets(sources: DataFrame, weights: Sequence[float], percent: int, m
     return ranked.select("source", "source_size", (target if free else F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), percent: int = 150, max_epochs: float = 2, seed: int = 20, buckets: int = 1024, carry: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), percent: int = 150, max_epochs: float = 2, seed: int = 20, buckets: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document of ``docs(doc_id, text, source)``: doc_id, size, source_size, target, taken (words).
 
-    ``percent``: size of the mix in hundredths of all words.  ``carry``: more columns of ``docs`` to return.
+    ``percent``: size of the mix in hundredths of all words.  ``buckets``: by default as many as keep a bucket below
+    about 100,000 rows, and 1024 at least.  ``carry``: more columns of ``docs`` to return.
     """
     u = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), u.alias("u"), *([F.struct(*carry).alias("more")] if carry else [])).withColumn("bucket", F.pmod("u", F.lit(buckets)).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), u.alias("u"), *([F.struct(*carry).alias("more")] if carry else []))
     light = cut(rows.drop("more"))
+    if buckets is None:
+        buckets = 1 << max(10, (light.count() // 100_000).bit_length())
+    rows, light = (df.withColumn("bucket", F.pmod("u", F.lit(buckets)).cast("int")) for df in (rows, light))
     parts = cut(light.groupBy("source", "bucket").agg(F.sum("size").alias("part")))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, percent, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
