@@ -57,6 +57,12 @@ def exact_duplicates(docs: DataFrame, salts: int = 16, digest: Callable[[Column]
         more = rows.join(clash, "digest", "left_semi").join(mine, ["digest", "share", "content"])
         found = found.unionByName(more.select("digest", "share", "doc_id", sha256(F.col("content")).alias("text_sha256"), "keep_id", "group_size"))
 
-    again = F.row_number().over(W.partitionBy("doc_id", "text_sha256").orderBy("share"))
-    kept = F.when(F.col("doc_id").eqNullSafe(F.col("keep_id")), again == 1).otherwise(F.lit(False))
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    # Of repeated rows one stays: the first of each share, and of these the first; others can no longer be the one.
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(salts * salts))
+    nth = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("part"))
+    found = found.select("doc_id", "keep_id", "group_size", "text_sha256", part.alias("part"))
+    found = cut(found.withColumn("nth", nth("doc_id", "text_sha256", "part")))
+    first = found.filter("nth = 1").withColumn("nth", nth("doc_id", "text_sha256"))
+    kept = (F.col("nth") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = first.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return out.unionByName(found.filter("nth > 1").select("doc_id", "keep_id", "group_size", F.lit(False).alias("kept"), "text_sha256"))
