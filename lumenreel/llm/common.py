@@ -34,6 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: Column, salts: int = 32) -> DataFrame:
+    """Inner join with a ``table`` of one row a key, in which the rows of a hot key meet in up to ``salts`` tasks.
+
+    ``by``: what spreads the rows of a key.  A row of ``table`` is copied only to the shares that have rows for it, so
+    keys with a single row cost nothing more.
+    """
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    wanted = table.join(rows.select(*keys, "_share").distinct(), keys)
+    return rows.join(wanted, [*keys, "_share"]).drop("_share")
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null.  Every white-space character becomes a space, so that a plain split counts."""
     parts = F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ")

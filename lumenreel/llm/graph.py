@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import cut
+from lumenreel.llm.common import cut, salted_join
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(low, "a").select(F.col("b"), F.col("m").alias("a")).filter("a <> b").select("a", "b").distinct()
+    return salted_join(both.filter("b > a"), low, ["a"], F.col("b")).select(F.col("b"), F.col("m").alias("a")).filter("a <> b").select("a", "b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     low = e.groupBy("b").agg(F.min("a").alias("m"))
-    moved = e.join(low, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    moved = salted_join(e, low, ["b"], F.col("a")).filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(low.select(F.col("m").alias("a"), "b")).distinct()
 
 
@@ -25,7 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star rounds: each moves links to the smallest neighbour, needs two partial
     aggregations and joins, keeps no neighbour list, and the number of links never grows.  Only a count and a
-    checksum reach the driver.
+    checksum reach the driver.  Links of a hot node meet in many tasks.
     """
     e = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
     before = None

@@ -24,6 +24,7 @@ with a null component and link nothing; a ``doc_id`` with several texts counts a
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import cut
+from lumenreel.llm.common import cut, salted_join
 from lumenreel.llm.graph import components
 from lumenreel.llm.shingles import shingle_runs
 
@@ -41,6 +42,9 @@ from lumenreel.llm.shingles import shingle_runs
 ORDER_SIZE = 262_144
 #: A shingle counts as frequent if so many rows of one Arrow batch have it.
 FREQUENT_IN_BATCH = 3
+#: Groups in a prefix shingle's list from which it is spread over tasks, and how many such shingles may be broadcast.
+HOT_LIST = 10_000
+BROADCAST_LISTS = 100_000
 #: Bits of the smallest signature.
 LEAST_BITS = 128
 #: Largest prefilter (bits) for the documents to verify: 8 MB. Beyond it more documents pass, and the join drops them.
@@ -67,7 +71,16 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         often = n >= FREQUENT_IN_BATCH
         return pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
 
-    top = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(ORDER_SIZE).toArrow()
+    counts = cut(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    # From which count on there are few enough: by a histogram of counts, of some hundred bins.
+    bin_ = F.floor(F.log2("n") * 8)
+    least, total = None, 0
+    for r in sorted(counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        total += r.k
+        if total > ORDER_SIZE:
+            break
+        least = r.bin
+    top = counts.filter(F.lit(False) if least is None else bin_ >= least).toArrow()
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     o = np.argsort(h)
     return h[o], n[o]
@@ -163,13 +176,40 @@ def _position(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> C
     return F.least(nx - px, ny - py) * (100 + percent) >= (nx + ny) * percent
 
 
+def _shared_lists(posts: DataFrame, percent: int) -> DataFrame:
+    """(token, g, n, pos, first): groups behind each prefix shingle that have a partner of fitting size there.
+
+    In order of size, such a partner is a neighbour.  ``first`` is the group where the shingle comes earliest.  Lists of
+    more than HOT_LIST groups are not sorted: their sizes are counted first, and looked up in shares.
+    """
+    hot = cut(posts.groupBy("token").count().filter(F.col("count") > HOT_LIST).select("token"))
+    here = W.partitionBy("token")
+    order = here.orderBy("n", "g")
+    fits = lambda x: x.isNotNull() & _sizes(x, F.col("n"), percent)
+    first = F.min(F.struct("pos", "g", "n"))
+    columns = ["token", "g", "n", "pos", "first"]
+    n = hot.count()
+    few = F.broadcast(hot) if n <= BROADCAST_LISTS else hot
+    cold = posts.join(few, "token", "left_anti") if n else posts
+    cold = cold.withColumns({"first": first.over(here), "shared": fits(F.lag("n").over(order)) | fits(F.lead("n").over(order))}).filter("shared").select(*columns)
+    if not n:
+        return cold
+    long = posts.join(few, "token", "left_semi")
+    by_size = here.orderBy("n")
+    sizes = long.groupBy("token", "n").agg(F.count("*").alias("k"), first.alias("first"))
+    sizes = sizes.withColumns({"first": F.min("first").over(here), "shared": (F.col("k") > 1) | fits(F.lag("n").over(by_size)) | fits(F.lead("n").over(by_size))})
+    return cold.unionByName(salted_join(long, sizes.filter("shared").select("token", "n", "first"), ["token", "n"], F.col("g")).select(*columns))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     pairs = cut(pairs.select("a", "b").distinct())
     if pairs.isEmpty():
         return pairs
     sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    # A large family's first document is in many pairs: these meet in many tasks, each with one copy of its set.
+    both = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), ["a"], F.col("b"))
+    both = salted_join(both, sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), ["b"], F.col("a"))
     both = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("both"))
     return cut(both.filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b"))
 
@@ -188,15 +228,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rep = cut(classes.join(groups, ["n", "g1", "g2"]).select("id", "g", "n", "size", "d1", "d2"))
     bits = known.select(F.col("doc_id").alias("id"), "n", "d1", "d2", "bits").join(rep.select("id", "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "bits")
 
-    # Groups behind each prefix shingle that have a partner of fitting size there: in order of size, it is a neighbour.
-    # The first of a list is the group where the shingle comes earliest.
     posts = known.select(F.col("doc_id").alias("g"), "n", "d1", "d2", "prefix").join(rep.filter("id = g").select("g", "n", "d1", "d2"), ["g", "n", "d1", "d2"])
-    here = W.partitionBy("token")
-    posts = posts.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    order = here.orderBy("n", "g")
-    near = [x.isNotNull() & _sizes(x, F.col("n"), percent) for x in (F.lag("n").over(order), F.lead("n").over(order))]
-    posts = posts.withColumns({"first": F.min(F.struct("pos", "g", "n")).over(here), "shared": near[0] | near[1]})
-    posts = cut(posts.filter("shared").select("token", "g", "n", "pos", "first"))
+    posts = cut(_shared_lists(posts.select("g", "n", F.posexplode("prefix").alias("pos", "token")), percent))
 
     # First round: a star in each group and around the first group of each list.
     star = posts.filter(F.col("g") != F.col("first.g")).filter(_sizes(F.col("n"), F.col("first.n"), percent) & _position(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"), percent))
@@ -216,10 +249,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     lists = posts.select("token", "g", "n", "pos").join(spread, ["g", "n"])
     mixed = lists.groupBy("token").agg(F.min("c0").alias("low"), F.max("c1").alias("high")).filter("low <> high").select("token")
     lists = lists.join(mixed, "token", "left_semi").join(bits.withColumnRenamed("id", "g"), ["g", "n"]).join(far, ["g", "n"], "left")
-    lists = cut(lists.select("token", "g", "n", "pos", "c0", "c1", F.coalesce("radius", F.lit(0)).alias("radius"), "bits"))
-    x, y = lists.alias("x"), lists.alias("y")
+    # Sizes that fit lie in the same band or in neighbouring ones, so a long list is joined band by band.
+    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
+    lists = cut(lists.select("token", "g", "n", "pos", "c0", "c1", F.coalesce("radius", F.lit(0)).alias("radius"), "bits", band.alias("band")))
+    x, y = lists.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1))))).alias("x"), lists.alias("y")
     same = (F.col("x.c0") == F.col("x.c1")) & (F.col("y.c0") == F.col("y.c1")) & (F.col("x.c0") == F.col("y.c0"))
-    cheap = (F.col("x.token") == F.col("y.token")) & (F.struct("x.g", "x.n") < F.struct("y.g", "y.n")) & ~same & _sizes(F.col("x.n"), F.col("y.n"), percent)
+    cheap = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.struct("x.g", "x.n") < F.struct("y.g", "y.n")) & ~same & _sizes(F.col("x.n"), F.col("y.n"), percent)
     pairs = x.join(y, cheap & _position(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent) & _may(F.col("x.n"), F.col("y.n"), _differ("x.bits", "y.bits") - F.col("x.radius") - F.col("y.radius"), percent))
     pairs = pairs.select(F.col("x.g").alias("gx"), F.col("y.g").alias("gy"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))
     torn = spread.filter("c0 <> c1").select(F.col("g").alias("gx"), F.col("g").alias("gy"), F.col("n").alias("nx"), F.col("n").alias("ny"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenreel.llm import common, graph, language_id, line_dedup, merkle, quality, shingles, toxicity, url_filter
+from lumenreel.llm import common, graph, jaccard_join, language_id, line_dedup, merkle, quality, shingles, toxicity, url_filter
 from lumenreel.llm.exact_dedup import exact_duplicates
 from lumenreel.llm.jaccard_join import near_duplicates
 from lumenreel.llm.language_id import predict_language
@@ -84,8 +84,9 @@ def brute_near(texts, k, percent):
     return [(len(s), p) for s, p in zip(sets, part, strict=True)]
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_near_duplicates(spark, k, percent):
+@pytest.mark.parametrize(("k", "percent", "hot"), [(3, 90, 10_000), (5, 80, 4)])
+def test_near_duplicates(spark, monkeypatch, k, percent, hot):
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", hot)
     r = random.Random(k)
     texts = [*ODD, "one two", "ONE TWO"]
     for _ in range(6):
