@@ -49,6 +49,9 @@ REWEIGHT = 0.975
 #: Groups (about 250 bytes each) that may be broadcast.
 BROADCAST_GROUPS = 20_000
 SALTS = 64
+#: Rows that a task of the fit takes, and the least number of its tasks.
+ROWS_A_TASK = 100_000
+LEAST_TASKS = 8
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -155,6 +158,11 @@ def _with(rows: DataFrame, groups: DataFrame, key: str, n: int) -> DataFrame:
     return rows.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"])
 
 
+def _kept(groups: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` groups, computed once; one file where it is small enough to be broadcast."""
+    return cut(groups.repartition(1) if n <= BROADCAST_GROUPS else groups)
+
+
 def _moments(rows: DataFrame, factor: float, *keys: str) -> DataFrame:
     """Means, and covariances times ``factor`` plus the floor."""
     sums = rows.groupBy(*keys).agg(F.count("*").alias("k"), *(F.expr(f"sum({f}) AS s{i}") for i, f in enumerate(FEATURES)), *(F.expr(f"sum({FEATURES[i]} * {FEATURES[j]}) AS v{i}{j}") for i, j in _PAIRS))
@@ -168,16 +176,16 @@ def _floor(i: int, j: int) -> str:
 def _starts(rows: DataFrame, n: int) -> DataFrame:
     """(grp, start, m, w): three first estimates a group around its medians."""
     sketch = lambda x, name: F.expr(f"percentile_approx({x}, 0.5, 2000) AS {name}")
-    med = cut(rows.groupBy("grp").agg(*(sketch(f, f"m{i}") for i, f in enumerate(FEATURES))))
+    med = _kept(rows.groupBy("grp").agg(*(sketch(f, f"m{i}") for i, f in enumerate(FEATURES))), n)
     mad = _with(rows, med, "grp", n).groupBy("grp").agg(*(sketch(f"abs({f} - m{i})", f"a{i}") for i, f in enumerate(FEATURES)))
-    base = cut(med.join(mad, "grp").selectExpr("grp", *(f"m{i}" for i in _D), *(f"sqrt(power(a{i} * 1.4826D, 2) + {_floor(i, i)}) AS s{i}" for i in _D)))
+    base = _kept(med.join(mad, "grp").selectExpr("grp", *(f"m{i}" for i in _D), *(f"sqrt(power(a{i} * 1.4826D, 2) + {_floor(i, i)}) AS s{i}" for i in _D)), n)
     scored = _with(rows, base, "grp", n).selectExpr("grp", *(f"({f} - m{i}) / s{i} AS z{i}" for i, f in enumerate(FEATURES)))
     scored = scored.selectExpr("*", *(f"tanh(z{i}) AS t{i}" for i in _D), f"greatest({_sum([f'z{i} * z{i}' for i in _D])}, 1e-18D) AS zz")
     parts = scored.groupBy("grp").agg(*(F.expr(f"avg(t{i} * t{j}) AS t{i}{j}") for i, j in _PAIRS), *(F.expr(f"avg(z{i} * z{j} / zz) AS k{i}{j}") for i, j in _PAIRS))
     correlations = (lambda i, j: f"{float(i == j)}D", lambda i, j: f"t{i}{j}", lambda i, j: f"{len(FEATURES)} * k{i}{j}")
     structs = [f"named_struct({', '.join(f"""'c{i}{j}', {r(i, j)} * s{i} * s{j} + {_floor(i, j)}""" for i, j in _PAIRS)})" for r in correlations]
     long = base.join(parts, "grp").selectExpr("grp", *(f"m{i}" for i in _D), f"posexplode(array({', '.join(structs)})) AS (start, c)")
-    return cut(_factored(long.select("grp", "start", *(f"m{i}" for i in _D), "c.*")))
+    return _kept(_factored(long.select("grp", "start", *(f"m{i}" for i in _D), "c.*")), n)
 
 
 def _concentrated(rows: DataFrame, models: DataFrame, n: int, coverage: float) -> DataFrame:
@@ -185,7 +193,7 @@ def _concentrated(rows: DataFrame, models: DataFrame, n: int, coverage: float) -
     near = _with(rows, models, "grp", n).select("grp", "start", _squared_distance().alias("d2"))
     edge = near.groupBy("grp", "start").agg(F.percentile_approx("d2", coverage, 2000).alias("edge"))
     inside = _with(rows, models.join(edge, ["grp", "start"]), "grp", n).filter(_squared_distance() <= F.col("edge"))
-    return cut(_factored(_moments(inside, _consistency(coverage), "grp", "start")))
+    return _kept(_factored(_moments(inside, _consistency(coverage), "grp", "start")), n)
 
 
 def least_determinant(rows: DataFrame, coverage: float = 0.75, steps: int = 2, more: int = 1) -> DataFrame:
@@ -199,14 +207,14 @@ def least_determinant(rows: DataFrame, coverage: float = 0.75, steps: int = 2, m
     for _ in range(steps):
         models = _concentrated(rows, models, n, coverage)
     best = F.min_by(F.struct(*(c for c in models.columns if c != "grp")), F.struct(F.round("logdet", 9), "start"))
-    models = cut(models.groupBy("grp").agg(best.alias("best")).select("grp", "best.*"))
+    models = _kept(models.groupBy("grp").agg(best.alias("best")).select("grp", "best.*"), n)
     for _ in range(more):
         models = _concentrated(rows, models, n, coverage)
     inside = _with(rows, models, "grp", n).filter(_squared_distance() <= _quantile(REWEIGHT))
     found = _moments(inside, _consistency(REWEIGHT), "grp")
     moments = [f"m{i}" for i in _D] + [f"c{i}{j}" for i, j in _PAIRS]
     both = sizes.join(models.select("grp", F.struct(*moments).alias("first")), "grp").join(found.select("grp", F.struct(*moments).alias("then")), "grp", "left")
-    return cut(both.select("grp", "n", F.coalesce("then", "first").alias("e")).select("grp", "n", "e.*"))
+    return _kept(both.select("grp", "n", F.coalesce("then", "first").alias("e")).select("grp", "n", "e.*"), n)
 
 
 def _blended(rows: DataFrame, own: str, other: str, keep: list[str]) -> DataFrame:
@@ -222,7 +230,7 @@ def _shrunk(groups: DataFrame, models: DataFrame, shrink: float) -> DataFrame:
     """(grp, m, w) of ``groups(grp, lang_grp)``: their own estimates, the language's and that of all rows, by size."""
     moments = [f"m{i}" for i in _D] + [f"c{i}{j}" for i, j in _PAIRS]
     of = lambda grp, name: models.selectExpr(f"grp AS {grp}", f"n / (n + {shrink}D) AS {name}_weight", f"struct({', '.join(moments)}) AS {name}")
-    rows = groups.withColumn("all_grp", F.lit(0).cast("long")).join(of("grp", "own"), "grp").join(of("lang_grp", "lang"), "lang_grp").join(of("all_grp", "every"), "all_grp")
+    rows = groups.withColumn("all_grp", F.pmod("lang_grp", F.lit(1)).cast("long")).join(of("grp", "own"), "grp").join(of("lang_grp", "lang"), "lang_grp").join(of("all_grp", "every"), "all_grp")
     rows = _blended(rows, "lang", "every", ["grp", "own", "own_weight"])
     return _factored(_blended(rows, "own", "lang", ["grp"]).select("grp", "own.*")).drop("logdet", *(f"c{i}{j}" for i, j in _PAIRS))
 
@@ -240,7 +248,9 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cu
     rows = rows.withColumn("base_failed", failed).withColumns(group)
     rows = cut(rows.select("*", *(v.alias(f) for f, v in zip(FEATURES, _vector(), strict=True))).drop("lang", "source", "n_lines"))
     good = rows.filter("not base_failed")
-    levels = good.select(F.explode(F.array("grp", "lang_grp", F.lit(0).cast("long"))).alias("grp"), "salt", *FEATURES)
+    # Vectors are small: tasks of many rows combine a group's sums before they are shuffled.
+    packed = good.coalesce(max(LEAST_TASKS, rows.count() // ROWS_A_TASK))
+    levels = packed.select(F.explode(F.array("grp", "lang_grp", F.lit(0).cast("long"))).alias("grp"), "salt", *FEATURES)
     models = least_determinant(levels, coverage)
     groups = cut(_shrunk(good.select("grp", "lang_grp").distinct(), models, shrink))
     far = _with(good, groups, "grp", groups.count()).withColumn("distance", F.sqrt(_squared_distance()))
