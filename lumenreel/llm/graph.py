@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from lumenreel.llm.common import cut, salted_join
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: Links up to which all of them are one task's work anyway; a hot node's links are spread only beyond.
+ONE_TASK = 1_000_000
+
+
+def _join(links: DataFrame, low: DataFrame, key: str, by: str, hot: bool) -> DataFrame:
+    return salted_join(links, low, [key], F.col(by)) if hot else links.join(low, key)
+
+
+def _large_star(e: DataFrame, hot: bool) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return salted_join(both.filter("b > a"), low, ["a"], F.col("b")).select(F.col("b"), F.col("m").alias("a")).filter("a <> b").select("a", "b").distinct()
+    return _join(both.filter("b > a"), low, "a", "b", hot).select(F.col("b"), F.col("m").alias("a")).filter("a <> b").select("a", "b").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, hot: bool) -> DataFrame:
     low = e.groupBy("b").agg(F.min("a").alias("m"))
-    moved = salted_join(e, low, ["b"], F.col("a")).filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    moved = _join(e, low, "b", "a", hot).filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(low.select(F.col("m").alias("a"), "b")).distinct()
 
 
@@ -28,9 +36,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     checksum reach the driver.  Links of a hot node meet in many tasks.
     """
     e = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
-    before = None
+    e = cut(e)
+    hot, before = e.count() > ONE_TASK, None
     while True:
-        e = cut(_small_star(_large_star(e)))
+        e = cut(_small_star(_large_star(e, hot), hot))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

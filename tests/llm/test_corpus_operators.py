@@ -48,7 +48,9 @@ def test_global_rank(spark):
     assert {r.source: r["rank"] for r in common.global_rank(df, F.asc_nulls_last("source")).collect()} == {"a": 0, "ab": 1, "b": 2, "c": 3, None: 4}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [graph.ONE_TASK, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "ONE_TASK", most)
     r = random.Random(1)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
     got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
