@@ -20,7 +20,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(base: int, n: int) -> np.ndarray:
     key = str(base)
-    if len(_powers.get(key, ())) < n:
+    if key not in _powers or len(_powers[key]) < n:
         p = np.full(max(n, RUN_BYTES), base, _U)
         p[0] = 1
         _powers[key] = np.multiply.accumulate(p)
