@@ -45,6 +45,8 @@ FREQUENT_IN_BATCH = 3
 #: Groups in a prefix shingle's list from which it is spread over tasks, and how many such shingles may be broadcast.
 HOT_LIST = 10_000
 BROADCAST_LISTS = 100_000
+#: Pairs of one document up to which they are one task's work; beyond, they meet in many tasks.
+HOT_PAIRS = 1_000
 #: Bits of the smallest signature.
 LEAST_BITS = 128
 #: Largest prefilter (bits) for the documents to verify: 8 MB. Beyond it more documents pass, and the join drops them.
@@ -207,9 +209,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     if pairs.isEmpty():
         return pairs
     sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
-    # A large family's first document is in many pairs: these meet in many tasks, each with one copy of its set.
-    both = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), ["a"], F.col("b"))
-    both = salted_join(both, sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), ["b"], F.col("a"))
+    most = lambda c: pairs.groupBy(c).count().agg(F.max("count")).first()[0]
+
+    # A large family's first document is in many pairs: these meet in many tasks, each with one copy of its set. Where no
+    # document has so many, its set stays where it is and only the pairs move.
+    def with_set(rows: DataFrame, key: str, other: str) -> DataFrame:
+        of = sets.select(F.col("id").alias(key), F.col("h").alias("h" + key))
+        return salted_join(rows, of, [key], F.col(other)) if most(key) > HOT_PAIRS else rows.join(of, key)
+
+    both = with_set(with_set(pairs, "a", "b"), "b", "a")
     both = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("both"))
     return cut(both.filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b"))
 
