@@ -257,12 +257,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     lists = posts.select("token", "g", "n", "pos").join(spread, ["g", "n"])
     mixed = lists.groupBy("token").agg(F.min("c0").alias("low"), F.max("c1").alias("high")).filter("low <> high").select("token")
     lists = lists.join(mixed, "token", "left_semi").join(bits.withColumnRenamed("id", "g"), ["g", "n"]).join(far, ["g", "n"], "left")
-    # Sizes that fit lie in the same band or in neighbouring ones, so a long list is joined band by band.
+    # Sizes that fit lie in the same band or in neighbouring ones, so a long list is joined band by band: each group, as
+    # the smaller one of a pair, meets its own band and the next.
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
     lists = cut(lists.select("token", "g", "n", "pos", "c0", "c1", F.coalesce("radius", F.lit(0)).alias("radius"), "bits", band.alias("band")))
-    x, y = lists.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1))))).alias("x"), lists.alias("y")
+    x, y = lists.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x"), lists.alias("y")
     same = (F.col("x.c0") == F.col("x.c1")) & (F.col("y.c0") == F.col("y.c1")) & (F.col("x.c0") == F.col("y.c0"))
-    cheap = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.struct("x.g", "x.n") < F.struct("y.g", "y.n")) & ~same & _sizes(F.col("x.n"), F.col("y.n"), percent)
+    cheap = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.struct("x.n", "x.g") < F.struct("y.n", "y.g")) & ~same & _sizes(F.col("x.n"), F.col("y.n"), percent)
     pairs = x.join(y, cheap & _position(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent) & _may(F.col("x.n"), F.col("y.n"), _differ("x.bits", "y.bits") - F.col("x.radius") - F.col("y.radius"), percent))
     pairs = pairs.select(F.col("x.g").alias("gx"), F.col("y.g").alias("gy"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))
     torn = spread.filter("c0 <> c1").select(F.col("g").alias("gx"), F.col("g").alias("gy"), F.col("n").alias("nx"), F.col("n").alias("ny"))

@@ -89,6 +89,7 @@ def brute_near(texts, k, percent):
 @pytest.mark.parametrize(("k", "percent", "hot"), [(3, 90, 10_000), (5, 80, 4)])
 def test_near_duplicates(spark, monkeypatch, k, percent, hot):
     monkeypatch.setattr(jaccard_join, "HOT_LIST", hot)
+    monkeypatch.setattr(jaccard_join, "HOT_PAIRS", 0 if hot < 100 else 1_000)
     r = random.Random(k)
     texts = [*ODD, "one two", "ONE TWO"]
     for _ in range(6):
