@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm import merkle
+from lumenreel.llm import fim, merkle
 from lumenreel.llm.common import cut, n_words, table
 from lumenreel.llm.exact_dedup import exact_duplicates
 from lumenreel.llm.jaccard_join import near_duplicates
@@ -130,10 +130,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = cut(fim.store(table(spark, sf_dir, "documents")))
+    return fim.digests(fim.examples(stored, seed=42, rate=50, spm=80))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+') AS u,
+    sha256('42:' || doc_id) AS d
+  FROM documents),
+h AS (SELECT *, len(u) AS n, ('0x' || d[1:8])::UBIGINT AS h1, ('0x' || d[9:16])::UBIGINT AS h2, ('0x' || d[17:24])::UBIGINT AS h3, ('0x' || d[25:32])::UBIGINT AS h4 FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_language_id, op2_warc_merkle_audit, op3_ngram_jaccard_join, op4_url_filter, op5_mixing, op6_line_dedup, op7_packing, op8_quality_rules, op9_exact_dedup, op10_toxicity)
+    all_ = (op1_language_id, op2_warc_merkle_audit, op3_ngram_jaccard_join, op4_url_filter, op5_mixing, op6_line_dedup, op7_packing, op8_quality_rules, op9_exact_dedup, op10_toxicity, op11_fill_in_middle)
     return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_merkle_audit": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_warc_merkle_audit": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
