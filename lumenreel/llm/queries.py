@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm import fim, merkle
+from lumenreel.llm import fim, merkle, vector_codes
 from lumenreel.llm.common import cut, n_words, table
 from lumenreel.llm.exact_dedup import exact_duplicates
 from lumenreel.llm.jaccard_join import near_duplicates
@@ -153,10 +153,32 @@ FROM p
 """
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+_NEAREST = "(SELECT x.vec_id, x.part, min({{'d': (x.x0 - c.x0) * (x.x0 - c.x0) + (x.x1 - c.x1) * (x.x1 - c.x1) + (x.x2 - c.x2) * (x.x2 - c.x2) + (x.x3 - c.x3) * (x.x3 - c.x3), 'k': c.k}}) AS m FROM x JOIN {c} c USING (part) GROUP BY ALL)"
+_MOVED = """(SELECT c.part, c.k, coalesce(m.x0, c.x0) AS x0, coalesce(m.x1, c.x1) AS x1, coalesce(m.x2, c.x2) AS x2, coalesce(m.x3, c.x3) AS x3
+  FROM {c} c LEFT JOIN (SELECT a.part, a.m.k AS k, floor(sum(x0)::DOUBLE / count(*))::BIGINT AS x0, floor(sum(x1)::DOUBLE / count(*))::BIGINT AS x1,
+    floor(sum(x2)::DOUBLE / count(*))::BIGINT AS x2, floor(sum(x3)::DOUBLE / count(*))::BIGINT AS x3 FROM {a} a JOIN x USING (vec_id, part) GROUP BY ALL) m USING (part, k))"""
+OP13_SQL = f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, part, v[4 * part + 1] AS x0, v[4 * part + 2] AS x1, v[4 * part + 3] AS x2, v[4 * part + 4] AS x3 FROM e, range(16) t(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x0, x1, x2, x3 FROM x WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT 64)),
+a0 AS MATERIALIZED {_NEAREST.format(c='c0')}, c1 AS MATERIALIZED {_MOVED.format(c='c0', a='a0')},
+a1 AS MATERIALIZED {_NEAREST.format(c='c1')}, c2 AS MATERIALIZED {_MOVED.format(c='c1', a='a1')},
+a2 AS MATERIALIZED {_NEAREST.format(c='c2')},
+r AS (SELECT vec_id, string_agg(printf('%02x', m.k), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x0 || ',' || x1 || ',' || x2 || ',' || x3, ',' ORDER BY part, k)) FROM c2) AS codebooks_sha256
+FROM r JOIN e USING (vec_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_language_id, op2_warc_merkle_audit, op3_ngram_jaccard_join, op4_url_filter, op5_mixing, op6_line_dedup, op7_packing, op8_quality_rules, op9_exact_dedup, op10_toxicity, op11_fill_in_middle)
+    all_ = (op1_language_id, op2_warc_merkle_audit, op3_ngram_jaccard_join, op4_url_filter, op5_mixing, op6_line_dedup, op7_packing, op8_quality_rules, op9_exact_dedup, op10_toxicity, op11_fill_in_middle, op13_vector_codes)
     return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_merkle_audit": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op2_warc_merkle_audit": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op13_vector_codes": OP13_SQL}
