@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm import fim, merkle, vector_codes
+from lumenreel.llm import fim, merkle, pii, vector_codes
 from lumenreel.llm.common import cut, n_words, table
 from lumenreel.llm.exact_dedup import exact_duplicates
 from lumenreel.llm.jaccard_join import near_duplicates
@@ -153,6 +153,14 @@ FROM p
 """
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["score"].isNull())
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(count, pii.KINDS), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
@@ -176,7 +184,7 @@ FROM r JOIN e USING (vec_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_language_id, op2_warc_merkle_audit, op3_ngram_jaccard_join, op4_url_filter, op5_mixing, op6_line_dedup, op7_packing, op8_quality_rules, op9_exact_dedup, op10_toxicity, op11_fill_in_middle, op13_vector_codes)
+    all_ = (op1_language_id, op2_warc_merkle_audit, op3_ngram_jaccard_join, op4_url_filter, op5_mixing, op6_line_dedup, op7_packing, op8_quality_rules, op9_exact_dedup, op10_toxicity, op11_fill_in_middle, op12_personal_data, op13_vector_codes)
     return {f.__name__: f for f in all_}
 
 
