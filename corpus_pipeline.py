@@ -56,7 +56,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = near_duplicates(rows.select(F.col("id").alias("doc_id"), "row.text"), k=5, percent=80)
     kept = rows.join(found.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     if odd:
-        kept = kept.groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        plain = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # others have no hash
+        kept = kept.groupBy("id").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
     return kept.select("row.*")
 
 

@@ -8,12 +8,13 @@ all others, so that no content is lost.
 
 Lines are split at ``\n`` and compared after runs of ASCII white space have become one space and outer spaces are gone;
 empty ones do not count.  A short line (fewer than ``min_words`` words, like a menu entry or a one-word sentence) says
-little by itself, so its spread is that of the *pair* with the line before or behind it: short lines go where a pair of
-at least ``min_words`` words reaches the threshold, long ones by their own spread only.
+little by itself, so its spread is that of the *run* of lines that it is in: from each line on, as many as have
+``min_words`` words together, and the same back from a text's short last line.  Short lines go where such a run reaches the
+threshold, long ones by their own spread only.  A text of fewer words is a run of its own, which equals no run inside others.
 
 A null source is a site of its own.  Null texts stay null, texts without lines to remove are returned as they are.
-Repeated rows hold their lines at the same place, and so keep or lose them together.  Rows without ``doc_id`` are
-returned unchanged.  Other columns are carried in ``row``, where no name can clash.  Boilerplate is looked up in a
+Repeated rows hold their lines at the same place, and so keep or lose them together; different texts under one id keep and
+lose lines each for itself.  Rows without ``doc_id`` are returned unchanged.  Other columns are carried in ``row``, where no name can clash.  Boilerplate is looked up in a
 broadcast table of at most BROADCAST_LINES rows; beyond that, in SALTS shares of each line.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from math import ceil, sqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenreel.llm.common import cut
@@ -32,23 +33,49 @@ SALTS = 16
 
 
 def _units(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, site, pos, gone, h, salt): long lines, and pairs with a short one; ``gone``: the places that may go."""
+    """(doc_id, text_id, site, pos, gone, h, salt): long lines, and runs with short ones; ``gone``: the places that may go."""
     spaced = F.trim(F.regexp_replace(F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]+", " "), " ?\n ?", "\n"))
-    words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
+    words = lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1
     lines = F.filter(F.transform(F.split(spaced, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"] != "")
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("site"), lines.alias("lines"))
-    rows = rows.select("doc_id", "site", F.explode(F.transform("lines", lambda x, k: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.get("lines", k + 1).alias("next")))).alias("x"))
-    rows = rows.select("doc_id", "site", "x.*").select("*", words.alias("n"), (F.length("next.line") - F.length(F.translate("next.line", " ", "")) + 1).alias("m"))
+    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("site"), lines.alias("lines"))
+
+    def around(x: Column, k: Column) -> Column:
+        """A line with the next one, and where these two have too few words, or there is no next, with what else its runs may need."""
+        after, alone = F.get("lines", k + 1), words(x["line"]) < min_words
+        more = F.when(alone & (words(x["line"]) + words(after["line"]) < min_words), F.slice("lines", k + 3, max(1, min_words - 2)))
+        back = F.when(alone & after.isNull(), F.reverse(F.slice("lines", F.greatest(F.lit(1), k + 2 - min_words), F.least(F.lit(min_words - 1), k))))
+        return F.struct(x["pos"].alias("pos"), x["line"].alias("line"), after.alias("next"), more.alias("more"), back.alias("back"))
+
+    rows = rows.select("doc_id", "text_id", "site", F.explode(F.transform("lines", around)).alias("x"))
+    rows = rows.select("doc_id", "text_id", "site", "x.*").select("*", words("line").alias("n"), words("next.line").alias("m"))
     short, after = F.col("n") < min_words, F.col("m") < min_words
-    own = F.when(~short, F.struct(F.array("pos").alias("gone"), F.col("line").alias("unit")))
-    places = F.array_compact(F.array(F.when(short, F.col("pos")), F.when(after, F.col("next.pos"))))
-    pair = F.when((short | after) & (F.col("n") + F.col("m") >= min_words), F.struct(places.alias("gone"), F.concat("line", F.lit("\n"), "next.line").alias("unit")))
-    rows = rows.select("doc_id", "site", "pos", F.explode(F.array_compact(F.array(own, pair))).alias("u"))
-    return rows.select("doc_id", "site", "pos", "u.gone", F.unhex(F.md5(F.col("u.unit").cast("binary"))).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    unit = lambda pos, gone, text: F.struct(pos.alias("pos"), gone.alias("gone"), text.alias("unit"))
+    own = F.when(~short, unit(F.col("pos"), F.array("pos"), F.col("line")))
+    two = F.array_compact(F.array(F.when(short, F.col("pos")), F.when(after, F.col("next.pos"))))
+    pair = F.when((short | after) & (F.col("n") + F.col("m") >= min_words), unit(F.col("pos"), two, F.concat("line", F.lit("\n"), "next.line")))
+
+    def run(first: Column, others: Column, before: bool) -> Column:
+        """Lines are added to the first ones while these have too few words: (pos, gone, unit, n)."""
+
+        def add(acc: Column, y: Column) -> Column:
+            n = words(y["line"])
+            text = F.concat(y["line"], F.lit("\n"), acc["unit"]) if before else F.concat(acc["unit"], F.lit("\n"), y["line"])
+            gone = F.when(n < min_words, F.concat(acc["gone"], F.array(y["pos"]))).otherwise(acc["gone"])
+            longer = F.struct((y["pos"] if before else acc["pos"]).alias("pos"), gone.alias("gone"), text.alias("unit"), (acc["n"] + n).alias("n"))
+            return F.when(acc["n"] >= min_words, acc).otherwise(longer)
+
+        return F.aggregate(others, first, add)
+
+    ahead = run(F.struct(F.col("pos").alias("pos"), F.array("pos", "next.pos").alias("gone"), F.concat("line", F.lit("\n"), "next.line").alias("unit"), (F.col("n") + F.col("m")).alias("n")), F.col("more"), False)
+    tail = run(F.struct(F.col("pos").alias("pos"), F.array("pos").alias("gone"), F.col("line").alias("unit"), F.col("n").alias("n")), F.col("back"), True)
+    ahead = F.when(F.col("more").isNotNull() & (ahead["n"] >= min_words), unit(ahead["pos"], ahead["gone"], ahead["unit"]))
+    tail = F.when(F.col("back").isNotNull(), unit(tail["pos"], tail["gone"], F.when(tail["n"] >= min_words, tail["unit"]).otherwise(F.concat(tail["unit"], F.lit("\n")))))
+    rows = rows.select("doc_id", "text_id", "site", F.explode(F.array_compact(F.array(own, F.coalesce(pair, ahead), tail))).alias("u"))
+    return rows.select("doc_id", "text_id", "site", "u.pos", "u.gone", F.unhex(F.md5(F.col("u.unit").cast("binary"))).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 3, lg_k: int = 12) -> DataFrame:
-    """(h, first): digests of lines and pairs that at least ``min_sites`` sites hold, and the first (doc_id, pos) of each."""
+    """(h, first): digests of lines and runs that at least ``min_sites`` sites hold, and the first (doc_id, pos) of each."""
     return _common(cut(_units(docs, min_words)), min_sites, lg_k)
 
 
@@ -73,8 +100,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 3,
     """(row, text, n_lines, n_removed): the rows of ``docs(doc_id, text, source, ...)``, and their texts without boilerplate."""
     units = cut(_units(docs, min_words))  # digests and places only: a small part of the text, and used three times
     hits = _looked_up(units, _common(units, min_sites, lg_k)).filter(F.struct("doc_id", "pos") > F.col("first"))
-    gone = cut(hits.select("doc_id", F.explode("gone").alias("pos")).groupBy("doc_id").agg(F.collect_set("pos").alias("gone")))  # at most a document's lines
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"), F.split("text", "\n").alias("lines")).join(gone, "doc_id", "left")
+    gone = cut(hits.select("doc_id", "text_id", F.explode("gone").alias("pos")).groupBy("doc_id", "text_id").agg(F.collect_set("pos").alias("gone")))  # at most a text's lines
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.struct("*").alias("row"), F.split("text", "\n").alias("lines")).join(gone, ["doc_id", "text_id"], "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda p: F.get("lines", p)), "\n"))
     return rows.select("row", text.alias("text"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

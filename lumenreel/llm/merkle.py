@@ -10,7 +10,7 @@ differ are single records compared.  The levels are kept as tables, so an audit
 
 Null bodies count as empty.  Records without a file or an offset cannot be placed and are reported as ``unplaced``.
 Repeated records (same file and offset) are leaves of their own, ordered by hash.  Empty replicas have no roots; a record
-that one replica lacks is reported as missing.  Other columns are ignored.
+that one replica lacks is reported as missing.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ def digest(body: Column) -> Column:
     return F.sha2(F.coalesce(body.cast("binary"), F.lit("").cast("binary")), 256)
 
 
-def hashed(records: DataFrame) -> DataFrame:
-    """(file, offset, hash) of ``records(file, offset, body)``, or of records that have their ``hash`` already."""
-    return records.select("file", F.col("offset").cast("long"), F.col("hash") if "hash" in records.columns else digest(F.col("body")).alias("hash"))
+def hashed(records: DataFrame, hash_column: str | None = None) -> DataFrame:
+    """(file, offset, hash) of ``records(file, offset, body)``; of records that are hashed already, where ``hash_column`` says so."""
+    return records.select("file", F.col("offset").cast("long"), (F.col(hash_column) if hash_column else digest(F.col("body"))).alias("hash"))
 
 
-def leaves(records: DataFrame) -> DataFrame:
+def leaves(records: DataFrame, hash_column: str | None = None) -> DataFrame:
     """(file, offset, hash) of the records that have a place."""
-    return hashed(records).filter("file is not null and offset is not null")
+    return hashed(records, hash_column).filter("file is not null and offset is not null")
 
 
 def tree(leaf: DataFrame, span: int = 1 << 20, fanout: int = 16, height: int | None = None) -> list[DataFrame]:
@@ -52,13 +52,14 @@ def _unequal(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.alias("a").join(b.alias("b"), ["file", "node"], "full_outer").filter(~F.col("a.hash").eqNullSafe(F.col("b.hash"))).select("file", "node")
 
 
-def audit(a: DataFrame, b: DataFrame, span: int = 1 << 20, fanout: int = 16) -> DataFrame:
+def audit(a: DataFrame, b: DataFrame, span: int = 1 << 20, fanout: int = 16, hash_column: str | None = None) -> DataFrame:
     """Records in which two replicas differ: file, offset, status, hash_a, hash_b.
 
     ``status``: ``differs``, ``missing_in_a``, ``missing_in_b``, or ``unplaced`` (no file or offset).
+    ``hash_column``: a column of both replicas that has the bodies' SHA-256 already; without it bodies are hashed here.
     """
-    a, b = cut(hashed(a)), cut(hashed(b))
-    la, lb = leaves(a), leaves(b)
+    a, b = cut(hashed(a, hash_column)), cut(hashed(b, hash_column))
+    la, lb = leaves(a, "hash"), leaves(b, "hash")
     ta, tb = tree(la, span, fanout), tree(lb, span, fanout)
     height = max(len(ta), len(tb))
     ta, tb = (t if len(t) == height else tree(x, span, fanout, height) for t, x in ((ta, la), (tb, lb)))

@@ -49,7 +49,7 @@ def op2_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("page_id", "file", F.octet_length("body").alias("length"), merkle.digest(F.col("body")).alias("a"), merkle.digest(other).alias("b"), lost.alias("lost"))
     rows = cut(merkle.with_offsets(rows, "page_id"))
     a, b = rows.select("file", "offset", F.col("a").alias("hash")), rows.filter("not lost").select("file", "offset", F.col("b").alias("hash"))
-    return merkle.audit(a, b, span=1 << 16, fanout=8)
+    return merkle.audit(a, b, span=1 << 16, fanout=8, hash_column="hash")
 
 
 OP2_SQL = """
@@ -85,23 +85,33 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH l AS (
-  SELECT doc_id, coalesce('=' || source, '') AS site, unnest(string_split(text, chr(10))) AS line,
+  SELECT doc_id, text AS whole, coalesce('=' || source, '') AS site, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents),
 n AS (SELECT *, trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS norm FROM l),
-f AS (SELECT doc_id, site, pos, norm, length(norm) - length(replace(norm, ' ', '')) + 1 AS words FROM n WHERE norm <> ''),
-p AS (SELECT *, lead(norm) OVER w AS norm2, lead(pos) OVER w AS pos2, lead(words) OVER w AS words2 FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT doc_id, whole, site, pos, norm, length(norm) - length(replace(norm, ' ', '')) + 1 AS words FROM n WHERE norm <> ''),
+p AS (
+  SELECT *, lead(norm) OVER w AS norm2, lead(pos) OVER w AS pos2, lead(words) OVER w AS words2, lead(norm, 2) OVER w AS norm3, lead(pos, 2) OVER w AS pos3, lead(words, 2) OVER w AS words3,
+    lag(norm) OVER w AS norm0, lag(pos) OVER w AS pos0, lag(words) OVER w AS words0, lag(norm, 2) OVER w AS norm00, lag(pos, 2) OVER w AS pos00, lag(words, 2) OVER w AS words00
+  FROM f WINDOW w AS (PARTITION BY doc_id, whole, site ORDER BY pos)),
 u AS (
-  SELECT doc_id, site, pos, [pos] AS places, norm AS unit FROM p WHERE words >= 3
-  UNION ALL SELECT doc_id, site, pos, list_filter([CASE WHEN words < 3 THEN pos END, CASE WHEN words2 < 3 THEN pos2 END], lambda x: x IS NOT NULL), norm || chr(10) || norm2
-  FROM p WHERE (words < 3 OR words2 < 3) AND words + words2 >= 3),
+  SELECT doc_id, whole, site, pos, [pos] AS places, norm AS unit FROM p WHERE words >= 3
+  UNION ALL SELECT doc_id, whole, site, pos, [CASE WHEN words < 3 THEN pos END, CASE WHEN words2 < 3 THEN pos2 END], norm || chr(10) || norm2
+  FROM p WHERE (words < 3 OR words2 < 3) AND words + words2 >= 3
+  UNION ALL SELECT doc_id, whole, site, pos, [pos, pos2, CASE WHEN words3 < 3 THEN pos3 END], norm || chr(10) || norm2 || chr(10) || norm3
+  FROM p WHERE words + words2 < 3 AND norm3 IS NOT NULL
+  UNION ALL SELECT doc_id, whole, site, pos, [pos], norm || chr(10) FROM p WHERE norm2 IS NULL AND words < 3 AND norm0 IS NULL
+  UNION ALL SELECT doc_id, whole, site, pos0, [CASE WHEN words0 < 3 THEN pos0 END, pos], norm0 || chr(10) || norm FROM p WHERE norm2 IS NULL AND words < 3 AND words0 + words >= 3
+  UNION ALL SELECT doc_id, whole, site, pos0, [pos0, pos], norm0 || chr(10) || norm || chr(10) FROM p WHERE norm2 IS NULL AND words0 + words < 3 AND norm00 IS NULL
+  UNION ALL SELECT doc_id, whole, site, pos00, [CASE WHEN words00 < 3 THEN pos00 END, pos0, pos], norm00 || chr(10) || norm0 || chr(10) || norm
+  FROM p WHERE norm2 IS NULL AND words0 + words < 3 AND norm00 IS NOT NULL),
 c AS (SELECT unit, min({'d': doc_id, 'p': pos}) AS first FROM u GROUP BY unit HAVING count(DISTINCT site) >= 8),
-g AS (SELECT DISTINCT u.doc_id, unnest(places) AS pos FROM u JOIN c USING (unit) WHERE {'d': u.doc_id, 'p': u.pos} > c.first),
-k AS (SELECT l.doc_id, l.pos, line, g.pos IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos),
+g AS (SELECT DISTINCT u.doc_id, u.whole, unnest(places) AS pos FROM u JOIN c USING (unit) WHERE {'d': u.doc_id, 'p': u.pos} > c.first),
+k AS (SELECT l.doc_id, l.whole, l.pos, line, g.pos IS NOT NULL AS gone FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.whole = g.whole AND l.pos = g.pos),
 d AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
-  FROM k GROUP BY doc_id)
+  FROM k GROUP BY doc_id, whole)
 SELECT doc_id, n_lines, n_removed, CAST(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS kept_words, md5(text) AS text_md5 FROM d
 UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
 """

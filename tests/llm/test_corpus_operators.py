@@ -211,10 +211,17 @@ def brute_lines(texts, source, min_sites, min_words=3):
     for d, t in enumerate(texts):
         lines = [(p, norm(x)) for p, x in enumerate(t.split("\n") if t is not None else []) if norm(x)]
         found = [((x,), p, [p]) for p, x in lines if len(x.split()) >= min_words]
-        for (p, x), (q, y) in zip(lines, lines[1:]):
-            some = [i for i, z in ((p, x), (q, y)) if len(z.split()) < min_words]
-            if some and len(f"{x} {y}".split()) >= min_words:
-                found.append(((x, y), p, some))
+        n = [len(x.split()) for _, x in lines]
+
+        def run(i, j):
+            found.append((tuple(x for _, x in lines[i:j]) + (() if sum(n[i:j]) >= min_words else ("end",)), lines[i][0], [p for (p, _), m in zip(lines[i:j], n[i:j], strict=True) if m < min_words]))  # noqa: B023
+
+        for i in range(len(lines)):
+            j = next((j for j in range(i + 2, len(lines) + 1) if sum(n[i:j]) >= min_words), None)
+            if j and min(n[i:j]) < min_words:
+                run(i, j)
+        if lines and n[-1] < min_words:
+            run(next((i for i in range(len(lines) - 1, -1, -1) if sum(n[i:]) >= min_words), 0), len(lines))
         for unit, p, _ in found:
             spread[unit].add(source[d])
             first.setdefault(unit, (d, p))
@@ -247,6 +254,36 @@ def test_line_dedup(spark, monkeypatch, most):
     assert boilerplate(frame(spark, [])).count() == 0 and remove_boilerplate(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_menus(spark):
+    """Runs of one-word lines go but for their first place, at a text's start, inside it, at its end, and as a whole text."""
+    menu = "Home\nAbout\nContact"
+    bodies = [menu, f"{menu}\nown words of document number %d", f"own words of document number %d\n\n{menu}", f"first own words %d\n{menu}\nlast own words %d", "Bye", "own words are here %d\nBye"]
+    rows = [(i, bodies[i % 6].replace("%d", str(i)), f"s{i // 6}") for i in range(72)]
+    got = [x.text for x in remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).orderBy("row.doc_id").collect()]
+    for i, t in enumerate(got):
+        assert ("About" in t) == (i in (0,)), (i, t)
+        assert "own words" not in bodies[i % 6] or f" {i}" in t
+    assert sum(t == "Bye" for t in got) == 1 and all(t.endswith("Bye") for t in got[5::6])
+
+
+@pytest.mark.parametrize("min_words", [1, 2, 3, 5])
+def test_line_dedup_runs(spark, min_words):
+    r = random.Random(min_words)
+    texts = ["\n".join(r.choice(["a", "b", "a b", "c", "", "a b c", "d e f g h i"]) for _ in range(r.randrange(0, 7))) for _ in range(150)]
+    source = [f"s{r.randrange(9)}" for _ in texts]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, source, strict=True))], "doc_id long, text string, source string")
+    got = {x.row.doc_id: (x.text, x.n_lines, x.n_removed) for x in remove_boilerplate(df, min_sites=5, min_words=min_words).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, source, 5, min_words)
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Two texts under one id lose nothing of each other."""
+    rows = [(i, "a line that every site has", f"s{i}") for i in range(12)] + [(20, "own start\na line that every site has", "s1"), (20, "the only copy of an important sentence\nsecond line of that other text", "s2")]
+    got = sorted((x.row.doc_id, x.text) for x in remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got[0] == (0, rows[0][1]) and got[1:12] == [(i, "") for i in range(1, 12)]
+    assert got[12:] == [(20, "own start"), (20, rows[-1][1])]
+
+
 def test_line_dedup_long_text(spark):
     """One text of 200,000 lines, half of them boilerplate."""
     rows = [(0, "some shared line", "s0"), *((i, "some shared line", f"s{i}") for i in range(2, 12)), (12, "\n".join(f"own line {i}\nsome shared line" for i in range(100_000)), "s1")]
@@ -672,6 +709,10 @@ def test_merkle(spark):
     b = spark.createDataFrame(other, "file string, offset long, body string")
     got = sorted((x.file or "", x.offset if x.offset is not None else -1, x.status) for x in merkle.audit(a, b, span=100, fanout=3).collect())
     assert got == [("", 1, "unplaced"), ("a", 80, "differs"), ("b", -1, "unplaced"), ("b", 120, "missing_in_b"), ("c", 3960, "differs"), ("d", 0, "missing_in_a")]
+    extra = lambda x, n: x.withColumns({"hash": F.lit("same"), "node": F.lit(n), "nth": F.lit("z"), "status": F.lit(None).cast("string")})
+    assert sorted((x.file or "", x.offset if x.offset is not None else -1, x.status) for x in merkle.audit(extra(a, 1), extra(b, 2), span=100, fanout=3).collect()) == got
+    ready = merkle.hashed(a).withColumnRenamed("hash", "sha"), merkle.hashed(b).withColumnRenamed("hash", "sha")
+    assert merkle.audit(*ready, span=100, fanout=3, hash_column="sha").count() == len(got)
     placed = a.filter("file is not null and offset is not null")
     assert merkle.audit(placed, placed.repartition(3)).count() == 0
     assert merkle.audit(placed.limit(0), placed.limit(0)).count() == 0

@@ -75,6 +75,15 @@ def test_line_dedup_keeps_short_bodies(spark):
     assert got == {0: rows[0][1]} | {i: f"own body {i} stands nowhere else" for i in range(1, 6)}
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    """Two texts under one id lose nothing of each other in the stage either."""
+    rows = [(i, f"a line that every site has\nbody {i} of its own", "en", f"s{i}", 0) for i in range(12)]
+    rows += [(20, "own start here\na line that every site has", "en", "s1", 0), (20, "the only copy of an important sentence\nsecond line of that other text", "en", "s2", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(x.doc_id, x.text) for x in P.line_dedup(spark, docs, "").collect()}
+    assert got == {(0, rows[0][1])} | {(i, f"body {i} of its own") for i in range(1, 12)} | {(20, "own start here"), (20, rows[-1][1])}
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Different texts under one id all stay; equal ones under one id, and near copies of others, go."""
     r = random.Random(4)
@@ -95,7 +104,8 @@ def test_odd_tables(spark, tmp_path):
     """Nulls in every column, repeated rows, extra columns with clashing names, and an empty table go through all stages."""
     text = " ".join(f"v{i}" for i in range(80))
     rows = [(None, None, None, None, None, 1, "g"), (None, text, None, None, None, 1, "g"), (1, text, "en", "s", 5, 2, "h"), (1, text, "en", "s", 5, 2, "h"), (2, "x " * 100_000, "en", "s", 5, 3, "i")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _n_lines int, row string"
+    rows = [(*x, {"k": i}) for i, x in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _n_lines int, row string, m map<string,int>"
     for n, data in enumerate((rows, [])):
         docs = spark.createDataFrame(data, schema)
         for name, stage in P.STAGES:
