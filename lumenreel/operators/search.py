@@ -6,21 +6,22 @@ Distances are computed where vectors are scanned; only keys and distances are sh
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenreel.functions.text import unique_strings
-from lumenreel.functions.vectors import cosine_distance, is_vector, normalised, similarity
-from lumenreel.sources.io import scratch
+from lumenreel.functions.vectors import cosine_distance, is_vector, similarity
 
 MODES = ("text", "image")
-#: Query vectors that one pass over the corpus answers; a block is what a task holds besides its rows.
-QUERY_BLOCK = 2048
+#: Most queries, and most rows, that meet in one task, and most distances that it holds at once.
+QUERY_BLOCK = 4096
+ROW_BLOCK = 65_536
+PRODUCT = 4_000_000
 
 
 def check_arguments(query: Sequence[float], mode: str, k: int, dimension: int | None = None) -> list[float]:
@@ -112,10 +113,10 @@ class Winners:
         self.k, self.worst = k, np.full(n, np.inf)
         self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
 
-    def add(self, at: np.ndarray, d: np.ndarray, keys: np.ndarray) -> None:
-        """Rows with ``keys`` and their distances ``d`` to the queries with numbers ``at``."""
-        for i in np.flatnonzero((d <= self.worst[at, None]).any(axis=1)):
-            q, row = at[i], d[i]
+    def add(self, d: np.ndarray, keys: np.ndarray) -> None:
+        """Rows with ``keys`` and their distances ``d`` to all queries."""
+        for q in np.flatnonzero((d <= self.worst[:, None]).any(axis=1)):
+            row = d[q]
             limit = min(self.worst[q], np.partition(row, self.k - 1)[self.k - 1]) if len(row) > self.k else self.worst[q]
             some = np.flatnonzero(row <= limit)
             x, y = row[some], keys[some]
@@ -126,99 +127,66 @@ class Winners:
             if len(top) == self.k:
                 self.worst[q] = x[top[-1]]
 
-    def frame(self, ids: np.ndarray, key: str) -> pd.DataFrame:
-        full = [(i, *b) for i, b in zip(ids, self.best, strict=True) if b is not None]
-        if not full:
-            return pd.DataFrame({"query_id": [], key: [], "distance": []})
-        return pd.DataFrame({"query_id": np.repeat([i for i, _, _ in full], [len(x) for _, x, _ in full]), key: np.concatenate([y for _, _, y in full]), "distance": np.concatenate([x for _, x, _ in full])})
-
-
-def _scan_blocks(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int, centroids: np.ndarray | None = None, probes: int = 0) -> DataFrame:
-    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
-    schema = f"query_id {kind}, {key} {kind}, distance double"
-    first = queries.filter(F.size(vector) > 0).select(F.size(vector)).first()
-    dimension = first[0] if first else 0
-    usable = lambda df: df.filter(F.col(key).isNotNull() & is_vector(F.col(vector), dimension) & F.exists(vector, lambda x: x != 0))
-    queries = usable(queries).select(key, vector)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    columns = [key, vector] if centroids is None else [key, vector, "list"]
-    rows, parts, folder = usable(rows).select(*columns), None, scratch(spark) if blocks > 1 else ""
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).orderBy(key).toPandas()
-        q = _unit(block[vector])
-        near = None if centroids is None else np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes]
-        sent = spark.sparkContext.broadcast((block[key].to_numpy(), q, near))
-
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q, near = sent.value
-            won = Winners(len(ids), k)
-            for pdf in batches:
-                for i in range(0, len(pdf) if len(ids) else 0, 4096):
-                    part = pdf.iloc[i : i + 4096]
-                    x, keys = _unit(part[vector]), part[key].to_numpy()
-                    if near is None:
-                        won.add(np.arange(len(ids)), np.round(1 - q @ x.T, 12), keys)
-                        continue
-                    lists = part["list"].to_numpy()
-                    for c in np.unique(lists):
-                        at = np.flatnonzero((near == c).any(axis=1))
-                        if len(at):
-                            won.add(at, np.round(1 - q[at] @ x[lists == c].T, 12), keys[lists == c])
-            yield won.frame(ids, key)
-
-        found = rows.mapInPandas(scan, schema)
-        if blocks > 1:  # one block after the other: the driver holds one, and the plan does not grow
-            found.write.mode("append").parquet(folder)
-        else:
-            parts = found
-    parts = parts if parts is not None else spark.read.schema(schema).parquet(folder)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", key))
-    return parts.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def _unit(vectors: pd.Series) -> np.ndarray:
-    if not len(vectors):
-        return np.zeros((0, 1))
-    m = np.stack(vectors.map(lambda v: np.asarray(v, np.float64)).to_list())
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    def rows(self) -> tuple[np.ndarray, list, list]:
+        """(number of the query, key, distance) of all winners."""
+        full = [(i, *b) for i, b in enumerate(self.best) if b is not None]
+        at = np.repeat(np.array([i for i, _, _ in full], np.int64), [len(x) for _, x, _ in full])
+        return at, [v for _, _, y in full for v in y.tolist()], [v for _, x, _ in full for v in x.tolist()]
 
 
-def nearest_of_many(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int) -> DataFrame:
-    """Top-k rows for each row of ``queries``: (query_id, key, distance, rank).
+def matrix(column: pa.ChunkedArray, unit: bool = True) -> np.ndarray:
+    """A list column of equal lengths as rows of a matrix, to unit norm if so asked."""
+    if not len(column):
+        return np.zeros((0, 1))
+    m = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return m / np.linalg.norm(m, axis=1, keepdims=True) if unit else m
 
-    Queries are taken in blocks of bounded size; each block is one pass of matrix products over the corpus, in which
-    every task keeps k rows a query, and a window ranks these partial winners.  Null, zero and not finite vectors, and
-    those of another dimension than the first query's, neither ask nor answer.  Distances are rounded to 12 digits.
-    """
-    return _scan_blocks(rows, queries, vector, key, k)
 
+def usable(df: DataFrame, key: str, vector: str, dimension: int) -> DataFrame:
+    """Rows with a key and a vector of that many finite components, not all of them zero."""
+    return df.filter(F.col(key).isNotNull() & is_vector(F.col(vector), dimension) & F.exists(vector, lambda x: x != 0))
 
-def cluster_index(rows: DataFrame, vector: str, key: str, dimension: int, lists: int = 64, sample: int = 100_000, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """An index of all usable vectors, (key, vector, list), and the unit centroids of its lists.
 
-    Centroids are fitted by k-means on a hash sample of about ``sample`` rows; every row is in the list of its nearest one.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def dimension_of(df: DataFrame, vector: str) -> int:
+    first = df.filter(F.size(vector) > 0).select(F.size(vector)).first()
+    return first[0] if first else 0
 
-    usable = rows.filter(F.col(key).isNotNull() & is_vector(F.col(vector), dimension) & F.exists(vector, lambda x: x != 0))
-    unit = usable.select(key, vector, array_to_vector(normalised(F.col(vector))).alias("unit"))
-    share = min(1.0, sample / max(1, unit.count()))
-    some = unit.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select("unit")
-    if some.isEmpty():
-        return usable.select(key, vector, F.lit(0).alias("list")), np.ones((1, dimension))
-    model = KMeans(featuresCol="unit", predictionCol="list", k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(some)
-    centres = np.stack(model.clusterCenters())
-    return model.transform(unit).select(key, vector, "list"), centres / np.maximum(1e-12, np.linalg.norm(centres, axis=1, keepdims=True))
 
+def ranked(found: DataFrame, key: str, k: int, by: str = "distance") -> DataFrame:
+    """The first ``k`` rows of each query; only a task's own first ``k`` are shuffled."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(by, key))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
-def nearest_approximate(index: DataFrame, centroids: np.ndarray, queries: DataFrame, vector: str, key: str, k: int, probes: int = 32) -> DataFrame:
-    """Top-k rows for each query among the rows of its ``probes`` nearest lists, by exact distances: as nearest_of_many.
 
-    Clustered vectors need few probes.  Independent ones have near neighbours in all directions: for a recall of 0.9 in 64
-    dimensions half of the lists have to be looked at, hence the default.
+def nearest_of_many(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int) -> DataFrame:
+    """Top-k rows for each row of ``queries``: (query_id, key, distance, rank).
+
+    Queries and rows are dealt into blocks of bounded size by hash, and each pair of blocks is one matrix product in one
+    task, which keeps k rows a query; a window merges these winners.  The corpus is scanned once, each of its rows is
+    shuffled once for each block of queries, and no vector reaches the driver.  Null, zero and not finite vectors, and
+    those of another dimension than the first query's, neither ask nor answer.  Distances are rounded to 12 digits.
     """
-    return _scan_blocks(index, queries, vector, key, k, centroids, probes)
+    dimension = dimension_of(queries, vector)
+    asks = -(-queries.count() // QUERY_BLOCK) or 1
+    n = rows.count()
+    answers = max(1, -(-n // ROW_BLOCK), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 1024))
+    kind = rows.schema[key].dataType.simpleString()
+    q = usable(queries, key, vector, dimension).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    q = q.select("*", F.pmod(F.xxhash64("query_id", "v"), F.lit(asks)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(answers - 1)).cast("array<long>")).alias("b"))
+    r = usable(rows, key, vector, dimension).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    r = r.select("*", F.pmod(F.xxhash64("key", "v"), F.lit(answers)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1)).cast("array<long>")).alias("a"))
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        won = Winners(left.num_rows, k)
+        m, step = matrix(left.column("v")), max(1, PRODUCT // max(1, left.num_rows))
+        for i in range(0, right.num_rows if left.num_rows else 0, step):
+            part = right.slice(i, step)
+            won.add(np.round(1 - m @ matrix(part.column("v")).T, 12), part.column("key").to_numpy())
+        at, keys, distance = won.rows()
+        return pa.table({"query_id": left.column("query_id").take(pa.array(at)), key: pa.array(keys, right.schema.field("key").type), "distance": pa.array(distance, pa.float64())})
+
+    found = q.groupBy("a", "b").cogroup(r.groupBy("a", "b")).applyInArrow(cell, f"query_id {kind}, `{key}` {kind}, distance double")
+    return ranked(found, key, k)
 
 
 def tags_of(scene: Column, activity: Column) -> Column:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.functions import vectors as V
+from lumenreel.operators import index
 from lumenreel.operators import search as S
 from lumenreel.operators import segments as G
 from lumenreel.operators import tables as T
 from lumenreel.plans import query
 from lumenreel.plans.common import SERIES, series, table
+from lumenreel.sources.io import scratch
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[float]]:
@@ -69,11 +71,38 @@ def nearest_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "vec_id", F.abs(F.round("distance", 6)).alias("distance"), "rank")
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """All embeddings, and an index of them: those of one half of the labels are there when it is fitted, the others are inserted."""
+    e, folder = table(spark, sf_dir, "embeddings"), scratch(spark)
+    first = F.col("label") % 2 == 0
+    index.build(e.filter(first), "embedding", "vec_id", folder)
+    index.insert(e.filter(~first), "embedding", "vec_id", folder)
+    return e, folder
+
+
 @query("nearest_approximate")
 def nearest_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    index, centroids = S.cluster_index(e, "embedding", "vec_id", 64)
-    rows = S.nearest_approximate(index, centroids, e.filter("vec_id % 50 = 0"), "embedding", "vec_id", 10)
+    e, folder = table(spark, sf_dir, "embeddings"), scratch(spark)
+    index.build(e, "embedding", "vec_id", folder)
+    rows = index.search(folder, e.filter("vec_id % 50 = 0"), "embedding", "vec_id", 10)
+    return rows.select("query_id", "vec_id", F.abs(F.round("distance", 6)).alias("distance"), "rank")
+
+
+@query("approximate_recall", "SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0")
+def approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether nearest_approximate finds nine tenths of the ten true neighbours of all its queries."""
+    asks = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0")
+    exact = S.nearest_of_many(table(spark, sf_dir, "embeddings"), asks, "embedding", "vec_id", 10).select("query_id", "vec_id", F.lit(1).alias("_true"))
+    found = nearest_approximate(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("_found"))
+    both = exact.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), (F.count("_found") >= 0.9 * F.count("_true")).alias("recall_reached"))
+
+
+@query("nearest_indexed", "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 3")
+def nearest_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact through the index: all lists, and enough candidates that codes decide nothing about the first three."""
+    e, folder = _indexed(spark, sf_dir)
+    rows = index.search(folder, e.filter("vec_id % 50 = 0"), "embedding", "vec_id", 3, probes=index.MOST_LISTS, most=100)
     return rows.select("query_id", "vec_id", F.abs(F.round("distance", 6)).alias("distance"), "rank")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenreel import plans
 from lumenreel.functions import text as T
 from lumenreel.functions import vectors as V
+from lumenreel.operators import index
 from lumenreel.operators import scenes as C
 from lumenreel.operators import search as S
 from lumenreel.operators import segments as G
@@ -110,30 +111,79 @@ def test_nearest_of_many_without_queries(spark):
     assert S.nearest_of_many(e, e.limit(0), "embedding", "vec_id", 3).count() == 0
 
 
-def _recall_and_share(e, probes):
+def _recall_and_share(spark, e, folder):
     """Every row is indexed; queries are all rows whose id is a multiple of 50, against all rows."""
-    index, centroids = S.cluster_index(e, "embedding", "vec_id", 64)
-    index = index.cache()
-    assert index.count() == e.count()
+    model = index.build(e, "embedding", "vec_id", folder)
     queries = e.filter("vec_id % 50 = 0")
     pairs = lambda rows: {(x.query_id, x.vec_id) for x in rows.collect()}
-    exact, found = pairs(S.nearest_of_many(e, queries, "embedding", "vec_id", 10)), pairs(S.nearest_approximate(index, centroids, queries, "embedding", "vec_id", 10, probes))
-    size = {x.list: x["count"] for x in index.groupBy("list").count().collect()}
+    exact, found = pairs(S.nearest_of_many(e, queries, "embedding", "vec_id", 10)), pairs(index.search(folder, queries, "embedding", "vec_id", 10))
+    size = {x.list: x["count"] for x in spark.read.parquet(f"{folder}/rows").groupBy("list").count().collect()}
+    assert sum(size.values()) == e.count() and len(size) > 0.7 * e.count() ** 0.5
     q = np.array([x.embedding for x in queries.collect()], np.float64)
-    looked = [sum(size.get(c, 0) for c in row) for row in np.argsort(-(q @ centroids.T), axis=1)[:, :probes]]
+    looked = [sum(size.get(c, 0) for c in row) for row in model.nearest(q, model.probes)]
     return len(exact & found) / len(exact), np.mean(looked) / e.count()
 
 
-def test_approximate_search_prunes_and_recalls(spark):
-    recall, share = _recall_and_share(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 32)
-    assert recall >= 0.9 and share < 0.6  # independent directions: half of all rows are compared
-    r = np.random.default_rng(5)
+def _clustered(n, seed=5):
+    r = np.random.default_rng(seed)
     centres = r.normal(size=(80, 64))
-    clustered = [(i, (centres[i % 80] + 0.3 * r.normal(size=64)).tolist()) for i in range(2000)]
-    recall, share = _recall_and_share(spark.createDataFrame(clustered, "vec_id long, embedding array<double>"), 3)
+    return [(i, [float(x) for x in np.float32(centres[i % 80] + 0.3 * r.normal(size=64))]) for i in range(n)]
+
+
+def test_approximate_search_prunes_and_recalls(spark, tmp_path):
+    recall, share = _recall_and_share(spark, spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), f"{tmp_path}/a")
+    assert recall >= 0.9 and share < 0.9  # independent directions: near neighbours are in most lists
+    recall, share = _recall_and_share(spark, spark.createDataFrame(_clustered(2000), "vec_id long, embedding array<float>"), f"{tmp_path}/b")
     assert recall >= 0.95 and share < 0.15
 
 
+def test_index_insertion(spark, tmp_path, monkeypatch):
+    """Inserted rows are found as if they had been there at once; lists of many rows are searched in shards."""
+    rows = _clustered(1200) + [(5000 + i, _clustered(1)[0][1]) for i in range(300)]  # the last ones all in one list
+    df = spark.createDataFrame([*rows, (9000, None), (9001, [0.0] * 64), (9002, [1.0])], "vec_id long, embedding array<float>")
+    index.build(df.filter("vec_id < 600"), "embedding", "vec_id", str(tmp_path / "i"))
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.glob("i/rows/list=*/*.parquet")}
+    index.insert(df.filter("vec_id >= 600"), "embedding", "vec_id", str(tmp_path / "i"))
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())  # nothing is written anew
+    queries = df.filter("vec_id % 50 = 0")
+    for block in (S.ROW_BLOCK, 100):
+        monkeypatch.setattr(S, "ROW_BLOCK", block)
+        monkeypatch.setattr(S, "QUERY_BLOCK", 4096 if block > 100 else 7)
+        exact, found = ({(x.query_id, x.vec_id) for x in rows.collect()} for rows in (S.nearest_of_many(df, queries, "embedding", "vec_id", 5), index.search(str(tmp_path / "i"), queries, "embedding", "vec_id", 5, most=400)))
+        assert len(exact & found) >= 0.97 * len(exact) and any(v >= 600 for _, v in found)
+
+
+def test_index_reads_only_probed_lists(spark, tmp_path):
+    folder = str(tmp_path / "i")
+    df = spark.createDataFrame(_clustered(1500), "vec_id long, embedding array<float>")
+    model = index.build(df, "embedding", "vec_id", folder)
+    one = df.filter("vec_id = 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    near = index.candidates(index._rows(spark, folder, "bigint", "array<float>"), one, model, 2, 20)
+    plan = near._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan.replace("cast(", "") or "list#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "vector" not in [x for x in plan.split("ReadSchema: ")[1:] if "code" in x][0].split("\n")[0]
+    assert {r.list for r in near.select("list").distinct().collect()} <= set(model.nearest(np.array([one.first().v]), 2)[0].tolist())
+
+
+def test_many_queries_scan_the_corpus_once(spark, tmp_path):
+    """20,000 queries in five blocks: one scan of the corpus, and no vectors on the driver (no broadcast)."""
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(8).normal(size=(20_000, 4)).round(3))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/queries")
+    spark.createDataFrame(rows[:900], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/corpus")
+    found = S.nearest_of_many(spark.read.parquet(f"{tmp_path}/corpus"), spark.read.parquet(f"{tmp_path}/queries"), "embedding", "vec_id", 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x]
+    assert len(scans) == 2 and "Broadcast" not in plan
+    got = {(x.query_id, x["rank"]): x.vec_id for x in found.collect()}
+    x = np.array([v for _, v in rows[:900]], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 40_000
+    for i in range(0, 20_000, 997):
+        q = np.array(rows[i][1], np.float32).astype(np.float64)
+        d = sorted((round(1 - float(q @ v / np.linalg.norm(q)), 11), n) for n, v in enumerate(x))
+        assert [got[i, 1], got[i, 2]] == [n for _, n in d[:2]]
+
+
 def test_nearest_of_many_blocks_and_odd_vectors(spark, monkeypatch):
     r = np.random.default_rng(4)
     rows = [(f"v{i:03}", r.normal(size=4).round(1).tolist()) for i in range(200)] + [("z", [0.0] * 4), ("n", None), ("x", [float("nan"), 1.0, 1.0, 1.0]), ("s", [1.0]), (None, [1.0] * 4)]
@@ -142,6 +192,7 @@ def test_nearest_of_many_blocks_and_odd_vectors(spark, monkeypatch):
     good = [(k, np.array(v)) for k, v in rows if k is not None and v is not None and len(v) == 4 and any(v) and not np.isnan(v).any()]
     for block in (2048, 40):
         monkeypatch.setattr(S, "QUERY_BLOCK", block)
+        monkeypatch.setattr(S, "ROW_BLOCK", 2 * block)
         got = {(x.query_id, x["rank"]): x.name for x in S.nearest_of_many(df, df.orderBy("name"), "v", "name", 3).collect()}
         assert len(got) == 3 * len(good)
         for k, q in good:
