@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions.vectors import cosine_distance, normalised
 from lumenreel.operators import search as S
-from lumenreel.sources.io import scratch
+from lumenreel.sources.folders import kept
 
 #: Centres are sent to all tasks: at most so many.
 MOST_LISTS = 1 << 16
@@ -204,9 +204,8 @@ def search(folder: str, queries: DataFrame, vector: str, key: str, k: int, probe
     kind = queries.schema[key].dataType.simpleString()
     stored = _rows(spark, folder, kind, vector_kind or queries.schema[vector].dataType.simpleString())
     asks = S.usable(queries, key, vector, model.centres.shape[1]).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
-    at = scratch(spark)  # candidates are read twice: which lists hold them, and for the exact distances
-    candidates(stored, asks, model, min(probes or model.probes, len(model.centres)), most or 3 * k).select("query_id", "key", "list").write.parquet(at)
-    found = spark.read.schema(f"query_id {kind}, key {kind}, list int").parquet(at)
+    # Candidates are read twice: which lists hold them, and for the exact distances.
+    found = kept(candidates(stored, asks, model, min(probes or model.probes, len(model.centres)), most or 3 * k).select("query_id", "key", "list"))
     lists = [r.list for r in found.select("list").distinct().collect()]
     rows = stored.filter(F.col("list").isin(lists)).select("list", "key", "vector") if len(lists) < len(model.centres) else stored.select("list", "key", "vector")
     exact = rows.join(found.distinct(), ["list", "key"]).join(asks, "query_id")

@@ -1,27 +1,35 @@
 """Scenes of a frame series: boundaries, intervals, evaluation, and diverse selection.
 
 A series has key columns (video, range) and a time.  All window steps of boundary detection share the partition keys, so
-that one exchange serves them; selections are folds over one array per group, whose size is bounded by the candidates of
-a video.  Every order is total.
+that one exchange serves them.  What is greedy is folded over no more than has to be looked at together: boundaries in runs
+of peaks that are closer than the gap, selections over a sorted stream that keeps the chosen ones of one video.  Orders are
+by time and, where frames can share one, by the columns given as ``tie``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenreel.functions import scores as S
-from lumenreel.functions.vectors import bhattacharyya, correlation
+from lumenreel.functions.vectors import bhattacharyya
+from lumenreel.sources.folders import kept
+
+#: Rows of one group from which its median is taken by counting, and how many such groups may be broadcast.
+HOT_GROUP = 1_000_000
+BROADCAST_GROUPS = 100_000
 
 # ---- boundaries
 
 
-def frame_differences(frames: DataFrame, keys: Sequence[str], t: str, histogram: str, gray: str | None = None, edges: str | None = None) -> DataFrame:
+def frame_differences(frames: DataFrame, keys: Sequence[str], t: str, histogram: str, gray: str | None = None, edges: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """``frames`` with ``diff`` to the frame before: 0.58 histogram + 0.24 gray + 0.18 edge difference; first frames go."""
-    w = W.partitionBy(*keys).orderBy(t)
+    w = W.partitionBy(*keys).orderBy(t, *tie)
     mean_abs = lambda c: F.aggregate(F.zip_with(F.col(c), F.lag(c).over(w), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(c) / 255
     parts = 0.58 * bhattacharyya(F.lag(histogram).over(w), F.col(histogram))
     for weight, c in ((0.24, gray), (0.18, edges)):
@@ -30,57 +38,93 @@ def frame_differences(frames: DataFrame, keys: Sequence[str], t: str, histogram:
     return frames.withColumn("diff", parts).filter(F.col("diff").isNotNull())
 
 
-def robust_threshold(diffs: DataFrame, keys: Sequence[str], base: float, multiplier: float, value: str = "diff") -> DataFrame:
+def medians(rows: DataFrame, keys: Sequence[str], value: str, hot: int | None = None) -> DataFrame:
+    """(keys, n, med): number of rows and exact median of ``value`` in each group.
+
+    The values of groups with more than ``hot`` rows are never gathered: a mergeable sketch gives a narrow bracket that
+    holds the middle, one pass counts what lies below it, and what lies inside is counted value by value.
+    """
+    keys, hot = list(keys), HOT_GROUP if hot is None else hot
+    plain = lambda df: df.groupBy(*keys).agg(F.count("*").alias("n"), F.median(value).alias("med"))
+    large = rows.groupBy(*keys).count().filter(F.col("count") > hot).select(*keys)
+    if large.isEmpty():
+        return plain(rows)
+    match = [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+    few = F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
+    mine, others = (rows.alias("r").join(few.alias("l"), match, how) for how in ("left_semi", "left_anti"))
+    mine = mine.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    # The sketch is off by at most n / 10000 ranks, so the middle is inside.
+    ends = F.percentile_approx("v", F.array(F.lit(0.4995), F.lit(0.5005)), F.lit(10_000))
+    brackets = mine.groupBy(*keys).agg(ends.alias("e")).select(*keys, F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
+    held = mine.alias("r").join(F.broadcast(brackets.alias("l")) if large.count() <= BROADCAST_GROUPS else brackets.alias("l"), match).select(*(F.col(f"r.{k}") for k in keys), "v", "low", "high")
+    below = held.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("low")).alias("below"), F.count("*").alias("m"))
+    inside = held.filter(F.col("v").between(F.col("low"), F.col("high"))).groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    w = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.sum("c").over(w)).alias("r").join(below.alias("l"), match).select(*(F.col(f"r.{k}") for k in keys), "v", "c", (F.col("below") + F.col("upto")).alias("upto"), "m")
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))  # noqa: E731  the first value that reaches a rank
+    middle = inside.groupBy(*keys).agg(((at(F.floor((F.col("m") - 1) / 2)) + at(F.floor(F.col("m") / 2))) / 2).alias("med"))
+    n = rows.alias("r").join(few.alias("l"), match, "left_semi").groupBy(*keys).agg(F.count("*").alias("n"))
+    large = n.alias("r").join(middle.alias("l"), match, "left").select(*(F.col(f"r.{k}") for k in keys), "n", "med")
+    return plain(others).unionByName(large)
+
+
+def robust_threshold(diffs: DataFrame, keys: Sequence[str], base: float, multiplier: float, value: str = "diff", hot: int | None = None) -> DataFrame:
     """(keys, n, threshold): median plus a multiple of the median absolute deviation, within [base, 0.78]."""
-    med = diffs.groupBy(*keys).agg(F.median(value).alias("med"), F.count("*").alias("n"))
-    mad = diffs.join(med, list(keys)).groupBy(*keys).agg(F.first("med").alias("med"), F.first("n").alias("n"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    med = medians(diffs, keys, value, hot)
+    away = diffs.join(med, list(keys)).select(*keys, "med", F.abs(F.col(value) - F.col("med")).alias("_away"))
+    mad = med.join(medians(away, keys, "_away", hot).select(*keys, F.col("med").alias("mad")), list(keys))
     adaptive = F.greatest(F.lit(base), F.least(F.lit(0.78), F.col("med") + multiplier * F.greatest("mad", F.lit(0.008))))
     return mad.select(*keys, "n", F.when(F.col("n") < 3, F.lit(base)).otherwise(adaptive).alias("threshold"))
 
 
-def peaks(diffs: DataFrame, thresholds: DataFrame, keys: Sequence[str], t: str, value: str = "diff") -> DataFrame:
+def peaks(diffs: DataFrame, thresholds: DataFrame, keys: Sequence[str], t: str, value: str = "diff", tie: Sequence[str] = ()) -> DataFrame:
     """Local maxima at or above the threshold, with both neighbours present: keys, t, value, confidence."""
-    w = W.partitionBy(*keys).orderBy(t)
+    w = W.partitionBy(*keys).orderBy(t, *tie)
     rows = diffs.select(*keys, t, value, F.lag(value).over(w).alias("_a"), F.lead(value).over(w).alias("_b")).join(thresholds, list(keys))
     top = rows.filter((F.col("n") >= 3) & (F.col(value) >= F.col("threshold")) & (F.col(value) >= F.col("_a")) & (F.col(value) >= F.col("_b")))
     over = (F.col(value) - F.col("threshold")) / F.greatest(F.lit(0.10), 1 - F.col("threshold"))
     return top.select(*keys, t, F.round(value, 4).alias("value"), F.round(S.clamp(over + 0.55), 3).alias("confidence"))
 
 
-def spaced(items: Column, start: Column, gap: float) -> Column:
-    """Greedy choice from ``items`` (structs of confidence and t): best first, each at least ``gap`` from all chosen and the start."""
+def spaced(items: Column, gap: float) -> Column:
+    """Greedy choice from ``items`` (structs of confidence and t): best first, the earlier of equals, each at least ``gap`` from all chosen."""
     ranked = F.array_sort(F.transform(items, lambda x: F.struct((-x["confidence"]).alias("c"), x["t"].alias("t"))))
-    add = lambda acc, x: F.when(F.exists(acc, lambda b: F.abs(b - x["t"]) < gap), acc).otherwise(F.concat(acc, F.array(x["t"])))
-    return F.array_sort(F.aggregate(ranked, F.array(start.cast("double")), add))
+    add = lambda acc, x: F.when(F.exists(acc, lambda b: F.abs(b["t"] - x["t"]) < gap), acc).otherwise(F.concat(acc, F.array(x)))
+    chosen = F.aggregate(ranked, F.array().cast("array<struct<c:double,t:double>>"), add)
+    return F.transform(chosen, lambda x: F.struct((-x["c"]).alias("confidence"), x["t"].alias("t")))
 
 
-def boundaries(found: DataFrame, ranges: DataFrame, keys: Sequence[str], t: str, gap: float, least_tail: float = 0.8) -> DataFrame:
-    """(keys, bounds): start, chosen peaks and end of each range of ``ranges(keys, start, end)``."""
-    lists = found.groupBy(*keys).agg(F.collect_list(F.struct("confidence", F.col(t).cast("double").alias("t"))).alias("found"))
-    rows = ranges.join(lists, list(keys), "left")
-    none = F.array().cast("array<struct<confidence:double,t:double>>")
-    chosen = spaced(F.coalesce("found", none), F.col("start"), gap)
-    rows = rows.select(*keys, F.col("end").cast("double").alias("end"), chosen.alias("b"))
-    short = (F.size("b") > 1) & (F.col("end") - F.element_at("b", -1) < least_tail)
-    b = F.when(short, F.slice("b", 1, F.size("b") - 1)).otherwise(F.col("b"))
-    return rows.select(*keys, F.concat(b, F.array("end")).alias("bounds"))
+def spaced_peaks(found: DataFrame, ranges: DataFrame, keys: Sequence[str], t: str, gap: float) -> DataFrame:
+    """(keys, t, confidence): the greedy choice of each range's peaks, all at least ``gap`` from the range's start.
 
+    Peaks that lie ``gap`` apart or more do not see each other, so the choice is made run by run: a run ends where the next
+    peak is that far, and only a run's peaks are gathered.
+    """
+    rows = found.select(*keys, F.col(t).cast("double").alias("t"), F.col("confidence").cast("double").alias("confidence")).join(ranges.select(*keys, F.col("start").alias("_start")), list(keys))
+    rows = rows.filter(F.abs(F.col("t") - F.col("_start")) >= gap)
+    w = W.partitionBy(*keys).orderBy("t", "confidence")
+    first = F.coalesce(F.col("t") - F.lag("t").over(w) >= gap, F.lit(True))
+    rows = rows.select(*keys, "t", "confidence", first.alias("_first")).withColumn("_run", F.sum(F.col("_first").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = rows.groupBy(*keys, "_run").agg(F.collect_list(F.struct("confidence", "t")).alias("peaks"))
+    return runs.select(*keys, F.explode(spaced(F.col("peaks"), gap)).alias("x")).select(*keys, "x.t", "x.confidence")
 
-def intervals(bounds: DataFrame, keys: Sequence[str], found: DataFrame | None = None, t: str = "t") -> DataFrame:
-    """(keys, scene_idx, n_scenes, start, end, confidence) from boundary lists.
 
-    ``confidence`` is the mean of both ends' peak confidence; 0.70 at the outer ends, 0.75 for an end that is no peak.
+def intervals(chosen: DataFrame, ranges: DataFrame, keys: Sequence[str], least_tail: float = 0.8) -> DataFrame:
+    """(keys, scene_idx, n_scenes, start, end, confidence): ranges cut at their chosen peaks ``(keys, t, confidence)``.
+
+    A last cut less than ``least_tail`` before the end is left out.  ``confidence`` is the mean of both ends' peak
+    confidence; 0.70 at the outer ends, 0.75 for a cut without one.
     """
-    n = F.size("bounds") - 1
-    rows = bounds.select(*keys, "bounds", n.alias("n_scenes"), F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("scene_idx")).filter("n_scenes > 0")
-    rows = rows.select(*keys, "scene_idx", "n_scenes", F.get("bounds", F.col("scene_idx")).alias("start"), F.get("bounds", F.col("scene_idx") + 1).alias("end"))
-    if found is None:
-        return rows
-    key = lambda c: F.round(c, 3)
-    conf = found.select(*keys, key(F.col(t).cast("double")).alias("_at"), F.col("confidence").alias("_c"))
-    for side, outer in (("start", F.col("scene_idx") == 0), ("end", F.col("scene_idx") == F.col("n_scenes") - 1)):
-        rows = rows.withColumn("_at", key(F.col(side))).join(conf, [*keys, "_at"], "left").withColumn(f"_{side}", F.when(outer, 0.70).otherwise(F.coalesce("_c", F.lit(0.75)))).drop("_at", "_c")
-    return rows.withColumn("confidence", (F.col("_start") + F.col("_end")) / 2).drop("_start", "_end")
+    double = lambda c: F.col(c).cast("double")
+    starts = ranges.select(*keys, double("start").alias("t"), F.lit(None).cast("double").alias("confidence"), double("end").alias("_end"), F.lit(True).alias("_outer"))
+    cuts = chosen.join(ranges.select(*keys, double("end").alias("_end")), list(keys)).select(*keys, "t", "confidence", "_end", F.lit(False).alias("_outer"))
+    w = W.partitionBy(*keys).orderBy("t", F.desc("_outer"))
+    rows = starts.unionByName(cuts).withColumn("_next", F.lead("t").over(w))
+    rows = rows.filter(F.col("_outer") | F.col("_next").isNotNull() | (F.col("_end") - F.col("t") >= least_tail))
+    mine = F.when(F.col("_outer"), 0.70).otherwise(F.coalesce("confidence", F.lit(0.75)))
+    after = F.when(F.lead("t").over(w).isNull(), 0.70).otherwise(F.coalesce(F.lead("confidence").over(w), F.lit(0.75)))
+    rows = rows.select(*keys, (F.row_number().over(w) - 1).alias("scene_idx"), F.count("*").over(W.partitionBy(*keys)).cast("int").alias("n_scenes"), F.col("t").alias("start"), F.coalesce(F.lead("t").over(w), F.col("_end")).alias("end"), ((mine + after) / 2).alias("confidence"))
+    return rows
 
 
 def padded(scenes: DataFrame, padding: float, least: float) -> DataFrame:
@@ -98,28 +142,59 @@ def sample_times(start: Column, end: Column, n: int) -> Column:
     return F.when(d > 0, some).otherwise(F.array().cast("array<double>"))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, values: Sequence[str]) -> DataFrame:
-    """``left`` with the ``values`` of the last ``right`` row of the same key at or before its time; null if there is none."""
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, values: Sequence[str], tie: Sequence[str] = (), width: float = 3600.0) -> DataFrame:
+    """``left`` with the ``values`` of the last ``right`` row of the same key at or before its time; null if there is none.
+
+    Of right rows with one time the last by ``tie`` counts.  A long video spreads over many tasks: time is cut into buckets of
+    ``width``, each bucket's last row is carried into the next one that has rows, and rows are put in order inside buckets
+    only.  A task holds nothing but the value that it carries on.
+    """
     carry = F.struct(*values)
-    rows = left.select(*keys, F.col(t), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(carry.alias("x")).schema["x"].dataType).alias("_r"), F.lit(1).alias("_o"))
-    rows = rows.unionByName(right.select(*keys, F.col(t), F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), carry.alias("_r"), F.lit(0).alias("_o")))
-    w = W.partitionBy(*keys).orderBy(t, "_o").rowsBetween(W.unboundedPreceding, 0)
+    kind = right.select(carry.alias("x")).schema["x"].dataType
+    bucket = F.floor(F.col(t) / width)
+    extra = [F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)]
+    r = right.filter(F.col(t).isNotNull()).select(*keys, F.col(t).alias("_at"), bucket.alias("_b"), carry.alias("_r"), F.lit(1).alias("_o"), *extra)
+    none = F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_l")
+    rows = left.select(*keys, F.col(t).alias("_at"), bucket.alias("_b"), F.lit(None).cast(kind).alias("_r"), F.lit(2).alias("_o"), *(F.lit(None).cast(r.schema[f"_t{i}"].dataType).alias(f"_t{i}") for i in range(len(tie))), F.struct(*left.columns).alias("_l"))
+    rows = rows.unionByName(r.withColumn("_l", none))
+    order = ["_at", "_o", *(f"_t{i}" for i in range(len(tie)))]
+    last = r.groupBy(*keys, "_b").agg(F.max_by("_r", F.struct("_at", *order[2:])).alias("_r"))
+    wanted = rows.select(*keys, "_b").distinct().join(last, [*keys, "_b"], "left")
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carried = wanted.withColumn("_r", F.last("_r", ignorenulls=True).over(before)).filter(F.col("_r").isNotNull())
+    fill = [F.lit(None).cast(r.schema[c].dataType).alias(c) for c in order[2:]]
+    rows = rows.unionByName(carried.select(*keys, F.lit(None).cast(r.schema["_at"].dataType).alias("_at"), "_b", "_r", F.lit(0).alias("_o"), *fill, none))
+    w = W.partitionBy(*keys, "_b").orderBy(*(F.asc_nulls_first(c) for c in order)).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
-    return rows.select("_l.*", *(F.col(f"_r.{v}").alias(v) for v in values))
+    found = F.when(F.col("_l")[t].isNotNull(), F.col("_r"))
+    return rows.select("_l.*", *(found[v].alias(v) for v in values))
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
     """Pairs of intervals of one key that touch: ``left(key, id, start, end)``, ``right(key, start, end, ...)``.
 
-    Both sides are cut into cells of ``width`` and joined on (key, cell), so a long video spreads over many tasks; a pair
-    is made only in the first cell that both share.
+    Time is cut into cells of ``width`` times 1, 2, 4 and so on, so that a long video spreads over many tasks.  An interval
+    lies in at most two cells of the first size that is not below its length, and in at most two of each larger size that
+    any interval has; two intervals meet at the larger of their sizes, in the first cell that both have.  The number of
+    copies grows with the logarithm of the longest interval.
     """
-    cells = lambda s, e: F.explode(F.sequence(F.floor(s / width), F.floor(e / width)))
-    x = left.withColumn("_cell", cells(F.col("start"), F.col("end"))).alias("x")
-    y = right.withColumn("_cell", cells(F.col("start"), F.col("end"))).alias("y")
+    level = lambda s, e: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(e - s, F.lit(width)) / width))).cast("int")
+    sides = [side.withColumn("_own", level(F.col("start"), F.col("end"))) for side in (left, right)]
+    sizes = sorted({r._own for side in sides for r in side.select("_own").distinct().collect() if r._own is not None})  # at most a few dozen
+    if not sizes:
+        sizes = [0]
+    all_ = F.array(*(F.lit(n) for n in sizes))
+
+    def cells(side: DataFrame) -> DataFrame:
+        rows = side.withColumn("_size", F.explode(F.filter(all_, lambda n: n >= F.col("_own"))))
+        w = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_size"))
+        return rows.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / w), F.floor(F.greatest("start", "end") / w))))
+
+    x, y = (cells(side).alias(name) for side, name in zip(sides, ("x", "y"), strict=True))
     touch = (F.col("y.end") >= F.col("x.start")) & (F.col("y.start") <= F.col("x.end"))
-    first = F.col("x._cell") == F.floor(F.greatest(F.col("x.start"), F.col("y.start")) / width)
-    return x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x._cell") == F.col("y._cell")) & touch & first)
+    size = (F.col("x._size") == F.col("y._size")) & (F.col("x._size") == F.greatest("x._own", "y._own"))
+    first = F.col("x._cell") == F.floor(F.greatest(F.col("x.start"), F.col("y.start")) / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("x._size"))))
+    return x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x._cell") == F.col("y._cell")) & size & touch & first)
 
 
 # ---- evaluation
@@ -182,31 +257,47 @@ def quota(source_type: Column, shorts: int, other: int, override: Column | None
     return most if override is None else F.coalesce(override, most)
 
 
-def diverse_top(candidates: DataFrame, group: str, key: str, score: str, histogram: str, most: str, limit: float) -> DataFrame:
+def diverse_top(candidates: DataFrame, group: str, key: str | Sequence[str], score: str, histogram: str, most: str, limit: float) -> DataFrame:
     """Greedy diverse choice in each group: by falling score, up to ``most``, none too similar to one already chosen.
 
-    Returns (group, key, chosen, reason): ``quota`` is tested before ``similar``.
+    Returns (group, key columns, chosen, reason): ``quota`` is tested before ``similar``.  Each task reads its groups in order
+    and holds the histograms chosen so far of one of them; null, empty and constant histograms resemble none.
     """
-    item = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), F.col(histogram).alias("h"))
-    rows = candidates.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"), F.first(most).alias("most"))
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = candidates.select(group, *keys, F.col(histogram).cast("array<double>").alias("_h"), F.col(most).cast("long").alias("_most"), score)
+    rows = rows.repartition(F.col(group)).sortWithinPartitions(group, F.desc_nulls_last(score), *keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chosen, new = None, [], True
+        for b in batches:
+            groups, limits = b.column(0).to_pylist(), b.column(1 + len(keys) + 1).to_pylist()
+            out, why = [], []
+            for g, h, n in zip(groups, (_direction(x) for x in b.column(1 + len(keys)).to_pylist()), limits, strict=True):
+                if new or g != now:
+                    now, chosen, new = g, [], False
+                alike = lambda y: float(y @ h) >= limit if len(y) == len(h) else limit <= 0  # noqa: B023, E731
+                reason = "quota" if n is not None and len(chosen) >= n else "similar" if any(map(alike, chosen)) else None
+                if reason is None:
+                    chosen.append(h)
+                out.append(reason is None)
+                why.append(reason)
+            yield pa.RecordBatch.from_arrays([*b.columns[: 1 + len(keys)], pa.array(out, pa.bool_()), pa.array(why, pa.string())], [group, *keys, "chosen", "reason"])
+
     kinds = dict(candidates.dtypes)
-    empty = F.struct(F.array().cast(f"array<struct<k:{kinds[key]},h:{kinds[histogram]}>>").alias("chosen"), F.array().cast(f"array<struct<k:{kinds[key]},reason:string>>").alias("rejected"))
+    return rows.mapInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in (group, *keys)) + ", chosen boolean, reason string")
 
-    def add(acc: Column, x: Column) -> Column:
-        full = F.size(acc["chosen"]) >= F.col("most")
-        alike = F.exists(acc["chosen"], lambda y: correlation(y["h"], x["h"]) >= limit)
-        no = lambda why: F.struct(acc["chosen"].alias("chosen"), F.concat(acc["rejected"], F.array(F.struct(x["k"].alias("k"), F.lit(why).alias("reason")))).alias("rejected"))
-        yes = F.struct(F.concat(acc["chosen"], F.array(F.struct(x["k"].alias("k"), x["h"].alias("h")))).alias("chosen"), acc["rejected"].alias("rejected"))
-        return F.when(full, no("quota")).when(alike, no("similar")).otherwise(yes)
 
-    rows = rows.select(group, F.aggregate("items", empty, add).alias("r"))
-    chosen = rows.select(group, F.explode("r.chosen.k").alias(key), F.lit(True).alias("chosen"), F.lit(None).cast("string").alias("reason"))
-    return chosen.unionByName(rows.select(group, F.explode("r.rejected").alias("x")).select(group, F.col("x.k").alias(key), F.lit(False).alias("chosen"), F.col("x.reason").alias("reason")))
+def _direction(h: Sequence[float] | None) -> np.ndarray:
+    """A histogram less its mean, to unit length: products of these are Pearson correlations; zeros where there is none."""
+    x = np.asarray([np.nan if v is None else v for v in h or []], np.float64)
+    x = x - x.mean() if len(x) else x
+    n = float(np.sqrt(x @ x)) if len(x) else 0.0
+    return x / n if n > 0 and np.isfinite(n) else np.zeros(len(x))
 
 
-def numbered(rows: DataFrame, video: str = "video_id", start: str = "start", chosen: str = "chosen", key: str = "scene_idx") -> DataFrame:
+def numbered(rows: DataFrame, video: str = "video_id", start: str = "start", chosen: str = "chosen", key: str | Sequence[str] = "scene_idx") -> DataFrame:
     """``scene_id``: ``{video}_SCENE_01`` ... of chosen rows in start order, ``{video}_REJECTED_001`` ... of the others."""
-    n = F.row_number().over(W.partitionBy(video, chosen).orderBy(start, key))
+    n = F.row_number().over(W.partitionBy(video, chosen).orderBy(start, *([key] if isinstance(key, str) else key)))
     pad = lambda width: F.when(F.length(n.cast("string")) < width, F.lpad(n.cast("string"), width, "0")).otherwise(n.cast("string"))
     return rows.withColumn("scene_id", F.when(F.col(chosen), F.concat(F.col(video).cast("string"), F.lit("_SCENE_"), pad(2))).otherwise(F.concat(F.col(video).cast("string"), F.lit("_REJECTED_"), pad(3))))
 
@@ -228,6 +319,22 @@ def ranges_of(candidates: Column, duration: Column) -> Column:
     return F.when(F.size(left) > 0, left).otherwise(F.array(F.struct(F.lit(0.0).alias("start_time"), duration.cast("double").alias("end_time"))))
 
 
+def video_ranges(videos: DataFrame, video: str = "video_id", candidates: str = "candidate_ranges", duration: str = "duration") -> DataFrame:
+    """(video, range_idx, start, end): the usable ranges of each video, numbered in their order."""
+    rows = videos.select(video, F.posexplode(ranges_of(F.col(candidates), F.col(duration))).alias("range_idx", "_r"))
+    return rows.select(video, "range_idx", F.col("_r.start_time").alias("start"), F.col("_r.end_time").alias("end"))
+
+
+def in_ranges(frames: DataFrame, ranges: DataFrame, video: str, t: str, width: float = 600.0) -> DataFrame:
+    """``frames`` with ``range_idx``: each frame once for every range of its video that holds it, ends included.
+
+    All later steps of a range start from these rows, so they are kept in the shared folder.
+    """
+    left = ranges.select(video, "range_idx", "start", "end")
+    right = frames.select(video, F.col(t).cast("double").alias("start"), F.col(t).cast("double").alias("end"), F.struct("*").alias("_frame"))
+    return kept(overlapping(left, right, video, width).select(F.col("y._frame").alias("_frame"), F.col("x.range_idx").alias("range_idx")).select("_frame.*", "range_idx"))
+
+
 REPORT = ("video_id", "youtube_id", "drama_title", "candidate_start", "candidate_end", "accepted", "total_score", "sharpness_score", "expected_season", "season_score", "detected_season", "auto_detected_season", "verified_season", "season_verified", "season_match_required", "season_review_note", "rejection_reasons")
 
 
@@ -243,23 +350,24 @@ def quality_report(rows: DataFrame) -> DataFrame:
 
 def detect_scenes(diffs: DataFrame, ranges: DataFrame, keys: Sequence[str], t: str, rules: Mapping[str, float]) -> tuple[DataFrame, DataFrame]:
     """(scenes, thresholds) of ranges from a difference series; ranges with fewer than three differences are one scene."""
-    thresholds = robust_threshold(diffs, keys, rules["base_cut_threshold"], rules["adaptive_mad_multiplier"])
+    thresholds = kept(robust_threshold(diffs, keys, rules["base_cut_threshold"], rules["adaptive_mad_multiplier"]))
     found = peaks(diffs, thresholds, keys, t)
-    return intervals(boundaries(found, ranges, keys, t, rules["minimum_cut_gap_seconds"]), keys, found, t), thresholds
+    return intervals(spaced_peaks(found, ranges, keys, t, rules["minimum_cut_gap_seconds"]), ranges, keys), thresholds
 
 
 def scene_candidates(diffs: DataFrame, frames: DataFrame, ranges: DataFrame, keys: Sequence[str], t: str, rules: Mapping[str, float], metrics: Sequence[str], expected: DataFrame) -> DataFrame:
     """Evaluated scenes of all ranges: detection, padding, window choice, frame sampling and evaluation.
 
-    ``frames(keys, t, frame_idx, sharpness, metrics...)``; ``expected(keys[0], expected)``.
+    ``frames(keys, t, frame_idx, sharpness, metrics...)``; ``expected(keys[0], expected)``.  ``keys`` are a video and, where
+    it has several ranges, the range: a scene is named by all of them and its ``scene_idx``.
     """
     scenes, _ = detect_scenes(diffs, ranges, keys, t, rules)
-    scenes = padded(scenes, rules["transition_padding_seconds"], rules["minimum_scene_seconds"])
+    scenes = kept(padded(scenes, rules["transition_padding_seconds"], rules["minimum_scene_seconds"]))
     full = [*keys, "scene_idx"]
     inside = overlapping_frames(scenes, frames, keys, t)
     scenes = centred_window(scenes, inside, full, rules["maximum_scene_seconds"])
     wanted = scenes.select(*full, F.explode(sample_times(F.col("start"), F.col("end"), int(rules["sample_frames_per_scene"]))).alias(t))
-    sampled = as_of(wanted, frames, keys, t, ["frame_idx", "sharpness", *metrics]).filter("frame_idx is not null")
+    sampled = as_of(wanted, frames, keys, t, ["frame_idx", "sharpness", *metrics], tie=["frame_idx"]).filter("frame_idx is not null")
     stats = scene_medians(sampled.withColumnRenamed(t, "t") if t != "t" else sampled, full, ["sharpness", *metrics], rules["minimum_best_frame_sharpness"])
     rows = scenes.join(stats, full).withColumn("duration", F.col("end") - F.col("start")).join(expected, keys[0], "left")
     return evaluated(rows, rules)
@@ -272,17 +380,18 @@ def processed_videos(diffs: DataFrame, frames: DataFrame, ranges: DataFrame, key
     fail it, or lose, are numbered as rejected, with the selection's ``reason`` behind their own.  quality_report,
     video_summary and rejected_scenes take the result.
     """
-    video = keys[0]
-    rows = scene_candidates(diffs, frames, ranges, keys, t, rules, metrics, expected).withColumns({"most": most, "histogram": histogram})
-    top = diverse_top(rows.filter("accepted"), video, "scene_idx", "total_score", "histogram", "most", limit)
-    rows = rows.join(top, [video, "scene_idx"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    video, scene = keys[0], [*keys[1:], "scene_idx"]
+    rows = scene_candidates(diffs, frames, ranges, keys, t, rules, metrics, expected)
+    rows = kept(rows.withColumns({"most": most, "histogram": histogram}))
+    top = diverse_top(rows.filter("accepted"), video, scene, "total_score", "histogram", "most", limit)
+    rows = rows.join(top, [video, *scene], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
     rows = rows.withColumn("rejection_reasons", F.array_compact(F.concat("rejection_reasons", F.array("reason"))))
-    return numbered(rows.drop("most", "histogram"), video)
+    return numbered(rows.drop("most", "histogram"), video, key=scene)
 
 
 def overlapping_frames(scenes: DataFrame, frames: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
     """Frames with the scene that holds them, by an as-of join on the scenes' starts."""
     starts = scenes.select(*keys, F.col("start").alias(t), "scene_idx", F.col("end").alias("_end"))
-    rows = as_of(frames, starts, keys, t, ["scene_idx", "_end"])
+    rows = as_of(frames, starts, keys, t, ["scene_idx", "_end"], tie=["scene_idx"])
     rows = rows.filter(F.col("scene_idx").isNotNull() & (F.col(t) <= F.col("_end"))).drop("_end")
     return rows.withColumnRenamed(t, "t") if t != "t" else rows

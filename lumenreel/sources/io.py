@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions.text import text_or_null
 from lumenreel.operators.scenes import REPORT
+from lumenreel.sources.folders import scratch  # noqa: F401
 
 METADATA = (
     "segment_id string, video_id string, spot_name string, place_name string, place_id string, region string, drama_title string, season string, "
@@ -55,16 +54,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, which only local sessions may lack."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    return f"{root}/scratch-{uuid.uuid4().hex}"
-
-
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """A quality report (CSV with header); empty if there is none yet."""
     if not exists(spark, path):

@@ -5,9 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenreel import plans
+from lumenreel.functions import scores as S_
 from lumenreel.functions import text as T
 from lumenreel.functions import vectors as V
 from lumenreel.operators import index
@@ -203,17 +205,67 @@ def test_nearest_of_many_blocks_and_odd_vectors(spark, monkeypatch):
 # ---- scenes
 
 
-def test_spaced_property(spark):
-    r = random.Random(2)
-    for _ in range(5):
-        items = [(round(r.random(), 2), round(r.uniform(0, 50), 2)) for _ in range(r.randrange(1, 30))]
-        col = F.array(*(F.struct(F.lit(c).alias("confidence"), F.lit(t).alias("t")) for c, t in items))
-        got = one(spark, C.spaced(col, F.lit(0.0), 3.0))
-        want = [0.0]
+@pytest.mark.parametrize("density", [50, 12])
+def test_spaced_property(spark, density):
+    """Run by run as over a whole range at once, with ties; no run is longer than where the peaks are dense."""
+    r = random.Random(density)
+    data = {v: [(round(r.random(), 1), round(r.uniform(0, density * 4), 1)) for _ in range(r.randrange(0, 60))] for v in range(12)}
+    found = spark.createDataFrame([(v, 0, t, c) for v, items in data.items() for c, t in items], "v int, r int, t double, confidence double")
+    ranges = spark.createDataFrame([(v, 0, 1.0 * (v % 3), 300.0) for v in data], "v int, r int, start double, end double")
+    got = C.spaced_peaks(found, ranges, ["v", "r"], "t", 3.0).collect()
+    for v, items in data.items():
+        want = [1.0 * (v % 3)]
         for _, t in sorted(items, key=lambda x: (-x[0], x[1])):
             if all(abs(t - b) >= 3.0 for b in want):
                 want.append(t)
-        assert got == sorted(want)
+        assert sorted(x.t for x in got if x.v == v) == sorted(want[1:])
+        assert all((x.confidence, x.t) in items for x in got if x.v == v)
+
+
+def test_intervals(spark):
+    chosen = spark.createDataFrame([("a", 3.0, 0.9), ("a", 9.5, 0.6), ("b", 4.0, None)], "v string, t double, confidence double")
+    ranges = spark.createDataFrame([("a", 0.0, 10.0), ("b", 1.0, 5.0), ("c", 0.0, 1.0)], "v string, start double, end double")
+    got = sorted((x.v, x.scene_idx, x.n_scenes, x.start, x.end, round(x.confidence, 3)) for x in C.intervals(chosen, ranges, ["v"]).collect())
+    assert got == [("a", 0, 2, 0.0, 3.0, 0.8), ("a", 1, 2, 3.0, 10.0, 0.8), ("b", 0, 2, 1.0, 4.0, 0.725), ("b", 1, 2, 4.0, 5.0, 0.725), ("c", 0, 1, 0.0, 1.0, 0.7)]
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 20, 0])
+def test_medians(spark, hot):
+    """Exact whichever way a group goes, with ties, nulls, one value, and null keys."""
+    r = random.Random(hot)
+    groups = {("a", 1): [round(r.gauss(0, 3), r.choice([0, 3])) for _ in range(501)], ("a", 2): [r.random() for _ in range(40)], ("b", None): [2.0] * 30 + [None] * 5, (None, 1): [1.0, 4.0], ("c", 0): [7.5], ("d", 1): [None]}
+    df = spark.createDataFrame([(*k, v) for k, values in groups.items() for v in values], "k string, j int, v double").repartition(5)
+    got = {(x.k, x.j): (x.n, x.med) for x in C.medians(df, ["k", "j"], "v", hot).collect()}
+    for k, values in groups.items():
+        some = [v for v in values if v is not None]
+        assert got[k] == (len(values), np.median(some) if some else None), k
+
+
+@pytest.mark.parametrize("width", [0.5, 7.0, 1000.0])
+def test_as_of_property(spark, width):
+    """Buckets change nothing: ties go to the last by the tie column, buckets without rows are passed over."""
+    r = random.Random(6)
+    right = [(v, round(r.uniform(0, 60), 1), i, r.choice([None, "x", "y"])) for v in ("a", "b") for i in range(80)] + [("a", None, 900, "z")]
+    left = [(v, round(r.uniform(-5, 90), 1), i) for v in ("a", "b", "none") for i in range(60)] + [("a", None, 99)]
+    x = spark.createDataFrame(left, "v string, t double, id int")
+    y = spark.createDataFrame(right, "v string, t double, frame int, note string")
+    got = {(g.v, g.id): (g.frame, g.note) for g in C.as_of(x, y, ["v"], "t", ["frame", "note"], tie=["frame"], width=width).collect()}
+    assert len(got) == len(left)
+    for v, t, i in left:
+        before = [(s, f, n) for w, s, f, n in right if w == v and s is not None and t is not None and s <= t]
+        assert got[v, i] == (max(before)[1:] if before else (None, None))
+
+
+def test_as_of_spreads_a_long_video(spark):
+    """One video with most of the frames: its rows are ordered in many tasks."""
+    frames = spark.range(40_000).select(F.lit("v").alias("v"), (F.col("id") / 4).alias("t"), F.col("id").alias("frame"))
+    wanted = spark.range(2000).select(F.lit("v").alias("v"), (F.col("id") * 5 + 0.1).alias("t"))
+    got = C.as_of(wanted, frames, ["v"], "t", ["frame"], width=50.0)
+    assert got.agg(F.sum("frame"), F.count("*")).first() == (sum(20 * i for i in range(2000)), 2000)
+    window = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Window" in x][0]
+    assert "_b#" in window.split("], [")[1]
+    rows = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(rows) > 1
 
 
 def test_diverse_top_property(spark):
@@ -251,6 +303,48 @@ def test_ranges(spark):
     assert [tuple(x) for x in one(spark, C.ranges_of(F.lit(None), F.lit(10.0)))] == [(0.0, 10.0)]
 
 
+def test_several_ranges_of_a_video(spark):
+    """Two ranges a video: unique scenes, numbers over the whole video, and its quota held."""
+    frames = spark.range(2400).select((F.col("id") % 3).cast("string").alias("video_id"), (F.floor(F.col("id") / 3) / 2).alias("t"), F.col("id").alias("frame_idx"), (F.abs(F.hash("id")) % 97 + 1.0).alias("sharpness"))
+    metrics = list(dict.fromkeys([*S_.SEASON_SCALES, "brightness", "contrast", "dark", "over", "edge_density", "saturation"]))
+    frames = frames.withColumns({m: (F.abs(F.hash("frame_idx", F.lit(m))) % 100) / 100.0 for m in metrics})
+    pair = lambda a, b: F.struct(F.lit(a).alias("start_time"), F.lit(b).alias("end_time"))
+    videos = spark.createDataFrame([("0",), ("1",), ("2",)], "video_id string").withColumns({"candidate_ranges": F.array(pair(-5.0, 180.0), pair(150.0, 390.0), pair(500.0, 900.0)), "duration": F.lit(395.0)})
+    ranges = C.video_ranges(videos)
+    assert sorted(map(tuple, ranges.filter("video_id = '1'").collect())) == [("1", 0, 0.0, 180.0), ("1", 1, 150.0, 390.0)]
+    keys = ["video_id", "range_idx"]
+    mine = C.in_ranges(frames, ranges, "video_id", "t")
+    assert mine.filter("video_id = '1'").count() == 361 + 481
+    w = W.partitionBy(*keys).orderBy("t")
+    diffs = mine.select(*keys, "t", (F.abs(F.col("sharpness") - F.lag("sharpness").over(w)) / 97).alias("diff")).filter("diff is not null")
+    rules = {"base_cut_threshold": 0.3, "adaptive_mad_multiplier": 1.0, "minimum_cut_gap_seconds": 6.0, "transition_padding_seconds": 0.5, "minimum_scene_seconds": 2.0, "maximum_scene_seconds": 9.0, "sample_frames_per_scene": 6, "minimum_median_sharpness": 10.0, "minimum_best_frame_sharpness": 20.0, "maximum_blurry_frame_ratio": 0.9, "minimum_brightness": 0.0, "maximum_brightness": 1.0, "maximum_dark_pixel_ratio": 1.0, "maximum_overexposed_pixel_ratio": 1.0, "minimum_expected_season_score": 0.0, "maximum_other_season_advantage": 1.0}
+    expected = videos.select("video_id", F.array().cast("array<string>").alias("expected"))
+    rows = C.processed_videos(diffs, mine, ranges, keys, "t", rules, metrics, expected, F.lit(3), F.array("sharpness", "brightness", "contrast", "start"), 0.999).collect()
+    scenes = [(x.video_id, x.range_idx, x.scene_idx) for x in rows]
+    assert len(scenes) == len(set(scenes)) == C.scene_candidates(diffs, mine, ranges, keys, "t", rules, metrics, expected).count() > 40
+    assert {x.range_idx for x in rows} == {0, 1} and len({x.scene_id for x in rows}) == len(rows)
+    for v in "012":
+        chosen = sorted((x for x in rows if x.video_id == v and x.chosen), key=lambda x: x.scene_id)
+        assert len(chosen) == 3 and [x.scene_id for x in chosen] == [f"{v}_SCENE_0{i}" for i in (1, 2, 3)]
+        assert [x.start for x in chosen] == sorted(x.start for x in chosen)
+        worst = min(x.total_score for x in chosen)
+        assert all(x.total_score <= worst or "similar" in x.rejection_reasons for x in rows if x.video_id == v and x.accepted and not x.chosen)
+
+
+def test_overlap_of_very_different_lengths(spark):
+    """All touching pairs once, and few copies of an interval a million cells long."""
+    r = random.Random(9)
+    spans = lambda n: [("v" if r.random() < 0.8 else "w", i, (s := round(r.uniform(0, 5000), 1)), s + r.choice([0.0, 0.5, 3.0, 40.0, 900.0, 1_000_000.0])) for i in range(n)]
+    x, y = spans(60), spans(70)
+    a = spark.createDataFrame(x, "v string, id int, start double, end double")
+    b = spark.createDataFrame(y, "v string, no int, start double, end double")
+    rows = C.overlapping(a, b, "v", 1.0)
+    got = sorted((z.id, z.no) for z in rows.select("x.id", "y.no").collect())
+    assert got == sorted((i, k) for v, i, s, e in x for w, k, p, q in y if v == w and p <= e and q >= s)
+    copies = rows.select("x.id", "x._size", "x._cell").distinct().groupBy("id").count().agg(F.max("count")).first()[0]
+    assert copies <= 2 * 21
+
+
 def test_overlap_counts_each_pair_once(spark):
     a = spark.createDataFrame([("v", 1, 0.0, 100.0)], "video_id string, id int, start double, end double")
     b = spark.createDataFrame([("v", float(i), float(i + 40)) for i in range(0, 100, 10)], "video_id string, start double, end double")
