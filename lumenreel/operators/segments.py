@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenreel.functions import text as T
 from lumenreel.functions.vectors import is_vector
 from lumenreel.operators import tables
+from lumenreel.operators.encoders import Encoder
 
 REQUIRED = ("segment_id", "video_id", "spot_name", "keyframe_path", "start_time", "end_time", "description")
 LISTS = ("mood", "scene_elements", "activity")
@@ -99,14 +100,23 @@ def derived_tags(season: Column, scene: Column, activity: Column, mood: Column,
     return {"tags": T.unique_strings(both), "mood_tags": T.unique_strings(mood), "season_tags": F.when(s.isNotNull(), F.array(s)).otherwise(empty), "spot_name": F.coalesce(T.text_or_null(spot), T.text_or_null(place))}
 
 
-def encoded(rows: DataFrame, column: str, encode: Callable[[pd.Series], Sequence[Sequence[float]]], dimension: int, name: str) -> DataFrame:
-    """``rows`` with the vector that a user's batch encoder gives for ``column``; a wrong dimension is an error."""
+def encoded(rows: DataFrame, column: str, encode: Encoder | Callable[[pd.Series], Sequence[Sequence[float]]], dimension: int, name: str) -> DataFrame:
+    """``rows`` with the vector that an encoder gives for ``column``; a wrong dimension is an error.
+
+    An ``Encoder`` is loaded once a Python worker and fed by cost; a plain function is called with each batch's column.
+    """
+    model = encode if isinstance(encode, Encoder) else Encoder(name, lambda: encode, dimension)
+    if model.dimension != dimension:
+        raise ValueError(f"{model.name} gives {model.dimension} numbers, not {dimension}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            vectors = [np.asarray(v, np.float32) for v in encode(b[column])]
-            if any(v.shape != (dimension,) or not np.isfinite(v).all() for v in vectors):
-                raise ValueError(f"{name} is not a vector of {dimension} finite numbers")
+            if isinstance(encode, Encoder):
+                vectors = model.encode(b[column].tolist())
+            else:
+                vectors = [np.asarray(v, np.float32) for v in encode(b[column])]
+                if any(v.shape != (dimension,) or not np.isfinite(v).all() for v in vectors):
+                    raise ValueError(f"{name} is not a vector of {dimension} finite numbers")
             yield b.assign(**{name: vectors})
 
     return rows.mapInPandas(run, rows.withColumn(name, F.array().cast("array<float>")).schema)

@@ -12,6 +12,7 @@ from lumenreel.operators import index
 from lumenreel.operators import search as S
 from lumenreel.operators import segments as G
 from lumenreel.operators import tables as T
+from lumenreel.operators.encoders import Encoder
 from lumenreel.plans import query
 from lumenreel.plans.common import SERIES, series, table
 from lumenreel.sources.io import scratch
@@ -159,6 +160,24 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(seg.alias("segment_id"), seg.alias("video_id"), "role", "text", F.col("turn").alias("item_idx"), F.concat(F.lit("keyframes/"), "conv_id", F.lit("/"), "turn", F.lit(".jpg")).alias("keyframe_path"), F.lit("drama").alias("drama_title"))
 
 
+def byte_profile(items: list) -> list[np.ndarray]:
+    """A stand-in for a model, which SQL can repeat: how often each of the letters a to h occurs, to unit length."""
+    counts = [np.array([(x or "").count(c) for c in "abcdefgh"], np.float64) for x in items]
+    return [(v / max(1e-12, float(np.sqrt(v @ v)))).astype(np.float32) for v in counts]
+
+
+#: The model by name: each Python worker loads it once.
+PROFILE = Encoder("byte_profile", lambda: byte_profile, 8, most=64, cost=20_000)
+_PROFILE = "list_transform(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h'], lambda c: (length(x) - length(replace(x, c, '')))::DOUBLE)"
+
+
+@query("encoded_texts", f"WITH p AS (SELECT conv_id, turn, {_PROFILE} AS v FROM (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations)), n AS (SELECT conv_id, turn, unnest(v) AS c, unnest(range(8)) AS i, greatest(1e-12, sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS norm FROM p) SELECT conv_id, turn, i::INT AS i, round(c / norm, 5) AS value FROM n WHERE c > 0")
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of all turns' vectors, from an encoder that is loaded once a worker and fed by cost."""
+    rows = G.encoded(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", PROFILE, 8, "v")
+    return rows.select("conv_id", "turn", F.posexplode("v").alias("i", "value")).filter("value > 0").withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
 @query("embedding_records", "SELECT 'C' || conv_id AS segment_id, count(DISTINCT turn) AS keyframes, 16 AS dimension, true AS unit FROM conversations GROUP BY conv_id")
 def embedding_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, frames = G.embedding_records(_items(spark, sf_dir), {"spot_name": "role", "description": "text"}, hashing_encoder, hashing_encoder, 16)

@@ -14,7 +14,7 @@ from lumenreel.plans.common import table
 from lumenreel.plans.series import quality_report
 from lumenreel.sources import io, store
 from lumenreel.sources.io import scratch
-from lumenreel.streaming import incremental
+from lumenreel.streaming import incremental, records
 
 
 def _array_files(spark: SparkSession, sf_dir: str, *columns: Column, mark: str = "") -> str:
@@ -190,3 +190,42 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         e.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).repartition(4).write.mode("append").parquet(f"{root}/in")
     incremental.run_stream(spark, f"{root}/in", "user_id long, event_id long, value double, event_type string", "user_id", "event_id", ["value", "event_id"], f"{root}/out", f"{root}/checkpoint", files=4)
     return incremental.latest(spark, f"{root}/out").select("user_id", "value", "event_id", F.col("event_type").isNotNull().alias("kept"))
+
+
+def _priced(record: dict) -> dict:
+    """A record's work that fails for one order in seven, and returns what does not fit for one in eleven."""
+    if record["o_orderkey"] % 7 == 3:
+        raise ValueError(f"order {record['o_orderkey']}")
+    if record["o_orderkey"] % 11 == 5:
+        return {"price": "not a number"}
+    return {"price": record["o_totalprice"] * 2, "cents": int(round(record["o_totalprice"] * 100))}
+
+
+_FAILS = "o_orderkey % 7 = 3 OR o_orderkey % 11 = 5"
+
+
+@query("failure_isolation", f"SELECT o_orderkey, CASE WHEN {_FAILS} THEN 'failed' ELSE 'completed' END AS status, CASE WHEN {_FAILS} THEN 3 ELSE 1 END::INT AS attempts, CASE WHEN o_orderkey % 7 = 3 THEN 'ValueError: order ' || o_orderkey WHEN o_orderkey % 11 = 5 THEN 'ArrowInvalid' END AS error, CASE WHEN NOT ({_FAILS}) THEN o_totalprice * 2 END AS price, CASE WHEN NOT ({_FAILS}) THEN round(o_totalprice * 100)::BIGINT END AS cents FROM orders")
+def failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One status row a record, in a run over all orders: earlier results of some, and a function that raises for others."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    process = lambda todo: records.isolated(todo, _priced, "price double, cents long", retries=2).drop("o_totalprice")
+    first = process(orders.filter("o_orderkey % 2 = 0"))
+    rows = incremental.run_batch(orders, first, "o_orderkey", process)
+    return rows.withColumn("error", F.when(F.col("error").startswith("Arrow"), F.substring_index("error", ":", 1)).otherwise(F.col("error")))
+
+
+@query("stream_quarantine", "SELECT event_id, 'failed' AS status, 'ValueError: negative' AS error, NULL::DOUBLE AS root FROM events WHERE value - 100 < 0 UNION ALL SELECT max(event_id), 'completed', NULL, sqrt(arg_max(value, event_id) - 100) FROM events WHERE value >= 100 GROUP BY user_id")
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream whose records may fail: those are in quarantine, the newest of each user's others in the table."""
+    root = scratch(spark)
+    table(spark, sf_dir, "events").select("user_id", "event_id", "value").repartition(6).write.parquet(f"{root}/in")
+
+    def rooted(record: dict) -> dict:
+        if record["value"] < 100:
+            raise ValueError("negative")
+        return {"root": (record["value"] - 100) ** 0.5}
+
+    process = lambda rows: records.isolated(rows, rooted, "root double", retries=0)
+    incremental.run_stream(spark, f"{root}/in", "user_id long, event_id long, value double", "user_id", "event_id", ["value", "event_id", "root"], f"{root}/out", f"{root}/checkpoint", process, files=3)
+    columns = ["event_id", "status", "error", "root"]
+    return incremental.quarantined(spark, f"{root}/out").select(*columns).unionByName(incremental.latest(spark, f"{root}/out").select(*columns))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.operators import tables as T
+from lumenreel.sources.folders import kept
 from lumenreel.sources.io import exists, list_assets
+from lumenreel.streaming.records import failed, not_failed
 
 
 def pending(records: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -19,7 +21,8 @@ def pending(records: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def run_batch(records: DataFrame, results: DataFrame, key: str, process: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
     """Earlier results and those of pending records; with ``force`` all records run anew and replace their results.
 
-    ``process`` returns rows with ``status``: failed records are rows like others and do not stop the run.
+    ``process`` returns rows with ``status``: failed records are rows like others and do not stop the run.  Where records go
+    through a function of their own, ``records.isolated`` makes such rows of what it raises.
     """
     todo = records if force else pending(records, results, key)
     return T.replace_keys(results, process(todo), key)
@@ -31,11 +34,18 @@ def run_stream(spark: SparkSession, source: str, schema: str, key: str, order: s
     Keys are hashed into ``buckets``; a batch writes the buckets that it touches anew and leaves the others where they
     are.  The stream's checkpoint remembers which files are done.  A bucket's version is named by its batch and made from
     older ones, so a batch that is run again after a failure writes the same files again.  Rows without a key are left
-    out, and a row whose ``order`` is not above what its key has changes nothing.
+    out, and a row whose ``order`` is not above what its key has changes nothing.  Rows that ``process`` gives as ``failed``
+    (a ``status`` column, as of ``records.isolated``) are put into the stream's quarantine instead of the table, and the
+    stream goes on.
     """
 
     def merge(rows: DataFrame, batch: int) -> None:
-        rows = T.last_of(process(rows).filter(F.col(key).isNotNull()), key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        rows = process(rows)
+        if "status" in rows.columns:
+            rows = kept(rows)  # a record's function runs once
+            failed(rows).write.mode("overwrite").parquet(f"{store}-quarantine/batch={batch}")
+            rows = not_failed(rows)
+        rows = T.last_of(rows.filter(F.col(key).isNotNull()), key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         touched = {r.bucket for r in rows.select("bucket").distinct().collect()}  # at most `buckets`
         old = _newest(spark, store, batch, touched)
         if old is not None:
@@ -60,6 +70,11 @@ def _newest(spark: SparkSession, store: str, before: int | None = None, only: se
     return spark.read.option("basePath", store).parquet(*paths).drop("batch") if paths else None
 
 
+def quarantined(spark: SparkSession, store: str) -> DataFrame:
+    """All records that failed in a stream, with ``batch``; an error if the stream has no statuses."""
+    return spark.read.option("basePath", f"{store}-quarantine").option("recursiveFileLookup", False).parquet(f"{store}-quarantine")
+
+
 def latest(spark: SparkSession, store: str) -> DataFrame:
     """The table that a stream has written so far."""
     rows = _newest(spark, store)

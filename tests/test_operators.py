@@ -18,8 +18,9 @@ from lumenreel.operators import search as S
 from lumenreel.operators import segments as G
 from lumenreel.operators import tables as K
 from lumenreel.operators import tagging
+from lumenreel.operators.encoders import Encoder
 from lumenreel.sources import io, store
-from lumenreel.streaming import incremental
+from lumenreel.streaming import incremental, records
 
 
 def one(spark, expr, **values):
@@ -453,6 +454,71 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted(map(tuple, incremental.latest(spark, f"{tmp_path}/out").collect())) == [(1, 2, "b"), (2, 5, "d"), (3, 1, "e")]
 
 
+def test_records_fail_alone(spark):
+    """Raising, retrying, results that do not fit, and clashing names: one status row a record, in their columns."""
+    seen = {}
+
+    def work(r):
+        seen[r["k"]] = seen.get(r["k"], 0) + 1
+        if r["k"] % 5 == 0 or (r["k"] % 5 == 1 and seen[r["k"]] < 3):
+            raise KeyError(r["k"])
+        return {"k": r["k"]} | {"twice": r["k"] * 2} if r["k"] % 5 < 4 else {"other": 1}
+
+    df = spark.createDataFrame([(i, str(i), [1, 2], "old") for i in range(50)], "k long, name string, list array<int>, status string")
+    got = {int(r.name): r for r in records.isolated(df, work, "k long, twice long", retries=2).collect()}
+    assert {i: (r.status, r.attempts) for i, r in got.items()} == {i: ("failed", 3) if i % 5 in (0, 4) else ("completed", 3 if i % 5 == 1 else 1) for i in range(50)}
+    assert got[7].twice == 14 and got[7].k == 7 and got[7].list == [1, 2] and got[5].k is None
+    assert got[10].error == "KeyError: 10" and "unknown columns" in got[4].error and got[7].error is None
+    assert records.isolated(df.limit(0), work, "twice long").count() == 0
+
+
+def test_stream_goes_on_after_failures(spark, tmp_path):
+    put = lambda rows: spark.createDataFrame(rows, "k long, at long, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def upper(r):
+        return {"big": r["v"].upper()}
+
+    run = lambda: incremental.run_stream(spark, f"{tmp_path}/in", "k long, at long, v string", "k", "at", ["at", "v", "big"], f"{tmp_path}/out", f"{tmp_path}/cp", lambda rows: records.isolated(rows, upper, "big string"))
+    put([(1, 1, "a"), (2, 1, None)])
+    run()
+    put([(2, 2, "b"), (1, 5, None), (3, 1, "c")])
+    run()
+    assert sorted((x.k, x.at, x.big) for x in incremental.latest(spark, f"{tmp_path}/out").collect()) == [(1, 1, "A"), (2, 2, "B"), (3, 1, "C")]
+    assert sorted((x.k, x.at, x.attempts) for x in incremental.quarantined(spark, f"{tmp_path}/out").collect()) == [(1, 5, 2), (2, 1, 2)]
+
+
+def test_encoder_loads_once_a_worker(spark, tmp_path):
+    """Many tasks and batches, one load in each Python worker; batches keep to their cost, and vectors to their rows."""
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+
+        def model(items):
+            assert len(items) <= 8 and max(map(len, items)) * len(items) <= 400
+            return [[len(x), x.count("a")] for x in items]
+
+        return model
+
+    encoder = Encoder(f"lengths-{tmp_path}", load, 2, most=8, cost=400)
+    rows = [(i, "a" * (i % 90 + 1) + "b" * (i % 7)) for i in range(600)]
+    df = spark.createDataFrame(rows, "i long, x string").repartition(16)
+    for _ in range(2):
+        got = {r.i: r.v for r in G.encoded(df, "x", encoder, 2, "v").collect()}
+        assert got == {i: [len(x), x.count("a")] for i, x in rows}
+    pids = open(log).read().split()
+    assert len(pids) == len(set(pids)) <= 16
+    assert sorted(i for b in encoder.batches([x for _, x in rows]) for i in b) == list(range(600))
+    for bad in (Encoder(f"bad-{tmp_path}", lambda: lambda items: [[1.0]] * len(items), 2), Encoder(f"few-{tmp_path}", lambda: lambda items: [], 2)):
+        with pytest.raises(Exception, match="gave"):
+            G.encoded(df, "x", bad, 2, "v").collect()
+    with pytest.raises(ValueError, match="not 3"):
+        G.encoded(df, "x", encoder, 3, "v")
+
+
 def test_metadata_file_must_be_an_array(spark, tmp_path):
     (tmp_path / "a.json").write_text('﻿[{"segment_id": "S", "start_time": 1.5, "mood": ["m"]}, {"segment_id": "T"}]', encoding="utf-8")
     rows = io.read_metadata(spark, f"{tmp_path}/a.json").orderBy("item_idx").collect()
