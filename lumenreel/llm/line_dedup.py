@@ -36,23 +36,27 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, text_id, site, pos, gone, h, salt): long lines, and runs with short ones; ``gone``: the places that may go."""
     spaced = F.trim(F.regexp_replace(F.regexp_replace("text", r"[\x20\x09\x0B-\x0D]+", " "), " ?\n ?", "\n"))
     words = lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1
-    lines = F.filter(F.transform(F.split(spaced, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"] != "")
+    # Few words are seen at a line's first spaces; words are counted only where two short lines meet.
+    few = (lambda x: x.rlike(f"^[^ ]+(?: [^ ]+){{0,{min_words - 2}}}$")) if min_words > 1 else lambda x: F.lit(False)
+    lines = F.transform(F.filter(F.transform(F.split(spaced, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"] != ""), lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), few(x["line"]).alias("few")))
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("site"), lines.alias("lines"))
 
     def around(x: Column, k: Column) -> Column:
         """A line with the next one, and where these two have too few words, or there is no next, with what else its runs may need."""
-        after, alone = F.get("lines", k + 1), words(x["line"]) < min_words
-        more = F.when(alone & (words(x["line"]) + words(after["line"]) < min_words), F.slice("lines", k + 3, max(1, min_words - 2)))
-        back = F.when(alone & after.isNull(), F.reverse(F.slice("lines", F.greatest(F.lit(1), k + 2 - min_words), F.least(F.lit(min_words - 1), k))))
-        return F.struct(x["pos"].alias("pos"), x["line"].alias("line"), after.alias("next"), more.alias("more"), back.alias("back"))
+        after = F.get("lines", k + 1)
+        more = F.when(x["few"] & after["few"], F.slice("lines", k + 3, max(1, min_words - 2)))
+        back = F.when(x["few"] & after.isNull(), F.reverse(F.slice("lines", F.greatest(F.lit(1), k + 2 - min_words), F.least(F.lit(min_words - 1), k))))
+        return F.struct(x["pos"].alias("pos"), x["line"].alias("line"), x["few"].alias("few"), after.alias("next"), more.alias("more"), back.alias("back"))
 
     rows = rows.select("doc_id", "text_id", "site", F.explode(F.transform("lines", around)).alias("x"))
-    rows = rows.select("doc_id", "text_id", "site", "x.*").select("*", words("line").alias("n"), words("next.line").alias("m"))
-    short, after = F.col("n") < min_words, F.col("m") < min_words
+    rows = rows.select("doc_id", "text_id", "site", "x.*")
+    short, after = F.col("few"), F.coalesce(F.col("next.few"), F.lit(False))
+    n, m = words(F.col("line")), words(F.col("next.line"))
+    enough = ~(short & after) | (n + m >= min_words)
     unit = lambda pos, gone, text: F.struct(pos.alias("pos"), gone.alias("gone"), text.alias("unit"))
     own = F.when(~short, unit(F.col("pos"), F.array("pos"), F.col("line")))
     two = F.array_compact(F.array(F.when(short, F.col("pos")), F.when(after, F.col("next.pos"))))
-    pair = F.when((short | after) & (F.col("n") + F.col("m") >= min_words), unit(F.col("pos"), two, F.concat("line", F.lit("\n"), "next.line")))
+    pair = F.when((short | after) & F.col("next").isNotNull() & enough, unit(F.col("pos"), two, F.concat("line", F.lit("\n"), "next.line")))
 
     def run(first: Column, others: Column, before: bool) -> Column:
         """Lines are added to the first ones while these have too few words: (pos, gone, unit, n)."""
@@ -66,9 +70,9 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
 
         return F.aggregate(others, first, add)
 
-    ahead = run(F.struct(F.col("pos").alias("pos"), F.array("pos", "next.pos").alias("gone"), F.concat("line", F.lit("\n"), "next.line").alias("unit"), (F.col("n") + F.col("m")).alias("n")), F.col("more"), False)
-    tail = run(F.struct(F.col("pos").alias("pos"), F.array("pos").alias("gone"), F.col("line").alias("unit"), F.col("n").alias("n")), F.col("back"), True)
-    ahead = F.when(F.col("more").isNotNull() & (ahead["n"] >= min_words), unit(ahead["pos"], ahead["gone"], ahead["unit"]))
+    ahead = run(F.struct(F.col("pos").alias("pos"), F.array("pos", "next.pos").alias("gone"), F.concat("line", F.lit("\n"), "next.line").alias("unit"), (n + m).alias("n")), F.col("more"), False)
+    tail = run(F.struct(F.col("pos").alias("pos"), F.array("pos").alias("gone"), F.col("line").alias("unit"), n.alias("n")), F.col("back"), True)
+    ahead = F.when(F.col("more").isNotNull() & ~enough & (ahead["n"] >= min_words), unit(ahead["pos"], ahead["gone"], ahead["unit"]))
     tail = F.when(F.col("back").isNotNull(), unit(tail["pos"], tail["gone"], F.when(tail["n"] >= min_words, tail["unit"]).otherwise(F.concat(tail["unit"], F.lit("\n")))))
     rows = rows.select("doc_id", "text_id", "site", F.explode(F.array_compact(F.array(own, F.coalesce(pair, ahead), tail))).alias("u"))
     return rows.select("doc_id", "text_id", "site", "u.pos", "u.gone", F.unhex(F.md5(F.col("u.unit").cast("binary"))).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
