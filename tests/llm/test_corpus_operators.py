@@ -640,26 +640,40 @@ def brute_urls(urls, texts, rules, labelled=None):
             for run in re.findall("[a-z]+|[0-9]+", text):
                 if kind == "h" or run not in ("en", "de", "fr", "news"):  # what the rules' paths say
                     toks += [f"{kind}:{w}" for w in (["#"] if run.isdigit() else best(run))]
+                    if kind == "h" and not run.isdigit():
+                        toks.append("h:#known" if all(len(w) >= 3 and w in words for w in best(run)) else "h:#new")
         return host, path, *max(fits, key=lambda x: len(x[0]), default=(None, None)), toks
 
     rows = [look(u) for u in urls]
+    free = []
     if labelled is None:
         examples = []
         for _, _, rule, verdict, toks in rows:
             seeded = any(x[2:] in url_filter.SEEDS for x in toks)
-            label = ("block" if seeded else "allow") if rule is None else verdict if set(rule.split("/")[0].split(".")) - set(url_filter.STOP_LABELS) else "block" if seeded and verdict == "block" else None
-            examples.append((toks, label))
+            if rule is None:
+                p = 1.0 if seeded else 0.0 if "h:#known" in toks else None
+                free += [toks] * (p is None)
+            else:
+                p = 1.0 * (verdict == "block") if set(rule.split("/")[0].split(".")) - set(url_filter.STOP_LABELS) else 1.0 if seeded and verdict == "block" else None
+            examples += [(toks, p)] * (p is not None)
     else:
-        examples = [(look(u)[4], v) for u, v in labelled]
-    n = collections.Counter(v for _, v in examples)
-    seen = {v: collections.Counter(x for toks, w in examples if w == v for x in toks) for v in ("block", "allow")}
-    size = len(set(seen["block"]) | set(seen["allow"]))
-    weight = lambda x: math.log((seen["block"][x] + 1) / (seen["block"].total() + size)) - math.log((seen["allow"][x] + 1) / (seen["allow"].total() + size)) if x in seen["block"] or x in seen["allow"] else 0.0
-    out = []
-    for host, path, rule, verdict, toks in rows:
-        score = math.log((n["block"] + 1) / (n["allow"] + 1)) + sum(map(weight, toks)) if n["block"] else -1.0
-        out.append((host, path, rule, verdict or ("block" if score > 0 else "allow"), score))
-    return out
+        examples = [(look(u)[4], 1.0 * (v == "block")) for u, v in labelled]
+
+    def model(examples):
+        n = [sum(p for _, p in examples), sum(1 - p for _, p in examples)]
+        seen = [collections.Counter(), collections.Counter()]
+        for toks, p in examples:
+            for x in toks:
+                seen[0][x] += p
+                seen[1][x] += 1 - p
+        size, total = len(seen[0]), [sum(c.values()) for c in seen]
+        weight = lambda x: math.log((seen[0][x] + 1) / (total[0] + size)) - math.log((seen[1][x] + 1) / (total[1] + size)) if x in seen[0] else 0.0
+        return lambda toks: math.log((n[0] + 1) / (n[1] + 1)) + sum(map(weight, toks)) if n[0] else -1.0
+
+    score = model(examples)
+    for _ in range(3 if free and score([]) != -1.0 else 0):
+        score = model(examples + [(toks, 1 / (1 + math.exp(-score(toks)))) for toks in free])
+    return [(host, path, rule, verdict or ("block" if score(toks) > 0 else "allow"), score(toks)) for host, path, rule, verdict, toks in rows]
 
 
 @pytest.mark.parametrize("given", [False, True])
@@ -670,6 +684,7 @@ def test_judge_urls(spark, given):
     hosts = ["cheappills.example.com", "goodnews.example.com", "dailynews.example.org", "cheap-pills.example.org", "GOODdaily.example.com"]
     urls = [f"https://{r.choice(['', 'www.', 'm.'])}{r.choice(hosts)}/{r.choice(['en', 'es', 'news'])}/{i}" for i in range(80)]
     urls += [f"http://goodnews.example.net/{r.choice(['en', 'fr'])}/{i}" for i in range(40)] + ["http://x.example.org/fr/1", "http://x.example.com/de/1", "http://net/", "http://net", "http://xnet/", None, "", "nothing", "http://pillsdaily.example.com/INDEX.html?x=y#z"]
+    urls += [f"http://{r.choice(['', 'm.'])}{r.choice(['qx-zzt', 'ads-trk', 'wwxgood'])}.example.{r.choice(['com', 'org'])}/en/{i}" for i in range(25)]
     pages = spark.createDataFrame([(i, u, "t", 1) for i, u in enumerate(urls)], "page_id long, url string, tokens string, id int")
     known = [("http://badnews.com/en", "block"), ("http://dailypills.com/x", "allow"), ("http://bad.com", "block")] if given else None
     labelled = spark.createDataFrame(known, "url string, label string") if given else None
@@ -697,6 +712,20 @@ def test_judge_urls_path_language(spark):
     assert {x.verdict for x in named.filter("host = 'otherthing.example.org' and path not like '/fr/%'").collect()} == {"block"}
 
 
+def test_judge_urls_without_a_seed(spark):
+    """Names that documents do not know are judged like the unwanted ones, though no list has their words; a single unknown part is not enough."""
+    docs = frame(spark, ["thing that there other news daily rest then with over " * 30])
+    clean = [f"{a}{b}.example.com" for a in ("thing", "that", "news") for b in ("there", "daily", "over")]
+    hosts = [*(f"{s}{h}" for h in clean for s in ("", "m.", "blog.")), *(f"{s}{h}.example.com" for h in ("casino-win", "free-bets", "spam-farm", "cheap-pills") for s in ("", "m."))]
+    urls = [f"https://{h}/{lang}/{i}" for h in hosts for lang in ("en", "es") for i in range(8)]
+    odd = [f"https://m.ads-track.example.com/en/{i}" for i in range(20)] + [f"https://kxw{h}/en/1" for h in clean[:3]]
+    got = {x.page_id: x for x in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls + odd)), "page_id long, url string"), docs, RULES).collect()}
+    listed = lambda x: any(s in x.host for s in url_filter.SEEDS)
+    assert all((got[i].verdict == "block") == listed(got[i]) for i in range(len(urls)))
+    assert {got[i].verdict for i in range(len(urls), len(urls) + 20)} == {"block"}
+    assert {got[i].verdict for i in range(len(urls) + 20, len(urls) + 23)} == {"allow"}
+
+
 # ---- Merkle audit
 
 
