@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,6 +80,13 @@ def frame_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.frame_differences(h, ["video_id"], "day", "histogram", gray="histogram").select("video_id", "day", F.round("diff", 6).alias("diff"))
 
 
+@query("frame_differences_edges", f"WITH {DAY_HISTOGRAMS}, g2 AS (SELECT video_id, day, unnest(histogram) AS x, unnest(before) AS y FROM (SELECT *, lag(histogram) OVER (PARTITION BY video_id ORDER BY day) AS before FROM dh) WHERE before IS NOT NULL) SELECT video_id, day, round(0.58 * sqrt(greatest(0, 1 - sum(sqrt(x * y)) / sqrt(sum(x) * sum(y)))) + 0.24 * avg(abs(x - y)) / 255 + 0.18 * avg(abs(x % 5 * 40 - y % 5 * 40)) / 255, 6) AS diff FROM g2 GROUP BY ALL")
+def frame_differences_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three parts of a difference: histogram, gray and edges."""
+    h = histograms(spark, sf_dir, by_day=True).withColumn("edges", F.transform("histogram", lambda x: x % 5 * 40))
+    return C.frame_differences(h, ["video_id"], "day", "histogram", gray="histogram", edges="edges").select("video_id", "day", F.round("diff", 6).alias("diff"))
+
+
 @query("sample_times", "SELECT event_id, k::INT AS k, round(50 + (value - 50) * (0.08 + 0.84 * k / 4), 6) AS t FROM events, unnest(range(5)) AS r(k) WHERE value > 50 UNION ALL SELECT event_id, -1, round((50 + value) / 2, 6) FROM events WHERE value > 50")
 def sample_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = series(spark, sf_dir)
@@ -134,11 +141,14 @@ x AS (SELECT *, CASE video_id % 4 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN s1 >= s2
 """
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _expected() -> Column:
     m = F.col("video_id") % 4
-    expected = F.when(m == 0, F.array().cast("array<string>")).when(m == 1, F.array(F.lit("봄"), F.lit("여름"))).when(m == 2, F.array(F.lit("겨울"))).otherwise(F.array(F.lit("가을"), F.lit("x")))
+    return F.when(m == 0, F.array().cast("array<string>")).when(m == 1, F.array(F.lit("봄"), F.lit("여름"))).when(m == 2, F.array(F.lit("겨울"))).otherwise(F.array(F.lit("가을"), F.lit("x")))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.scene_medians(_frames(spark, sf_dir), ["video_id", "scene_idx"], ["sharpness", *METRICS], 100.0)
-    rows = rows.withColumns({"expected": expected, "duration": F.col("n_frames").cast("double"), "confidence": F.lit(0.7)})
+    rows = rows.withColumns({"expected": _expected(), "duration": F.col("n_frames").cast("double"), "confidence": F.lit(0.7)})
     return C.evaluated(rows, RULES)
 
 
@@ -148,15 +158,24 @@ def season_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluated(spark, sf_dir).select("video_id", "scene_idx", *(F.col(f"season_scores.{s}").alias(n) for s, n in names.items()), "detected_season", "expected_season", "season_score", "other_score")
 
 
-@query("scene_evaluation", f"""WITH {_SEASON}, e AS (SELECT *, greatest(0, 1 - abs(n_frames - 7) / 7) AS du, greatest(0, least(1, 1 - abs(brightness - 130) / 130 - 0.35 * dark - 0.35 * over)) AS ex, least(1, 0.55 * least(1, edge_density / 0.14) + 0.25 * least(1, contrast / 62) + 0.20 * least(1, saturation / 0.48)) AS inf FROM x)
-SELECT video_id, scene_idx, CASE WHEN n_frames < 4 THEN 0 ELSE round(0.34 * sharpness + 0.19 * best_sharpness + 0.20 * season_score + 0.10 * ex + 0.09 * inf + 0.05 * du + 0.03 * 0.7, 6) END AS total_score,
-CASE WHEN n_frames < 4 THEN 1 ELSE (sharpness < 60)::INT + (best_sharpness < 100)::INT + (blurry_ratio > 0.5)::INT + (brightness < 20)::INT + (brightness > 60)::INT + (dark > 0.2)::INT + (over > 0.3)::INT + (season_score < 0.2)::INT + (other_score - season_score > 0.1)::INT END AS n_reasons,
-CASE WHEN n_frames < 4 THEN 'too few readable frames' WHEN sharpness < 60 THEN 'low median sharpness (' || format('{{:.3f}}', sharpness) || ')' ELSE 'other' END AS first_reason FROM e""")
+def _say(test: str, words: str, digits: int, value: str) -> str:
+    return f"CASE WHEN {test} THEN '{words} (' || format('{{:.{digits}f}}', round({value}, {digits})) || ')' END"
+
+
+#: All texts of failed tests, in their order.
+_REASONS = "CASE WHEN n_frames < 4 THEN 'too few readable frames' ELSE concat_ws(' / ', " + ", ".join((
+    _say("sharpness < 60", "low median sharpness", 3, "sharpness"), _say("best_sharpness < 100", "low best sharpness", 3, "best_sharpness"), _say("blurry_ratio > 0.5", "too many blurry frames", 2, "blurry_ratio"),
+    _say("brightness < 20", "too dark", 1, "brightness"), _say("brightness > 60", "too bright", 1, "brightness"), _say("dark > 0.2", "too many dark pixels", 2, "dark"), _say("over > 0.3", "too many overexposed pixels", 2, "over"),
+    _say("season_score < 0.2", "low season score", 3, "season_score"), _say("other_score - season_score > 0.1", "another season fits better", 3, "other_score - season_score"),
+)) + ") END"
+_PARTS = "greatest(0, least(1, 1 - abs(brightness - 130) / 130 - 0.35 * dark - 0.35 * over)) AS ex, least(1, 0.55 * least(1, edge_density / 0.14) + 0.25 * least(1, contrast / 62) + 0.20 * least(1, saturation / 0.48)) AS inf"
+_TOTAL = "CASE WHEN n_frames < 4 THEN 0 ELSE round(0.34 * sharpness + 0.19 * best_sharpness + 0.20 * season_score + 0.10 * ex + 0.09 * inf + 0.05 * du + 0.03 * confidence, 6) END"
+
+
+@query("scene_evaluation", f"""WITH {_SEASON}, e AS (SELECT *, 0.7 AS confidence, greatest(0, 1 - abs(n_frames - 7) / 7) AS du, {_PARTS} FROM x)
+SELECT video_id, scene_idx, {_TOTAL} AS total_score, {_REASONS} AS reasons FROM e""")
 def scene_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _evaluated(spark, sf_dir)
-    first = F.get("rejection_reasons", F.lit(0))
-    first = F.when(first.startswith("low median") | first.startswith("too few"), first).otherwise("other")
-    return rows.select("video_id", "scene_idx", "total_score", F.size("rejection_reasons").alias("n_reasons"), F.coalesce(first, F.lit("other")).alias("first_reason"))
+    return _evaluated(spark, sf_dir).select("video_id", "scene_idx", "total_score", F.array_join("rejection_reasons", " / ").alias("reasons"))
 
 
 @query("verified_seasons", f"WITH {_SEASON} SELECT video_id, scene_idx, video_id % 3 = 0 AS season_verified, CASE WHEN video_id % 3 = 0 THEN '가을' ELSE detected END AS detected_season, CASE WHEN video_id % 3 = 0 THEN '가을' ELSE expected_season END AS expected_season, CASE WHEN video_id % 3 = 0 THEN s3 ELSE season_score END AS season_score, detected AS auto_detected_season FROM x")
@@ -228,14 +247,50 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.quality_report(rows).select("video_id", "candidate_start", "candidate_end", "accepted", "total_score", "rejection_reasons")
 
 
-@query("scene_candidates")
+_C4 = _C1.rstrip() + f""",
+pd AS (SELECT * FROM (SELECT video_id, scene_idx, confidence, "start" + CASE WHEN scene_idx = 0 THEN 0.15 ELSE 600 END AS sa, "end" - CASE WHEN scene_idx = n_scenes - 1 THEN 0.15 ELSE 600 END AS sz FROM c) WHERE sz - sa >= 7200),
+w1 AS (SELECT pd.video_id, pd.scene_idx, arg_max(t, {{'s': 0.75 * value + 0.25 * greatest(0, least(1, 1 - abs(value / 2.0 - 130) / 130)), 't': -t}}) AS best FROM pd JOIN s ON s.video_id = pd.video_id AND t >= sa + 172800 AND t <= sz - 172800 GROUP BY 1, 2),
+w2 AS (SELECT pd.*, greatest(sa, coalesce(best, (sa + sz) / 2) - 172800) AS w0 FROM pd LEFT JOIN w1 USING (video_id, scene_idx)),
+ws AS (SELECT video_id, scene_idx, confidence, CASE WHEN sz - sa > 345600 THEN greatest(sa, least(sz, w0 + 345600) - 345600) ELSE sa END AS "start", CASE WHEN sz - sa > 345600 THEN least(sz, w0 + 345600) ELSE sz END AS "end" FROM w2),
+sm AS (SELECT video_id, scene_idx, "start" + ("end" - "start") * (0.08 + 0.84 * j / 5) AS t FROM ws, unnest(range(6)) AS r(j) WHERE "end" > "start"),
+fr AS (SELECT video_id, t, max(event_id) AS frame_idx, arg_max(value, event_id) AS value FROM s GROUP BY 1, 2),
+f AS (SELECT sm.video_id, sm.scene_idx, fr.frame_idx, fr.value AS sharpness, {_M} FROM sm ASOF JOIN fr ON sm.video_id = fr.video_id AND sm.t >= fr.t),""" + _SEASON.split(f"{_FRAMES},", 1)[1] + f""",
+e AS (SELECT x.*, ws."start", ws."end", ws.confidence, greatest(0, least(1, 1 - abs(ws."end" - ws."start" - 7) / 7)) AS du, {_PARTS} FROM x JOIN ws USING (video_id, scene_idx)),
+v AS (SELECT video_id, scene_idx, "start", "end", {_TOTAL} AS total_score, {_REASONS} AS why FROM e),
+h AS (SELECT *, list_transform(hh, lambda y: y - list_avg(hh)) AS ch FROM (SELECT *, [(floor("start" / 3600) % 7)::DOUBLE, (floor("start" / 3600) % 11)::DOUBLE, (floor("end" / 3600) % 5)::DOUBLE, (floor("end" / 3600) % 3)::DOUBLE] AS hh FROM v WHERE why = '')),
+q AS (SELECT video_id, list({{'k': scene_idx, 'c': ch}} ORDER BY total_score DESC, scene_idx) AS items FROM h GROUP BY 1),
+o AS (SELECT video_id, items, list_reduce(list_transform(items, lambda y: [y]), lambda acc, y: CASE WHEN len(acc) >= 3 OR len(list_filter(acc, lambda w: CASE WHEN list_dot_product(w.c, w.c) * list_dot_product(y[1].c, y[1].c) = 0 THEN 0 ELSE list_dot_product(w.c, y[1].c) / (sqrt(list_dot_product(w.c, w.c)) * sqrt(list_dot_product(y[1].c, y[1].c))) END >= 0.9)) > 0 THEN acc ELSE list_concat(acc, y) END, items[:0]) AS picked FROM q),
+u AS (SELECT video_id, unnest(range(1, len(items) + 1)) AS place, items, picked FROM o),
+t AS (SELECT video_id, items[place].k AS scene_idx, list_contains(list_transform(picked, lambda y: y.k), items[place].k) AS chosen, len(list_filter(items[:place - 1], lambda y: list_contains(list_transform(picked, lambda w: w.k), y.k))) AS better FROM u),
+r AS (SELECT v.*, coalesce(chosen, false) AS chosen, CASE WHEN why <> '' THEN why WHEN chosen THEN '' WHEN better >= 3 THEN 'quota' ELSE 'similar' END AS reason FROM v LEFT JOIN t USING (video_id, scene_idx)),
+nr AS (SELECT *, row_number() OVER (PARTITION BY video_id, chosen ORDER BY "start", scene_idx) AS rn FROM r)
+SELECT video_id, scene_idx, CASE WHEN chosen THEN video_id || '_SCENE_' || lpad(rn::VARCHAR, greatest(2, length(rn::VARCHAR))::INT, '0') ELSE video_id || '_REJECTED_' || lpad(rn::VARCHAR, greatest(3, length(rn::VARCHAR))::INT, '0') END AS scene_id,
+  round("start", 6) AS "start", round("end", 6) AS "end", total_score, chosen, reason FROM nr
+"""
+
+
+@query("scene_candidates", _C4)
 def scene_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline of a video: cuts, padding, windows, sampled frames, scores, quota, diverse choice and numbers."""
     frames = _frames(spark, sf_dir).drop("scene_idx")
-    expected = frames.select("video_id").distinct().withColumn("expected", F.array(F.lit("가을")))
-    histogram = F.array("sharpness", "best_frame.sharpness", "start", "end")
-    rows = C.processed_videos(_diffs(spark, sf_dir), frames, _ranges(spark, sf_dir), ["video_id"], "t", RULES, list(METRICS), expected, C.quota(F.lit("youtube"), 2, 3), histogram, 0.99999)
-    return rows.select("video_id", "scene_idx", "scene_id", "start", "end", "total_score", "chosen", F.array_join("rejection_reasons", " / ").alias("reason"))
+    expected = frames.select("video_id").distinct().withColumn("expected", _expected())
+    hours = {c: F.floor(F.col(c) / 3600) for c in ("start", "end")}
+    histogram = F.array(*((hours[c] % n).cast("double") for c, n in (("start", 7), ("start", 11), ("end", 5), ("end", 3))))
+    rows = C.processed_videos(_diffs(spark, sf_dir), frames, _ranges(spark, sf_dir), ["video_id"], "t", RULES, list(METRICS), expected, C.quota(F.lit("youtube"), 2, 3), histogram, 0.9)
+    return rows.select("video_id", F.col("scene_idx").cast("long").alias("scene_idx"), "scene_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "total_score", "chosen", F.array_join("rejection_reasons", " / ").alias("reason"))
+
+
+_SEASONS_SQL = "['봄', '여름', '가을', '겨울']"
+
+
+@query("quality_report_columns", _K4 + f"SELECT video_id::VARCHAR AS video_id, 'y' || video_id AS youtube_id, NULL::VARCHAR AS drama_title, st AS candidate_start, st + 5 AS candidate_end, chosen AS accepted, scene_idx AS total_score, (scene_idx % 100) / 100.0 AS sharpness_score, {_SEASONS_SQL}[scene_idx % 4 + 1] AS expected_season, (scene_idx % 10) / 10.0 AS season_score, {_SEASONS_SQL}[scene_idx % 3 + 1] AS detected_season, {_SEASONS_SQL}[scene_idx % 2 + 1] AS auto_detected_season, CASE WHEN scene_idx % 3 = 0 THEN '가을' END AS verified_season, scene_idx % 3 = 0 AS season_verified, scene_idx % 2 = 0 AS season_match_required, NULL::VARCHAR AS season_review_note, coalesce(reason, '') || CASE WHEN reason IS NULL THEN 'dim' ELSE ' / dim' END AS rejection_reasons FROM id")
+def quality_report_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 17 columns of the report, two of which the scenes do not have."""
+    k = F.col("scene_idx")
+    season = lambda n: F.get(F.array(*map(F.lit, S.SEASONS)), (k % n).cast("int"))
+    more = {"youtube_id": F.concat(F.lit("y"), "video_id"), "end": F.col("start") + 5, "total_score": k, "sharpness": (k % 100) / 100.0, "expected_season": season(4), "season_score": (k % 10) / 10.0, "detected_season": season(3), "auto_detected_season": season(2)}
+    more |= {"verified_season": F.when(k % 3 == 0, "가을"), "season_verified": k % 3 == 0, "season_match_required": k % 2 == 0, "rejection_reasons": F.array_compact(F.array("reason", F.lit("dim"))), "video_id": F.col("video_id").cast("string")}
+    return C.quality_report(_numbered(spark, sf_dir).withColumns(more))
 
 
 # ---- manual segments and ranges
