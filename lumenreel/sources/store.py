@@ -1,13 +1,17 @@
 """A store of keyed tables as parquet snapshots with one pointer.
 
-A load writes every table under a new version and then publishes all of them at once by writing one small pointer file
-under a higher number, so readers see either the old or the new tables.  Files are only written and listed by Spark.
+A load writes every table to a folder of its own and then publishes all of them at once by writing one small pointer, under
+the next version's number, so readers see either the old or the new tables.  A pointer is never overwritten: of two loads
+that started from one version the second fails, and what it wrote is read by nobody.  Files are only written and listed by
+Spark.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,24 +35,39 @@ REQUIRED = ("video_segments", "segment_keyframes")
 CASCADES: Sequence[tuple[str, str, str]] = (("video_segments", "videos", "video_id"), ("segment_embeddings", "video_segments", "segment_id"), ("segment_keyframes", "video_segments", "segment_id"), ("keyframe_embeddings", "segment_keyframes", "keyframe_id"))
 
 
+class VersionTaken(RuntimeError):
+    """Another load has published a version since this one started."""
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
+    return spark.read.schema("version long, folder string").json(f"{root}/published/*") if exists(spark, f"{root}/published") else None
+
+
 def version(spark: SparkSession, root: str) -> int:
     """Number of the published version; 0 if there is none."""
-    if not exists(spark, f"{root}/published"):
-        return 0
-    return spark.read.schema("version long").json(f"{root}/published/*").agg(F.max("version")).first()[0] or 0
+    pointers = _pointers(spark, root)
+    return (pointers.agg(F.max("version")).first()[0] or 0) if pointers is not None else 0
 
 
 def read(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    v = version(spark, root)
-    return {t: spark.read.parquet(f"{root}/v{v}/{t}") for t in KEYS if v and exists(spark, f"{root}/v{v}/{t}")}
+    pointers = _pointers(spark, root)
+    newest = pointers.orderBy(F.desc("version")).first() if pointers is not None else None
+    at = f"{root}/{newest.folder}" if newest else ""
+    return {t: spark.read.parquet(f"{at}/{t}") for t in KEYS if newest and exists(spark, f"{at}/{t}")}
 
 
-def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]) -> int:
-    """Write all tables as the next version, then the pointer to it."""
-    v = version(spark, root) + 1
+def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], after: int | None = None) -> int:
+    """Write all tables, then the pointer to them as the version behind ``after`` (by default the newest one)."""
+    v = (version(spark, root) if after is None else after) + 1
+    folder = f"v{v}-{uuid.uuid4().hex}"
     for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{root}/v{v}/{name}")
-    spark.createDataFrame([(v,)], "version long").coalesce(1).write.mode("overwrite").json(f"{root}/published/{v}")
+        rows.write.parquet(f"{root}/{folder}/{name}")
+    if version(spark, root) >= v:
+        raise VersionTaken(f"version {v} is there already")
+    try:
+        spark.createDataFrame([(v, folder)], "version long, folder string").coalesce(1).write.mode("error").json(f"{root}/published/{v}")
+    except AnalysisException as e:
+        raise VersionTaken(f"version {v} is there already") from e
     return v
 
 
@@ -76,7 +95,8 @@ def deleted(tables: Mapping[str, DataFrame], table: str, gone: DataFrame) -> dic
 
 def delete(spark: SparkSession, root: str, table: str, gone: DataFrame) -> int:
     """Publish the store without some rows of one table, with the effects on the others."""
-    return publish(spark, root, deleted(read(spark, root), table, gone))
+    start = version(spark, root)
+    return publish(spark, root, deleted(read(spark, root), table, gone), start)
 
 
 def load(spark: SparkSession, root: str, new: Mapping[str, DataFrame]) -> int:
@@ -88,6 +108,7 @@ def load(spark: SparkSession, root: str, new: Mapping[str, DataFrame]) -> int:
     lacking = [t for t in REQUIRED if t not in new]
     if lacking:
         raise ValueError(f"a load needs the tables {', '.join(lacking)}")
+    start = version(spark, root)
     old = stale_deleted(read(spark, root), new)
     out = {t: T.upsert(old[t], rows, KEYS[t], UPDATES[t]) if t in old else T.unique_rows(rows, KEYS[t]).select("_n.*") for t, rows in new.items()}
     out |= {t: rows for t, rows in old.items() if t not in out}
@@ -95,4 +116,4 @@ def load(spark: SparkSession, root: str, new: Mapping[str, DataFrame]) -> int:
         out["video_segments"] = with_places(out["video_segments"].drop("spot_id"), out["spots"])
     if not T.duplicate_keys(out["segment_keyframes"], "keyframe_path").isEmpty():
         raise ValueError("a keyframe path has two ids")
-    return publish(spark, root, out)
+    return publish(spark, root, out, start)

@@ -12,6 +12,7 @@ from lumenreel import plans
 from lumenreel.functions import scores as S_
 from lumenreel.functions import text as T
 from lumenreel.functions import vectors as V
+from lumenreel.operators import frames as X
 from lumenreel.operators import index
 from lumenreel.operators import scenes as C
 from lumenreel.operators import search as S
@@ -443,6 +444,43 @@ def test_store_refuses_a_path_under_two_ids(spark, tmp_path):
     assert store.version(spark, root) == 2
 
 
+def test_store_refuses_a_version_that_is_taken(spark, tmp_path):
+    """Of two writers that start together the second fails, and the first one's tables stay."""
+    t = lambda v: {"videos": spark.createDataFrame([("a", v)], "video_id string, title string")}
+    root = str(tmp_path)
+    assert store.publish(spark, root, t("x")) == 1
+    start = store.version(spark, root)
+    assert store.publish(spark, root, t("first"), start) == 2
+    with pytest.raises(store.VersionTaken):
+        store.publish(spark, root, t("second"), start)
+    assert store.read(spark, root)["videos"].first().title == "first" and store.publish(spark, root, t("third")) == 3
+
+
+@pytest.mark.parametrize("band", [512, 3, 1])
+def test_stencils_by_bands(spark, band):
+    """Bands with halos change nothing; one exchange on frame and band, none on lines and columns."""
+    r = np.random.default_rng(band)
+    shapes = {0: (7, 9), 1: (1, 5), 2: (6, 1), 3: (1, 1), 4: (13, 4)}
+    data = {k: r.integers(0, 256, n) for k, n in shapes.items()}
+    px = spark.createDataFrame([(k, x, y, int(g[y, x])) for k, g in data.items() for y in range(g.shape[0]) for x in range(g.shape[1])], "frame_id int, x int, y int, gray int")
+    out = X.stencils(px, band)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 2
+    got = {x.frame_id: (x.laplacian, x.tenengrad) for x in out.collect()}
+    near = lambda a, y, x: a[y if 0 <= y < len(a) else 0 if len(a) == 1 else 1 if y < 0 else len(a) - 2, x if 0 <= x < a.shape[1] else 0 if a.shape[1] == 1 else 1 if x < 0 else a.shape[1] - 2]
+    for k, g in data.items():
+        g = g.astype(float)
+        lap, energy = [], []
+        for y in range(len(g)):
+            for x in range(g.shape[1]):
+                at = lambda dy, dx: near(g, y + dy, x + dx)  # noqa: B023, E731
+                lap.append(at(0, -1) + at(0, 1) + at(-1, 0) + at(1, 0) - 4 * g[y, x])
+                gx = sum(w * (at(d, 1) - at(d, -1)) for d, w in ((-1, 1), (0, 2), (1, 1)))
+                gy = sum(w * (at(1, d) - at(-1, d)) for d, w in ((-1, 1), (0, 2), (1, 1)))
+                energy.append(gx * gx + gy * gy)
+        assert got[k] == pytest.approx((np.var(lap), np.mean(energy)), rel=1e-9, abs=1e-6)
+
+
 def test_stream_resumes(spark, tmp_path):
     put = lambda rows: spark.createDataFrame(rows, "k long, at long, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     run = lambda: incremental.run_stream(spark, f"{tmp_path}/in", "k long, at long, v string", "k", "at", ["at", "v"], f"{tmp_path}/out", f"{tmp_path}/cp")
