@@ -121,6 +121,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").drop("loss_tokens"), word_tokenizer, max_tokens=2048, max_segments=256, max_loss_tokens=2048, end=1)
 
 
+#: Limits of an instruction sequence: tokens, turns, and tokens that bear loss.
+INSTRUCTION_LIMITS = (2048, 12, 900)
+
+
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of all conversations, of which assistants' bear loss, under three limits at once; pieces name conversation and turn."""
+    turns = table(spark, sf_dir, "conversations")
+    place = F.col("conv_id").cast("long") * 65_536 + F.col("turn")
+    loss = F.when(F.col("role") == "assistant", F.lit((1 << 31) - 1)).otherwise(0)
+    tokens, segments, bearing = INSTRUCTION_LIMITS
+    rows = pack(turns.select(place.alias("doc_id"), "text", loss.alias("loss_tokens")), word_tokenizer, max_tokens=tokens, max_segments=segments, max_loss_tokens=bearing, end=1)
+    return rows.select(F.shiftright("doc_id", 16).alias("conv_id"), F.col("doc_id").bitwiseAND(F.lit(65_535)).alias("turn"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
@@ -194,7 +208,7 @@ FROM r JOIN e USING (vec_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_language_id, op2_warc_merkle_audit, op3_ngram_jaccard_join, op4_url_filter, op5_mixing, op6_line_dedup, op7_packing, op8_quality_rules, op9_exact_dedup, op10_toxicity, op11_fill_in_middle, op12_personal_data, op13_vector_codes)
+    all_ = (op1_language_id, op2_warc_merkle_audit, op3_ngram_jaccard_join, op4_url_filter, op5_mixing, op6_line_dedup, op7_packing, op8_quality_rules, op9_exact_dedup, op10_toxicity, op11_fill_in_middle, op12_personal_data, op13_vector_codes, instruction_packing)
     return {f.__name__: f for f in all_}
 
 

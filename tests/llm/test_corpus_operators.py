@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenreel.llm import common, graph, jaccard_join, language_id, line_dedup, merkle, quality, shingles, toxicity, url_filter
+from lumenreel.llm import common, graph, jaccard_join, language_id, line_dedup, merkle, quality, queries, shingles, toxicity, url_filter
 from lumenreel.llm.exact_dedup import exact_duplicates
 from lumenreel.llm.jaccard_join import near_duplicates
 from lumenreel.llm.language_id import predict_language
@@ -469,6 +469,29 @@ def test_pack_loss_tokens(spark):
     assert pack(frame(spark, []), encode).count() == 0
 
 
+def test_instruction_packing(spark):
+    """Conversations: every id once, and all three limits held, of which turns and loss-bearing tokens bind."""
+    turns = {(x.conv_id, x.turn): x for x in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()}
+    got = queries.instruction_packing(spark, "/root/testdata/sf0.01").collect()
+    tokens, segments, bearing = queries.INSTRUCTION_LIMITS
+    ids = dict(zip(turns, queries.word_tokenizer()([x.text or "" for x in turns.values()], 1), strict=True))
+    used, loss, length, pieces = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for x in got:
+        used[x.sequence_id] += 1
+        length[x.sequence_id] += x.length
+        loss[x.sequence_id] += x.length if turns[x.conv_id, x.turn].role == "assistant" else 0
+        pieces[x.conv_id, x.turn].append((x.start, x.length, x.ids_crc32, x.doc_tokens))
+    assert set(pieces) == set(turns)
+    for k, parts in pieces.items():
+        at = 0
+        for start, n, crc, all_ in sorted(parts):
+            assert start == at and all_ == len(ids[k]) and crc == zlib.crc32(ids[k][start : start + n].tobytes())
+            at += n
+        assert at == len(ids[k])
+    assert max(length.values()) <= tokens and max(used.values()) == segments and bearing - 5 <= max(loss.values()) <= bearing
+    assert all(n == tokens or n & (n - 1) == 0 for n in length.values())
+
+
 # ---- language identification
 
 
