@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions.text import text_or_null
 from lumenreel.operators.scenes import REPORT
+from lumenreel.sources.arrays import elements
 from lumenreel.sources.folders import scratch  # noqa: F401
 
 METADATA = (
@@ -21,26 +22,19 @@ REPORT_SCHEMA = ", ".join(f"{c} {'double' if c in NUMERIC else 'boolean' if c in
 
 
 def read_metadata(spark: SparkSession, path: str, schema: str = METADATA) -> DataFrame:
-    """Items of a JSON array file with ``item_idx``, their order in the file; a byte-order mark is accepted.
+    """Items of JSON array files with ``item_idx``, their order; a byte-order mark is accepted.
 
-    One array file is one task's work, as its elements have no line structure; corpora of many files spread over tasks.
+    A large file is read by many tasks (see ``arrays``).  An element that is not an object of fitting types is an error.
     """
-    top = F.ltrim(F.regexp_replace("value", "^﻿", ""))
-    if not spark.read.option("wholetext", True).text(path).filter(~top.startswith("[")).isEmpty():
-        raise ValueError("the top level is not an array")
-    rows = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = rows.withColumn("item_idx", F.monotonically_increasing_id())
-    bad = F.when(F.col("_corrupt").isNotNull(), F.raise_error(F.lit("the file is not an array of objects"))).otherwise(F.col("item_idx"))
-    return rows.withColumn("item_idx", bad).drop("_corrupt")
+    rows = elements(spark, path)
+    parsed = F.from_json("item", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    bad = F.when(~F.col("item").startswith("{") | F.col("x._corrupt").isNotNull(), F.raise_error(F.lit("the file is not an array of objects"))).otherwise(F.col("item_idx"))
+    return rows.withColumn("x", parsed).withColumn("item_idx", bad).select("x.*", "item_idx").drop("_corrupt")
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """(item_idx, item): array elements as variants, for validation."""
-    text = spark.read.option("wholetext", True).text(path)
-    body = F.regexp_replace("value", "^﻿", "")
-    items = F.try_variant_get(F.parse_json(body), "$", "array<variant>")
-    top = F.when(F.schema_of_variant(F.parse_json(body)).startswith("ARRAY"), items).otherwise(F.raise_error(F.lit("the top level is not an array")))
-    return text.select(F.posexplode(top).alias("item_idx", "item"))
+    """(item_idx, item): array elements as variants with their number in their file, for validation."""
+    return elements(spark, path, ordinals=True).select("item_idx", F.parse_json("item").alias("item"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -1,10 +1,13 @@
 """Unit and property tests of the scene, search, table and text operators."""
 
+import json
 import math
 import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from lumenreel.operators import segments as G
 from lumenreel.operators import tables as K
 from lumenreel.operators import tagging
 from lumenreel.operators.encoders import Encoder
-from lumenreel.sources import io, store
+from lumenreel.sources import arrays, io, store
 from lumenreel.streaming import incremental, records
 
 
@@ -557,6 +560,48 @@ def test_encoder_loads_once_a_worker(spark, tmp_path):
         G.encoded(df, "x", encoder, 3, "v")
 
 
+_VALUES = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(-9, 99), st.text(st.sampled_from('a"\\\\{}[], é\n'), max_size=6)), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.text(st.sampled_from('k"}'), max_size=2), x, max_size=3)), max_leaves=8)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(_VALUES, max_size=6), st.sampled_from([None, 1]), st.data())
+def test_elements_of_chunks(values, indent, data):
+    """Any array, cut behind any of its closing braces: the parts put together are its elements."""
+    text = json.dumps(values, ensure_ascii=data.draw(st.booleans()), indent=indent)
+    ends = [i + 1 for i, c in enumerate(text) if c == "}"]
+    cuts = sorted(data.draw(st.sets(st.sampled_from(ends), max_size=4))) if ends else []
+    inside, depth, found = False, 0, []
+    for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+        if a == b:
+            continue
+        for kind, part in arrays.cut_elements(text[a:b], inside, depth):
+            if kind in ("whole", "tail"):
+                found.append("")
+            found[-1] += part
+        change = arrays.summary(text[a:b], inside)
+        inside, depth = change[0], depth + change[1]
+    assert [json.loads(x) for x in found] == values
+
+
+def test_large_array_file_splits(spark, tmp_path):
+    """One file in many tasks: all elements once, in order, with strings full of brackets and elements across chunks."""
+    items = [{"segment_id": f"S{i}", "description": '}{"][,\\' * (i % 50) + "é", "start_time": i / 2, "mood": ["a}", "b"] * (i % 3), "nested": {"x": [{"y": i}] * (i % 4)}} for i in range(4000)]
+    (tmp_path / "a.json").write_text("\ufeff" + json.dumps(items, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps([{"segment_id": "last"}], indent=2), encoding="utf-8")
+    (tmp_path / "c.json").write_text(" [ ] ", encoding="utf-8")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = io.read_metadata(spark, str(tmp_path), io.METADATA)
+        assert rows.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 8
+        got = rows.orderBy("item_idx").collect()
+        places = sorted(x.item_idx for x in io.read_items(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [(x.segment_id, x.description, x.start_time, x.mood) for x in got] == [(x["segment_id"], x["description"], x["start_time"], x["mood"]) for x in items] + [("last", None, None, None)]
+    assert len({x.item_idx for x in got}) == len(got) and places == sorted([0, *range(4000)])
+
+
 def test_metadata_file_must_be_an_array(spark, tmp_path):
     (tmp_path / "a.json").write_text('﻿[{"segment_id": "S", "start_time": 1.5, "mood": ["m"]}, {"segment_id": "T"}]', encoding="utf-8")
     rows = io.read_metadata(spark, f"{tmp_path}/a.json").orderBy("item_idx").collect()
