@@ -38,16 +38,21 @@ def frame_differences(frames: DataFrame, keys: Sequence[str], t: str, histogram:
     return frames.withColumn("diff", parts).filter(F.col("diff").isNotNull())
 
 
-def medians(rows: DataFrame, keys: Sequence[str], value: str, hot: int | None = None) -> DataFrame:
+def hot_groups(rows: DataFrame, keys: Sequence[str], hot: int | None = None) -> DataFrame | None:
+    """The keys of groups with more than ``hot`` rows; None if there is none."""
+    large = rows.groupBy(*keys).count().filter(F.col("count") > (HOT_GROUP if hot is None else hot)).select(*keys)
+    return None if large.isEmpty() else kept(large)
+
+
+def medians(rows: DataFrame, keys: Sequence[str], value: str, large: DataFrame | None = None) -> DataFrame:
     """(keys, n, med): number of rows and exact median of ``value`` in each group.
 
-    The values of groups with more than ``hot`` rows are never gathered: a mergeable sketch gives a narrow bracket that
+    The values of the groups in ``large`` (see hot_groups) are never gathered: a mergeable sketch gives a narrow bracket that
     holds the middle, one pass counts what lies below it, and what lies inside is counted value by value.
     """
-    keys, hot = list(keys), HOT_GROUP if hot is None else hot
+    keys = list(keys)
     plain = lambda df: df.groupBy(*keys).agg(F.count("*").alias("n"), F.median(value).alias("med"))
-    large = rows.groupBy(*keys).count().filter(F.col("count") > hot).select(*keys)
-    if large.isEmpty():
+    if large is None:
         return plain(rows)
     match = [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
     few = F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
@@ -70,9 +75,10 @@ def medians(rows: DataFrame, keys: Sequence[str], value: str, hot: int | None =
 
 def robust_threshold(diffs: DataFrame, keys: Sequence[str], base: float, multiplier: float, value: str = "diff", hot: int | None = None) -> DataFrame:
     """(keys, n, threshold): median plus a multiple of the median absolute deviation, within [base, 0.78]."""
-    med = medians(diffs, keys, value, hot)
+    large = hot_groups(diffs, keys, hot)
+    med = medians(diffs, keys, value, large)
     away = diffs.join(med, list(keys)).select(*keys, "med", F.abs(F.col(value) - F.col("med")).alias("_away"))
-    mad = med.join(medians(away, keys, "_away", hot).select(*keys, F.col("med").alias("mad")), list(keys))
+    mad = med.join(medians(away, keys, "_away", large).select(*keys, F.col("med").alias("mad")), list(keys))
     adaptive = F.greatest(F.lit(base), F.least(F.lit(0.78), F.col("med") + multiplier * F.greatest("mad", F.lit(0.008))))
     return mad.select(*keys, "n", F.when(F.col("n") < 3, F.lit(base)).otherwise(adaptive).alias("threshold"))
 
@@ -159,9 +165,9 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, values
     rows = rows.unionByName(r.withColumn("_l", none))
     order = ["_at", "_o", *(f"_t{i}" for i in range(len(tie)))]
     last = r.groupBy(*keys, "_b").agg(F.max_by("_r", F.struct("_at", *order[2:])).alias("_r"))
-    wanted = rows.select(*keys, "_b").distinct().join(last, [*keys, "_b"], "left")
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carried = wanted.withColumn("_r", F.last("_r", ignorenulls=True).over(before)).filter(F.col("_r").isNotNull())
+    asked = left.select(*keys, bucket.alias("_b")).distinct().select("*", F.lit(None).cast(kind).alias("_r"), F.lit(0).alias("_o"))
+    before = W.partitionBy(*keys).orderBy("_b", "_o").rowsBetween(W.unboundedPreceding, -1)  # what is asked for in a bucket comes before its own last row
+    carried = asked.unionByName(last.withColumn("_o", F.lit(1))).withColumn("_r", F.last("_r", ignorenulls=True).over(before)).filter((F.col("_o") == 0) & F.col("_r").isNotNull())
     fill = [F.lit(None).cast(r.schema[c].dataType).alias(c) for c in order[2:]]
     rows = rows.unionByName(carried.select(*keys, F.lit(None).cast(r.schema["_at"].dataType).alias("_at"), "_b", "_r", F.lit(0).alias("_o"), *fill, none))
     w = W.partitionBy(*keys, "_b").orderBy(*(F.asc_nulls_first(c) for c in order)).rowsBetween(W.unboundedPreceding, 0)
@@ -350,7 +356,7 @@ def quality_report(rows: DataFrame) -> DataFrame:
 
 def detect_scenes(diffs: DataFrame, ranges: DataFrame, keys: Sequence[str], t: str, rules: Mapping[str, float]) -> tuple[DataFrame, DataFrame]:
     """(scenes, thresholds) of ranges from a difference series; ranges with fewer than three differences are one scene."""
-    thresholds = kept(robust_threshold(diffs, keys, rules["base_cut_threshold"], rules["adaptive_mad_multiplier"]))
+    thresholds = robust_threshold(diffs, keys, rules["base_cut_threshold"], rules["adaptive_mad_multiplier"])
     found = peaks(diffs, thresholds, keys, t)
     return intervals(spaced_peaks(found, ranges, keys, t, rules["minimum_cut_gap_seconds"]), ranges, keys), thresholds
 

@@ -100,7 +100,7 @@ def as_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = series(spark, sf_dir)
     wanted = e.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k")).select("video_id", (F.col("k") * 43200.0).alias("t"))
     frames = T.last_of(e.withColumn("_k", F.struct("video_id", "t")), "_k", "event_id").drop("_k")
-    return C.as_of(wanted, frames, ["video_id"], "t", ["event_id", "value"])
+    return C.as_of(wanted, frames, ["video_id"], "t", ["event_id", "value"], width=7 * DAY)
 
 
 @query("caption_overlap", f"WITH {SERIES}, seg AS (SELECT video_id, video_id * 1000 + k AS segment_id, k * 21600.0 AS a, k * 21600.0 + 21600 AS z FROM (SELECT DISTINCT video_id FROM s), unnest(range(120)) AS r(k)), j AS (SELECT segment_id, string_agg(event_type, ' ' ORDER BY t, event_type) AS x FROM seg JOIN s ON s.video_id = seg.video_id AND t + value * 10 >= a AND t <= z GROUP BY 1) SELECT segment_id, coalesce(x, 'no captions') AS script FROM seg LEFT JOIN j USING (segment_id)")

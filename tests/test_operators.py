@@ -240,7 +240,7 @@ def test_medians(spark, hot):
     r = random.Random(hot)
     groups = {("a", 1): [round(r.gauss(0, 3), r.choice([0, 3])) for _ in range(501)], ("a", 2): [r.random() for _ in range(40)], ("b", None): [2.0] * 30 + [None] * 5, (None, 1): [1.0, 4.0], ("c", 0): [7.5], ("d", 1): [None]}
     df = spark.createDataFrame([(*k, v) for k, values in groups.items() for v in values], "k string, j int, v double").repartition(5)
-    got = {(x.k, x.j): (x.n, x.med) for x in C.medians(df, ["k", "j"], "v", hot).collect()}
+    got = {(x.k, x.j): (x.n, x.med) for x in C.medians(df, ["k", "j"], "v", C.hot_groups(df, ["k", "j"], hot)).collect()}
     for k, values in groups.items():
         some = [v for v in values if v is not None]
         assert got[k] == (len(values), np.median(some) if some else None), k
