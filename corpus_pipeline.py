@@ -18,7 +18,7 @@ from lumenreel.llm.jaccard_join import near_duplicates
 from lumenreel.llm.line_dedup import remove_boilerplate
 from lumenreel.llm.mixing import mix
 from lumenreel.llm.packing import pack
-from lumenreel.llm.quality import judge
+from lumenreel.llm.quality import group_of, judge
 from lumenreel.llm.queries import word_tokenizer
 
 _SPACES = "\t\n\x0b\x0c\r "
@@ -26,9 +26,10 @@ _SPACES = "\t\n\x0b\x0c\r "
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that fail a base rule or are outliers of their language and source."""
-    bad = judge(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
-    return rows.join(bad, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_anti").select("row.*")
+    bad = judge(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("grp").alias("_grp")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), group_of().alias("grp"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("grp") == F.col("_grp"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

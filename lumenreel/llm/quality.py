@@ -235,8 +235,14 @@ def _shrunk(groups: DataFrame, models: DataFrame, shrink: float) -> DataFrame:
     return _factored(_blended(rows, "own", "lang", ["grp"]).select("grp", "own.*")).drop("logdet", *(f"c{i}{j}" for i, j in _PAIRS))
 
 
+def group_of(lang: str = "lang", source: str = "source") -> Column:
+    """Hash of the group, a language's documents of one source, by which a document is judged."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    return F.xxhash64(F.lit("source"), name(lang), name(source))
+
+
 def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = CUTOFF, coverage: float = 0.75, shrink: float = 50) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, text_hash.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, text_hash, grp.
 
     ``distance`` is null for documents that fail the base rules.  ``shrink``: rows at which a group's own estimate and
     its language's weigh the same.
@@ -244,7 +250,7 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cu
     rows = statistics(docs)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
-    group = {"grp": F.xxhash64(F.lit("source"), name("lang"), name("source")), "lang_grp": F.xxhash64(F.lit("lang"), name("lang")), "salt": F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(SALTS)).cast("int")}
+    group = {"grp": group_of(), "lang_grp": F.xxhash64(F.lit("lang"), name("lang")), "salt": F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(SALTS)).cast("int")}
     rows = rows.withColumn("base_failed", failed).withColumns(group)
     rows = cut(rows.select("*", *(v.alias(f) for f, v in zip(FEATURES, _vector(), strict=True))).drop("lang", "source", "n_lines"))
     good = rows.filter("not base_failed")
@@ -255,5 +261,5 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cu
     groups = cut(_shrunk(good.select("grp", "lang_grp").distinct(), models, shrink))
     far = _with(good, groups, "grp", groups.count()).withColumn("distance", F.sqrt(_squared_distance()))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    passed = far.select(*out, (F.col("distance") <= cutoff).alias("kept"), "distance", "text_hash")
-    return passed.unionByName(rows.filter("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), "text_hash"))
+    passed = far.select(*out, (F.col("distance") <= cutoff).alias("kept"), "distance", "text_hash", "grp")
+    return passed.unionByName(rows.filter("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), "text_hash", "grp"))

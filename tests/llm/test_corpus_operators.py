@@ -510,6 +510,8 @@ def test_language_id(spark):
     assert all((by[i].lang_pred, by[i].score) == ("und", 0.0) for i in (1000, 1001, 1002)) and by[1003].lang_pred == "xx" and by[None].lang_pred == "yy"
     for i, lang in true.items():
         assert by[i].lang_pred == lang and 0 <= by[i].score <= 1 and by[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    clash = df.withColumns({c: F.lit("x") for c in ("lang_pred", "score", "held_out", "text_hash", "key", "grams", "h", "n", "label", "id", "share")})
+    assert sorted(map(tuple, predict_language(clash).select("doc_id", "lang_pred", "score").collect()), key=str) == sorted(((x.doc_id, x.lang_pred, x.score) for x in got), key=str)
     assert predict_language(df.limit(0)).count() == 0
     assert {x.lang_pred for x in predict_language(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
@@ -579,6 +581,8 @@ def test_toxicity(spark):
     assert len(got) == len(rows)
     assert np.mean([got[i].predicted == ("vile" in t) for i, t in rows[:600]]) > 0.98
     assert got[1000].score == got[1001].score and got[1002].predicted == got[None].predicted == 1
+    clash = lambda x: x.withColumns({c: F.lit("x") for c in ("h", "pos", "unl", "words", "at", "word", "score", "predicted", "held_out", "p", "u", "share")})
+    assert {x.doc_id: tuple(x) for x in score_toxicity(clash(docs), clash(marks)).collect()} == {i: tuple(x) for i, x in got.items()}
     assert {x.score for x in score_toxicity(docs, marks.limit(0)).collect()} == {0.0}
     assert score_toxicity(docs.limit(0), marks).count() == 0
 

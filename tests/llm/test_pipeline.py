@@ -10,7 +10,7 @@ import corpus_pipeline as P
 from lumenreel.llm.jaccard_join import near_duplicates
 from lumenreel.llm.line_dedup import remove_boilerplate
 from lumenreel.llm.mixing import mix
-from lumenreel.llm.quality import judge
+from lumenreel.llm.quality import group_of, judge
 from lumenreel.llm.queries import word_tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,6 +75,16 @@ def test_line_dedup_keeps_short_bodies(spark):
     assert got == {0: rows[0][1]} | {i: f"own body {i} stands nowhere else" for i in range(1, 6)}
 
 
+def test_quality_rules_judge_each_source(spark):
+    """Equal rows but for their source are judged, and kept or dropped, each in its own group."""
+    docs = corpus(spark)
+    twin = docs.filter("doc_id = 7").withColumn("source", F.lit("elsewhere"))
+    both = docs.union(twin)
+    want = sorted((x.doc_id, x.grp) for x in judge(both).collect() if x.kept)
+    got = P.quality_rules(spark, both, "").select("doc_id", group_of().alias("grp"))
+    assert sorted(map(tuple, got.collect())) == want and sum(i == 7 for i, _ in want) >= 1
+
+
 def test_line_dedup_of_repeated_ids(spark):
     """Two texts under one id lose nothing of each other in the stage either."""
     rows = [(i, f"a line that every site has\nbody {i} of its own", "en", f"s{i}", 0) for i in range(12)]
