@@ -278,10 +278,10 @@ def diverse_top(candidates: DataFrame, group: str, key: str | Sequence[str], sco
         for b in batches:
             groups, limits = b.column(0).to_pylist(), b.column(1 + len(keys) + 1).to_pylist()
             out, why = [], []
-            for g, h, n in zip(groups, (_direction(x) for x in b.column(1 + len(keys)).to_pylist()), limits, strict=True):
+            for g, h, n in zip(groups, (_centred(x) for x in b.column(1 + len(keys)).to_pylist()), limits, strict=True):
                 if new or g != now:
                     now, chosen, new = g, [], False
-                alike = lambda y: float(y @ h) >= limit if len(y) == len(h) else limit <= 0  # noqa: B023, E731
+                alike = lambda y: _correlation(y, h) >= limit  # noqa: B023, E731
                 reason = "quota" if n is not None and len(chosen) >= n else "similar" if any(map(alike, chosen)) else None
                 if reason is None:
                     chosen.append(h)
@@ -293,12 +293,21 @@ def diverse_top(candidates: DataFrame, group: str, key: str | Sequence[str], sco
     return rows.mapInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in (group, *keys)) + ", chosen boolean, reason string")
 
 
-def _direction(h: Sequence[float] | None) -> np.ndarray:
-    """A histogram less its mean, to unit length: products of these are Pearson correlations; zeros where there is none."""
+def _centred(h: Sequence[float] | None) -> tuple[np.ndarray, float]:
+    """A histogram less its mean, and the length of that; 0 where it has none."""
     x = np.asarray([np.nan if v is None else v for v in h or []], np.float64)
     x = x - x.mean() if len(x) else x
     n = float(np.sqrt(x @ x)) if len(x) else 0.0
-    return x / n if n > 0 and np.isfinite(n) else np.zeros(len(x))
+    return x, n if np.isfinite(n) else 0.0
+
+
+def _correlation(x: tuple[np.ndarray, float], y: tuple[np.ndarray, float]) -> float:
+    """Pearson correlation of two centred histograms, 0 where there is none.
+
+    One division at the end: unit vectors would be rounded one by one, and a correlation of just the limit could miss it.
+    """
+    (a, m), (b, n) = x, y
+    return float(a @ b) / (m * n) if len(a) == len(b) and m * n > 0 else 0.0
 
 
 def numbered(rows: DataFrame, video: str = "video_id", start: str = "start", chosen: str = "chosen", key: str | Sequence[str] = "scene_idx") -> DataFrame:
