@@ -20,6 +20,15 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to some digits, halves away from zero, where a half is told by the scaled number.
+
+    0.5 * 29.09 + 0.5 * 29.11 is 14.549999999999999 after halving, and its tenfold 145.5: binary noise does not decide.
+    """
+    m = 10.0**digits
+    return F.when(F.abs(x) < 1e300, F.round(x * m) / m).otherwise(x)
+
+
 def season_scores(m: Mapping[str, Column]) -> dict[str, Column]:
     """Scores of the four seasons from a scene's median metrics: the keys of SEASON_SCALES, brightness and contrast."""
     v = {k: clamp(m[k] / s) for k, s in SEASON_SCALES.items()}
@@ -33,7 +42,7 @@ def season_scores(m: Mapping[str, Column]) -> dict[str, Column]:
     summer = 0.55 * v["green"] + 0.18 * v["blue"] + 0.15 * v["saturation"] + 0.12 * bright - 0.10 * flower - 0.10 * F.greatest(v["warm"], v["brown"]) - 0.12 * snow
     autumn = 0.43 * v["warm"] + 0.25 * v["brown"] + 0.17 * v["yellow"] + 0.08 * contrast + 0.07 * bright - 0.13 * snow - 0.07 * blossom
     winter = 0.50 * snow + 0.18 * v["low_saturation"] + 0.10 * v["blue"] + 0.08 * bright + 0.06 * v["white"] - 0.22 * blossom - 0.12 * v["warm"] - 0.10 * v["brown"] - 0.10 * v["green"]
-    return {s: F.round(clamp(x), 5) for s, x in zip(SEASONS, (spring, summer, autumn, winter), strict=True)}
+    return {s: rounded(clamp(x), 5) for s, x in zip(SEASONS, (spring, summer, autumn, winter), strict=True)}
 
 
 def best_season(scores: Mapping[str, Column]) -> Column:
@@ -68,20 +77,20 @@ def scene_score(m: Mapping[str, Column]) -> Column:
     exposure = clamp(1 - F.abs(m["brightness"] - 130) / 130 - 0.35 * m["dark"] - 0.35 * m["over"])
     information = clamp(0.55 * clamp(m["edge_density"] / 0.14) + 0.25 * clamp(m["contrast"] / 62) + 0.20 * clamp(m["saturation"] / 0.48))
     total = 0.34 * m["median_sharpness"] + 0.19 * m["best_sharpness"] + 0.20 * m["season_score"] + 0.10 * exposure + 0.09 * information + 0.05 * length + 0.03 * m["confidence"]
-    return F.round(total, 6)
+    return rounded(total, 6)
 
 
 def rejection_reasons(m: Mapping[str, Column], rules: Mapping[str, float]) -> Column:
     """Texts of all failed tests, in a fixed order, each with the number that failed."""
     tests = [
-        (m["median_sharpness"] < rules["minimum_median_sharpness"], "low median sharpness (%.3f)", m["median_sharpness"]),
-        (m["best_sharpness"] < rules["minimum_best_frame_sharpness"], "low best sharpness (%.3f)", m["best_sharpness"]),
-        (m["blurry_ratio"] > rules["maximum_blurry_frame_ratio"], "too many blurry frames (%.2f)", m["blurry_ratio"]),
-        (m["brightness"] < rules["minimum_brightness"], "too dark (%.1f)", m["brightness"]),
-        (m["brightness"] > rules["maximum_brightness"], "too bright (%.1f)", m["brightness"]),
-        (m["dark"] > rules["maximum_dark_pixel_ratio"], "too many dark pixels (%.2f)", m["dark"]),
-        (m["over"] > rules["maximum_overexposed_pixel_ratio"], "too many overexposed pixels (%.2f)", m["over"]),
-        (m["season_score"] < rules["minimum_expected_season_score"], "low season score (%.3f)", m["season_score"]),
-        (m["other_score"] - m["season_score"] > rules["maximum_other_season_advantage"], "another season fits better (%.3f)", m["other_score"] - m["season_score"]),
+        (m["median_sharpness"] < rules["minimum_median_sharpness"], "low median sharpness ", 3, m["median_sharpness"]),
+        (m["best_sharpness"] < rules["minimum_best_frame_sharpness"], "low best sharpness ", 3, m["best_sharpness"]),
+        (m["blurry_ratio"] > rules["maximum_blurry_frame_ratio"], "too many blurry frames ", 2, m["blurry_ratio"]),
+        (m["brightness"] < rules["minimum_brightness"], "too dark ", 1, m["brightness"]),
+        (m["brightness"] > rules["maximum_brightness"], "too bright ", 1, m["brightness"]),
+        (m["dark"] > rules["maximum_dark_pixel_ratio"], "too many dark pixels ", 2, m["dark"]),
+        (m["over"] > rules["maximum_overexposed_pixel_ratio"], "too many overexposed pixels ", 2, m["over"]),
+        (m["season_score"] < rules["minimum_expected_season_score"], "low season score ", 3, m["season_score"]),
+        (m["other_score"] - m["season_score"] > rules["maximum_other_season_advantage"], "another season fits better ", 3, m["other_score"] - m["season_score"]),
     ]
-    return F.array_compact(F.array(*(F.when(t, F.format_string(text, x.cast("double"))) for t, text, x in tests)))
+    return F.array_compact(F.array(*(F.when(t, F.format_string(f"{text}(%.{n}f)", rounded(x.cast("double"), n))) for t, text, n, x in tests)))

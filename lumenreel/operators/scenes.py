@@ -89,7 +89,7 @@ def peaks(diffs: DataFrame, thresholds: DataFrame, keys: Sequence[str], t: str,
     rows = diffs.select(*keys, t, value, F.lag(value).over(w).alias("_a"), F.lead(value).over(w).alias("_b")).join(thresholds, list(keys))
     top = rows.filter((F.col("n") >= 3) & (F.col(value) >= F.col("threshold")) & (F.col(value) >= F.col("_a")) & (F.col(value) >= F.col("_b")))
     over = (F.col(value) - F.col("threshold")) / F.greatest(F.lit(0.10), 1 - F.col("threshold"))
-    return top.select(*keys, t, F.round(value, 4).alias("value"), F.round(S.clamp(over + 0.55), 3).alias("confidence"))
+    return top.select(*keys, t, S.rounded(F.col(value), 4).alias("value"), S.rounded(S.clamp(over + 0.55), 3).alias("confidence"))
 
 
 def spaced(items: Column, gap: float) -> Column:

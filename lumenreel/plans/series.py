@@ -277,7 +277,7 @@ def scene_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = {c: F.floor(F.col(c) / 3600) for c in ("start", "end")}
     histogram = F.array(*((hours[c] % n).cast("double") for c, n in (("start", 7), ("start", 11), ("end", 5), ("end", 3))))
     rows = C.processed_videos(_diffs(spark, sf_dir), frames, _ranges(spark, sf_dir), ["video_id"], "t", RULES, list(METRICS), expected, C.quota(F.lit("youtube"), 2, 3), histogram, 0.9)
-    return rows.select("video_id", F.col("scene_idx").cast("long").alias("scene_idx"), "scene_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "total_score", "chosen", F.array_join("rejection_reasons", " / ").alias("reason"))
+    return rows.select("video_id", F.col("scene_idx").cast("long").alias("scene_idx"), "scene_id", S.rounded(F.col("start"), 6).alias("start"), S.rounded(F.col("end"), 6).alias("end"), "total_score", "chosen", F.array_join("rejection_reasons", " / ").alias("reason"))
 
 
 _SEASONS_SQL = "['봄', '여름', '가을', '겨울']"
