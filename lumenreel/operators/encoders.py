@@ -19,7 +19,8 @@ class Encoder:
 
     ``load()`` runs once in every Python worker that needs the model, whatever the number of tasks and batches; ``name``
     tells models apart, so a new version needs a new name.  ``most`` items go to the model at once, and no more than
-    ``cost`` in all, where a batch costs its longest item's length times its size, as padded batches do.
+    ``cost`` in all, where a batch costs its longest item's length times its size, as padded batches do.  Vectors are kept
+    in single precision, or in ``double`` where a model's last digits count.
     """
 
     name: str
@@ -28,6 +29,7 @@ class Encoder:
     most: int = 256
     cost: int = 100_000
     length: Callable[[Any], int] = lambda x: len(x) if x is not None else 0
+    double: bool = False
 
     def model(self) -> Encode:
         if self.name not in _LOADED:
@@ -54,7 +56,7 @@ class Encoder:
             if len(vectors) != len(places):
                 raise ValueError(f"{self.name} gave {len(vectors)} vectors for {len(places)} items")
             for i, v in zip(places, vectors, strict=True):
-                v = np.asarray(v, np.float32)
+                v = np.asarray(v, np.float64 if self.double else np.float32)
                 if v.shape != (self.dimension,) or not np.isfinite(v).all():
                     raise ValueError(f"{self.name} gave no vector of {self.dimension} finite numbers")
                 out[i] = v

@@ -119,7 +119,7 @@ def encoded(rows: DataFrame, column: str, encode: Encoder | Callable[[pd.Series]
                     raise ValueError(f"{name} is not a vector of {dimension} finite numbers")
             yield b.assign(**{name: vectors})
 
-    return rows.mapInPandas(run, rows.withColumn(name, F.array().cast("array<float>")).schema)
+    return rows.mapInPandas(run, rows.withColumn(name, F.array().cast("array<double>" if model.double else "array<float>")).schema)
 
 
 def embedding_records(items: DataFrame, columns: dict[str, str], encode_text: Callable, encode_image: Callable, dimension: int) -> tuple[DataFrame, DataFrame]:

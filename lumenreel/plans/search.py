@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.functions import vectors as V
+from lumenreel.functions.scores import rounded
 from lumenreel.operators import index
 from lumenreel.operators import search as S
 from lumenreel.operators import segments as G
@@ -163,11 +164,11 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_profile(items: list) -> list[np.ndarray]:
     """A stand-in for a model, which SQL can repeat: how often each of the letters a to h occurs, to unit length."""
     counts = [np.array([(x or "").count(c) for c in "abcdefgh"], np.float64) for x in items]
-    return [(v / max(1e-12, float(np.sqrt(v @ v)))).astype(np.float32) for v in counts]
+    return [v / max(1e-12, float(np.sqrt(v @ v))) for v in counts]
 
 
 #: The model by name: each Python worker loads it once.
-PROFILE = Encoder("byte_profile", lambda: byte_profile, 8, most=64, cost=20_000)
+PROFILE = Encoder("byte_profile", lambda: byte_profile, 8, most=64, cost=20_000, double=True)
 _PROFILE = "list_transform(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h'], lambda c: (length(x) - length(replace(x, c, '')))::DOUBLE)"
 
 
@@ -175,7 +176,7 @@ _PROFILE = "list_transform(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h'], lambda c: (
 def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All components of all turns' vectors, from an encoder that is loaded once a worker and fed by cost."""
     rows = G.encoded(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", PROFILE, 8, "v")
-    return rows.select("conv_id", "turn", F.posexplode("v").alias("i", "value")).filter("value > 0").withColumn("value", F.round(F.col("value").cast("double"), 5))
+    return rows.select("conv_id", "turn", F.posexplode("v").alias("i", "value")).filter("value > 0").withColumn("value", rounded(F.col("value"), 5))
 
 
 @query("embedding_records", "SELECT 'C' || conv_id AS segment_id, count(DISTINCT turn) AS keyframes, 16 AS dimension, true AS unit FROM conversations GROUP BY conv_id")
