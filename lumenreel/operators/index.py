@@ -11,7 +11,8 @@ root of the rows.  A search
 
 Centres and codebooks are fitted on a bounded sample; every row is indexed.  How many lists a query looks at is measured on
 the sample when the index is built: as many as hold ``coverage`` of its queries' true neighbours there.  ``insert`` adds rows
-to the lists that are there.  A list with a large share of all rows is written and searched in shards.
+to the lists that are there.  Each row is stored with its code's error, by which ``exact_search`` misses nothing.  A list
+with a large share of all rows is written and searched in shards.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import isqrt
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +57,9 @@ class Model:
         rest = (x - self.centres[lists]).reshape(len(x), self.codebooks.shape[0], -1)
         return np.stack([_closest(rest[:, p], book) for p, book in enumerate(self.codebooks)], axis=1).astype(np.uint8)
 
-    def decode(self, codes: np.ndarray, one: int) -> np.ndarray:
+    def decode(self, codes: np.ndarray, lists: int | np.ndarray) -> np.ndarray:
         parts = self.codebooks.shape[0]
-        return self.centres[one] + self.codebooks[np.arange(parts), codes].reshape(len(codes), -1)
+        return self.centres[lists] + self.codebooks[np.arange(parts), codes].reshape(len(codes), -1)
 
 
 def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -134,9 +138,10 @@ def _write(good: DataFrame, vector: str, key: str, folder: str, model: Model) ->
                 x = S.matrix(pa.chunked_array([b.column(1)]))
                 at = np.concatenate([m.nearest(x[i : i + 1024])[:, 0] for i in range(0, len(x), 1024)])
                 codes = m.encode(x, at)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1), pa.array(at.astype(np.int32))], ["key", "code", "vector", "list"])
+                error = np.concatenate([np.linalg.norm(x[i : i + 1024] - m.decode(codes[i : i + 1024], at[i : i + 1024]), axis=1) for i in range(0, len(x), 1024)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), b.column(1), pa.array(at.astype(np.int32))], ["key", "code", "error", "vector", "list"])
 
-    coded = good.select(key, vector).mapInArrow(run, f"key {kind[key]}, code binary, vector {kind[vector]}, list int")
+    coded = good.select(key, vector).mapInArrow(run, f"key {kind[key]}, code binary, error double, vector {kind[vector]}, list int")
     # A list's rows come together in few files; lists beyond a task's fair share are split.
     coded.hint("rebalance", "list").sortWithinPartitions("list", "key").write.mode("append").partitionBy("list").parquet(f"{folder}/rows")
 
@@ -148,50 +153,62 @@ def insert(rows: DataFrame, vector: str, key: str, folder: str) -> None:
 
 
 def _rows(spark: SparkSession, folder: str, key_kind: str, vector_kind: str) -> DataFrame:
-    return spark.read.schema(f"key {key_kind}, code binary, vector {vector_kind}, list int").parquet(f"{folder}/rows")
+    return spark.read.schema(f"key {key_kind}, code binary, error double, vector {vector_kind}, list int").parquet(f"{folder}/rows")
 
 
-def candidates(stored: DataFrame, queries: DataFrame, model: Model, probes: int, most: int) -> DataFrame:
-    """(query_id, key, list, distance): about the ``most`` nearest coded rows in the ``probes`` nearest lists of each query.
-
-    ``queries(query_id, v)``; distances are those of the decoded vectors.
-    """
-    sent = queries.sparkSession.sparkContext.broadcast(model)
+def _dealt(stored: DataFrame, queries: DataFrame, model: Broadcast, probes: int, *columns: str) -> tuple[Any, dict[str, str]]:
+    """Blocks of ``queries(query_id, v, ...)`` with blocks of the lists that they look at, and the types of both keys."""
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "key": stored.schema["key"].dataType.simpleString()}
+    asked = ", ".join(f"{c} {kind}" for c, kind in queries.dtypes)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                near = sent.value.nearest(S.matrix(pa.chunked_array([part.column(1)])), probes)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["query_id", "v", "lists"])
+                near = model.value.nearest(S.matrix(pa.chunked_array([part.column("v")])), probes)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], [*part.schema.names, "lists"])
 
     asks = -(-queries.count() // S.QUERY_BLOCK) or 1
-    looked = queries.select("query_id", "v").mapInArrow(look, f"query_id {kinds['query_id']}, v array<double>, lists array<int>")
-    looked = looked.select("query_id", "v", F.explode("lists").alias("list"), F.pmod(F.xxhash64("query_id", "v"), F.lit(asks)).alias("a"))
-    if probes < len(model.centres):
+    lists = len(model.value.centres)
+    looked = queries.mapInArrow(look, f"{asked}, lists array<int>")
+    looked = looked.select(*queries.columns, F.explode("lists").alias("list"), F.pmod(F.xxhash64("query_id", "v"), F.lit(asks)).alias("a"))
+    if probes < lists:
         wanted = [r.list for r in looked.select("list").distinct().collect()]  # at most MOST_LISTS numbers
-        stored = stored.filter(F.col("list").isin(wanted)) if len(wanted) < len(model.centres) else stored
+        stored = stored.filter(F.col("list").isin(wanted)) if len(wanted) < lists else stored
     sizes = stored.groupBy("list").count().filter(F.col("count") > S.ROW_BLOCK).collect()  # the long lists only
     shards = F.lit(1)
     for r in sizes:
         shards = F.when(F.col("list") == r.list, -(-r["count"] // S.ROW_BLOCK)).otherwise(shards)
     left = looked.withColumn("b", F.explode(F.sequence(F.lit(0), shards - 1).cast("array<long>")))
-    right = stored.select("key", "code", "list", F.pmod(F.xxhash64("key"), shards).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1)).cast("array<long>")).alias("a"))
+    right = stored.select("key", "list", *columns, F.pmod(F.xxhash64("key"), shards).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1)).cast("array<long>")).alias("a"))
+    return left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")), kinds
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def candidates(stored: DataFrame, queries: DataFrame, model: Model, probes: int, most: int) -> DataFrame:
+    """(query_id, key, list, distance): about the ``most`` nearest coded rows in the ``probes`` nearest lists of each query.
+
+    ``queries(query_id, v)``; distances are those of the decoded vectors.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(model)
+    cells, kinds = _dealt(stored, queries, sent, probes, "code")
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         won, m = S.Winners(left.num_rows, most), sent.value
         one = right.column("list")[0].as_py() if right.num_rows else 0
         if left.num_rows and right.num_rows:
             q, step = S.matrix(left.column("v")), max(1, S.PRODUCT // left.num_rows)
-            codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
+            codes = _codes(right.column("code"))
             keys = right.column("key").to_numpy()
             for i in range(0, len(codes), step):
                 won.add(1 - q @ m.decode(codes[i : i + step], one).T, keys[i : i + step])
         at, keys, distance = won.rows()
         return pa.table({"query_id": left.column("query_id").take(pa.array(at)), "key": pa.array(keys, right.schema.field("key").type), "list": pa.array([one] * len(keys), pa.int32()), "distance": pa.array(distance, pa.float64())})
 
-    found = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInArrow(cell, f"query_id {kinds['query_id']}, key {kinds['key']}, list int, distance double")
+    found = cells.applyInArrow(cell, f"query_id {kinds['query_id']}, key {kinds['key']}, list int, distance double")
     return S.ranked(found, "key", most)
 
 
@@ -211,3 +228,40 @@ def search(folder: str, queries: DataFrame, vector: str, key: str, k: int, probe
     exact = rows.join(found.distinct(), ["list", "key"]).join(asks, "query_id")
     exact = exact.select("query_id", F.col("key").alias(key), F.round(cosine_distance(F.col("v"), F.col("vector")), 12).alias("distance"))
     return S.ranked(exact.filter("distance is not null"), key, k)
+
+
+def exact_search(folder: str, queries: DataFrame, vector: str, key: str, k: int, vector_kind: str | None = None) -> DataFrame:
+    """Top-k rows as ``search`` returns them, without a miss.
+
+    A search as usual tells how far a query's ``k`` nearest rows are at most.  Then all codes are read: the true distance is
+    off that of the decoded vector by no more than the length of what the code lost, so a row whose distance less its
+    error is above the limit is out, and the vectors of the others decide.  A task keeps ``k`` rows a query.
+    """
+    spark, model = queries.sparkSession, load(queries.sparkSession, folder)
+    kind = queries.schema[key].dataType.simpleString()
+    stored = _rows(spark, folder, kind, vector_kind or queries.schema[vector].dataType.simpleString())
+    asks = S.usable(queries, key, vector, model.centres.shape[1]).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    near = search(folder, queries, vector, key, k, vector_kind=vector_kind).filter(F.col("rank") == k).groupBy("query_id").agg(F.max("distance").alias("limit"))
+    asks = kept(asks.join(near, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(3.0))))
+    sent = spark.sparkContext.broadcast(model)
+    cells, kinds = _dealt(stored, asks, sent, len(model.centres), "code", "error", "vector")
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        won, m = S.Winners(left.num_rows, k), sent.value
+        if left.num_rows and right.num_rows:
+            q, step = S.matrix(left.column("v")), max(1, S.PRODUCT // left.num_rows)
+            limit, one = left.column("limit").to_numpy()[:, None] + 1e-9, right.column("list")[0].as_py()
+            for i in range(0, right.num_rows, step):
+                part = right.slice(i, step)
+                open_ = 1 - q @ m.decode(_codes(part.column("code")), one).T - part.column("error").to_numpy() <= limit
+                at = np.flatnonzero(open_.any(axis=0))
+                if len(at):
+                    part = part.take(pa.array(at))
+                    d = np.round(1 - q @ S.matrix(part.column("vector")).T, 12)
+                    won.add(np.where(open_[:, at], d, np.inf), part.column("key").to_numpy())
+        at, keys, distance = won.rows()
+        rows = pa.table({"query_id": left.column("query_id").take(pa.array(at)), key: pa.array(keys, right.schema.field("key").type), "distance": pa.array(distance, pa.float64())})
+        return rows.filter(pc.is_finite(rows.column("distance")))
+
+    found = cells.applyInArrow(cell, f"query_id {kinds['query_id']}, `{key}` {kinds['key']}, distance double")
+    return S.ranked(found, key, k)
