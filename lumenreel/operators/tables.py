@@ -106,7 +106,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, update: Sequence[str], orde
 
 def replace_keys(earlier: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Earlier rows without those whose key appears anew, and the new rows."""
-    return without(earlier, new.select(key).distinct(), key).unionByName(new, allowMissingColumns=True)
+    return without(earlier, new, key).unionByName(new, allowMissingColumns=True)
 
 
 def append(earlier: DataFrame, new: DataFrame) -> DataFrame:

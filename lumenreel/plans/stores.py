@@ -13,6 +13,7 @@ from lumenreel.plans import query
 from lumenreel.plans.common import table
 from lumenreel.plans.series import quality_report
 from lumenreel.sources import io, store
+from lumenreel.sources.folders import kept
 from lumenreel.sources.io import scratch
 from lumenreel.streaming import incremental, records
 
@@ -209,7 +210,7 @@ def failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One status row a record, in a run over all orders: earlier results of some, and a function that raises for others."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
     process = lambda todo: records.isolated(todo, _priced, "price double, cents long", retries=2).drop("o_totalprice")
-    first = process(orders.filter("o_orderkey % 2 = 0"))
+    first = kept(process(orders.filter("o_orderkey % 2 = 0")))
     rows = incremental.run_batch(orders, first, "o_orderkey", process)
     return rows.withColumn("error", F.when(F.col("error").startswith("Arrow"), F.substring_index("error", ":", 1)).otherwise(F.col("error")))
 

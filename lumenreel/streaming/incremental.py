@@ -22,10 +22,11 @@ def run_batch(records: DataFrame, results: DataFrame, key: str, process: Callabl
     """Earlier results and those of pending records; with ``force`` all records run anew and replace their results.
 
     ``process`` returns rows with ``status``: failed records are rows like others and do not stop the run.  Where records go
-    through a function of their own, ``records.isolated`` makes such rows of what it raises.
+    through a function of their own, ``records.isolated`` makes such rows of what it raises.  What ``process`` returns is
+    kept in the shared folder, so that it runs once; ``results`` are read twice.
     """
     todo = records if force else pending(records, results, key)
-    return T.replace_keys(results, process(todo), key)
+    return T.replace_keys(results, kept(process(todo)), key)
 
 
 def run_stream(spark: SparkSession, source: str, schema: str, key: str, order: str, update: list[str], store: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] = lambda x: x, files: int = 100, buckets: int = 16) -> None:

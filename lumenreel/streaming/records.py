@@ -17,13 +17,22 @@ ERROR_CHARS = 1000
 STATUS = (StructField("status", StringType()), StructField("attempts", IntegerType()), StructField("error", StringType()))
 
 
-def _typed(value: Mapping[str, Any], kinds: pa.Schema) -> dict[str, Any]:
+def _fits(value: Any, kind: pa.DataType) -> bool:
+    """Whether a value surely has an Arrow form; what is not seen at once is left to Arrow, which takes longer."""
+    if value is None:
+        return True
+    of = type(value)
+    return of is float and pa.types.is_float64(kind) or of is int and pa.types.is_int64(kind) and -(1 << 63) <= value < 1 << 63 or of is bool and pa.types.is_boolean(kind) or of is str and pa.types.is_string(kind) and value.isascii()
+
+
+def _typed(value: Mapping[str, Any], kinds: dict[str, pa.DataType]) -> dict[str, Any]:
     """A result that has nothing but columns of the schema, with values that fit; errors otherwise."""
-    extra = value.keys() - set(kinds.names)
+    extra = value.keys() - kinds.keys()
     if extra:
         raise ValueError(f"the result has unknown columns: {', '.join(sorted(extra))}")
-    for field in kinds:
-        pa.array([value.get(field.name)], field.type)
+    for name, kind in kinds.items():
+        if not _fits(value.get(name), kind):
+            pa.array([value[name]], kind)
     return dict(value)
 
 
@@ -38,7 +47,7 @@ def isolated(records: DataFrame, function: Callable[[dict[str, Any]], Mapping[st
     probe = records.sparkSession.createDataFrame([], schema)
     own = [f for f in records.schema if f.name not in probe.columns and f.name not in {s.name for s in STATUS}]
     out = StructType([*own, *STATUS, *probe.schema])
-    kinds, results = to_arrow_schema(out), to_arrow_schema(probe.schema)
+    kinds, results = to_arrow_schema(out), {f.name: f.type for f in to_arrow_schema(probe.schema)}
     names = [f.name for f in own]
 
     def attempt(record: dict[str, Any]) -> dict[str, Any]:
