@@ -1,7 +1,7 @@
 """A store of keyed tables as parquet snapshots with one pointer.
 
-A load writes every table to a folder of its own and then publishes all of them at once by writing one small pointer, under
-the next version's number, so readers see either the old or the new tables.  A pointer is never overwritten: of two loads
+A load writes every table that it changes to a folder of its own and then publishes all of them at once by writing one small
+pointer, which names each table's folder, under the next version's number, so readers see either the old or the new tables.  A pointer is never overwritten: of two loads
 that started from one version the second fails, and what it wrote is read by nobody.  Files are only written and listed by
 Spark.
 """
@@ -9,7 +9,7 @@ Spark.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.operators import tables as T
 from lumenreel.operators.segments import with_places
+from lumenreel.sources.folders import kept
 from lumenreel.sources.io import exists
 
 #: Columns that an upsert refreshes, by table; all others (creation stamps, a spot's id) keep their first value.
@@ -40,7 +41,7 @@ class VersionTaken(RuntimeError):
 
 
 def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
-    return spark.read.schema("version long, folder string").json(f"{root}/published/*") if exists(spark, f"{root}/published") else None
+    return spark.read.schema("version long, folders map<string,string>").json(f"{root}/published/*") if exists(spark, f"{root}/published") else None
 
 
 def version(spark: SparkSession, root: str) -> int:
@@ -50,22 +51,34 @@ def version(spark: SparkSession, root: str) -> int:
 
 
 def read(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    folders = _folders(spark, root)
+    return {t: spark.read.parquet(f"{root}/{folders[t]}/{t}") for t in KEYS if t in folders}
+
+
+def _folders(spark: SparkSession, root: str) -> dict[str, str]:
+    """The folder of each table of the published version."""
     pointers = _pointers(spark, root)
     newest = pointers.orderBy(F.desc("version")).first() if pointers is not None else None
-    at = f"{root}/{newest.folder}" if newest else ""
-    return {t: spark.read.parquet(f"{at}/{t}") for t in KEYS if newest and exists(spark, f"{at}/{t}")}
+    return newest.folders or {} if newest else {}
 
 
-def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], after: int | None = None) -> int:
-    """Write all tables, then the pointer to them as the version behind ``after`` (by default the newest one)."""
+def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], after: int | None = None, same: Sequence[str] = (), check: Callable[[Mapping[str, DataFrame]], None] = lambda written: None) -> int:
+    """Write all tables, then the pointer to them as the version behind ``after`` (by default the newest one).
+
+    Tables named by ``same`` stay in the files where the published version has them.  ``check`` gets the written tables and
+    may raise, in which case nothing is published.
+    """
     v = (version(spark, root) if after is None else after) + 1
     folder = f"v{v}-{uuid.uuid4().hex}"
+    before = _folders(spark, root) if same else {}
+    folders = {t: before[t] for t in same} | dict.fromkeys(tables, folder)
     for name, rows in tables.items():
         rows.write.parquet(f"{root}/{folder}/{name}")
+    check({t: spark.read.parquet(f"{root}/{folder}/{t}") for t in tables})
     if version(spark, root) >= v:
         raise VersionTaken(f"version {v} is there already")
     try:
-        spark.createDataFrame([(v, folder)], "version long, folder string").coalesce(1).write.mode("error").json(f"{root}/published/{v}")
+        spark.createDataFrame([(v, folders)], "version long, folders map<string,string>").coalesce(1).write.mode("error").json(f"{root}/published/{v}")
     except AnalysisException as e:
         raise VersionTaken(f"version {v} is there already") from e
     return v
@@ -90,13 +103,25 @@ def deleted(tables: Mapping[str, DataFrame], table: str, gone: DataFrame) -> dic
     out = dict(tables) | {table: T.without(tables[table], gone.select(KEYS[table]), KEYS[table])}
     if table == "spots" and "video_segments" in out:
         out["video_segments"] = T.null_lost(out["video_segments"], out["spots"], "spot_id")
-    return T.cascade(out, _links(out, CASCADES))
+    return T.cascade(out, _below(out, table))
+
+
+def _below(tables: Mapping[str, DataFrame], table: str) -> list[tuple[str, str, str]]:
+    """The links by which rows of other tables hang on rows of ``table``, directly or not."""
+    found, links = {table}, []
+    for x in _links(tables, CASCADES):
+        if x[1] in found:
+            found.add(x[0])
+            links.append(x)
+    return links
 
 
 def delete(spark: SparkSession, root: str, table: str, gone: DataFrame) -> int:
     """Publish the store without some rows of one table, with the effects on the others."""
     start = version(spark, root)
-    return publish(spark, root, deleted(read(spark, root), table, gone), start)
+    old = read(spark, root)
+    new = deleted(old, table, gone)
+    return publish(spark, root, {t: rows for t, rows in new.items() if rows is not old[t]}, start, [t for t, rows in new.items() if rows is old[t]])
 
 
 def load(spark: SparkSession, root: str, new: Mapping[str, DataFrame]) -> int:
@@ -113,7 +138,11 @@ def load(spark: SparkSession, root: str, new: Mapping[str, DataFrame]) -> int:
     out = {t: T.upsert(old[t], rows, KEYS[t], UPDATES[t]) if t in old else T.unique_rows(rows, KEYS[t]).select("_n.*") for t, rows in new.items()}
     out |= {t: rows for t, rows in old.items() if t not in out}
     if "spots" in out and "place_id" in out["video_segments"].columns:
+        out["spots"] = kept(out["spots"])
         out["video_segments"] = with_places(out["video_segments"].drop("spot_id"), out["spots"])
-    if not T.duplicate_keys(out["segment_keyframes"], "keyframe_path").isEmpty():
-        raise ValueError("a keyframe path has two ids")
-    return publish(spark, root, out, start)
+
+    def check(written: Mapping[str, DataFrame]) -> None:
+        if not T.duplicate_keys(written["segment_keyframes"], "keyframe_path").isEmpty():
+            raise ValueError("a keyframe path has two ids")
+
+    return publish(spark, root, out, start, check=check)
