@@ -9,22 +9,23 @@ demands is no feature), and of its context: neighbouring characters and digits,
 
 Labels come from the corpus itself.  A candidate that is a base match is positive; one whose number is invalid (wrong check
 digit, a part above 255), that cuts or covers base matches, or that sticks to a letter is negative; the others have no
-label and are what the model is for.  One model per kind is fitted on at most ``sample`` candidates a kind and label,
-taken by hash; scores of models that were fitted without an example's third of them give the threshold from which on the
-share of positives is at least ``precision``.  A kind with fewer than ``least`` positives adds nothing.  Of overlapping candidates above their
-thresholds the best score stays, and none that overlaps a base match.
+label and are what the model is for.  One model per kind is fitted on *all* candidates with a label: equal ones, by their
+features in bins, are counted, and trees need only sums over them.  Scores of models that were fitted without an example's
+third of them give the threshold from which on the share of positives is at least ``precision``.  A kind with fewer than
+``least`` positives adds nothing.  Of overlapping candidates above their thresholds the best score stays, and none that
+overlaps a base match.
 
 Texts are searched whole, by patterns whose work is linear in the text.  Null texts count as empty; rows without ``doc_id``
 are searched too; repeated rows give equal results.  An empty table gives an empty result; other columns are ignored.
-Spans are in code points, end exclusive.  Nothing is shuffled but counts and the sample.
+Spans are in code points, end exclusive.  Nothing is shuffled but counts of features and sums.
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.llm.common import cut
 from lumenreel.llm.shingles import mix
-from lumenreel.llm.trees import BoostedTrees, precise_threshold
+from lumenreel.llm.trees import Block, BoostedTrees, Passes, binned, grow, precise_threshold
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -216,19 +217,42 @@ def proposed(text: str) -> tuple[list[Span], np.ndarray, np.ndarray]:
 Model = dict[int, tuple[BoostedTrees, float]]
 
 
-def fit(x: np.ndarray, kind: np.ndarray, y: np.ndarray, fold: np.ndarray, precision: float = 0.98, least: int = 8) -> Model:
-    """A classifier and a threshold for each kind that has enough examples; ``fold``: 0, 1 or 2."""
-    out: Model = {}
-    for k in range(len(KINDS)):
-        mine = kind == k
-        if y[mine].sum() < least:
-            continue
-        a, b, of, score = x[mine], y[mine].astype(np.float64), fold[mine], np.zeros(mine.sum())
-        for i in range(3):  # every example is scored by a model that has not seen it
-            score[of == i] = BoostedTrees().fit(a[of != i], b[of != i]).predict(a[of == i])
-        limit = precise_threshold(score, b, precision, least)
+#: Scores are counted in so many cells when a threshold is chosen.
+CELLS = 1 << 14
+
+
+def _sizes_of(block: Block) -> np.ndarray:
+    """Weights by kind, fold and label."""
+    out = np.zeros((len(KINDS), 3, 2))
+    kind, _, y, n, fold = block
+    np.add.at(out[kind], (fold, y), n)
+    return out
+
+
+def _scores_of(block: Block, models: dict[tuple[int, int], BoostedTrees]) -> np.ndarray:
+    """Weights by kind, label and cell of the score that a model gives which has not seen the row's fold."""
+    out = np.zeros((len(KINDS), 2, CELLS + 1))
+    kind, bins, y, n, fold = block
+    for i in range(3):
+        if (kind, i) in models:
+            at = fold == i
+            np.add.at(out[kind], (y[at], np.rint(models[kind, i].of_bins(bins[:, at]) * CELLS).astype(int)), n[at])
+    return out
+
+
+def fit(passes: Passes, precision: float = 0.98, least: int = 8) -> Model:
+    """A classifier and a threshold for each kind that has enough examples; ``passes``: see ``trees.grow``."""
+    by = passes(_sizes_of)
+    sizes = {(k, i): (s.sum(), s[:, 1].sum()) for k in range(len(KINDS)) if by[k, :, 1].sum() >= least for i in range(4) for s in [by[k][np.arange(3) != i]]}
+    if not sizes:
+        return {}
+    models = grow(passes, sizes)
+    counts, out = passes(partial(_scores_of, models=models)), {}
+    for k in {k for k, _ in sizes}:
+        y, cell = np.nonzero(counts[k])  # negatives first: of equal scores the positives come last
+        limit = precise_threshold(cell / CELLS, y.astype(np.float64), precision, least, counts[k][y, cell])
         if np.isfinite(limit):
-            out[k] = BoostedTrees().fit(a, b), limit
+            out[k] = models[k, 3], limit
     return out
 
 
@@ -273,44 +297,69 @@ def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[int | None, list[Span], np.nd
         yield i, [tuple(s) for s in np.frombuffer(base, np.int64).reshape(-1, 3).tolist()], np.frombuffer(spans, np.int64).reshape(-1, 4), np.frombuffer(x, np.float32).reshape(-1, FEATURES)
 
 
-def _labelled(found: DataFrame) -> DataFrame:
-    """(kind, label, h, features): candidates with a label, and a hash of their features, so that copies are taken together."""
+#: Different labelled rows up to which the passes of a fit are no work for Spark (26 bytes each), and beyond, rows a task.
+FEW_ROWS = 20_000
+TASK_ROWS = 200_000
+
+
+def weighted(found: DataFrame) -> DataFrame:
+    """(kind, label, x, n): every candidate with a label, by its features in bins, and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, spans, x in _unpacked(b):
-                at = np.flatnonzero(spans[:, 3] >= 0)
-                if len(at):
-                    h = mix(np.array([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little") for r in x[at]], np.uint64) ^ spans[at, 1].astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(spans[at, 0]), pa.array(spans[at, 3]), pa.array(h.view(np.int64)), pa.array([r.tobytes() for r in x[at]], pa.binary())], ["kind", "label", "h", "features"])
+            rows = [np.column_stack([spans[at][:, [0, 3]].astype(np.uint8), binned(x[at])]) for _, _, spans, x in _unpacked(b) for at in [spans[:, 3] >= 0] if at.any()]
+            if rows:
+                v, n = np.unique(np.concatenate(rows), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v[:, 0], pa.int64()), pa.array(v[:, 1], pa.int64()), pa.array([r.tobytes() for r in v[:, 2:]], pa.binary()), pa.array(n, pa.int64())], ["kind", "label", "x", "n"])
+
+    return found.mapInArrow(run, "kind long, label long, x binary, n long").groupBy("kind", "label", "x").agg(F.sum("n").alias("n"))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(kind, x, label, n): rows of one kind as blocks of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, label, n = (b.column(c).to_numpy() for c in ("kind", "label", "n"))
+            x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.uint8).reshape(-1, FEATURES)
+            for k in np.unique(kind):
+                at = kind == k
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (x[at].T, label[at], n[at]))], ["kind", "x", "label", "n"])
+
+    return rows.mapInArrow(run, "kind long, x binary, label binary, n binary")
+
 
-    return found.mapInArrow(run, "kind long, label long, h long, features binary")
+def block(row: tuple[int, bytes, bytes, bytes]) -> Block:
+    """A block of ``_packed``; copies of a row are in one fold, by a hash of its features."""
+    label, n = (np.frombuffer(v, np.int64) for v in row[2:])
+    x = np.frombuffer(row[1], np.uint8).reshape(FEATURES, -1)
+    h = np.full(len(n), row[0] + 1, np.uint64)
+    for f in x:
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + f)
+    return row[0], x, label, n, (h % np.uint64(3)).astype(int)
 
 
-def learn(found: DataFrame, sample: int = 5_000, precision: float = 0.98, least: int = 8) -> Model:
-    """The model of a table of proposals: at most about ``sample`` labelled candidates a kind and label reach the driver."""
-    rows = _labelled(found)
-    n = {(r.kind, r.label): r["n"] for r in rows.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}  # eight rows
+def learn(found: DataFrame, precision: float = 0.98, least: int = 8) -> Model:
+    """The model of a table of proposals, from all candidates that have a label; sums by bin reach the driver."""
+    rows = cut(weighted(found))
+    n = rows.count()
     if not n:
         return {}
-    place, whole = F.pmod(F.col("h"), F.lit(1 << 30)), 1 << 30
-    share = F.lit(0)
-    for (k, label), m in n.items():
-        share = F.when((F.col("kind") == k) & (F.col("label") == label), min(whole, whole * sample // m)).otherwise(share)
-    some = rows.filter(place < share).toArrow()
-    order = np.lexsort((some.column("label").to_numpy(), some.column("kind").to_numpy(), some.column("h").to_numpy()))
-    x = np.frombuffer(b"".join(some.column("features").to_pylist()), np.float32).reshape(-1, FEATURES)[order]
-    kind, label, h = (some.column(c).to_numpy()[order] for c in ("kind", "label", "h"))
-    return fit(x, kind, label, (mix(h.view(np.uint64)) % np.uint64(3)).astype(int), precision, least)
+    blocks = cut(_packed(rows.coalesce(-(-n // TASK_ROWS))))
+    if n <= FEW_ROWS:
+        here = [block(tuple(r)) for r in blocks.collect()]
+        return fit(lambda f: reduce(np.add, map(f, here)), precision, least)
+    there = blocks.rdd
+    return fit(lambda f: there.map(lambda r: f(block(tuple(r)))).treeReduce(np.add), precision, least)
 
 
 _SPAN = "struct<kind:string,start:long,end:long,score:double>"
 
 
-def find(docs: DataFrame, sample: int = 5_000, precision: float = 0.98) -> DataFrame:
+def find(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     """(doc_id, spans): all spans of ``docs(doc_id, text)`` by start and kind; ``score`` is null for base matches."""
     found = cut(_proposals(docs))
-    model = docs.sparkSession.sparkContext.broadcast(learn(found, sample, precision))
+    model = docs.sparkSession.sparkContext.broadcast(learn(found, precision))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,9 +370,9 @@ def find(docs: DataFrame, sample: int = 5_000, precision: float = 0.98) -> DataF
     return found.mapInArrow(run, f"doc_id long, spans array<{_SPAN}>")
 
 
-def redact(docs: DataFrame, sample: int = 5_000, precision: float = 0.98) -> DataFrame:
+def redact(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     """(doc_id, text, n_redacted): texts with ``[EMAIL]`` and the like in place of spans; overlapping spans become one mark."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(cut(_proposals(docs)), sample, precision))
+    model = docs.sparkSession.sparkContext.broadcast(learn(cut(_proposals(docs)), precision))
 
     def clean(text: str) -> tuple[str, int]:
         parts, at, n = [], 0, 0
