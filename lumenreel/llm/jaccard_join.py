@@ -234,7 +234,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = known.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "id"), ["n", "d1", "d2"]).select("doc_id", "id")
     groups = classes.groupBy("n", "g1", "g2").agg(F.min("id").alias("g"), F.count("*").alias("size"))
     rep = cut(classes.join(groups, ["n", "g1", "g2"]).select("id", "g", "n", "size", "d1", "d2"))
-    bits = known.select(F.col("doc_id").alias("id"), "n", "d1", "d2", "bits").join(rep.select("id", "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "bits")
+    # Used six times below: kept once, as each use would put its join and exchanges into the driver's plans again.
+    bits = known.select(F.col("doc_id").alias("id"), "n", "d1", "d2", "bits").join(rep.select("id", "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi")
+    bits = cut(bits.select("id", "n", "bits"))
 
     posts = known.select(F.col("doc_id").alias("g"), "n", "d1", "d2", "prefix").join(rep.filter("id = g").select("g", "n", "d1", "d2"), ["g", "n", "d1", "d2"])
     posts = cut(_shared_lists(posts.select("g", "n", F.posexplode("prefix").alias("pos", "token")), percent))
