@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import cut, salted_join
+from lumenreel.llm.common import cut, few_tasks, salted_join
 from lumenreel.llm.graph import components
 from lumenreel.llm.shingles import shingle_runs
 
@@ -206,9 +206,11 @@ def _shared_lists(posts: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     pairs = cut(pairs.select("a", "b").distinct())
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs
-    sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
+    pairs = few_tasks(pairs, n)
+    sets = _sets(docs, cut(few_tasks(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), 2 * n)), k)
     most = lambda c: pairs.groupBy(c).count().agg(F.max("count")).first()[0]
 
     # A large family's first document is in many pairs: these meet in many tasks, each with one copy of its set. Where no
@@ -219,7 +221,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
     both = with_set(with_set(pairs, "a", "b"), "b", "a")
     both = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("both"))
-    return cut(both.filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b"))
+    return few_tasks(cut(both.filter(F.col("both") * 100 >= (F.col("n") - F.col("both")) * percent).select("a", "b")), n)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -234,6 +236,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = known.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "id"), ["n", "d1", "d2"]).select("doc_id", "id")
     groups = classes.groupBy("n", "g1", "g2").agg(F.min("id").alias("g"), F.count("*").alias("size"))
     rep = cut(classes.join(groups, ["n", "g1", "g2"]).select("id", "g", "n", "size", "d1", "d2"))
+    n_classes = rep.count()
+    rep = few_tasks(rep, n_classes)
     # Used six times below: kept once, as each use would put its join and exchanges into the driver's plans again.
     bits = known.select(F.col("doc_id").alias("id"), "n", "d1", "d2", "bits").join(rep.select("id", "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi")
     bits = cut(bits.select("id", "n", "bits"))
@@ -251,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # Second round: all pairs that pass the filters and may still join two components.
     label = components(links)
-    rep = cut(rep.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "g", "n", "size", F.coalesce("component", "id").alias("c")))
+    rep = few_tasks(cut(rep.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "g", "n", "size", F.coalesce("component", "id").alias("c"))), n_classes)
     spread = rep.groupBy("g", "n").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
     one = rep.join(bits, ["id", "n"]).select("id", "g", "n", "c", "bits")
     far = rep.filter("size > 1").select("id", "g", "n").join(bits, ["id", "n"]).join(bits.select(F.col("id").alias("g"), "n", F.col("bits").alias("of")), ["g", "n"])
@@ -276,7 +280,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = _verified(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, k, percent)
 
     # Classes are named by their smallest document, so a component's smallest class is its smallest document.
-    label = components(links.union(more)) if not more.isEmpty() else label
+    label = components(label.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)) if not more.isEmpty() else label
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(members.groupBy("doc_id").agg(F.min("id").alias("id")), "doc_id", "left")
     out = out.join(label.select(F.col("node").alias("id"), "component"), "id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
